@@ -71,4 +71,4 @@ def register(name: str, sql: str | None = None, digits: int = 4):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from larder.plans import retail, support, chat, agentlog, retrieval  # noqa: F401
+    from larder.plans import retail, demand, support, chat, agentlog, retrieval  # noqa: F401
