@@ -161,3 +161,43 @@ def with_ctes(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n"
+
+
+def _uuid(seed: str) -> str:
+    h = f"md5({seed})"
+    return (f"concat_ws('-', substr({h},1,8), substr({h},9,4), substr({h},13,4), substr({h},17,4), "
+            f"substr({h},21,12))")
+
+
+cte("chat_requests", f"""
+SELECT concat(conv_id, '-', turn) AS request_id,
+       CASE WHEN conv_id % 11 = 0 THEN concat('chat-', conv_id) ELSE {_uuid("concat('c', conv_id)")} END AS chat_uuid,
+       {_uuid("concat('m', conv_id, '-', turn)")} AS message_uuid, role,
+       CASE WHEN turn % 3 = 0 THEN
+         [{{'type': 'text', 'text': text, 'media_type': NULL::VARCHAR, 'name': NULL::VARCHAR, 'url': NULL::VARCHAR}},
+          {{'type': 'file', 'text': NULL::VARCHAR,
+            'media_type': CASE WHEN turn % 6 = 0 THEN 'image/gif' ELSE 'image/png' END,
+            'name': concat('img', turn, '.png'),
+            'url': CASE WHEN turn % 9 = 0 THEN 'not a url' ELSE concat('https://img.test/', conv_id, '/', turn) END}}]
+       ELSE [{{'type': 'text', 'text': text, 'media_type': NULL::VARCHAR, 'name': NULL::VARCHAR, 'url': NULL::VARCHAR}}]
+       END AS parts,
+       CASE WHEN (conv_id + turn) % 17 = 0 THEN 'other-model' WHEN turn % 2 = 0 THEN 'chat-model'
+            ELSE 'chat-model-reasoning' END AS selected_model,
+       CASE WHEN conv_id % 4 = 0 THEN 'public' ELSE 'private' END AS visibility
+FROM conversations""")
+
+cte("access_requests", """
+SELECT concat(conv_id, '-', turn) AS request_id, conv_id AS chat_id, concat('U', (conv_id + turn) % 20) AS user_id
+FROM conversations""")
+cte("chats_present", "SELECT * FROM chats WHERE id % 13 <> 0", ("chats",))
+cte("delete_requests", "SELECT id AS chat_id FROM chats WHERE id % 7 = 0", ("chats",))
+cte("trailing_requests", """
+SELECT chat_id, created_at AS cutoff FROM messages WHERE turn = 2 AND chat_id % 3 = 0""", ("messages",))
+cte("streams", """
+SELECT id AS stream_id, chat_id, created_at AS started_at FROM messages WHERE role = 'assistant'""", ("messages",))
+cte("usage", """
+SELECT id, chat_id, created_at, cast(turn * 10 + length(text) % 50 AS BIGINT) AS prompt_tokens,
+       cast(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS BIGINT) AS completion_tokens,
+       cast(turn * 10 + length(text) % 50 + len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS BIGINT)
+         AS total_tokens
+FROM messages WHERE role = 'assistant'""", ("messages",))

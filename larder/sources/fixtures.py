@@ -182,3 +182,72 @@ def chat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("created_at") + F.make_dt_interval(mins=F.col("version").cast("int") * 10))
         .alias("updated_at"),
     )
+
+
+def uuid_text(seed: F.Column) -> F.Column:
+    """8-4-4-4-12 hex text from the md5 of ``seed`` (deterministic ids)."""
+    h = F.md5(seed)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+PART_TYPE = "struct<type:string,text:string,media_type:string,name:string,url:string>"
+
+
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming chat requests, one per conversation turn (validation input)."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    text_part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"),
+                         F.lit(None).cast("string").alias("media_type"),
+                         F.lit(None).cast("string").alias("name"),
+                         F.lit(None).cast("string").alias("url"))
+    file_part = F.struct(F.lit("file").alias("type"), F.lit(None).cast("string").alias("text"),
+                         F.when(turn % 6 == 0, "image/gif").otherwise("image/png").alias("media_type"),
+                         F.concat(F.lit("img"), turn, F.lit(".png")).alias("name"),
+                         F.when(turn % 9 == 0, F.lit("not a url"))
+                          .otherwise(F.concat(F.lit("https://img.test/"), cid, F.lit("/"), turn))
+                          .alias("url"))
+    parts = F.when(turn % 3 == 0, F.array(text_part, file_part)).otherwise(F.array(text_part))
+    return m.select(
+        F.concat(cid, F.lit("-"), turn).alias("request_id"),
+        F.when(cid % 11 == 0, F.concat(F.lit("chat-"), cid))
+         .otherwise(uuid_text(F.concat(F.lit("c"), cid))).alias("chat_uuid"),
+        uuid_text(F.concat(F.lit("m"), cid, F.lit("-"), turn)).alias("message_uuid"),
+        "role",
+        parts.alias("parts"),
+        F.when((cid + turn) % 17 == 0, "other-model").when(turn % 2 == 0, "chat-model")
+         .otherwise("chat-model-reasoning").alias("selected_model"),
+        F.when(cid % 4 == 0, "public").otherwise("private").alias("visibility"),
+    )
+
+
+def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn read back by some user (owner or not)."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return m.select(F.concat(F.col("conv_id"), F.lit("-"), F.col("turn")).alias("request_id"),
+                    F.col("conv_id").alias("chat_id"),
+                    F.concat(F.lit("U"), (F.col("conv_id") + F.col("turn")) % 20).alias("user_id"))
+
+
+def chats_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat table with some chats missing (their messages become orphans)."""
+    return chats(spark, sf_dir).filter(F.col("id") % 13 != 0)
+
+
+def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats a user asked to delete."""
+    return chats(spark, sf_dir).filter(F.col("id") % 7 == 0).select(F.col("id").alias("chat_id"))
+
+
+def trailing_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit requests: drop a chat's messages from its turn-2 message on."""
+    m = messages(spark, sf_dir)
+    return m.filter((F.col("turn") == 2) & (F.col("chat_id") % 3 == 0)).select(
+        "chat_id", F.col("created_at").alias("cutoff"))
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response stream per assistant message."""
+    m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    return m.select(F.col("id").alias("stream_id"), "chat_id", F.col("created_at").alias("started_at"))
