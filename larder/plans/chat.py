@@ -51,7 +51,7 @@ def q_message_validation(spark, sf):
 
 @register("chat_history_page", with_ctes("chats") + f"""
 , r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM chats)
-SELECT id, user_id, title, visibility, created_at, rn,
+SELECT id, user_id, title, visibility, created_at, cast(rn AS INTEGER) AS rn,
        max(rn) OVER (PARTITION BY user_id) > {HISTORY_LIMIT} AS has_more
 FROM r WHERE rn <= {HISTORY_LIMIT + 1}
 QUALIFY rn <= {HISTORY_LIMIT}""")

@@ -132,7 +132,8 @@ FROM (SELECT *, list_filter(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '
 
 def _events(bodies: str) -> str:
     return f"""
-SELECT stream_id, chat_id, started_at, generate_subscripts(ps, 1) - 1 AS seq, unnest(ps) AS payload
+SELECT stream_id, chat_id, started_at, cast(generate_subscripts(ps, 1) - 1 AS INTEGER) AS seq,
+       unnest(ps) AS payload
 FROM (SELECT *, list_filter(list_transform(list_filter(string_split(body, chr(10)),
                                                        lambda l: starts_with(l, 'data:')),
                                            lambda l: trim(substr(l, 6))), lambda x: x <> '[DONE]') AS ps
@@ -151,7 +152,8 @@ def _explode(src: str, parts_sql: str) -> str:
     fields = ", ".join(f"pp.{f} AS {f}" for f in PART_FIELDS)
     return f"""
 SELECT stream_id, chat_id, started_at, seq, sub, {fields}
-FROM (SELECT stream_id, chat_id, started_at, seq, generate_subscripts(ps, 1) - 1 AS sub, unnest(ps) AS pp
+FROM (SELECT stream_id, chat_id, started_at, seq, cast(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sub,
+             unnest(ps) AS pp
       FROM (SELECT *, {parts_sql} AS ps
             FROM (SELECT *, CASE WHEN json_valid(payload) THEN payload END AS jj FROM {src}) v) x) y"""
 
@@ -299,7 +301,7 @@ SELECT stream_id, chat_id, started_at, ord, is_flush, {", ".join(PART_FIELDS)} F
   FROM (
     SELECT *, CASE WHEN {_grp('type')} IS NOT NULL AND id IS NOT NULL THEN {_grp('type')} || ':' || id END AS end_key
     FROM (
-      SELECT stream_id, chat_id, started_at, seq * 64 + sub * 8 + k AS ord, false AS is_flush, {_PF}
+      SELECT stream_id, chat_id, started_at, cast(seq * 64 + sub * 8 + k AS BIGINT) AS ord, false AS is_flush, {_PF}
       FROM (SELECT *, generate_subscripts(outl, 1) - 1 AS k, unnest(outl) AS pp FROM (
         SELECT *, CASE WHEN m THEN [{_CUR}]
                   ELSE (CASE WHEN {_isd('prev_t')} THEN [{P(type=f"{_grp('prev_t')} || '-end'", id='prev_id')}]
@@ -312,7 +314,7 @@ SELECT stream_id, chat_id, started_at, ord, is_flush, {", ".join(PART_FIELDS)} F
                            lead(sub) OVER w IS NULL AS is_last
                     FROM parts_responses WINDOW w AS (PARTITION BY stream_id ORDER BY seq, sub)) a) b) c) d
       UNION ALL
-      SELECT stream_id, chat_id, started_at, seq * 64 + sub * 8 + 63 AS ord, true AS is_flush,
+      SELECT stream_id, chat_id, started_at, cast(seq * 64 + sub * 8 + 63 AS BIGINT) AS ord, true AS is_flush,
              {", ".join(f"{_grp('type')} || '-end'" if f == 'type' else ('id' if f == 'id' else f'NULL::VARCHAR')
                         for f in PART_FIELDS)}
       FROM (SELECT *, lead(sub) OVER (PARTITION BY stream_id ORDER BY seq, sub) IS NULL AS is_last
