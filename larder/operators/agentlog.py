@@ -68,11 +68,16 @@ def with_arrival_times(events: DataFrame, step_s: int = 2, gap_every: int = 40,
 
 
 def _explode_parts(events: DataFrame, parts: Column) -> DataFrame:
-    keep = [c for c in events.columns if c != "payload"]
+    keep = [c for c in events.columns if c not in ("payload", "_v")]
     return (events.select(*keep, F.posexplode(parts).alias("sub", "p"))
             .select(*keep, "sub", *[F.col(f"p.{f}").alias(f) for f in PART_FIELDS]))
 
 
+def _parsed(events: DataFrame) -> DataFrame:
+    """Parse each payload once into a variant column ``_v`` (NULL if not JSON)."""
+    return events.withColumn("_v", F.try_parse_json(F.col("payload")))
+
+
 def _vget(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
@@ -97,7 +102,8 @@ def normalise_responses(events: DataFrame) -> DataFrame:
     is not a JSON object with a string ``type`` gives one error part.  Of a
     finished item only the first content / summary entry is read.
     """
-    v = F.try_parse_json(F.col("payload"))
+    events = _parsed(events)
+    v = F.col("_v")
     t = _vget(v, "$.type")
     it = _vget(v, "$.item.type")
     iid = _vget(v, "$.item.id")
@@ -190,7 +196,8 @@ def normalise_completions(events: DataFrame) -> DataFrame:
     (text -> delta, image dropped, reasoning -> one delta per summary text).
     A payload that is not a completion chunk object gives one error part.
     """
-    v = F.try_parse_json(F.col("payload"))
+    events = _parsed(events)
+    v = F.col("_v")
     cid = _vget(v, "$.id")
     path = "$.choices[0].delta.content"
     kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
@@ -220,7 +227,8 @@ def normalise_chat_agent(events: DataFrame) -> DataFrame:
     entry of ``tool_calls``; tool: a tool result; user: nothing.  A payload
     missing the role's required string fields gives one error part.
     """
-    v = F.try_parse_json(F.col("payload"))
+    events = _parsed(events)
+    v = F.col("_v")
     role = _vget(v, "$.delta.role")
     s = lambda p: _is_string(v, "$.delta." + p)
     ok = _is_object(v) & _is_string(v, "$.id") & F.coalesce(
@@ -314,18 +322,25 @@ def assembled_text(stream_parts: DataFrame) -> DataFrame:
 
 def ui_parts(stream_parts: DataFrame) -> DataFrame:
     """Message parts as a client shows them: one text / reasoning part per item
-    (assembled), one ``source-url`` per citation, one ``tool`` per call."""
-    txt = assembled_text(stream_parts).select(
-        "stream_id", F.col("first_ord").alias("pos"), F.col("kind").alias("type"), "text",
-        F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"))
-    src = stream_parts.filter(F.col("type") == "source").select(
-        "stream_id", F.col("ord").alias("pos"), F.lit("source-url").alias("type"),
-        F.lit(None).cast("string").alias("text"), "url", "title")
-    tools = stream_parts.filter(F.col("type") == "tool-call").select(
-        "stream_id", F.col("ord").alias("pos"), F.lit("tool").alias("type"),
-        F.col("input").alias("text"), F.lit(None).cast("string").alias("url"),
-        F.lit(None).cast("string").alias("title"))
-    return txt.unionByName(src).unionByName(tools)
+    (assembled), one ``source-url`` per citation, one ``tool`` per call.
+
+    One aggregate keyed by (stream, item) for deltas and by (stream, ordinal)
+    for the rest; it reuses the stream partitioning of the boundary step.
+    """
+    t = F.col("type")
+    delta = t.isin("text-delta", "reasoning-delta")
+    keep = stream_parts.filter(delta | t.isin("source", "tool-call"))
+    key = F.when(delta, F.concat(_group(t), F.lit(":"), F.col("id"))).otherwise(
+        F.concat(F.lit("#"), F.col("ord").cast("string")))
+    g = keep.groupBy("stream_id", key.alias("_k")).agg(
+        F.min("ord").alias("pos"),
+        F.max(F.when(delta, _group(t)).when(t == "source", "source-url").otherwise("tool")).alias("type"),
+        F.array_sort(F.collect_list(F.struct("ord", F.when(delta, F.col("delta")).alias("d")))).alias("xs"),
+        F.max("input").alias("input"), F.max("url").alias("url"), F.max("title").alias("title"))
+    text = F.when(F.col("type").isin("text", "reasoning"),
+                  F.array_join(F.transform("xs", lambda x: x["d"]), "")).when(
+        F.col("type") == "tool", F.col("input"))
+    return g.select("stream_id", "pos", "type", text.alias("text"), "url", "title")
 
 
 def is_name_part(t: Column, text: Column) -> Column:

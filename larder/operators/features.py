@@ -112,13 +112,13 @@ def category_index(df: DataFrame, cols=CATEGORICAL) -> DataFrame:
     Same order as ``StringIndexer(stringOrderType="frequencyDesc")``: count
     descending, value ascending on ties; index = rank - 1.  Unknown values at
     scoring time get index = number of labels (``handleInvalid="keep"``).
-    The window runs over the aggregated (value, count) rows only.
+    One scan: every row yields a (column, value) pair per categorical column,
+    counted with map-side partials; the window runs over the counts only.
     """
-    out = None
-    for c in cols:
-        per = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        per = per.select(F.lit(c).alias("column_name"), "value", "n")
-        out = per if out is None else out.unionByName(per)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+                      for c in cols])
+    out = (df.select(F.inline(pairs)).groupBy("column_name", "value")
+           .agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
     return out.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import retrieval as rt
 from larder.plans.registry import register
-from larder.sources.tables import table
+from larder.sources.tables import spread, table
 
 CHUNK, OVERLAP = 200, 50
 TOP_K_TERMS = 5
@@ -29,7 +29,7 @@ def _queries(spark):
 
 
 def _hits(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return rt.term_search(docs, _queries(spark), k=TOP_K_TERMS)
 
 
@@ -44,7 +44,7 @@ FROM (SELECT doc_id, text, generate_subscripts(st, 1) - 1 AS chunk_id, unnest(st
             FROM documents) a) b""")
 def q_document_chunks(spark, sf):
     """200-character chunks overlapping by 50, over every whole document."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return rt.chunk_documents(docs, CHUNK, OVERLAP)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.sources.fixtures import messages
+from larder.sources.tables import spread
 
 STEP_SECONDS = 2        # arrival spacing of consecutive lines
 GAP_EVERY = 40          # every GAP_EVERY lines the stream stalls ...
@@ -130,7 +131,7 @@ _DIALECTS = {"responses": _responses_lines, "completions": _completions_lines,
 
 def sse_bodies(spark: SparkSession, sf_dir: str, dialect: str = "responses") -> DataFrame:
     """One row per response stream: (stream_id, chat_id, started_at, body)."""
-    m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    m = spread(messages(spark, sf_dir).filter(F.col("role") == "assistant"))
     make = _DIALECTS[dialect]
     key = F.col("chat_id") if dialect == "responses" else F.col("id")
     lines = F.flatten(F.transform(words(F.col("text")), lambda w, i: make(w, i, key)))
