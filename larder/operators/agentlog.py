@@ -47,15 +47,17 @@ _PART_DDL = "struct<" + ",".join(f"{f}:string" for f in PART_FIELDS) + ">"
 
 # --------------------------------------------------------------------------- M3
 
-def sse_events(bodies: DataFrame) -> DataFrame:
+def sse_events(bodies: DataFrame, keep_done: bool = False) -> DataFrame:
     """Event-stream bodies -> one row per ``data:`` payload (M3).
 
     Lines not starting with ``data:`` are ignored, as is the ``[DONE]``
-    sentinel; ``seq`` is the payload's index in its stream.  Row-local.
+    sentinel (kept with ``keep_done`` for the streaming twin, which uses it to
+    end a stream); ``seq`` is the payload's index in its stream.  Row-local.
     """
     lines = F.filter(F.split(F.col("body"), "\n"), lambda l: l.startswith("data:"))
-    payloads = F.filter(F.transform(lines, lambda l: F.trim(F.substring(l, 6, 1 << 30))),
-                        lambda p: p != "[DONE]")
+    payloads = F.transform(lines, lambda l: F.trim(F.substring(l, 6, 1 << 30)))
+    if not keep_done:
+        payloads = F.filter(payloads, lambda p: p != "[DONE]")
     keep = [c for c in bodies.columns if c != "body"]
     return bodies.select(*keep, F.posexplode(payloads).alias("seq", "payload"))
 
