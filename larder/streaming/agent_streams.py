@@ -30,12 +30,17 @@ STATE_SCHEMA = "last_type string, last_id string, last_seq int, last_sub int, en
 
 
 def idle_sessions_stream(events: DataFrame, gap: str = IDLE, delay: str = "10 minutes") -> DataFrame:
-    """Closed activity sessions per stream; emitted once the watermark passes them."""
-    s = (events.withWatermark("ts", delay)
-         .groupBy("stream_id", F.session_window("ts", gap).alias("w"))
+    """Closed activity sessions per stream; emitted once the watermark passes them.
+
+    Event times are wall-clock (UTC) values; the watermark runs on them as
+    instants and the session bounds are returned wall-clock again.
+    """
+    e = events.withColumn("_et", F.col("ts").cast("timestamp"))
+    s = (e.withWatermark("_et", delay)
+         .groupBy("stream_id", F.session_window("_et", gap).alias("w"))
          .agg(F.count(F.lit(1)).alias("n_events")))
-    return s.select("stream_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
-                    "n_events")
+    return s.select("stream_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
 def parts_with_markers(events: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def _boundaries(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) ->
     finished = False
     max_ts = None
     for r in batch.itertuples(index=False):
-        max_ts = r.ts if max_ts is None or r.ts > max_ts else max_ts
+        max_ts = r.event_ts if max_ts is None or r.event_ts > max_ts else max_ts
         if r.type == "finish":
             out.extend(_flush(sid, lt, li, ls, lu))
             finished = True
@@ -131,6 +136,7 @@ def boundaries_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame
     each stream with a ``[DONE]`` payload.  Keyed by stream, so state is one
     response's worth; the event-time timeout closes streams that go idle.
     """
-    parts = parts_with_markers(events).withWatermark("ts", delay)
+    parts = (parts_with_markers(events).withColumn("event_ts", F.col("ts").cast("timestamp"))
+             .withWatermark("event_ts", delay))
     return parts.groupBy("stream_id").applyInPandasWithState(
         _boundaries, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
