@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +22,23 @@ LABEL = "quantity"
 
 def build_pipeline(num_trees: int = 50, max_depth: int = 10, seed: int = 42,
                    min_instances: int = 1) -> Pipeline:
-    """Index -> one-hot (unknown = all zeros) -> assemble -> random forest."""
+    """Zero-fill numerics -> index -> one-hot (unknown = all zeros) -> assemble -> forest.
+
+    The zero fill (B13) is a pipeline stage, so scoring applies the same rule.
+    """
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"coalesce(cast({c} AS DOUBLE), 0.0) AS {c}_f" for c in NUMERICAL) + " FROM __THIS__")
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
                          stringOrderType="frequencyDesc") for c in CATEGORICAL]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL],
                         outputCols=[f"{c}_encoded" for c in CATEGORICAL],
                         dropLast=False, handleInvalid="keep")
-    asm = VectorAssembler(inputCols=NUMERICAL + [f"{c}_encoded" for c in CATEGORICAL],
+    asm = VectorAssembler(inputCols=[f"{c}_f" for c in NUMERICAL] + [f"{c}_encoded" for c in CATEGORICAL],
                           outputCol="features", handleInvalid="keep")
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="all",
                                minInstancesPerNode=min_instances, checkpointInterval=10)
-    return Pipeline(stages=idx + [ohe, asm, rf])
+    return Pipeline(stages=[fill] + idx + [ohe, asm, rf])
 
 
 def regression_metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
