@@ -60,12 +60,24 @@ def price_features(df: DataFrame) -> DataFrame:
     })
 
 
-def lag_features(df: DataFrame, lags=(1, 7)) -> DataFrame:
+def lag_features(df: DataFrame, lags=(1, 7), skew_safe: bool = True) -> DataFrame:
     """Quantity ``n`` rows earlier in the same (store, product) series.
 
-    Both lags share one window spec, so Spark evaluates them in one Window
-    node after one shuffle and sort.  The series order is made total with the
-    line key; NULLs sort last.
+    The series order is made total with the line key; NULLs sort last.  By
+    default the range-partitioned form is used, so a series holding a large
+    share of all rows is still split over many tasks; ``skew_safe=False``
+    gives the plain window form.
+    """
+    if skew_safe:
+        return lag_features_ranged(df, lags)
+    return lag_features_window(df, lags)
+
+
+def lag_features_window(df: DataFrame, lags=(1, 7)) -> DataFrame:
+    """Window form of ``lag_features``: one Window node for both lags.
+
+    Fine while every series is small: the window sends a whole series to one
+    task.
     """
     w = Window.partitionBy("store_id", "product_id").orderBy(
         *[F.col(c).asc_nulls_last() for c in SERIES_ORDER])
@@ -138,3 +150,76 @@ def standard_scale(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame
         out.append((F.when(F.lit(s) > 0, x / F.lit(s)).otherwise(F.lit(0.0)) if s is not None
                     else F.lit(None).cast("double")).alias(f"{c}_scaled"))
     return df.select(*keys, *out)
+
+
+def lag_features_ranged(df: DataFrame, lags=(1, 7), partitions: int | None = None) -> DataFrame:
+    """Same result as ``lag_features``, safe when one series holds a large share of rows.
+
+    A window partitioned by (store, product) sends a whole series to one task.
+    Here the rows are range-partitioned on the full sort key (store, product,
+    then the series order), so a very long series is cut across many tasks
+    by sampled boundaries.  Each task computes its lags locally; the first
+    ``max(lags)`` rows of a task also need the rows just before it, which are
+    the last ``max(lags)`` rows of the preceding tasks: one small side input
+    of at most ``partitions * max(lags)`` rows, collected and broadcast.
+    The ordered frame is checkpointed so both passes see the same partitions.
+    """
+    import pandas as pd
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    from larder.session import shared_dir
+
+    spark = df.sparkSession
+    shared_dir(spark)  # reliable checkpoints need the shared folder
+    keys = ["store_id", "product_id"]
+    order = [F.col(c).asc_nulls_last() for c in keys + SERIES_ORDER]
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the range-partition index is stored with the rows: a task's own index is
+    # not it once the result is unioned or re-planned downstream
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    n = ranged.rdd.getNumPartitions()  # fewer than asked when keys are few
+    k = max(lags)
+    tail_schema = "pid int, rn int, store_id string, product_id string, quantity int"
+
+    def tails(it):
+        last, pid_of = None, [None]
+        for pdf in it:
+            if len(pdf):
+                pid_of[0] = pdf["_pid"].iloc[0]
+            cur = pdf[keys + ["quantity"]]
+            last = (cur if last is None else pd.concat([last, cur])).tail(k)
+        if last is not None and len(last):
+            last = last.reset_index(drop=True)
+            last.insert(0, "rn", range(len(last)))
+            last.insert(0, "pid", int(pid_of[0]))
+            yield last
+
+    side = ranged.mapInPandas(tails, tail_schema).toPandas().sort_values(["pid", "rn"])  # <= n * k rows
+    carry, prev = {}, side.iloc[0:0][keys + ["quantity"]]
+    for pid in range(n):
+        carry[pid] = prev.reset_index(drop=True)
+        prev = pd.concat([prev, side[side.pid == pid][keys + ["quantity"]]]).tail(k)
+    bc = spark.sparkContext.broadcast(carry)
+    out_schema = StructType([f for f in ranged.schema.fields if f.name != "_pid"]
+                            + [StructField(f"quantity_lag_{lag}", IntegerType()) for lag in lags])
+
+    def with_lags(it):
+        head = None
+        for pdf in it:
+            if not len(pdf):
+                continue
+            if head is None:
+                head = bc.value[int(pdf["_pid"].iloc[0])]
+            pdf = pdf.drop(columns=["_pid"])
+            both = pd.concat([head, pdf[keys + ["quantity"]]], ignore_index=True)
+            m = len(head)
+            for lag in lags:
+                same = (both["store_id"].eq(both["store_id"].shift(lag))
+                        & both["product_id"].eq(both["product_id"].shift(lag)))
+                vals = both["quantity"].astype("Int32").shift(lag).where(same)
+                pdf[f"quantity_lag_{lag}"] = vals.iloc[m:].reset_index(drop=True)
+            head = both.tail(k)
+            yield pdf
+
+    return ranged.mapInPandas(with_lags, out_schema)

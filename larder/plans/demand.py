@@ -155,7 +155,9 @@ SELECT {_KEYS}, store_id, product_id, event_date, quantity,
 FROM gold""")
 def q_lag_features(spark, sf):
     """E3 + E4: quantity 1 and 7 rows earlier in each (store, product) series."""
-    return ft.lag_features(gold_rows(spark, sf)).select(
+    g = gold_rows(spark, sf).select(*ft.LINE_KEY, "store_id", "product_id", "event_date",
+                                    "transaction_ts", "quantity")
+    return ft.lag_features(g).select(
         *ft.LINE_KEY, "store_id", "product_id", "event_date", "quantity",
         "quantity_lag_1", "quantity_lag_7")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.columns import money_text, ship_day_text
-from larder.sources.tables import table
+from larder.sources.tables import spread, table
 
 
 def _null_str() -> F.Column:
@@ -23,9 +23,10 @@ def _null_str() -> F.Column:
 
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze sales lines: every column text, as an ingested CSV would be."""
-    li = table(spark, sf_dir, "lineitem").select(
+    # the text formatting below is the costly part: spread a coarse scan first
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     k = F.col("l_orderkey")
