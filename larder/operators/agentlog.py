@@ -463,3 +463,84 @@ def idle_sessions(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
     return s.select("stream_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"),
                     "n_events")
+
+
+# --------------------------------------------------------------------------- M7
+
+CONTENT_FIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result"]
+
+
+def content(**kw) -> Column:
+    """One content part of a whole (non-streamed) response."""
+    return F.struct(*[(kw[f] if isinstance(kw.get(f), Column) else F.lit(kw.get(f))).cast("string").alias(f)
+                      for f in CONTENT_FIELDS])
+
+
+_NO_CONTENT = "array<struct<" + ",".join(f"{f}:string" for f in CONTENT_FIELDS) + ">>"
+_RESP_ITEMS = ("array<struct<type:string,id:string,call_id:string,name:string,arguments:string,output:string,"
+               "content:array<struct<type:string,text:string>>,summary:array<struct<type:string,text:string>>>>")
+_CA_MSGS = ("array<struct<role:string,content:string,tool_call_id:string,"
+            "tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>")
+
+
+def _none_content() -> Column:
+    return F.array().cast(_NO_CONTENT)
+
+
+def _whole_text_tool(text: Column) -> Column:
+    """Whole-content tag check: the entire trimmed text is one tool call or result."""
+    p = _tag_part(text, F.lit(None))
+    return F.when(p["type"] == "text-delta", F.array(content(type="text", text=text))).otherwise(
+        F.array(content(type=p["type"], tool_call_id=p["tool_call_id"], tool_name=p["tool_name"],
+                        input=p["input"], result=p["result"])))
+
+
+def normalise_whole_responses(resp: DataFrame, dialect: str) -> DataFrame:
+    """Non-streamed responses -> content parts, for each dialect (M7).
+
+    Unlike the chunk converters, every content / summary entry is read, and
+    the real tool name is kept on calls.  Completion text is checked for tags
+    as a whole (it is not split).
+    """
+    v = F.try_parse_json(F.col("response"))
+    if dialect == "responses":
+        items = F.try_variant_get(v, "$.output", _RESP_ITEMS)
+        parts = F.flatten(F.transform(items, lambda o: (
+            F.when(o["type"] == "message",
+                   F.transform(F.filter(o["content"], lambda c: c["type"] == "output_text"),
+                               lambda c: content(type="text", text=c["text"])))
+            .when(o["type"] == "function_call",
+                  F.array(content(type="tool-call", tool_call_id=o["call_id"], tool_name=o["name"],
+                                  input=o["arguments"])))
+            .when(o["type"] == "reasoning",
+                  F.transform(F.filter(o["summary"], lambda s: s["type"] == "summary_text"),
+                              lambda s: content(type="reasoning", text=s["text"])))
+            .when(o["type"] == "function_call_output",
+                  F.array(content(type="tool-result", tool_call_id=o["call_id"], result=o["output"],
+                                  tool_name=TOOL_NAME)))
+            .otherwise(_none_content()))))
+    elif dialect == "completions":
+        path = "$.choices[0].message.content"
+        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        items = F.try_variant_get(v, path, _CONTENT_ITEMS)
+        from_items = F.flatten(F.transform(items, lambda it: (
+            F.when(it["type"] == "text", F.array(content(type="text", text=it["text"])))
+            .when(it["type"] == "reasoning",
+                  F.transform(F.filter(it["summary"], lambda s: s["type"] == "summary_text"),
+                              lambda s: content(type="reasoning", text=s["text"])))
+            .otherwise(_none_content()))))
+        parts = (F.when(kind == "STRING", _whole_text_tool(_vget(v, path)))
+                 .when(kind.startswith("ARRAY"), from_items).otherwise(_none_content()))
+    else:
+        msgs = F.try_variant_get(v, "$.messages", _CA_MSGS)
+        parts = F.flatten(F.transform(msgs, lambda m: (
+            F.when(m["role"] == "assistant", F.concat(
+                F.array(content(type="text", text=m["content"])),
+                F.coalesce(F.transform(m["tool_calls"], lambda c: content(
+                    type="tool-call", tool_call_id=c["id"], tool_name=c["function"]["name"],
+                    input=c["function"]["arguments"])), _none_content())))
+            .when(m["role"] == "tool", F.array(content(type="tool-result", tool_call_id=m["tool_call_id"],
+                                                       result=m["content"], tool_name=TOOL_NAME)))
+            .otherwise(_none_content()))))
+    return resp.select("stream_id", F.posexplode(parts).alias("idx", "c")).select(
+        "stream_id", "idx", *[F.col(f"c.{f}").alias(f) for f in CONTENT_FIELDS])

@@ -131,3 +131,12 @@ def log_run_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict[s
     rows += [(run_id, "param", k, float(v)) for k, v in (params or {}).items()]
     df = spark.createDataFrame(rows, "run_id string, kind string, name string, value double")
     df.write.mode("append").parquet(path)
+
+
+def random_holdout(df: DataFrame, fractions=(0.7, 0.3), seed: int = 42) -> list[DataFrame]:
+    """Random split by the given fractions (B16), e.g. keep 30 %, then 70/30 of that.
+
+    ``randomSplit`` samples each partition with the seed, so the split is
+    stable for a fixed input layout; ``hash_sample`` gives a layout-free one.
+    """
+    return df.randomSplit(list(fractions), seed=seed)

@@ -188,3 +188,17 @@ def q_idle_sessions(spark, sf):
     """S4 batch twin: activity sessions closed after 5 idle minutes."""
     ev = al.with_arrival_times(events(spark, sf), STEP_SECONDS, GAP_EVERY, GAP_SECONDS)
     return al.idle_sessions(ev)
+
+
+@register("normalise_whole_responses",
+          with_ctes("whole_responses", "whole_completions", "whole_chat_agent") + oracle_agentlog.WHOLE_SQL)
+def q_normalise_whole_responses(spark, sf):
+    """M7: non-streamed responses of all three dialects to content parts."""
+    from larder.sources.agentlogs import whole_responses
+
+    out = None
+    for d in ("responses", "completions", "chat_agent"):
+        part = al.normalise_whole_responses(whole_responses(spark, sf, d), d).select(
+            F.lit(d).alias("dialect"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

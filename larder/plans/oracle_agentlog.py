@@ -348,3 +348,114 @@ FROM (SELECT *, CASE WHEN type = 'source-url' THEN NOT coalesce(prev_t IN ('text
                            AS run,
                          lag(type) OVER (PARTITION BY stream_id ORDER BY pos) AS prev_t
                   FROM ui_parts) a) b) c""", ("ui_parts",))
+
+
+# ----------------------------------------------------------------------------- whole responses (M7)
+
+_WS = "list_filter(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' '), lambda x: x <> '')"
+_TXT = "array_to_string(ws, ' ')"
+
+
+def _whole(body: str) -> str:
+    return f"""
+SELECT id AS stream_id, {body} AS response
+FROM (SELECT *, {_WS} AS ws, cast(len({_WS}) // 2 AS BIGINT) AS half, cast(turn AS VARCHAR) AS ts,
+             chat_id AS c, turn AS t
+      FROM messages WHERE role = 'assistant') m"""
+
+
+cte("whole_responses", _whole("""'{"id":"resp","output":[' || concat_ws(',',
+   '{"type":"message","id":"m","content":[{"type":"output_text","text":"' || array_to_string(ws[1:greatest(half, 1)], ' ')
+     || '"},{"type":"output_text","text":"' || array_to_string(ws[half + 1:], ' ') || '"}]}',
+   CASE WHEN c % 2 = 0 THEN '{"type":"function_call","id":"f","call_id":"c' || ts
+     || '","name":"lookup","arguments":"{}"},{"type":"function_call_output","call_id":"c' || ts
+     || '","output":"found"}' END,
+   CASE WHEN t % 3 = 1 THEN '{"type":"reasoning","id":"r","summary":[{"type":"summary_text","text":"why"},'
+     || '{"type":"summary_text","text":"because"}]}' END) || ']}'"""), ("messages",))
+
+cte("whole_completions", _whole(f"""'{{"id":"cc","created":1,"model":"m","usage":{{"prompt_tokens":1,"completion_tokens":1,'
+  || '"total_tokens":2}},"choices":[{{"index":0,"message":{{"role":"assistant","content":' ||
+  CASE WHEN c % 3 = 0 THEN '" <tool_call>{{\\"id\\":\\"k' || ts
+                             || '\\",\\"name\\":\\"lookup\\",\\"arguments\\":{{\\"q\\":1}}}}</tool_call> "'
+       WHEN c % 3 = 1 THEN '[{{"type":"text","text":"' || {_TXT}
+                             || '"}},{{"type":"image","image_url":"u"}},{{"type":"reasoning",'
+                             || '"summary":[{{"type":"summary_text","text":"hmm"}}]}}]'
+       ELSE '"' || {_TXT} || ' <tool_call>{{\\"id\\":\\"z\\",\\"name\\":\\"n\\"}}</tool_call>"' END || '}}}}]}}'"""),
+    ("messages",))
+
+cte("whole_chat_agent", _whole(f"""'{{"id":"ca","messages":[{{"role":"user","id":"u","content":"q"}},'
+  || '{{"role":"assistant","id":"a","content":"' || {_TXT} || '"'
+  || CASE WHEN c % 2 = 0 THEN ',"tool_calls":[{{"type":"function","id":"c' || ts
+                              || '","function":{{"name":"lookup","arguments":"{{}}"}}}}]' ELSE '' END || '}}'
+  || CASE WHEN c % 2 = 0 THEN ',{{"role":"tool","name":"lookup","id":"o","tool_call_id":"c' || ts
+                              || '","content":"found"}}' ELSE '' END || ']}}'"""), ("messages",))
+
+CFIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result"]
+
+
+def C(**kw) -> str:
+    return "{" + ", ".join(f"'{f}': cast({kw.get(f, 'NULL')} AS VARCHAR)" for f in CFIELDS) + "}"
+
+
+CNONE = f"[]::STRUCT({', '.join(f'{f} VARCHAR' for f in CFIELDS)})[]"
+
+
+def jo(x: str, path: str) -> str:
+    return f"json_extract_string({x}, '{path}')"
+
+
+def jl(x: str, path: str) -> str:
+    return f"cast(json_extract({x}, '{path}') AS JSON[])"
+
+
+_RESP_WHOLE = f"""flatten(list_transform({jl('jj', '$.output')}, lambda o: CASE {jo('o', '$.type')}
+  WHEN 'message' THEN list_transform(list_filter({jl('o', '$.content')}, lambda c: {jo('c', '$.type')} = 'output_text'),
+                                     lambda c: {C(type="'text'", text=jo('c', '$.text'))})
+  WHEN 'function_call' THEN [{C(type="'tool-call'", tool_call_id=jo('o', '$.call_id'), tool_name=jo('o', '$.name'),
+                                input=jo('o', '$.arguments'))}]
+  WHEN 'reasoning' THEN list_transform(list_filter({jl('o', '$.summary')}, lambda s: {jo('s', '$.type')} = 'summary_text'),
+                                       lambda s: {C(type="'reasoning'", text=jo('s', '$.text'))})
+  WHEN 'function_call_output' THEN [{C(type="'tool-result'", tool_call_id=jo('o', '$.call_id'),
+                                       result=jo('o', '$.output'), tool_name=TOOL_NAME)}]
+  ELSE {CNONE} END))"""
+
+_WC = "$.choices[0].message.content"
+_WT = jo("jj", _WC)
+_CI, _RI = _inner(_WT, _TAGS[:2]), _inner(_WT, _TAGS[2:])
+_COMP_WHOLE = f"""CASE json_type(jj, '{_WC}')
+  WHEN 'VARCHAR' THEN (CASE
+      WHEN {_obj_has(_CI, 'id', 'name')} THEN [{C(type="'tool-call'", tool_call_id=_jx(_CI, 'id'),
+                                                  tool_name=_jx(_CI, 'name'), input=_jx(_CI, 'arguments'))}]
+      WHEN {_obj_has(_RI, 'id')} THEN [{C(type="'tool-result'", tool_call_id=_jx(_RI, 'id'),
+                                           result=_jx(_RI, 'content'), tool_name=TOOL_NAME)}]
+      ELSE [{C(type="'text'", text=_WT)}] END)
+  WHEN 'ARRAY' THEN flatten(list_transform({jl('jj', _WC)}, lambda it: CASE {jo('it', '$.type')}
+      WHEN 'text' THEN [{C(type="'text'", text=jo('it', '$.text'))}]
+      WHEN 'reasoning' THEN list_transform(list_filter({jl('it', '$.summary')},
+                                                       lambda s: {jo('s', '$.type')} = 'summary_text'),
+                                           lambda s: {C(type="'reasoning'", text=jo('s', '$.text'))})
+      ELSE {CNONE} END))
+  ELSE {CNONE} END"""
+
+_CA_WHOLE = f"""flatten(list_transform({jl('jj', '$.messages')}, lambda m: CASE {jo('m', '$.role')}
+  WHEN 'assistant' THEN [{C(type="'text'", text=jo('m', '$.content'))}]
+    || coalesce(list_transform({jl('m', '$.tool_calls')}, lambda tc: {C(type="'tool-call'", tool_call_id=jo('tc', '$.id'),
+                                                                          tool_name=jo('tc', '$.function.name'),
+                                                                          input=jo('tc', '$.function.arguments'))}),
+                {CNONE})
+  WHEN 'tool' THEN [{C(type="'tool-result'", tool_call_id=jo('m', '$.tool_call_id'), result=jo('m', '$.content'),
+                       tool_name=TOOL_NAME)}]
+  ELSE {CNONE} END))"""
+
+
+def whole_parts_sql(src: str, parts: str, dialect: str) -> str:
+    fields = ", ".join(f"cc.{f} AS {f}" for f in CFIELDS)
+    return f"""SELECT '{dialect}' AS dialect, stream_id, idx, {fields}
+FROM (SELECT stream_id, cast(generate_subscripts(ps, 1) - 1 AS INTEGER) AS idx, unnest(ps) AS cc
+      FROM (SELECT stream_id, {parts} AS ps
+            FROM (SELECT *, CASE WHEN json_valid(response) THEN response END AS jj FROM {src}) a) b) c"""
+
+
+WHOLE_SQL = " UNION ALL ".join([whole_parts_sql("whole_responses", _RESP_WHOLE, "responses"),
+                                whole_parts_sql("whole_completions", _COMP_WHOLE, "completions"),
+                                whole_parts_sql("whole_chat_agent", _CA_WHOLE, "chat_agent")])

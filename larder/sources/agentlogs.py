@@ -138,3 +138,52 @@ def sse_bodies(spark: SparkSession, sf_dir: str, dialect: str = "responses") ->
     body = F.concat(F.array_join(F.concat(lines, F.array(F.lit("data: [DONE]"))), "\n\n"), F.lit("\n\n"))
     return m.select(F.col("id").alias("stream_id"), "chat_id", F.col("created_at").alias("started_at"),
                     body.alias("body"))
+
+
+def whole_responses(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
+    """One non-streamed response JSON per assistant message: (stream_id, response).
+
+    The text is the message's whole word list; rules on the chat and turn
+    numbers add tool calls, tool results, reasoning and item arrays.
+    """
+    m = spread(messages(spark, sf_dir).filter(F.col("role") == "assistant"))
+    text = F.array_join(words(F.col("text")), " ")
+    c, t = F.col("chat_id"), F.col("turn")
+    ts = t.cast("string")
+    if dialect == "responses":
+        half = F.floor(F.size(words(F.col("text"))) / 2).cast("int")
+        first = F.array_join(F.slice(words(F.col("text")), 1, F.greatest(half, F.lit(1))), " ")
+        rest = F.array_join(F.slice(words(F.col("text")), half + 1, F.lit(1 << 20)), " ")
+        items = F.concat_ws(
+            ",",
+            F.concat(F.lit('{"type":"message","id":"m","content":[{"type":"output_text","text":"'), first,
+                     F.lit('"},{"type":"output_text","text":"'), rest, F.lit('"}]}')),
+            F.when(c % 2 == 0, F.concat(F.lit('{"type":"function_call","id":"f","call_id":"c'), ts,
+                                        F.lit('","name":"lookup","arguments":"{}"},'
+                                              '{"type":"function_call_output","call_id":"c'), ts,
+                                        F.lit('","output":"found"}'))),
+            F.when(t % 3 == 1, F.lit('{"type":"reasoning","id":"r","summary":[{"type":"summary_text","text":"why"},'
+                                     '{"type":"summary_text","text":"because"}]}')))
+        body = F.concat(F.lit('{"id":"resp","output":['), items, F.lit("]}"))
+    elif dialect == "completions":
+        content = (F.when(c % 3 == 0, F.concat(F.lit('" <tool_call>{\\"id\\":\\"k'), ts,
+                                               F.lit('\\",\\"name\\":\\"lookup\\",\\"arguments\\":{\\"q\\":1}}'
+                                                     '</tool_call> "')))
+                   .when(c % 3 == 1, F.concat(F.lit('[{"type":"text","text":"'), text,
+                                              F.lit('"},{"type":"image","image_url":"u"},{"type":"reasoning",'
+                                                    '"summary":[{"type":"summary_text","text":"hmm"}]}]')))
+                   .otherwise(F.concat(F.lit('"'), text, F.lit(' <tool_call>{\\"id\\":\\"z\\",\\"name\\":\\"n\\"}'
+                                                            '</tool_call>"'))))
+        body = F.concat(F.lit('{"id":"cc","created":1,"model":"m","usage":{"prompt_tokens":1,"completion_tokens":1,'
+                              '"total_tokens":2},"choices":[{"index":0,"message":{"role":"assistant","content":'),
+                        content, F.lit("}}]}"))
+    else:
+        calls = F.when(c % 2 == 0, F.concat(F.lit(',"tool_calls":[{"type":"function","id":"c'), ts,
+                                            F.lit('","function":{"name":"lookup","arguments":"{}"}}]'))
+                       ).otherwise(F.lit(""))
+        tool = F.when(c % 2 == 0, F.concat(F.lit(',{"role":"tool","name":"lookup","id":"o","tool_call_id":"c'), ts,
+                                           F.lit('","content":"found"}'))).otherwise(F.lit(""))
+        body = F.concat(F.lit('{"id":"ca","messages":[{"role":"user","id":"u","content":"q"},'
+                              '{"role":"assistant","id":"a","content":"'), text, F.lit('"'), calls, F.lit("}"),
+                        tool, F.lit("]}"))
+    return m.select(F.col("id").alias("stream_id"), body.alias("response"))

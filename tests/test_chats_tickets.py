@@ -90,3 +90,9 @@ def test_ticket_bodies_and_weekly_change(spark):
                               "close_time timestamp_ntz")
     w = {r.week_start.isoformat(): (r.n_tickets, r.wow_change) for r in tk.ticket_wow(t).collect()}
     assert w == {"2024-01-01": (1, None), "2024-01-08": (2, 1.0)}
+
+
+def test_append_rows_by_name(spark):
+    base = spark.createDataFrame([("m1", 1)], "id string, chat_id long")
+    new = spark.createDataFrame([(2, "m2")], "chat_id long, id string")
+    assert sorted(r.id for r in ch.append_rows(base, new).collect()) == ["m1", "m2"]

@@ -61,3 +61,12 @@ def test_run_metrics_log_appends(spark, scratch):
     ml.log_run_metrics(spark, path, "r1", {"rmse": 1.5}, {"numTrees": 50})
     ml.log_run_metrics(spark, path, "r2", {"rmse": 1.2})
     assert spark.read.parquet(path).count() == 3
+
+
+def test_random_holdout_partitions_rows(spark):
+    df = spark.range(2000)
+    kept, _ = ml.random_holdout(df, (0.3, 0.7), seed=42)
+    train, test = ml.random_holdout(kept, (0.7, 0.3), seed=42)
+    assert train.count() + test.count() == kept.count()
+    assert train.join(test, "id").count() == 0
+    assert 400 < kept.count() < 800
