@@ -140,3 +140,19 @@ def random_holdout(df: DataFrame, fractions=(0.7, 0.3), seed: int = 42) -> list[
     stable for a fixed input layout; ``hash_sample`` gives a layout-free one.
     """
     return df.randomSplit(list(fractions), seed=seed)
+
+
+def refit_and_compare(train: DataFrame, test: DataFrame, best_params: dict, baseline_rmse: float,
+                      pipeline: Pipeline | None = None) -> dict:
+    """Refit at the chosen parameters, score the test split, compare with the baseline.
+
+    Returns the test metrics plus ``rmse_change_pct`` = (new - baseline) / baseline * 100.
+    Scoring keeps every input column, so ids travel with the predictions (K7).
+    """
+    pipeline = pipeline or build_pipeline()
+    rf = pipeline.getStages()[-1]
+    params = {getattr(rf, k): v for k, v in best_params.items()}
+    model = pipeline.fit(train, params)
+    m = regression_metrics(model.transform(test)).first().asDict()
+    m["rmse_change_pct"] = (m["rmse"] - baseline_rmse) / baseline_rmse * 100.0 if baseline_rmse else None
+    return m

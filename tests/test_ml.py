@@ -70,3 +70,11 @@ def test_random_holdout_partitions_rows(spark):
     assert train.count() + test.count() == kept.count()
     assert train.join(test, "id").count() == 0
     assert 400 < kept.count() < 800
+
+
+def test_refit_compares_with_baseline(splits):
+    pipe = ml.build_pipeline(num_trees=5, max_depth=3, seed=42)
+    base = ml.regression_metrics(pipe.fit(splits["train"]).transform(splits["test"])).first().rmse
+    out = ml.refit_and_compare(splits["train"], splits["test"], {"numTrees": 5, "maxDepth": 3,
+                                                                 "minInstancesPerNode": 1}, base, pipeline=pipe)
+    assert abs(out["rmse_change_pct"]) < 1e-9 and out["n"] > 0
