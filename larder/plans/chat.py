@@ -141,3 +141,24 @@ FROM streams GROUP BY chat_id""")
 def q_active_stream(spark, sf):
     """One active stream per chat, the newest."""
     return ch.active_stream(fx.streams(spark, sf))
+
+
+NEXT_LIMIT = 2  # small pages, so the second page is not empty on the test data
+
+
+@register("chat_history_next_page", with_ctes("chats") + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM chats),
+cur AS (SELECT user_id, created_at AS cursor_ts FROM r WHERE rn = {NEXT_LIMIT}),
+c2 AS (SELECT c.* FROM chats c JOIN cur ON c.user_id = cur.user_id WHERE c.created_at < cur.cursor_ts),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM c2)
+SELECT id, user_id, created_at, cast(rn AS INTEGER) AS rn,
+       max(rn) OVER (PARTITION BY user_id) > {NEXT_LIMIT} AS has_more
+FROM r2 WHERE rn <= {NEXT_LIMIT + 1}
+QUALIFY rn <= {NEXT_LIMIT}""")
+def q_chat_history_next_page(spark, sf):
+    """Second page of every user's history, paging before the first page's last chat."""
+    c = fx.chats(spark, sf)
+    first = ch.history_page(c, limit=NEXT_LIMIT)
+    cursors = first.filter(F.col("rn") == NEXT_LIMIT).select("user_id", F.col("id").alias("cursor_id"))
+    return ch.history_page(c, NEXT_LIMIT, cursors, "ending_before").select(
+        "id", "user_id", "created_at", "rn", "has_more")

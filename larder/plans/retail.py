@@ -166,3 +166,16 @@ def q_table_manifest(spark, sf):
     from larder.sources.files import manifest
     return manifest(spark, {t: table(spark, sf, t) for t in TABLES}).select(
         "table_name", "n_rows", "n_columns")
+
+
+@register("gold_dedup", with_ctes("gold") + """
+SELECT transaction_id, line_number, competitor, round(competitor_price, 4) AS competitor_price, quantity,
+       round(total_amount, 4) AS total_amount
+FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id, line_number
+                                   ORDER BY competitor_price ASC NULLS LAST, competitor ASC NULLS LAST) AS rn
+      FROM gold) t
+WHERE rn = 1""")
+def q_gold_dedup(spark, sf):
+    """Decision 6: one gold row per sale line (the cheapest competitor)."""
+    return gold.gold_dedup(gold_rows(spark, sf)).select(
+        "transaction_id", "line_number", "competitor", "competitor_price", "quantity", "total_amount")
