@@ -50,3 +50,12 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
 def ordered(df: DataFrame, *cols) -> DataFrame:
     """Total order with NULLs placed explicitly (last on ascending)."""
     return df.orderBy(*[c if isinstance(c, Column) else F.col(c).asc_nulls_last() for c in cols])
+
+
+def money_sum(c: Column) -> Column:
+    """Exact total of money values: summed as DECIMAL(38,10), returned as DOUBLE.
+
+    A floating sum depends on the order rows arrive in, so totals of millions
+    of rows would change with the partitioning; a decimal sum does not.
+    """
+    return F.sum(c.cast("decimal(38,10)")).cast("double")

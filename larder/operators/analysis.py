@@ -12,6 +12,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.columns import money_sum
+
 
 def month_bounds(year: int, month: int) -> tuple[_dt.date, _dt.date]:
     start = _dt.date(year, month, 1)
@@ -28,7 +30,7 @@ def daily_sales_month(sales: DataFrame, year: int, month: int) -> DataFrame:
     start, end = month_bounds(year, month)
     return (sales.filter((F.col("event_date") >= F.lit(start)) & (F.col("event_date") < F.lit(end)))
             .groupBy("event_date")
-            .agg(F.sum("total_amount").alias("total_amount"))
+            .agg(money_sum(F.col("total_amount")).alias("total_amount"))
             .orderBy("event_date"))
 
 
@@ -72,9 +74,10 @@ def sales_by_region(sales: DataFrame, stores: DataFrame) -> DataFrame:
     turns ``crossJoin().filter(a == b)`` into an equi join.  Sales are
     partial-summed per store before the join would ever need to move them.
     """
-    per_store = sales.groupBy("store_id").agg(F.sum("total_amount").alias("total_amount"))
+    per_store = sales.groupBy("store_id").agg(
+        F.sum(F.col("total_amount").cast("decimal(38,10)")).alias("total_amount"))
     j = per_store.join(stores.select("store_id", "region"), "store_id", "inner")
-    return (j.groupBy("region").agg(F.sum("total_amount").alias("total_amount"))
+    return (j.groupBy("region").agg(F.sum("total_amount").cast("double").alias("total_amount"))
             .orderBy(F.col("total_amount").desc_nulls_last(), "region"))
 
 

@@ -79,7 +79,7 @@ def q_gold_fanout_audit(spark, sf):
 
 
 @register("sales_by_region", with_ctes("sales", "stores") + """
-SELECT region, round(sum(total_amount), 4) AS total_amount
+SELECT region, round(cast(sum(cast(total_amount AS DECIMAL(38,10))) AS DOUBLE), 4) AS total_amount
 FROM sales JOIN stores ON sales.store_id = stores.store_id
 GROUP BY region ORDER BY total_amount DESC""")
 def q_sales_by_region(spark, sf):
@@ -88,7 +88,8 @@ def q_sales_by_region(spark, sf):
 
 
 @register("daily_sales_month", with_ctes("sales") + f"""
-SELECT event_date, round(sum(total_amount), 4) AS total_amount FROM sales
+SELECT event_date, round(cast(sum(cast(total_amount AS DECIMAL(38,10))) AS DOUBLE), 4) AS total_amount
+FROM sales
 WHERE event_date >= DATE '{MONTH[0]}-{MONTH[1]:02d}-01'
   AND event_date < DATE '{MONTH[0]}-{MONTH[1]:02d}-01' + INTERVAL 1 MONTH
 GROUP BY event_date ORDER BY event_date""")
