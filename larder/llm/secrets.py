@@ -44,6 +44,8 @@ SYMBOLS = 66
 FIT_DOCS = 4000
 #: A token is a secret if the ratio favours random by this many nats in all, and by so many a character.
 LEAST_NATS, LEAST_NATS_EACH = 12.0, 0.45
+#: Rulers and repeated characters, which neither model has seen, have fewer characters of their own.
+LEAST_DISTINCT = 8
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 MARK = "[SECRET]"
 
@@ -133,7 +135,9 @@ def random_spans(text: Column, ratios: list[float], base: Column) -> Column:
 
     apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     likely = lambda m: nats(m["value"]) >= F.greatest(F.lit(LEAST_NATS), LEAST_NATS_EACH * F.char_length(m["value"]))
-    spans = F.transform(F.filter(F.filter(_matches(text, TOKEN), apart), likely), lambda m: F.struct(
+    varied = lambda m: F.size(F.array_distinct(F.split(m["value"], ""))) >= LEAST_DISTINCT
+    candidates = F.filter(F.filter(_matches(text, TOKEN), varied), apart)
+    spans = F.transform(F.filter(candidates, likely), lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
     return F.when(F.regexp_like(text, F.lit(TOKEN)), spans).otherwise(F.array().cast(SPAN))
 

@@ -233,7 +233,7 @@ def prose(n):
 
 def test_models_tell_random_from_ordinary(spark):
     rows = prose(200) + [(1, "key zQ9xK2mVb7LpT4sWn8RyHc3dJf6G end", "en", "p"), (2, hashlib.sha1(b"q").hexdigest().upper(), "en", "p"),
-                         (3, "internationalmanagementinformation understandingdocumentationfield", "en", "p"), (4, "a" * 50 + " " + "=" * 40, "en", "p")]
+                         (3, "internationalmanagementinformation understandingdocumentationfield", "en", "p"), (4, "k" * 50 + " " + "=" * 40, "en", "p")]
     got = {r.doc_id: r.spans for r in secrets.digest(frame(spark, rows)).collect()}
     assert got[1] == "random:4:32" and got[2] == "random:0:40" and got[3] == "" and got[4] == ""
     assert not any(got[r[0]] for r in prose(200))
