@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from larder.llm import mixing, quality, secrets, sharding
+from larder.llm import language, mixing, quality, secrets, sharding
 from larder.llm.common import read
 
 QUERIES = {
     "op1_quality": lambda spark, d: quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op2_secret_scan": lambda spark, d: secrets.digest(read(spark, d, "documents")),
     "op4_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
+    "op7_language": lambda spark, d: language.digest(read(spark, d, "documents")),
     "op8_shard": lambda spark, d: sharding.digest(read(spark, d, "documents")),
 }
 
