@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larder.llm import embeddings, language, mixing, quality, secrets, sharding, topk
+from larder.llm import embeddings, language, mixing, neardup, quality, secrets, sharding, topk
 from larder.llm.common import read
 
 QUERIES = {
     "op1_quality": lambda spark, d: quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op2_secret_scan": lambda spark, d: secrets.digest(read(spark, d, "documents")),
+    "op3_near_dups": lambda spark, d: neardup.groups(read(spark, d, "documents")),
     "op4_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op5_embedding_dups": lambda spark, d: embeddings.digest(read(spark, d, "embeddings")),
     "op7_language": lambda spark, d: language.digest(read(spark, d, "documents")),
