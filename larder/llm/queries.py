@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import embeddings, language, mixing, neardup, quality, secrets, sharding, topk
+from larder.llm import embeddings, language, mixing, neardup, pieces, quality, secrets, sharding, tokens, topk
 from larder.llm.common import read
 
 QUERIES = {
@@ -11,8 +11,10 @@ QUERIES = {
     "op3_near_dups": lambda spark, d: neardup.groups(read(spark, d, "documents")),
     "op4_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op5_embedding_dups": lambda spark, d: embeddings.digest(read(spark, d, "embeddings")),
+    "op6_token_counts": lambda spark, d: tokens.digest(read(spark, d, "documents")),
     "op7_language": lambda spark, d: language.digest(read(spark, d, "documents")),
     "op8_shard": lambda spark, d: sharding.digest(read(spark, d, "documents")),
+    "op9_pieces": lambda spark, d: pieces.digest(read(spark, d, "documents")),
     "op10_topk": lambda spark, d: topk.digest(read(spark, d, "embeddings")),
 }
 
