@@ -4,15 +4,19 @@ Text is escaped as the model asks (spaces become U+2581, one is put in front) an
 cut where such a mark follows another character; no piece of the model reaches over
 such a place, so distinct words are encoded once.  Words of equal length advance
 together: at each end, the hashes of all substrings up to the longest piece probe
-the sorted hashes of the pieces, the greatest sum of scores is kept, and the length
-of its last piece is the backpointer.  Ties go to the longer last piece.  Characters
-without a piece cost the least score less ``UNKNOWN`` and become the byte pieces of their UTF-8.
+the sorted hashes of the pieces, the best last piece is kept, and its length is the
+backpointer.
 
-The result is the segmentation with the greatest sum of piece scores, which is the
-unigram (Viterbi) reading of a model.  A model trained by merges has other
-segmentations under the merge procedure; the pieces, ids and round trip are the same.
+- ``unigram`` models: the best is the greatest sum of scores, ties going to the
+  longer last piece; a character without a piece costs the least score less ``UNKNOWN``.
+- ``merges`` models (the one at ``MODEL``): a segmentation is the merge procedure's if
+  no merge was due across any of its joints, so a path scores 0 or minus infinity, and
+  each end has one last piece that agrees with the piece before it.  Whether two
+  pieces agree is found by undoing their merges in turn, all pairs together, and is
+  remembered.  Maximal sums of scores would give other ids than the model's own.
 
-Decoding joins the pieces' bytes, turns the marks back to spaces and drops the first.
+Characters without a piece become the byte pieces of their UTF-8.  Decoding joins
+the pieces' bytes, turns the marks back to spaces and drops the first.
 
 Cases: a null or empty text has no pieces and decodes to an empty text; U+2581 in a
 text decodes as a space, as the model can't tell them apart; repeated rows get equal
@@ -31,9 +35,12 @@ from larder.llm.textvec import BASE, BASE_INVERSE, _power, chunks, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
+KIND = "merges"
 UNKNOWN = 10.0
 #: Words whose pieces a worker keeps.
 CACHE_WORDS = 400_000
+#: Pairs of pieces whose agreement a worker keeps.
+CACHE_PAIRS = 1_000_000
 #: Cells (words x ends x lengths) that are worked on at once.
 CELLS = 1 << 22
 
@@ -48,9 +55,11 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
 class Pieces:
     """The model's pieces as sorted hashes, and their bytes."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, path: str = MODEL, kind: str = KIND):
         import sentencepiece
 
+        self.kind = kind
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
@@ -63,6 +72,10 @@ class Pieces:
         order = np.argsort(key)
         self.key, self.id = key[order], np.array(normal, np.int32)[order]
         self.score = np.array([model.get_score(i) for i in normal], np.float64)[order]
+        self.size = np.array(list(map(len, codes)), np.int64)[order]
+        self.plain = np.array([_hashes(c)[-1] for c in codes], np.uint64)[order]
+        if kind == "merges":
+            self._learn_merges([names[i] for i in normal], [model.get_score(i) for i in normal], order)
         self.longest = max(map(len, codes))
         self.unknown_score = self.score.min() - UNKNOWN
         self.byte_id = np.full(256, model.unk_id(), np.int32)
@@ -74,16 +87,104 @@ class Pieces:
         self.raw_size = np.array([len(x) for x in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
+    def _learn_merges(self, names: list[str], scores: list[float], order: np.ndarray) -> None:
+        """The merge that makes each piece, in the order in which merges happen; pieces that no merges make are never used."""
+        score = dict(zip(names, scores))
+        marks = {x for x in names if len(x) > 1 and set(x) == {chr(MARK)}}
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        where = {x: int(place[i]) for i, x in enumerate(names)}
+        left, right = np.full(len(names), -1, np.int64), np.full(len(names), -1, np.int64)
+        made = np.zeros(len(names), bool)
+        for x in names:
+            parts, last = list(x), None
+            while len(parts) > 1 and x not in marks:
+                due = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score and a + b not in marks]
+                if not due:
+                    break
+                i = min(due)[1]
+                last = (parts[i], parts[i + 1])
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            at = where[x]
+            made[at] = len(parts) == 1 and x not in marks
+            if made[at] and last:
+                left[at], right[at] = where[last[0]], where[last[1]]
+        # single characters are there from the start, in any order; then merges by score
+        rank = np.empty(len(names), np.int64)
+        by = sorted(range(len(names)), key=lambda i: (len(names[i]) > 1, -score[names[i]], names[i]))
+        rank[place[by]] = np.arange(len(names))
+        self.left, self.right, self.made, self.rank = left, right, made, rank
+        self.mark = where.get(chr(MARK), -1)
+        self.mark_runs: dict[int, list[int]] = {}
+        self.mark_names = {x: int(self.id[where[x]]) for x in marks | {chr(MARK)}}
+        self.mark_score = {x: score[x] for x in marks | {chr(MARK)} if x in score}
+
+    def _run_of_marks(self, n: int) -> list[int]:
+        """Ids of n marks in a row, by the merge procedure (greatest score first, then leftmost)."""
+        if n not in self.mark_runs:
+            one = chr(MARK)
+            parts = [one] * n
+            while True:
+                due = [(-self.mark_score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.mark_score]
+                if not due:
+                    break
+                i = min(due)[1]
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            self.mark_runs[n] = [self.mark_names[x] for x in parts]
+        return self.mark_runs[n]
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the piece that a and b make together; a rank over all if there is none."""
+        h = mixed(self.plain[a] + self.plain[b] * _power(BASE, 64)[self.size[a]])
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return np.where((self.key[at] == h) & self.made[at], self.rank[at], len(self.key))
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Would the merge procedure leave pieces a and b side by side?"""
+        out = np.ones(len(a), bool)
+        live, a, b = np.arange(len(a)), a.copy(), b.copy()
+        limit = np.full(len(a), len(self.key))
+        while len(live):
+            due = self._joined(a, b) < limit
+            out[live[due]] = False
+            live, a, b, limit = live[~due], a[~due], b[~due], limit[~due]
+            ra, rb = np.where(self.right[a] >= 0, self.rank[a], -1), np.where(self.left[b] >= 0, self.rank[b], -1)
+            # the later of the two last merges is undone; where neither can be, the pair stands
+            undo_a, undo_b = (ra > rb) & (ra >= 0), (rb >= ra) & (rb >= 0)
+            limit = np.where(undo_a, ra, np.where(undo_b, rb + 1, limit))
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_b, self.left[b], b)
+            more = undo_a | undo_b
+            live, a, b, limit = live[more], a[more], b[more], limit[more]
+        return out
+
+    def _agree(self, a: np.ndarray, b: np.ndarray, memo: dict) -> np.ndarray:
+        """``agree``, remembered."""
+        if "pair" not in memo or len(memo["pair"]) > CACHE_PAIRS:
+            memo.update(pair=np.zeros(0, np.int64), stands=np.zeros(0, bool))
+        pair, back = np.unique((a << 32) | b, return_inverse=True)
+        where = np.searchsorted(memo["pair"], pair)
+        old = np.zeros(len(pair), bool)
+        inside = where < len(memo["pair"])
+        old[inside] = memo["pair"][where[inside]] == pair[inside]
+        stands = np.zeros(len(pair), bool)
+        stands[old] = memo["stands"][where[old]]
+        new = ~old
+        if new.any():
+            stands[new] = self.agree(pair[new] >> 32, pair[new] & 0xFFFFFFFF)
+            memo["pair"] = np.insert(memo["pair"], where[new], pair[new])
+            memo["stands"] = np.insert(memo["stands"], where[new], stands[new])
+        return stands[back]
+
     # ---- encoding
 
-    def words(self, codes: np.ndarray, total: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, codes: np.ndarray, total: np.ndarray, start: np.ndarray, size: np.ndarray, memo: dict) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words codes[start:start + size] one after another, and their numbers."""
         all_ids, all_owner = [], []
-        for length in np.unique(size):
+        for length in np.unique(size[size > 0]):
             same = np.flatnonzero(size == length)
             step = max(1, CELLS // (int(length) * self.longest))
             for at in range(0, len(same), step):
-                ids, owner = self._equal(codes, total, start[same[at:at + step]], int(length))
+                ids, owner = self._equal(codes, total, start[same[at:at + step]], int(length), memo)
                 all_ids.append(ids)
                 all_owner.append(same[at:at + step][owner])
         if not all_ids:
@@ -92,10 +193,38 @@ class Pieces:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=len(start))
 
-    def _equal(self, codes: np.ndarray, total: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _marked(self, codes, total, start, size, memo):
+        """``words``, with runs of marks in front of a word encoded on their own."""
+        if self.kind == "unigram":
+            return self.words(codes, total, start, size, memo)
+        lead = np.zeros(len(start), np.int64)
+        on = np.flatnonzero(size > 0)
+        while len(on):
+            on = on[(lead[on] < size[on]) & (codes[np.minimum(start[on] + lead[on], len(codes) - 1)] == MARK)]
+            lead[on] += 1
+        skip = np.where(lead == size, size, np.maximum(lead - 1, 0))
+        ids, n = self.words(codes, total, start + skip, size - skip, memo)
+        runs = np.flatnonzero(skip)
+        if not len(runs):
+            return ids, n
+        ends = np.cumsum(n)
+        parts, at = [], 0
+        numbers = n.copy()
+        for i in runs:
+            first = ends[i] - n[i]
+            parts.append(ids[at:first])
+            alone = n[i] > 0 and self.mark >= 0 and ids[first] == self.id[self.mark]
+            run = self._run_of_marks(int(skip[i]) + int(alone))
+            parts.append(np.array(run, np.int32))
+            at = first + int(alone)
+            numbers[i] += len(run) - int(alone)
+        return np.concatenate([*parts, ids[at:]]).astype(np.int32), numbers
+
+    def _equal(self, codes: np.ndarray, total: np.ndarray, start: np.ndarray, length: int, memo: dict) -> tuple[np.ndarray, np.ndarray]:
         n = len(start)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
+        best = np.zeros((n, length + 1)) if self.kind == "unigram" else None
+        # the last piece before each place: -1 for none or one without a piece, which agree with all
+        state = np.full((n, length + 1), -1, np.int64)
         back, piece = np.zeros((n, length + 1), np.int16), np.zeros((n, length + 1), np.int32)
         inverse = _power(BASE_INVERSE, len(codes) + 1)
         for end in range(1, length + 1):
@@ -104,13 +233,21 @@ class Pieces:
             h = mixed((total[start + end][:, None] - total[begin]) * inverse[begin])
             at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
             known = self.key[at] == h
-            value = np.where(known, self.score[at], -np.inf)
-            single = ~known[:, -1]
-            value[single, -1] = self.unknown_score
-            value += best[:, end - lengths]
-            choice = value.argmax(axis=1)
             row = np.arange(n)
-            best[:, end] = value[row, choice]
+            if self.kind == "unigram":
+                value = np.where(known, self.score[at], -np.inf)
+                value[~known[:, -1], -1] = self.unknown_score
+                value += best[:, end - lengths]
+                choice = value.argmax(axis=1)
+                best[:, end] = value[row, choice]
+            else:
+                value = known & self.made[at]
+                before = state[:, end - lengths]
+                i, j = np.nonzero(value & (before >= 0))
+                value[i, j] = self._agree(before[i, j], at[i, j], memo)
+                value[:, -1] |= ~known[:, -1]
+                choice = value.argmax(axis=1)
+                state[:, end] = np.where(known[row, choice], at[row, choice], -1)
             back[:, end] = lengths[choice]
             piece[:, end] = np.where(known[row, choice], self.id[at[row, choice]], -1)
         # walk back, all words together
@@ -168,7 +305,7 @@ class Pieces:
 
     def _cached(self, h, codes, total, start, size, cache):
         if not cache or len(cache["key"]) > CACHE_WORDS:
-            cache.update(key=np.zeros(0, np.uint64), place=np.zeros(0, np.int64), count=np.zeros(0, np.int64), flat=np.zeros(0, np.int32))
+            cache.update(key=np.zeros(0, np.uint64), memo=cache.get("memo", {}), place=np.zeros(0, np.int64), count=np.zeros(0, np.int64), flat=np.zeros(0, np.int32))
         where = np.searchsorted(cache["key"], h)
         old = np.zeros(len(h), bool)
         inside = where < len(cache["key"])
@@ -177,7 +314,7 @@ class Pieces:
         place[old], count[old] = cache["place"][where[old]], cache["count"][where[old]]
         if not old.all():
             new = ~old
-            ids, n = self.words(codes, total, start[new], size[new])
+            ids, n = self._marked(codes, total, start[new], size[new], cache.setdefault("memo", {}))
             place[new], count[new] = len(cache["flat"]) + np.cumsum(n) - n, n
             cache["flat"] = np.concatenate([cache["flat"], ids])
             cache["key"] = np.insert(cache["key"], where[new], h[new])
@@ -213,9 +350,9 @@ def _lists(ids: np.ndarray, numbers: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)), pa.array(ids))
 
 
-def encoded(docs: DataFrame, path: str = MODEL, name: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL, name: str = "ids", kind: str = KIND) -> DataFrame:
     """``docs`` with the ids of the text's pieces in column ``name`` (replaced if there is one)."""
-    shared, kept = docs.sparkSession.sparkContext.broadcast(Pieces(path)), {}
+    shared, kept = docs.sparkSession.sparkContext.broadcast(Pieces(path, kind)), {}
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
