@@ -22,7 +22,6 @@ NEW_CALL, NEW_RESULT = CALL_TAGS[1], RESULT_TAGS[1]
 TAG_PATTERN = ("(<uc_function_call>.*?</uc_function_call>|<uc_function_result>.*?</uc_function_result>|"
                "<tool_call>.*?</tool_call>|<tool_call_result>.*?</tool_call_result>)")
 CITATION_SUFFIX = "::source_citation"
-SEP = "\u0001"
 
 PART_FIELDS = ["type", "id", "delta", "tool_call_id", "tool_name", "input", "result", "url", "title",
                "error", "item_id", "source_tool_name"]
@@ -55,7 +54,7 @@ def sse_events(bodies: DataFrame, keep_done: bool = False) -> DataFrame:
     end a stream); ``seq`` is the payload's index in its stream.  Row-local.
     """
     lines = F.filter(F.split(F.col("body"), "\n"), lambda l: l.startswith("data:"))
-    payloads = F.transform(lines, lambda l: F.trim(F.substring(l, 6, 1 << 30)))
+    payloads = F.transform(lines, lambda l: F.trim(F.substring(l, F.lit(6), F.length(l))))
     if not keep_done:
         payloads = F.filter(payloads, lambda p: p != "[DONE]")
     keep = [c for c in bodies.columns if c != "body"]
@@ -92,6 +91,28 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
+def _at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def _is_number(v: Column, path: str) -> Column:
+    kind = F.schema_of_variant(_at(v, path))
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+
+
+def _is_list(v: Column, path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(_at(v, path)).startswith("ARRAY"), F.lit(False))
+
+
+def _absent(v: Column, path: str) -> Column:
+    return _at(v, path).isNull()
+
+
+def _all_of(v: Column, path: str, test) -> Column:
+    """Is it a list whose elements all pass ``test``?"""
+    return _is_list(v, path) & F.coalesce(F.forall(F.try_variant_get(v, path, "array<variant>"), test), F.lit(False))
+
+
 PARSE_ERROR = "parse_error"
 
 
@@ -164,29 +185,58 @@ def _strip_tag(seg: Column, tags) -> Column:
     return out
 
 
+def _strict_json(text: Column) -> Column:
+    """The parsed text if it is one JSON value with nothing behind it, else NULL."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(alone, F.try_parse_json(text))
+
+
 def _tag_part(seg: Column, chunk_id: Column) -> Column:
     """Classify one split segment: tool call, tool result, or text (M8)."""
-    call_inner = _strip_tag(seg, CALL_TAGS)
-    res_inner = _strip_tag(seg, RESULT_TAGS)
-    cm = F.from_json(call_inner, "map<string,string>")
-    rm = F.from_json(res_inner, "map<string,string>")
-    call_ok = F.coalesce(F.map_contains_key(cm, "id") & F.map_contains_key(cm, "name"), F.lit(False))
-    res_ok = F.coalesce(F.map_contains_key(rm, "id"), F.lit(False))
-    return (F.when(call_ok, part(type="tool-call", tool_call_id=cm["id"], tool_name=cm["name"],
-                                 input=cm["arguments"]))
-            .when(res_ok, part(type="tool-result", tool_call_id=rm["id"], result=rm["content"],
+    call, res = _strict_json(_strip_tag(seg, CALL_TAGS)), _strict_json(_strip_tag(seg, RESULT_TAGS))
+    call_ok = _is_object(call) & ~_absent(call, "$.id") & ~_absent(call, "$.name")
+    res_ok = _is_object(res) & ~_absent(res, "$.id")
+    return (F.when(call_ok, part(type="tool-call", tool_call_id=_vget(call, "$.id"), tool_name=_vget(call, "$.name"),
+                                 input=_vget(call, "$.arguments")))
+            .when(res_ok, part(type="tool-result", tool_call_id=_vget(res, "$.id"), result=_vget(res, "$.content"),
                                tool_name=TOOL_NAME))
             .otherwise(part(type="text-delta", id=chunk_id, delta=seg)))
 
 
 def split_tagged(text: Column) -> Column:
     """Split text around tool tags, keeping the tags and dropping empty pieces."""
-    marked = F.regexp_replace(text, TAG_PATTERN, SEP + "$1" + SEP)
-    return F.filter(F.split(marked, SEP), lambda s: s != "")
+    tags = F.regexp_extract_all(text, F.lit(TAG_PATTERN), F.lit(0))
+    between = F.split(text, TAG_PATTERN, -1)
+    pairs = F.zip_with(between, tags, lambda b, t: F.array(b, F.coalesce(t, F.lit(""))))
+    return F.filter(F.flatten(pairs), lambda s: s != "")
 
 
 # --------------------------------------------------------------------------- M4
 
+def _item_ok(it: Column) -> Column:
+    """Text with a text, image with an address, or reasoning with summaries."""
+    kind = _vget(it, "$.type")
+    summaries = _all_of(it, "$.summary", lambda s: F.coalesce(
+        ((_vget(s, "$.type") == "summary_text") & _is_string(s, "$.text"))
+        | ((_vget(s, "$.type") == "summary_encrypted_text") & _is_string(s, "$.data")), F.lit(False)))
+    return F.coalesce(((kind == "text") & _is_string(it, "$.text")) | ((kind == "image") & _is_string(it, "$.image_url"))
+                      | ((kind == "reasoning") & summaries), F.lit(False))
+
+
+def _chunk_ok(v: Column) -> Column:
+    """The required fields of a completion chunk, of the required types."""
+    usage = [_is_number(v, f"$.usage.{f}") for f in ("prompt_tokens", "completion_tokens", "total_tokens")]
+
+    def choice(c: Column) -> Column:
+        content = _absent(c, "$.delta.content") | _is_string(c, "$.delta.content") | _all_of(c, "$.delta.content", _item_ok)
+        role = F.coalesce(_vget(c, "$.delta.role"), F.lit("assistant")) == "assistant"
+        return _is_number(c, "$.index") & _is_object(_at(c, "$.delta")) & role & content
+
+    return (_is_object(v) & _is_string(v, "$.id") & _is_number(v, "$.created") & _is_string(v, "$.model")
+            & usage[0] & usage[1] & usage[2] & F.coalesce(_vget(v, "$.object") == "chat.completion.chunk", F.lit(False))
+            & _all_of(v, "$.choices", choice))
+
+
 _CONTENT_ITEMS = "array<struct<type:string,text:string,summary:array<struct<type:string,text:string>>>>"
 
 
@@ -196,15 +246,15 @@ def normalise_completions(events: DataFrame) -> DataFrame:
     ``content`` is either a string (split around tool tags; tagged JSON that
     is not an object with the required keys stays text) or an array of items
     (text -> delta, image dropped, reasoning -> one delta per summary text).
-    A payload that is not a completion chunk object gives one error part.
+    A payload that is no complete completion chunk (``_chunk_ok``) gives one
+    error part.
     """
     events = _parsed(events)
     v = F.col("_v")
     cid = _vget(v, "$.id")
     path = "$.choices[0].delta.content"
     kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    ok = _is_object(v) & F.coalesce(_vget(v, "$.object") == "chat.completion.chunk", F.lit(False)) \
-        & _is_string(v, "$.id")
+    ok = _chunk_ok(v)
     items = F.try_variant_get(v, path, _CONTENT_ITEMS)
     from_items = F.flatten(F.transform(items, lambda it: (
         F.when(it["type"] == "text", F.array(part(type="text-delta", id=cid, delta=it["text"])))
@@ -227,14 +277,18 @@ def normalise_chat_agent(events: DataFrame) -> DataFrame:
 
     assistant: text delta when content is non-empty, then one tool call per
     entry of ``tool_calls``; tool: a tool result; user: nothing.  A payload
-    missing the role's required string fields gives one error part.
+    missing the role's required string fields, or with a tool call that isn't
+    a function with id, name and arguments, gives one error part.
     """
     events = _parsed(events)
     v = F.col("_v")
     role = _vget(v, "$.delta.role")
     s = lambda p: _is_string(v, "$.delta." + p)
+    calls_ok = _absent(v, "$.delta.tool_calls") | _all_of(v, "$.delta.tool_calls", lambda c: (
+        F.coalesce(_vget(c, "$.type") == "function", F.lit(False)) & _is_string(c, "$.id")
+        & _is_string(c, "$.function.name") & _is_string(c, "$.function.arguments")))
     ok = _is_object(v) & _is_string(v, "$.id") & F.coalesce(
-        ((role == "assistant") & s("content") & s("id"))
+        ((role == "assistant") & s("content") & s("id") & calls_ok)
         | ((role == "tool") & s("name") & s("content") & s("tool_call_id") & s("id"))
         | ((role == "user") & s("content") & s("id")), F.lit(False))
     calls = F.try_variant_get(v, "$.delta.tool_calls",
@@ -264,9 +318,6 @@ def _is_delta(t: Column) -> Column:
     return F.coalesce(t.isin("text-delta", "reasoning-delta"), F.lit(False))
 
 
-ORD_SCALE = 64  # ordinal = seq * 64 + sub * 8 + k   (sub < 8, k < 8)
-
-
 def with_boundaries(parts: DataFrame) -> DataFrame:
     """Inject start/end parts around delta runs, then drop parts after an end.
 
@@ -276,10 +327,11 @@ def with_boundaries(parts: DataFrame) -> DataFrame:
     run (``<group>-start``).  At the end a trailing delta is closed (flush).
     Then, per (stream, group, id), the first end is kept and every later part
     of that group and id is dropped; the flush end is not subject to it.
+    ``ord`` numbers a stream's parts, before any is dropped, from 1.
     """
     w = Window.partitionBy("stream_id").orderBy("seq", "sub")
-    prev_t, prev_id = F.lag("type").over(w), F.lag("id").over(w)
-    is_last = F.lead("sub").over(w).isNull()
+    beside = {"_pt": F.lag("type").over(w), "_pi": F.lag("id").over(w), "_last": F.lead("sub").over(w).isNull()}
+    prev_t, prev_id, is_last = map(F.col, beside)
     cur = F.struct(*[F.col(f).alias(f) for f in PART_FIELDS])
     t, i = F.col("type"), F.col("id")
     matches = (_is_delta(prev_t) & _is_delta(t) & (_group(prev_t) == _group(t))
@@ -291,13 +343,13 @@ def with_boundaries(parts: DataFrame) -> DataFrame:
         F.concat(F.coalesce(close_prev, _none()), open_cur))
     flush = F.when(is_last & _is_delta(t), part(type=F.concat(_group(t), F.lit("-end")), id=i))
     keep = [c for c in parts.columns if c not in PART_FIELDS + ["sub"]]
-    staged = parts.select(*keep, "sub", out.alias("out"), flush.alias("flush"))
-    emitted = staged.select(*keep, "sub", F.posexplode("out").alias("k", "p"), F.lit(False).alias("is_flush"))
-    flushed = staged.filter(F.col("flush").isNotNull()).select(
-        *keep, "sub", F.lit(ORD_SCALE - 1).alias("k"), F.col("flush").alias("p"), F.lit(True).alias("is_flush"))
-    allp = emitted.unionByName(flushed).select(
-        *keep, (F.col("seq") * ORD_SCALE + F.col("sub") * 8 + F.col("k")).cast("bigint").alias("ord"),
-        "is_flush", *[F.col(f"p.{f}").alias(f) for f in PART_FIELDS])
+    marked = F.concat(F.transform(out, lambda p: F.struct(p.alias("p"), F.lit(False).alias("is_flush"))),
+                      F.when(flush.isNotNull(), F.array(F.struct(flush.alias("p"), F.lit(True).alias("is_flush"))))
+                      .otherwise(F.array().cast(f"array<struct<p:{_PART_DDL},is_flush:boolean>>")))
+    allp = parts.withColumns(beside).select(*keep, "sub", F.posexplode(marked).alias("k", "m"))
+    in_order = Window.partitionBy("stream_id").orderBy("seq", "sub", "k")
+    allp = allp.select(*keep, F.row_number().over(in_order).cast("bigint").alias("ord"), "m.is_flush",
+                       *[F.col(f"m.p.{f}").alias(f) for f in PART_FIELDS])
     key = F.when(_group(F.col("type")).isNotNull() & F.col("id").isNotNull(),
                  F.concat(_group(F.col("type")), F.lit(":"), F.col("id")))
     allp = allp.withColumn("end_key", key)
@@ -353,7 +405,7 @@ def is_name_part(t: Column, text: Column) -> Column:
 def _replace_first(s: Column, old: str) -> Column:
     p = F.instr(s, old)
     return F.when(p > 0, F.concat(F.substring(s, F.lit(1), p - 1),
-                                  F.substring(s, p + len(old), F.lit(1 << 30)))).otherwise(s)
+                                  F.substring(s, p + len(old), F.length(s)))).otherwise(s)
 
 
 def speaker_name(text: Column) -> Column:
@@ -419,12 +471,13 @@ def message_text(ui: DataFrame) -> DataFrame:
 
 def tool_call_pairs(parts: DataFrame) -> DataFrame:
     """Each tool call with its result, matched by call id within the stream."""
-    calls = parts.filter(F.col("type") == "tool-call").select(
-        "stream_id", "tool_call_id", F.col("tool_name").alias("call_tool_name"), "input",
-        F.col("seq").alias("call_seq"))
-    res = parts.filter(F.col("type") == "tool-result").groupBy("stream_id", "tool_call_id").agg(
-        F.min_by("result", F.struct("seq", "sub")).alias("result"))
-    return calls.join(res, ["stream_id", "tool_call_id"], "left")
+    at = F.struct("seq", "sub")
+    call, result = F.col("type") == "tool-call", F.col("type") == "tool-result"
+    fields = F.struct(F.col("tool_name").alias("call_tool_name"), "input", F.col("seq").alias("call_seq"), "sub")
+    both = parts.filter(call | result).groupBy("stream_id", "tool_call_id").agg(
+        F.collect_list(F.when(call, fields)).alias("calls"),
+        F.min_by(F.when(result, F.col("result")), F.when(result, at)).alias("result"))
+    return both.select("stream_id", "tool_call_id", F.inline("calls"), "result").drop("sub")
 
 
 def serialise_tool_parts(parts: DataFrame) -> DataFrame:
@@ -467,7 +520,7 @@ def idle_sessions(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
 
 # --------------------------------------------------------------------------- M7
 
-CONTENT_FIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result"]
+CONTENT_FIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result", "item_id"]
 
 
 def content(**kw) -> Column:
@@ -508,13 +561,13 @@ def normalise_whole_responses(resp: DataFrame, dialect: str) -> DataFrame:
         parts = F.flatten(F.transform(items, lambda o: (
             F.when(o["type"] == "message",
                    F.transform(F.filter(o["content"], lambda c: c["type"] == "output_text"),
-                               lambda c: content(type="text", text=c["text"])))
+                               lambda c: content(type="text", text=c["text"], item_id=o["id"])))
             .when(o["type"] == "function_call",
                   F.array(content(type="tool-call", tool_call_id=o["call_id"], tool_name=o["name"],
-                                  input=o["arguments"])))
+                                  input=o["arguments"], item_id=o["id"])))
             .when(o["type"] == "reasoning",
                   F.transform(F.filter(o["summary"], lambda s: s["type"] == "summary_text"),
-                              lambda s: content(type="reasoning", text=s["text"])))
+                              lambda s: content(type="reasoning", text=s["text"], item_id=o["id"])))
             .when(o["type"] == "function_call_output",
                   F.array(content(type="tool-result", tool_call_id=o["call_id"], result=o["output"],
                                   tool_name=TOOL_NAME)))

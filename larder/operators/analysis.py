@@ -70,8 +70,8 @@ def best_vendor(best: DataFrame, products: DataFrame) -> DataFrame:
 def sales_by_region(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Total sales per store region, largest first.
 
-    The lesson's cartesian-then-filter form (C6) is the same plan: Catalyst
-    turns ``crossJoin().filter(a == b)`` into an equi join.  Sales are
+    The lesson's cartesian-then-filter form (C6) is the same plan (a test shows
+    it): Catalyst turns ``crossJoin().filter(a == b)`` into an equi join.  Sales are
     partial-summed per store before the join would ever need to move them.
     """
     per_store = sales.groupBy("store_id").agg(
@@ -80,10 +80,3 @@ def sales_by_region(sales: DataFrame, stores: DataFrame) -> DataFrame:
     return (j.groupBy("region").agg(F.sum("total_amount").cast("double").alias("total_amount"))
             .orderBy(F.col("total_amount").desc_nulls_last(), "region"))
 
-
-def sales_by_region_cartesian(sales: DataFrame, stores: DataFrame) -> DataFrame:
-    """The lesson's slow form, kept as a plan-test comparator."""
-    s = sales.select(F.col("store_id").alias("sid"), "total_amount")
-    j = s.crossJoin(stores.select("store_id", "region")).filter(F.col("sid") == F.col("store_id"))
-    return (j.groupBy("region").agg(F.sum("total_amount").alias("total_amount"))
-            .orderBy(F.col("total_amount").desc_nulls_last(), "region"))

@@ -67,24 +67,37 @@ def history_page(chats: DataFrame, limit: int = PAGE_SIZE, cursors: DataFrame |
 
     ``cursors`` (user_id, cursor_id) pages relative to a chat: ``ending_before``
     keeps older chats, ``starting_after`` keeps newer ones but still lists them
-    newest first (so it is not the adjacent page, as in the source).
+    newest first (so it is not the adjacent page, as in the source).  Chats of
+    one moment are ordered by id, so none is skipped between pages.  Users whose
+    cursor isn't there get no page; ``cursor_outcomes`` names them.
     ``row_number <= limit + 1`` is planned as a group limit before the shuffle,
     so a user with very many chats sends at most ``limit + 1`` rows per task.
     """
     c = chats
     if cursors is not None:
         cur = cursors.join(chats.select(F.col("id").alias("cursor_id"),
-                                        F.col("created_at").alias("cursor_ts")), "cursor_id")
-        c = c.join(cur.select("user_id", "cursor_ts"), "user_id")
-        keep = (F.col("created_at") < F.col("cursor_ts") if direction == "ending_before"
-                else F.col("created_at") > F.col("cursor_ts"))
-        c = c.filter(keep).drop("cursor_ts")
+                                        F.struct(F.col("created_at").alias("t"), F.col("id").alias("i")).alias("at")), "cursor_id")
+        c = c.join(cur.select("user_id", "at"), "user_id")
+        own = F.struct(F.col("created_at").alias("t"), F.col("id").alias("i"))
+        c = c.filter(own < F.col("at") if direction == "ending_before" else own > F.col("at")).drop("at")
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     ranked = c.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit + 1)
     more = F.max("rn").over(Window.partitionBy("user_id")) > limit
     return ranked.withColumn("has_more", more).filter(F.col("rn") <= limit)
 
 
+def cursor_outcomes(chats: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Is the chat that a page request names there?"""
+    ids = chats.select(F.col("id").alias("cursor_id"), F.lit("ok").alias("found")).distinct()
+    return cursors.join(ids, "cursor_id", "left").select(
+        "user_id", "cursor_id", F.coalesce("found", F.lit("not_found")).alias("outcome"))
+
+
+def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows by id, for all requested ids at once (F6); ids that aren't there give no row."""
+    return table.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     """Messages of every chat in time order.
 
@@ -188,15 +201,15 @@ def sanitize(text: Column) -> Column:
     pos = F.instr(text, FUNCTION_CALL_MARKER)
     n = len(FUNCTION_CALL_MARKER)
     return F.when(pos > 0, F.concat(F.substring(text, F.lit(1), pos - 1),
-                                    F.substring(text, pos + n, F.lit(1 << 30)))).otherwise(text)
-
+                                    F.substring(text, pos + n, F.length(text)))).otherwise(text)
 
-def text_of_parts(parts: Column) -> Column:
-    """Plain text of a message: its text parts joined with nothing between (H5)."""
-    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"),
-                                    lambda p: p["text"]), "")
 
+def append_new(path: str, new: DataFrame, key: str = "id") -> None:
+    """Append chats or messages to the table at ``path`` (M1).
 
-def append_rows(table: DataFrame, new: DataFrame) -> DataFrame:
-    """New chats/messages appended by column name (M1)."""
-    return table.unionByName(new)
+    Rows whose key is in the table already are left out, so a job that runs
+    again after a failure appends nothing twice.
+    """
+    there = new.sparkSession.read.parquet(path)
+    rows = new.select(there.columns).dropDuplicates([key]).join(there.select(key), key, "left_anti")
+    rows.select(there.columns).write.mode("append").parquet(path)

@@ -2,14 +2,11 @@
 E3-E4, H1-H2, K1, K3, K5).
 
 Projections are narrow (no shuffle).  Statistics a later step needs as
-constants (split dates, means, deviations) come from one aggregate row; only
-that row reaches the driver.
+constants (split dates, means, deviations) come from one aggregate row.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +24,7 @@ NUMERIC_FILLS = {
 }
 STRING_FILLS = {"payment_type": "unknown", "channel": "unknown", "category": "unknown",
                 "brand": "unknown", "competitor": "unknown"}
+# Columns of the model.
 CATEGORICAL = ["payment_type", "channel", "category", "brand", "competitor"]
 NUMERICAL = ["unit_price", "discount", "base_price", "competitor_price", "day_of_week",
              "hour_of_day", "month", "week_of_year", "is_weekend", "price_ratio",
@@ -60,21 +58,44 @@ def price_features(df: DataFrame) -> DataFrame:
     })
 
 
-def lag_features(df: DataFrame, lags=(1, 7), skew_safe: bool = True) -> DataFrame:
+def lag_features(df: DataFrame, lags=(1, 7)) -> DataFrame:
     """Quantity ``n`` rows earlier in the same (store, product) series.
 
-    The series order is made total with the line key; NULLs sort last.  By
-    default the range-partitioned form is used, so a series holding a large
-    share of all rows is still split over many tasks; ``skew_safe=False``
-    gives the plain window form.
+    The series order is made total with the line key; NULLs sort last.  Rows
+    are windowed per (series, day, time), never per series, so a series with a
+    third of all rows is spread over as many tasks as it has moments.  The rows
+    that the first of a moment need are the last ones before it: each moment's
+    last rows (at most ``max(lags)``) are handed on along the series, which is a
+    window over one small row per moment.
     """
-    if skew_safe:
-        return lag_features_ranged(df, lags)
-    return lag_features_window(df, lags)
+    most = max(lags)
+    keys, moment = ["store_id", "product_id"], ["event_date", "transaction_ts"]
+    at = [F.col(c).asc_nulls_last() for c in SERIES_ORDER if c not in moment]
+    own = Window.partitionBy(*keys, *moment)
+    rows = df.withColumn("__rn", F.row_number().over(own.orderBy(*at)))
+    last = (df.withColumn("__back", F.row_number().over(own.orderBy(*[F.col(c).desc_nulls_first() for c in SERIES_ORDER if c not in moment])))
+            .filter(F.col("__back") <= most)
+            .groupBy(*keys, *moment).agg(F.array_sort(F.collect_list(F.struct((-F.col("__back")).alias("at"), "quantity"))).alias("__tail")))
+    # every moment has a row, so the moments that ``most`` rows reach back to are the ``most`` before
+    series = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in moment]).rowsBetween(-most, -1)
+    earlier = last.select(*[F.col(c).alias(f"__{c}") for c in keys + moment],
+                          F.flatten(F.collect_list("__tail").over(series)).alias("__before"))
+    same = None
+    for c in keys + moment:
+        one = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        same = one if same is None else same & one
+    rows = rows.join(earlier, same, "left")
+    in_moment = own.orderBy("__rn")
+    out = {}
+    for n in lags:
+        back = F.size("__before") + F.col("__rn") - n  # place, from 1, among the rows before the moment
+        carried = F.when(back >= 1, F.get(F.col("__before"), (back - 1).cast("int"))["quantity"])
+        out[f"quantity_lag_{n}"] = F.when(F.col("__rn") > n, F.lag("quantity", n).over(in_moment)).otherwise(carried)
+    return rows.withColumns(out).select(*df.columns, *out)
 
 
 def lag_features_window(df: DataFrame, lags=(1, 7)) -> DataFrame:
-    """Window form of ``lag_features``: one Window node for both lags.
+    """Plain window form of ``lag_features``: one Window node for both lags.
 
     Fine while every series is small: the window sends a whole series to one
     task.
@@ -94,28 +115,31 @@ def feature_table(gold: DataFrame) -> DataFrame:
     return clean_features(lag_features(price_features(calendar_features(gold))))
 
 
-def split_bounds(df: DataFrame, train: float = 0.6, val: float = 0.2):
-    """(min_date, train_end, val_end, max_date) from one aggregate (K5)."""
-    row = df.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi")).first()
-    lo, hi = row["lo"], row["hi"]
-    total = (hi - lo).days
-    train_end = lo + _dt.timedelta(days=int(total * train))
-    val_end = train_end + _dt.timedelta(days=int(total * val))
-    return lo, train_end, val_end, hi
+def split_bounds(dates: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """One row (lo, train_end, val_end, hi) of the dates of the rows with a target (K5).
+
+    ``dates`` may be any frame with the model rows' dates and targets: left joins
+    change neither, so the cleaned sales give the bounds of the joined rows.
+    """
+    b = dates.filter(F.col("quantity").isNotNull()).agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+    total = F.date_diff("hi", "lo")
+    b = b.withColumn("train_end", F.date_add("lo", F.floor(total * F.lit(train)).cast("int")))
+    return b.select("lo", "train_end", F.date_add("train_end", F.floor(total * F.lit(val)).cast("int")).alias("val_end"), "hi")
 
 
-def time_split(df: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:
+def time_split(df: DataFrame, train: float = 0.6, val: float = 0.2, dates: DataFrame | None = None) -> DataFrame:
     """Label rows train / validation / test by date.
 
     train: date <= train_end; validation: (train_end, val_end]; test: later.
-    Rows without a target are dropped first.
+    Rows without a target are dropped first.  The bounds are one aggregated
+    row that joins in the same job; ``dates`` as for ``split_bounds``.
     """
     model = df.filter(F.col("quantity").isNotNull())
-    _, train_end, val_end, _ = split_bounds(model, train, val)
+    bounds = split_bounds(df if dates is None else dates, train, val).select(
+        F.col("train_end").alias("__train_end"), F.col("val_end").alias("__val_end"))
     d = F.col("event_date")
-    return model.withColumn(
-        "split", F.when(d <= F.lit(train_end), "train").when(d <= F.lit(val_end), "validation")
-        .otherwise("test"))
+    split = F.when(d <= F.col("__train_end"), "train").when(d <= F.col("__val_end"), "validation").otherwise("test")
+    return model.crossJoin(F.broadcast(bounds)).withColumn("split", split).drop("__train_end", "__val_end")
 
 
 def category_index(df: DataFrame, cols=CATEGORICAL) -> DataFrame:
@@ -150,76 +174,3 @@ def standard_scale(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame
         out.append((F.when(F.lit(s) > 0, x / F.lit(s)).otherwise(F.lit(0.0)) if s is not None
                     else F.lit(None).cast("double")).alias(f"{c}_scaled"))
     return df.select(*keys, *out)
-
-
-def lag_features_ranged(df: DataFrame, lags=(1, 7), partitions: int | None = None) -> DataFrame:
-    """Same result as ``lag_features``, safe when one series holds a large share of rows.
-
-    A window partitioned by (store, product) sends a whole series to one task.
-    Here the rows are range-partitioned on the full sort key (store, product,
-    then the series order), so a very long series is cut across many tasks
-    by sampled boundaries.  Each task computes its lags locally; the first
-    ``max(lags)`` rows of a task also need the rows just before it, which are
-    the last ``max(lags)`` rows of the preceding tasks: one small side input
-    of at most ``partitions * max(lags)`` rows, collected and broadcast.
-    The ordered frame is checkpointed so both passes see the same partitions.
-    """
-    import pandas as pd
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    from larder.session import shared_dir
-
-    spark = df.sparkSession
-    shared_dir(spark)  # reliable checkpoints need the shared folder
-    keys = ["store_id", "product_id"]
-    order = [F.col(c).asc_nulls_last() for c in keys + SERIES_ORDER]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range-partition index is stored with the rows: a task's own index is
-    # not it once the result is unioned or re-planned downstream
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id()).checkpoint())
-    n = ranged.rdd.getNumPartitions()  # fewer than asked when keys are few
-    k = max(lags)
-    tail_schema = "pid int, rn int, store_id string, product_id string, quantity int"
-
-    def tails(it):
-        last, pid_of = None, [None]
-        for pdf in it:
-            if len(pdf):
-                pid_of[0] = pdf["_pid"].iloc[0]
-            cur = pdf[keys + ["quantity"]]
-            last = (cur if last is None else pd.concat([last, cur])).tail(k)
-        if last is not None and len(last):
-            last = last.reset_index(drop=True)
-            last.insert(0, "rn", range(len(last)))
-            last.insert(0, "pid", int(pid_of[0]))
-            yield last
-
-    side = ranged.mapInPandas(tails, tail_schema).toPandas().sort_values(["pid", "rn"])  # <= n * k rows
-    carry, prev = {}, side.iloc[0:0][keys + ["quantity"]]
-    for pid in range(n):
-        carry[pid] = prev.reset_index(drop=True)
-        prev = pd.concat([prev, side[side.pid == pid][keys + ["quantity"]]]).tail(k)
-    bc = spark.sparkContext.broadcast(carry)
-    out_schema = StructType([f for f in ranged.schema.fields if f.name != "_pid"]
-                            + [StructField(f"quantity_lag_{lag}", IntegerType()) for lag in lags])
-
-    def with_lags(it):
-        head = None
-        for pdf in it:
-            if not len(pdf):
-                continue
-            if head is None:
-                head = bc.value[int(pdf["_pid"].iloc[0])]
-            pdf = pdf.drop(columns=["_pid"])
-            both = pd.concat([head, pdf[keys + ["quantity"]]], ignore_index=True)
-            m = len(head)
-            for lag in lags:
-                same = (both["store_id"].eq(both["store_id"].shift(lag))
-                        & both["product_id"].eq(both["product_id"].shift(lag)))
-                vals = both["quantity"].astype("Int32").shift(lag).where(same)
-                pdf[f"quantity_lag_{lag}"] = vals.iloc[m:].reset_index(drop=True)
-            head = both.tail(k)
-            yield pdf
-
-    return ranged.mapInPandas(with_lags, out_schema)

@@ -56,13 +56,33 @@ def date_range_profile(df: DataFrame) -> DataFrame:
                   F.max("competitor_event_date").alias("max_competitor_date"))
 
 
-def distinct_profile(df: DataFrame) -> DataFrame:
-    """Exact distinct products/stores/categories and two means."""
-    return df.agg(F.count_distinct("product_id").alias("n_products"),
-                  F.count_distinct("store_id").alias("n_stores"),
-                  F.count_distinct("category").alias("n_categories"),
-                  F.avg("quantity").alias("avg_quantity"),
-                  F.avg("total_amount").alias("avg_total_amount"))
+def distinct_profile(df: DataFrame, lines: DataFrame) -> DataFrame:
+    """Exact distinct products/stores/categories and two means.
+
+    Products and stores are those of the sale lines, which the joined rows
+    repeat; each count is a distinct of its own with map-side partials, and the
+    joined rows are read once, for the categories and the means.
+    """
+    per = df.groupBy("category").agg(F.sum("quantity").alias("q"), F.count("quantity").alias("nq"),
+                                     F.sum("total_amount").alias("t"), F.count("total_amount").alias("nt"))
+    one = per.agg(F.count("category").alias("n_categories"), (F.sum("q") / F.sum("nq")).alias("avg_quantity"),
+                  (F.sum("t") / F.sum("nt")).alias("avg_total_amount"))
+    for c, name in (("product_id", "n_products"), ("store_id", "n_stores")):
+        one = one.crossJoin(lines.select(c).distinct().agg(F.count(c).alias(name)))
+    return one.select("n_products", "n_stores", "n_categories", "avg_quantity", "avg_total_amount")
+
+
+def distinct_estimate(lines: DataFrame, rsd: float = 0.02) -> DataFrame:
+    """Approximate distinct products and stores (D8): one pass, sketches of fixed size.
+
+    Reports whether each is within a tenth of the exact count, so that the result
+    can be compared between engines.
+    """
+    about = lines.agg(F.approx_count_distinct("product_id", rsd).alias("p"), F.approx_count_distinct("store_id", rsd).alias("s"))
+    for c, name in (("product_id", "np"), ("store_id", "ns")):
+        about = about.crossJoin(lines.select(c).distinct().agg(F.count(c).alias(name)))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.1 * F.col(b)
+    return about.select(near("p", "np").alias("products_near"), near("s", "ns").alias("stores_near"))
 
 
 def daily_demand(df: DataFrame) -> DataFrame:

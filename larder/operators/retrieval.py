@@ -1,12 +1,14 @@
 """Transcript retrieval with citations.
 
 * chunking is row-local array work over each whole text;
-* term search joins the postings with the (small, size-checked) set of query
-  terms, so its output grows with the postings of those terms, never with
-  query x document pairs;
-* vector top-k scores every vector against a size-checked query set held as
-  literal arrays inside the projection (no join at all), then keeps k rows
-  per query with a partial group limit before the shuffle.
+* term search joins the postings with the query terms, so its output grows
+  with the postings of those terms, never with query x document pairs; the
+  runtime decides by their size how the terms are joined;
+* vector top-k scores the vectors against the queries in blocks and keeps, per
+  query, the maxima of slices of the vectors as partial aggregates.  The k-th
+  largest maximum bounds the k-th best score from below, so only the few scores
+  above it are ever ranked.  A bucketed form scores only vectors that share
+  signs of random projections with the query.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from larder.functions.columns import round_half_up
 NOT_FOUND = ("I don't see that in the transcripts provided, but if you could search for {terms}, "
              "I might find something!")
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-MAX_QUERY_TERMS = 100_000   # query side must stay small enough to broadcast
-MAX_QUERY_VECTORS = 4_096   # query vectors are inlined into the projection
+QUERY_BLOCK = 256   # query vectors scored in one pass over a row
+SLICES = 256        # partial maxima per query
 
 
 def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
@@ -44,13 +46,6 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             .filter(F.col("term") != ""))
 
 
-def _checked_small(df: DataFrame, limit: int, what: str) -> DataFrame:
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{what}: {n} rows exceeds the broadcast bound {limit}")
-    return F.broadcast(df)
-
-
 def term_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """TF-IDF ranked documents per query, top ``k`` (R2).
 
@@ -58,13 +53,12 @@ def term_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     tf(term, doc) * ln(N / df(term)); ties go to the smaller doc id.
     """
     q = queries.select("query_id", F.lower("term").alias("term")).distinct()
-    q_terms = _checked_small(q.select("term").distinct(), MAX_QUERY_TERMS, "query terms")
-    post = tokens(docs).join(q_terms, "term", "left_semi")
+    post = tokens(docs).join(q.select("term").distinct(), "term", "left_semi")
     tf = post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = docs.select("doc_id").distinct().count()
-    scored = (tf.join(df_, "term").join(F.broadcast(q), "term")
-              .withColumn("w", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))))
+    n_docs = docs.select("doc_id").distinct().agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
+    scored = (tf.join(df_, "term").join(q, "term").crossJoin(F.broadcast(n_docs))
+              .withColumn("w", F.col("tf") * F.log(F.col("n_docs") / F.col("df"))))
     per = scored.groupBy("query_id", "doc_id").agg(
         F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched_terms"))
     # rank on the score rounded to 9 places, so summation order cannot flip a tie
@@ -85,33 +79,72 @@ def cited_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
                     F.when(F.col("cited_ids").isNull(), missing).otherwise(found).alias("answer"))
 
 
-def label_centroids(emb: DataFrame) -> list[tuple[int, list[float]]]:
-    """Mean vector of each label: one keyed aggregate, collected (bounded by labels)."""
+def label_centroids(emb: DataFrame) -> DataFrame:
+    """Mean vector of each label (query_id, v): one keyed aggregate."""
     per_dim = (emb.select("label", F.posexplode("embedding").alias("dim", "x"))
                .groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m")))
     vec = per_dim.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("v"))
-    rows = vec.select("label", F.transform("v", lambda s: s["m"]).alias("v")).orderBy("label").collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError("too many query vectors to inline")
-    return [(r["label"], list(r["v"])) for r in rows]
+    return vec.select(F.col("label").alias("query_id"), F.transform("v", lambda s: s["m"]).alias("v"))
+
+
+def _dot(v: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def _dot(v: Column, q: list[float]) -> Column:
-    qa = F.array(*[F.lit(float(x)) for x in q])
-    return F.aggregate(F.zip_with(v, qa, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+def _scores(emb: DataFrame, queries: DataFrame) -> DataFrame:
+    """(vec_id, label, query_id, score): every vector against the queries, a block of queries a pass."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id")) - 1
+    block = queries.withColumn("b", F.floor(place / QUERY_BLOCK)).groupBy("b").agg(F.collect_list(F.struct("query_id", "v")).alias("qs")).select("qs")
+    pairs = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), _dot(F.col("embedding"), q["v"]).alias("score")))
+    return emb.crossJoin(block).select("vec_id", "label", F.inline(pairs))
 
 
-def vector_topk(emb: DataFrame, queries: list[tuple[int, list[float]]], k: int = 3) -> DataFrame:
+def vector_topk(emb: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """Exact top-k vectors by dot product for each query vector.
 
-    Scores come from a projection over the vectors (the queries are literal
-    arrays), exploded to (query, vector, score); the top-k filter is planned
-    as a partial group limit, so a map task ships at most k rows per query.
+    ``queries``: (query_id, v).  First pass: the maximum of each of ``SLICES``
+    slices of the vectors, per query, with map-side partials.  The k-th largest
+    of them is a score that k vectors reach, so the second pass keeps what is no
+    less and ranks it.  Neither pass sorts the scores.
+    """
+    s = _scores(emb, queries)
+    top = s.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice")).agg(F.max("score").alias("m"))
+    by = Window.partitionBy("query_id").orderBy(F.col("m").desc())
+    # with fewer slices than k there is no bound, and all is ranked
+    floor = (top.withColumn("r", F.row_number().over(by)).filter(F.col("r") == k)
+             .select(F.col("query_id").alias("__q"), F.col("m").alias("__least")))
+    near = s.join(floor, F.col("query_id") == F.col("__q"), "left").filter(
+        F.col("__least").isNull() | (F.col("score") >= F.col("__least"))).drop("__q", "__least")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _signs(v: Column, table: int, bits: int) -> Column:
+    """``bits`` signs of pseudo-random projections of a vector, as a number.
+
+    The weight of dimension d in projection j is a sine of both: fixed, and the
+    same in every engine.
+    """
+    def projection(j: int) -> Column:
+        weighted = F.transform(v, lambda x, d: x.cast("double") * F.sin((d + 1) * F.lit(12.9898 * (table * bits + j + 1))))
+        return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
+
+    return sum((F.when(projection(j) > 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(bits)), F.lit(0))
+
+
+def vector_topk_bucketed(emb: DataFrame, queries: DataFrame, k: int = 3, tables: int = 6, bits: int = 4) -> DataFrame:
+    """Approximate top-k: only vectors that share a bucket with the query are scored.
+
+    A bucket is the signs of ``bits`` projections; there are ``tables`` of them, and a
+    pair is scored once, however many it shares.
     """
-    if len(queries) > MAX_QUERY_VECTORS:
-        raise ValueError("too many query vectors to inline")
-    scores = F.array(*[F.struct(F.lit(qid).alias("query_id"), _dot(F.col("embedding"), q).alias("score"))
-                       for qid, q in queries])
-    s = emb.select("vec_id", "label", F.inline(scores))
+    def keyed(df: DataFrame, v: str) -> DataFrame:
+        keys = F.array(*[F.struct(F.lit(t).alias("t"), _signs(F.col(v), t, bits).alias("key")) for t in range(tables)])
+        return df.select("*", F.inline(keys))
+
+    q = keyed(queries, "v").select("query_id", "t", "key")
+    pairs = keyed(emb, "embedding").select("vec_id", "t", "key").join(q, ["t", "key"]).select("query_id", "vec_id").distinct()
+    scored = pairs.join(emb, "vec_id").join(queries, "query_id").select(
+        "query_id", "vec_id", "label", _dot(F.col("embedding"), F.col("v")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -47,6 +47,9 @@ def clean_sales(raw: DataFrame, strict: bool = False) -> DataFrame:
     one missing amount; division by a zero quantity yields NULL, not an error.
     """
     qty = _d("quantity")
+    # reports that read neither leave the order's columns out
+    of_order = [F.col(c).try_cast("string").alias(c) for c in ("payment_type", "loyalty_id") if c in raw.columns]
+    names = [c.strip().split(" ")[0] for c in SALES_SILVER_DDL.split(",")]
     out = raw.select(
         F.col("transaction_id").try_cast("string").alias("transaction_id"),
         F.col("line_number").try_cast("int").alias("line_number"),
@@ -59,9 +62,8 @@ def clean_sales(raw: DataFrame, strict: bool = False) -> DataFrame:
                 "total_amount", "unit_price", "quantity"),
         _impute("total_amount", qty * (_d("unit_price") - _d("discount")),
                 "unit_price", "discount", "quantity"),
-        F.col("payment_type").try_cast("string").alias("payment_type"),
+        *of_order,
         F.col("channel").try_cast("string").alias("channel"),
-        F.col("loyalty_id").try_cast("string").alias("loyalty_id"),
         F.col("transaction_ts").try_cast("timestamp_ntz").alias("transaction_ts"),
         F.col("event_date").try_cast("date").alias("event_date"),
         # raw presence flags, used by the filter and then dropped
@@ -75,7 +77,7 @@ def clean_sales(raw: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         keep = keep & F.col("transaction_ts").isNotNull() & F.col("event_date").isNotNull() \
             & F.col("quantity").isNotNull()
-    return out.filter(keep).drop("_ts_present", "_date_present", "_qty_present")
+    return out.filter(keep).select([c for c in names if c in out.columns])
 
 
 def clean_competitor(raw: DataFrame) -> DataFrame:

@@ -53,36 +53,31 @@ def ticket_sla(t: DataFrame, sla_hours: float = SLA_HOURS) -> DataFrame:
 def ticket_wow(t: DataFrame) -> DataFrame:
     """Weekly tickets per category with week-over-week change.
 
-    Weeks start on Monday.  The change compares with the category's previous
-    week that has tickets.
+    Weeks start on Monday.  The change compares with the calendar week before;
+    where the category has no tickets in it, there is nothing to compare with.
     """
     wk = F.date_trunc("week", F.col("created_time")).cast("date")
     weekly = t.groupBy("issue_category", wk.alias("week_start")).agg(
         F.count(F.lit(1)).alias("n_tickets"),
         F.avg(resolution_hours()).alias("avg_resolution_hours"))
     w = Window.partitionBy("issue_category").orderBy("week_start")
-    prev = F.lag("n_tickets").over(w)
+    adjacent = F.lag("week_start").over(w) == F.date_sub("week_start", 7)
+    prev = F.when(adjacent, F.lag("n_tickets").over(w))
     return weekly.select("issue_category", "week_start", "n_tickets", "avg_resolution_hours",
                          prev.alias("prev_n_tickets"),
                          F.try_divide((F.col("n_tickets") - prev).cast("double"), prev.cast("double"))
                          .alias("wow_change"))
 
 
-def similar_cases(t: DataFrame, cite: int = 5, keys=("issue_category", "status")) -> DataFrame:
-    """Similar cases grouped, with the first ``cite`` ticket ids cited.
+def similar_cases(t: DataFrame, keys=("issue_category", "status")) -> DataFrame:
+    """Similar cases: every ticket cited, beside the size of its group.
 
-    The cited ids are a top-k per group: ``row_number <= k`` is planned as a
-    partial group limit before the shuffle, so a hot group sends at most k
-    rows per map task, and the count is a plain aggregate.
+    One row per ticket, so a group of any size is never collected; the counts
+    are a few rows that the runtime joins without moving the tickets.
     """
     keys = list(keys)
     counts = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cases"))
-    w = Window.partitionBy(*keys).orderBy("ticket_id")
-    first = t.select(*keys, "ticket_id").withColumn("rn", F.row_number().over(w)).filter(
-        F.col("rn") <= cite)
-    cited = first.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("ticket_id")).alias("cited_ids"))
-    return counts.join(cited, keys, "inner")
+    return t.select(*keys, "ticket_id").join(counts, keys, "inner").select(*keys, "n_cases", "ticket_id")
 
 
 def escalation_body(summary: Column, message: Column, user: Column) -> Column:

@@ -8,7 +8,8 @@ from larder.operators import agentlog as al
 from larder.plans import oracle_agentlog  # noqa: F401  (registers the CTEs)
 from larder.plans.oracle_fixtures import with_ctes
 from larder.plans.registry import register
-from larder.sources.agentlogs import GAP_EVERY, GAP_SECONDS, STEP_SECONDS, sse_bodies
+from larder.sources import fixtures as fx
+from larder.sources.agentlogs import GAP_EVERY, GAP_SECONDS, STEP_SECONDS, sse_bodies, whole_responses
 
 PARTS_OUT = ["stream_id", "seq", "sub"] + al.PART_FIELDS
 _PARTS_SQL = ", ".join(PARTS_OUT)
@@ -84,7 +85,7 @@ def q_serialise_tool_calls(spark, sf):
 @register("tool_call_pairs", with_ctes("parts_responses") + """
 SELECT c.stream_id, c.tool_call_id, c.tool_name AS call_tool_name, c.input, c.seq AS call_seq, r.result
 FROM (SELECT * FROM parts_responses WHERE type = 'tool-call') c
-LEFT JOIN (SELECT stream_id, tool_call_id, arg_min(result, seq * 8 + sub) AS result FROM parts_responses
+LEFT JOIN (SELECT stream_id, tool_call_id, arg_min(result, (seq, sub)) AS result FROM parts_responses
            WHERE type = 'tool-result' GROUP BY stream_id, tool_call_id) r
   ON c.stream_id = r.stream_id AND c.tool_call_id = r.tool_call_id""")
 def q_tool_call_pairs(spark, sf):
@@ -155,24 +156,30 @@ def q_message_text(spark, sf):
     return al.message_text(ui(spark, sf))
 
 
-@register("stream_errors", with_ctes("parts_responses") + """
-SELECT stream_id, count(*) AS n_parts, count(*) FILTER (WHERE type = 'error') AS n_errors,
+DIALECTS = ("responses", "completions", "chat_agent")
+
+
+@register("stream_errors", with_ctes(*[f"parts_{d}" for d in DIALECTS]) + " UNION ALL ".join(f"""
+SELECT '{d}' AS dialect, stream_id, count(*) AS n_parts, count(*) FILTER (WHERE type = 'error') AS n_errors,
        count(*) FILTER (WHERE type = 'error' AND error = 'parse_error') AS n_failed_parses,
        CASE WHEN count(*) FILTER (WHERE type = 'error' AND error = 'parse_error') > 0 THEN 'error'
             ELSE 'unknown' END AS finish_reason
-FROM parts_responses GROUP BY stream_id""")
+FROM parts_{d} GROUP BY stream_id""" for d in DIALECTS))
 def q_stream_errors(spark, sf):
-    """Error parts and failed parses per stream."""
-    return al.stream_errors(parts(spark, sf))
+    """Error parts, failed parses and finish reason per stream, for every dialect."""
+    out = None
+    for d in DIALECTS:
+        one = al.stream_errors(parts(spark, sf, d)).select(F.lit(d).alias("dialect"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("resume_from_cursor", with_ctes("events_responses") + """
 SELECT stream_id, seq, payload FROM events_responses WHERE seq >= (chat_id % 10) * 5""")
 def q_resume_from_cursor(spark, sf):
-    """Events a reconnecting reader replays from its cursor."""
-    ev = events(spark, sf)
-    cur = ev.select("stream_id", ((F.col("chat_id") % 10) * 5).alias("cursor")).distinct()
-    return al.resume_from_cursor(ev, cur).select("stream_id", "seq", "payload")
+    """Events a reconnecting reader replays from its cursor (one cursor per stream)."""
+    cur = fx.streams(spark, sf).select("stream_id", ((F.col("chat_id") % 10) * 5).alias("cursor"))
+    return al.resume_from_cursor(events(spark, sf), cur).select("stream_id", "seq", "payload")
 
 
 @register("idle_sessions", with_ctes("events_responses") + f"""
@@ -194,10 +201,8 @@ def q_idle_sessions(spark, sf):
           with_ctes("whole_responses", "whole_completions", "whole_chat_agent") + oracle_agentlog.WHOLE_SQL)
 def q_normalise_whole_responses(spark, sf):
     """M7: non-streamed responses of all three dialects to content parts."""
-    from larder.sources.agentlogs import whole_responses
-
     out = None
-    for d in ("responses", "completions", "chat_agent"):
+    for d in DIALECTS:
         part = al.normalise_whole_responses(whole_responses(spark, sf, d), d).select(
             F.lit(d).alias("dialect"), "*")
         out = part if out is None else out.unionByName(part)

@@ -143,22 +143,49 @@ def q_active_stream(spark, sf):
     return ch.active_stream(fx.streams(spark, sf))
 
 
-NEXT_LIMIT = 2  # small pages, so the second page is not empty on the test data
+NEXT_LIMIT = 2  # small pages, so that pages go on in the test data
 
 
-@register("chat_history_next_page", with_ctes("chats") + f"""
-, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM chats),
-cur AS (SELECT user_id, created_at AS cursor_ts FROM r WHERE rn = {NEXT_LIMIT}),
-c2 AS (SELECT c.* FROM chats c JOIN cur ON c.user_id = cur.user_id WHERE c.created_at < cur.cursor_ts),
+def _page_sql(op: str) -> str:
+    return with_ctes("chats", "page_requests") + f"""
+, cur AS (SELECT p.user_id, c.created_at AS t, c.id AS i FROM page_requests p JOIN chats c ON c.id = p.cursor_id),
+c2 AS (SELECT c.* FROM chats c JOIN cur ON c.user_id = cur.user_id
+       WHERE c.created_at {op} cur.t OR (c.created_at = cur.t AND c.id {op} cur.i)),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM c2)
 SELECT id, user_id, created_at, cast(rn AS INTEGER) AS rn,
        max(rn) OVER (PARTITION BY user_id) > {NEXT_LIMIT} AS has_more
 FROM r2 WHERE rn <= {NEXT_LIMIT + 1}
-QUALIFY rn <= {NEXT_LIMIT}""")
-def q_chat_history_next_page(spark, sf):
-    """Second page of every user's history, paging before the first page's last chat."""
-    c = fx.chats(spark, sf)
-    first = ch.history_page(c, limit=NEXT_LIMIT)
-    cursors = first.filter(F.col("rn") == NEXT_LIMIT).select("user_id", F.col("id").alias("cursor_id"))
-    return ch.history_page(c, NEXT_LIMIT, cursors, "ending_before").select(
+QUALIFY rn <= {NEXT_LIMIT}"""
+
+
+def _page(spark, sf, direction):
+    return ch.history_page(fx.chats(spark, sf), NEXT_LIMIT, fx.page_requests(spark, sf), direction).select(
         "id", "user_id", "created_at", "rn", "has_more")
+
+
+@register("chat_history_next_page", _page_sql("<"))
+def q_chat_history_next_page(spark, sf):
+    """The page of older chats that each user asks for."""
+    return _page(spark, sf, "ending_before")
+
+
+@register("chat_history_newer_page", _page_sql(">"))
+def q_chat_history_newer_page(spark, sf):
+    """The page of newer chats that each user asks for, newest first."""
+    return _page(spark, sf, "starting_after")
+
+
+@register("chat_history_cursors", with_ctes("chats", "page_requests") + """
+SELECT user_id, cursor_id, CASE WHEN cursor_id IN (SELECT id FROM chats) THEN 'ok' ELSE 'not_found' END AS outcome
+FROM page_requests""")
+def q_chat_history_cursors(spark, sf):
+    """Page requests whose chat isn't there."""
+    return ch.cursor_outcomes(fx.chats(spark, sf), fx.page_requests(spark, sf))
+
+
+@register("message_lookup", with_ctes("messages", "lookup_requests") + """
+SELECT id, chat_id, role, text, created_at FROM messages WHERE id IN (SELECT message_id FROM lookup_requests)""")
+def q_message_lookup(spark, sf):
+    """messages by id."""
+    return ch.lookup(fx.messages(spark, sf), fx.lookup_requests(spark, sf)).select(
+        "id", "chat_id", "role", "text", "created_at")

@@ -9,7 +9,7 @@ from larder.operators import ml, profiles
 from larder.operators.gold import GOLD_COLUMNS
 from larder.plans.oracle_fixtures import with_ctes
 from larder.plans.registry import register
-from larder.plans.retail import gold_rows, sales
+from larder.plans.retail import gold_rows, sales, sales_lines
 
 GOLD_DOUBLES = {"unit_price", "discount", "total_amount", "base_price", "competitor_price"}
 GOLD_INTS = {"line_number", "quantity", "store_manager_id"}
@@ -56,7 +56,15 @@ SELECT count(DISTINCT product_id) AS n_products, count(DISTINCT store_id) AS n_s
        round(avg(total_amount), 4) AS avg_total_amount FROM gold""")
 def q_distinct_profile(spark, sf):
     """D8 + D9: exact distinct counts and means."""
-    return profiles.distinct_profile(gold_rows(spark, sf))
+    return profiles.distinct_profile(gold_rows(spark, sf), sales_lines(spark, sf))
+
+
+@register("distinct_estimate", with_ctes("gold") + """
+SELECT abs(count(DISTINCT product_id) - count(DISTINCT product_id)) = 0 AS products_near,
+       abs(count(DISTINCT store_id) - count(DISTINCT store_id)) = 0 AS stores_near FROM gold""")
+def q_distinct_estimate(spark, sf):
+    """Are the approximate distinct counts within a tenth of the exact ones?"""
+    return profiles.distinct_estimate(sales_lines(spark, sf))
 
 
 @register("daily_demand", with_ctes("gold") + """
@@ -201,7 +209,7 @@ SELECT split, count(*) AS n_rows, min(event_date) AS first_date, max(event_date)
 FROM s GROUP BY split""")
 def q_time_split(spark, sf):
     """K5 + B14: 60/20/20 split by day count; summary per part."""
-    s = ft.time_split(gold_rows(spark, sf))
+    s = ft.time_split(gold_rows(spark, sf), dates=sales_lines(spark, sf))
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.min("event_date").alias("first_date"),
                                   F.max("event_date").alias("last_date"))
@@ -216,6 +224,19 @@ def q_category_index(spark, sf):
     return ft.category_index(gold_rows(spark, sf))
 
 
+@register("one_hot_features", with_ctes("gold") + """,
+c AS (SELECT category AS v, cast(row_number() OVER (ORDER BY count(*) DESC, category ASC NULLS LAST) - 1 AS INTEGER) AS idx
+      FROM gold WHERE channel <> 'pickup' GROUP BY category),
+n AS (SELECT cast(count(*) AS INTEGER) AS n FROM c)
+SELECT transaction_id, line_number, competitor, category, coalesce(c.idx, n.n) AS category_idx, c.idx AS category_slot
+FROM gold LEFT JOIN c ON gold.category IS NOT DISTINCT FROM c.v, n""")
+def q_one_hot_features(spark, sf):
+    """K2: index and one-hot slot of each row's category, by the index of the sales that aren't picked up."""
+    g = gold_rows(spark, sf).select(*ft.LINE_KEY, "category", "channel")
+    index = ft.category_index(g.filter("channel <> 'pickup'"), ["category"])
+    return ml.one_hot(g, index, "category").select(*ft.LINE_KEY, "category", "category_idx", "category_slot")
+
+
 _SCALE = ["quantity", "unit_price", "discount", "total_amount"]
 
 
@@ -236,7 +257,8 @@ p AS (SELECT cast(s.quantity AS DOUBLE) AS y, coalesce(means.key_mean, om.overal
 
 
 def _predictions(spark, sf):
-    return ml.category_mean_predictor(ft.time_split(gold_rows(spark, sf)))
+    g = gold_rows(spark, sf).select("category", "quantity", "event_date")
+    return ml.category_mean_predictor(ft.time_split(g, dates=sales_lines(spark, sf)))
 
 
 @register("regression_metrics", with_ctes("gold") + "," + _SPLIT_SQL + _PRED_SQL + """

@@ -21,100 +21,118 @@ class R(str):
     """Raw SQL piece (not quoted)."""
 
 
+def joined(*pieces) -> str:
+    return "concat(" + ", ".join(p if isinstance(p, R) else q(p) for p in pieces) + ")"
+
+
 def data(*pieces) -> str:
-    return "concat('data: ', " + ", ".join(p if isinstance(p, R) else q(p) for p in pieces) + ")"
+    return joined("data: ", *pieces)
+
+
+def js_text(*pieces) -> R:
+    """The pieces, joined, as a JSON string."""
+    return R(f"cast(to_json({joined(*pieces)}) AS VARCHAR)")
 
 
 def when(cond: str, *lines: str) -> str:
     return f"(CASE WHEN {cond} THEN [{', '.join(lines)}] ELSE []::VARCHAR[] END)"
 
 
+SPACE = r"[\x20\x09-\x0D]"
+PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 I = "(j - 1)"
 BLK = R(f"cast({I} // 5 AS VARCHAR)")
 POS = R(f"cast({I} AS VARCHAR)")
 W = R("w")
+T = R(f"regexp_replace(w, '{SPACE}', '', 'g')")
 
 
 def responses_lines(conv: str) -> str:
+    delta = lambda x: data('{"type":"response.output_text.delta","item_id":"i', BLK, '","delta":', x, "}")
+    item = lambda kind, pre, of, *rest: data(
+        '{"type":"response.output_item.done","output_index":0,"item":{"type":"' + kind + '","id":"' + pre, of, '",', *rest)
     return " || ".join([
         when(f"{I} = 0 AND {conv} % 5 = 0", data(
             '{"type":"response.output_item.done","output_index":0,"item":{"type":"message","id":"n0",'
             '"content":[{"type":"output_text","text":"<name>agent</name>"}]}}')),
         when(f"{I} % 7 = 3", data('{"type":"response.reasoning_summary_text.delta","item_id":"r', BLK,
-                                  '","summary_index":0,"delta":"think ', W, ' "}')),
-        "[" + data('{"type":"response.output_text.delta","item_id":"i', BLK, '","delta":"', W, ' "}') + "]",
+                                  '","summary_index":0,"delta":', js_text("think ", T, " "), "}")),
+        "[" + delta(js_text(W)) + "]",
         when(f"{I} % 11 = 5",
-             data('{"type":"response.output_item.done","output_index":0,"item":{"type":"function_call",'
-                  '"id":"f', POS, '","call_id":"call', POS, '","name":"lookup","arguments":"{\\"q\\":\\"',
-                  W, '\\"}"}}'),
-             data('{"type":"function_call_output","call_id":"call', POS, '","output":"result ', W, '"}')),
-        when(f"{I} % 13 = 7", data('{"type":"response.output_text.annotation.added","annotation":'
-                                   '{"type":"url_citation","url":"https://docs.test/', W, '","title":"Doc ', W,
-                                   '"}}')),
-        when(f"{I} % 17 = 9", data('{"type":"response.output_item.done","output_index":0,"item":{"type":"message",'
-                                   '"id":"i', BLK, '","content":[{"type":"output_text","text":"', W, '"}]}}')),
-        when(f"{I} % 19 = 18", data('{"type":"response.output_item.done","output_index":0,"item":{"type":"message",'
-                                    '"id":"m', POS, '","content":[{"type":"output_text","text":"', W,
-                                    ' complete"}]}}')),
+             item("function_call", "f", POS, '"call_id":"call', POS, '","name":"lookup","arguments":',
+                  js_text('{"q":', js_text(T), "}"), "}}"),
+             data('{"type":"function_call_output","call_id":"call', POS, '","output":', js_text("result ", T), "}")),
+        when(f"{I} % 13 = 7", data('{"type":"response.output_text.annotation.added","annotation":{"type":"url_citation",'
+                                   '"url":', js_text("https://docs.test/", T), ',"title":', js_text("Doc ", T), "}}")),
+        when(f"{I} % 17 = 9", item("message", "i", BLK, '"content":[{"type":"output_text","text":', js_text(T), "}]}}")),
+        when(f"{I} % 19 = 18", item("message", "m", POS, '"content":[{"type":"output_text","text":',
+                                    js_text(T, " complete"), "}]}}")),
         when(f"{I} % 23 = 11", data('{"type":"response.output_text.delta","item_id":"i', BLK, '"')),
         when(f"{I} % 29 = 4", data('{"type":"response.created","sequence_number":', POS, '}')),
-        when(f"{I} % 31 = 15", data('{"type":"error","code":"rate_limit","message":"slow ', W,
-                                    '","sequence_number":', POS, '}')),
-        when(f"{I} % 37 = 6", data('{"type":"response.output_item.done","output_index":0,"item":{"type":"reasoning",'
-                                   '"id":"r', POS, '","summary":[{"type":"summary_text","text":"why ', W, '"}]}}')),
+        when(f"{I} % 31 = 15", data('{"type":"error","code":"rate_limit","message":', js_text("slow ", T),
+                                    ',"sequence_number":', POS, '}')),
+        when(f"{I} % 37 = 6", item("reasoning", "r", POS, '"summary":[{"type":"summary_text","text":',
+                                   js_text("why ", T), "}]}}")),
         when(f"{I} % 41 = 8", data('{"type":"response.function_call_arguments.delta","item_id":"f', POS,
                                    '","delta":"{","output_index":0,"sequence_number":', POS, '}')),
-        when(f"{I} % 43 = 20 AND {conv} % 6 = 0",
-             data('{"type":"response.output_text.delta","item_id":"i', BLK, '","delta":"<has_function_call> "}')),
-        when(f"{I} % 47 = 12",
-             data('{"type":"response.output_text.delta","item_id":"i', BLK, '","delta":"| ', W, ' |"}'),
+        when(f"{I} % 43 = 20 AND {conv} % 6 = 0", delta(R("'\"<has_function_call> \"'"))),
+        when(f"{I} % 47 = 12", delta(js_text("| ", T, " |")),
              data('{"type":"response.output_text.annotation.added","annotation":{"type":"url_citation",'
-                  '"url":"https://docs.test/t', W, '","title":""}}')),
+                  '"url":', js_text("https://docs.test/t", T), ',"title":""}}')),
     ])
 
 
+_USAGE = '"usage":{"prompt_tokens":1,"completion_tokens":1,"total_tokens":2},'
+
+
 def completions_lines(sid: str) -> str:
-    cid = R(f"concat('cc-', {sid})")
-    head = ['{"id":"', cid, '","created":1,"model":"m","usage":{"prompt_tokens":1,"completion_tokens":1,'
-            '"total_tokens":2},"object":"chat.completion.chunk","choices":[{"index":0,"delta":{"content":']
-    tail = "}}]}"
+    def chunk(content, envelope='"created":1,"model":"m",' + _USAGE):
+        return data('{"id":"cc-', R(sid), '",' + envelope + '"object":"chat.completion.chunk",'
+                    '"choices":[{"index":0,"delta":{"content":', content, "}}]}")
+
     return " || ".join([
-        "[" + data(*head, '"', W, ' "', tail) + "]",
-        when(f"{I} % 9 = 4", data(*head, '"<tool_call>{\\"id\\":\\"t', POS, '\\",\\"name\\":\\"lookup\\",'
-                                  '\\"arguments\\":{\\"q\\":\\"', W, '\\"}}</tool_call>"', tail)),
-        when(f"{I} % 9 = 5", data(*head, '"before <tool_call_result>{\\"id\\":\\"t', POS,
-                                  '\\",\\"content\\":\\"ok ', W, '\\"}</tool_call_result> after"', tail)),
-        when(f"{I} % 11 = 7", data(*head, '"<uc_function_call>{\\"id\\":\\"u', POS, '\\",\\"name\\":\\"legacy\\",'
-                                   '\\"arguments\\":\\"', W, '\\"}</uc_function_call>"', tail)),
-        when(f"{I} % 13 = 8", data(*head, '"<uc_function_result>{\\"id\\":\\"u', POS,
-                                   '\\",\\"content\\":\\"done\\"}</uc_function_result>"', tail)),
-        when(f"{I} % 17 = 3", data(*head, '"<tool_call>not json</tool_call>"', tail)),
-        when(f"{I} % 19 = 6", data(*head, '"<tool_call>{\\"id\\":\\"x\\",\\n\\"name\\":\\"y\\"}</tool_call> x"',
-                                   tail)),
-        when(f"{I} % 23 = 10", data(*head, '"<tool_call>\\n{\\"id\\":\\"v', POS,
-                                    '\\",\\"name\\":\\"z\\"}</tool_call>"', tail)),
-        when(f"{I} % 7 = 2", data(*head, '[{"type":"text","text":"', W, '+"},{"type":"image","image_url":"x"},'
-                                  '{"type":"reasoning","summary":[{"type":"summary_text","text":"hmm ', W,
-                                  '"},{"type":"summary_encrypted_text","data":"zz"}]}]', tail)),
-        when(f"{I} % 29 = 14", data('{"id":"', cid, '","choices":[{"index":0,"delta":{"role":"assistant"}}]}')),
-        when(f"{I} % 31 = 20", data('{"id":"', cid, '","choices":')),
+        "[" + chunk(js_text(W)) + "]",
+        when(f"{I} % 9 = 4", chunk(js_text('<tool_call>{"id":"t', POS, '","name":"lookup","arguments":{"q":', js_text(T),
+                                           "}}</tool_call>"))),
+        when(f"{I} % 9 = 5", chunk(js_text('before <tool_call_result>{"id":"t', POS, '","content":', js_text("ok ", T),
+                                           "}</tool_call_result> after"))),
+        when(f"{I} % 11 = 7", chunk(js_text('<uc_function_call>{"id":"u', POS, '","name":"legacy","arguments":',
+                                            js_text(T), "}</uc_function_call>"))),
+        when(f"{I} % 13 = 8", chunk(js_text('<uc_function_result>{"id":"u', POS, '","content":"done"}</uc_function_result>'))),
+        when(f"{I} % 17 = 3", chunk(js_text("<tool_call>not json</tool_call>"))),
+        when(f"{I} % 19 = 6", chunk(js_text('<tool_call>{"id":"x",\n"name":"y"}</tool_call> x'))),
+        when(f"{I} % 23 = 10", chunk(js_text('<tool_call>\n{"id":"v', POS, '","name":"z"}</tool_call>'))),
+        when(f"{I} % 7 = 2", chunk(R(joined('[{"type":"text","text":', js_text(T, "+"), '},{"type":"image","image_url":"x"},'
+                                            '{"type":"reasoning","summary":[{"type":"summary_text","text":',
+                                            js_text("hmm ", T), '},{"type":"summary_encrypted_text","data":"zz"}]}]')))),
+        when(f"{I} % 29 = 14", data('{"id":"cc","choices":[{"index":0,"delta":{"role":"assistant"}}]}')),
+        when(f"{I} % 31 = 20", data('{"id":"cc","choices":')),
+        when(f"{I} % 37 = 11", chunk(js_text("<tool_call>{'id':'x','name':'y'}</tool_call>"))),
+        when(f"{I} % 41 = 13", chunk(js_text('<tool_call>{"id":"x","name":"y"} junk</tool_call>'))),
+        when(f"{I} % 43 = 17", chunk(js_text("no usage ", T), '"created":1,"model":"m",')),
+        when(f"{I} % 47 = 19", chunk(js_text("no model ", T), '"created":1,' + _USAGE)),
+        when(f"{I} % 53 = 23", chunk(js_text("no number ", T), '"created":"1","model":"m",' + _USAGE)),
+        when(f"{I} % 59 = 29", chunk(R("'null'"))),
+        when(f"{I} % 61 = 31", chunk(R(joined('[{"type":"sound","text":', js_text(T), "}]")))),
     ])
 
 
 def chat_agent_lines(sid: str) -> str:
+    said = ['{"id":"ev', POS, '","delta":{"role":"assistant","id":"a', BLK, '","content":']
     return " || ".join([
-        "[" + data('{"id":"ev', POS, '","delta":{"role":"assistant","id":"a', BLK, '","content":"', W,
-                   ' "}}') + "]",
-        when(f"{I} % 8 = 3", data('{"id":"ev', POS, '","delta":{"role":"assistant","id":"a', BLK,
-                                  '","content":"","tool_calls":[{"type":"function","id":"tc', POS,
-                                  '","function":{"name":"lookup","arguments":"{}"}},{"type":"function","id":"td', POS,
+        "[" + data(*said, js_text(W), "}}") + "]",
+        when(f"{I} % 8 = 3", data(*said, '"","tool_calls":[{"type":"function","id":"tc', POS,
+                                  '","function":{"name":"lookup","arguments":', js_text('{"q":', js_text(T), "}"),
+                                  '}},{"type":"function","id":"td', POS,
                                   '","function":{"name":"fetch","arguments":"[1]"}}]}}')),
         when(f"{I} % 8 = 4", data('{"id":"ev', POS, '","delta":{"role":"tool","name":"lookup","id":"o', POS,
-                                  '","tool_call_id":"tc', POS, '","content":"found ', W, '"}}')),
+                                  '","tool_call_id":"tc', POS, '","content":', js_text("found ", T), "}}")),
         when(f"{I} % 13 = 6", data('{"id":"ev', POS, '","delta":{"role":"user","id":"u', POS,
                                    '","content":"ignored"}}')),
-        when(f"{I} % 17 = 9", data('{"id":"ev', POS, '","delta":{"role":"assistant","id":"a', BLK,
-                                   '","content":x', W, '}}')),
+        when(f"{I} % 17 = 9", data(*said, "x", T, "}}")),
+        when(f"{I} % 19 = 7", data(*said, '"","tool_calls":[{"type":"function","id":5,'
+                                   '"function":{"name":"f","arguments":"{}"}}]}}')),
+        when(f"{I} % 23 = 8", data(*said, '"","tool_calls":[{"type":"function","id":"e', POS, '","function":{}}]}}')),
     ])
 
 
@@ -126,8 +144,7 @@ def _bodies(lines_sql: str) -> str:
 SELECT id AS stream_id, chat_id, created_at AS started_at,
        array_to_string(flatten(list_transform(ws, lambda w, j: {lines_sql})) || ['data: [DONE]'], {NL2}) || {NL2}
          AS body
-FROM (SELECT *, list_filter(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' '), lambda x: x <> '')
-             AS ws FROM messages WHERE role = 'assistant') m"""
+FROM (SELECT *, regexp_extract_all(text, '{PIECE}') AS ws FROM messages WHERE role = 'assistant') m"""
 
 
 def _events(bodies: str) -> str:
@@ -234,12 +251,50 @@ def _tag_part(seg: str, cid: str) -> str:
 
 _CONTENT = "$.choices[0].delta.content"
 _CID = js("$.id")
-_SEGS = (f"list_filter(string_split(regexp_replace({js(_CONTENT)}, '{_PATTERN}', chr(1) || '\\1' || chr(1), 'g'),"
-         f" chr(1)), lambda s: s <> '')")
+_TEXT1 = js(_CONTENT)
+_SEGS = (f"list_filter(flatten(list_transform(regexp_split_to_array({_TEXT1}, '{_PATTERN}'), lambda s, n: "
+         f"[s, coalesce(regexp_extract_all({_TEXT1}, '{_PATTERN}')[n], '')])), lambda s: s <> '')")
 _ITEMS = f"cast(json_extract(jj, '{_CONTENT}') AS JSON[])"
+
+
+def kind_of(j: str, path: str) -> str:
+    return f"json_type({j}, '{path}')"
+
+
+def str_in(j: str, path: str) -> str:
+    return f"coalesce({kind_of(j, path)} = 'VARCHAR', false)"
+
+
+def num_in(j: str, path: str) -> str:
+    return f"coalesce({kind_of(j, path)} IN ('UBIGINT', 'BIGINT', 'DOUBLE'), false)"
+
+
+def all_in(j: str, path: str, var: str, test: str) -> str:
+    """A list of which no element fails the test."""
+    return (f"(coalesce({kind_of(j, path)} = 'ARRAY', false) AND len(list_filter("
+            f"CASE WHEN {kind_of(j, path)} = 'ARRAY' THEN cast(json_extract({j}, '{path}') AS JSON[]) ELSE []::JSON[] END, "
+            f"lambda {var}: NOT coalesce({test}, false))) = 0)")
+
+
+def x(j: str, path: str) -> str:
+    return f"json_extract_string({j}, '{path}')"
+
+
+_SUMMARY_OK = (f"({x('sm', '$.type')} = 'summary_text' AND {str_in('sm', '$.text')}) OR "
+               f"({x('sm', '$.type')} = 'summary_encrypted_text' AND {str_in('sm', '$.data')})")
+_ITEM_OK = (f"({x('ci', '$.type')} = 'text' AND {str_in('ci', '$.text')}) OR "
+            f"({x('ci', '$.type')} = 'image' AND {str_in('ci', '$.image_url')}) OR "
+            f"({x('ci', '$.type')} = 'reasoning' AND {all_in('ci', '$.summary', 'sm', _SUMMARY_OK)})")
+_CHOICE_OK = (f"{num_in('ch', '$.index')} AND coalesce({kind_of('ch', '$.delta')} = 'OBJECT', false) "
+              f"AND coalesce({x('ch', '$.delta.role')}, 'assistant') = 'assistant' "
+              f"AND ({kind_of('ch', '$.delta.content')} IS NULL OR {str_in('ch', '$.delta.content')} "
+              f"OR {all_in('ch', '$.delta.content', 'ci', _ITEM_OK)})")
+_CHUNK_OK = " AND ".join([IS_OBJ, is_str("$.id"), num_in("jj", "$.created"), is_str("$.model"),
+                          *[num_in("jj", f"$.usage.{f}") for f in ("prompt_tokens", "completion_tokens", "total_tokens")],
+                          f"{js('$.object')} IS NOT DISTINCT FROM 'chat.completion.chunk'",
+                          all_in("jj", "$.choices", "ch", _CHOICE_OK)])
 COMPLETIONS_PARTS = f"""CASE
-  WHEN NOT ({IS_OBJ} AND {js('$.object')} IS NOT DISTINCT FROM 'chat.completion.chunk' AND {is_str('$.id')})
-    THEN [{PARSE_ERR}]
+  WHEN NOT ({_CHUNK_OK}) THEN [{PARSE_ERR}]
   WHEN json_type(jj, '{_CONTENT}') = 'VARCHAR' THEN list_transform({_SEGS}, lambda seg: {_tag_part('seg', _CID)})
   WHEN json_type(jj, '{_CONTENT}') = 'ARRAY' THEN flatten(list_transform({_ITEMS}, lambda it:
     CASE json_extract_string(it, '$.type')
@@ -258,9 +313,12 @@ def _dstr(f: str) -> str:
 
 _ROLE = js("$.delta.role")
 _CONTENT2 = js("$.delta.content")
+_CALL_OK = (f"{x('tc', '$.type')} = 'function' AND {str_in('tc', '$.id')} AND {str_in('tc', '$.function.name')} "
+            f"AND {str_in('tc', '$.function.arguments')}")
+_CALLS_OK = f"({kind_of('jj', '$.delta.tool_calls')} IS NULL OR {all_in('jj', '$.delta.tool_calls', 'tc', _CALL_OK)})"
 CHAT_AGENT_PARTS = f"""CASE
   WHEN NOT ({IS_OBJ} AND {is_str('$.id')} AND (
-        ({_ROLE} = 'assistant' AND {_dstr('content')} AND {_dstr('id')})
+        ({_ROLE} = 'assistant' AND {_dstr('content')} AND {_dstr('id')} AND {_CALLS_OK})
      OR ({_ROLE} = 'tool' AND {_dstr('name')} AND {_dstr('content')} AND {_dstr('tool_call_id')} AND {_dstr('id')})
      OR ({_ROLE} = 'user' AND {_dstr('content')} AND {_dstr('id')}))) THEN [{PARSE_ERR}]
   WHEN {_ROLE} = 'assistant' THEN
@@ -294,6 +352,7 @@ def _isd(t: str) -> str:
 
 _CUR = "{" + ", ".join(f"'{f}': {f}" for f in PART_FIELDS) + "}"
 _PF = ", ".join(f"pp.{f} AS {f}" for f in PART_FIELDS)
+_FLUSH = P(type=f"{_grp('type')} || '-end'", id="id")
 cte("stream_parts", f"""
 SELECT stream_id, chat_id, started_at, ord, is_flush, {", ".join(PART_FIELDS)} FROM (
   SELECT *, min(CASE WHEN type IN ('text-end', 'reasoning-end') AND NOT is_flush THEN ord END)
@@ -301,25 +360,20 @@ SELECT stream_id, chat_id, started_at, ord, is_flush, {", ".join(PART_FIELDS)} F
   FROM (
     SELECT *, CASE WHEN {_grp('type')} IS NOT NULL AND id IS NOT NULL THEN {_grp('type')} || ':' || id END AS end_key
     FROM (
-      SELECT stream_id, chat_id, started_at, cast(seq * 64 + sub * 8 + k AS BIGINT) AS ord, false AS is_flush, {_PF}
-      FROM (SELECT *, generate_subscripts(outl, 1) - 1 AS k, unnest(outl) AS pp FROM (
+      SELECT stream_id, chat_id, started_at, k > n_out AS is_flush, {_PF},
+             cast(row_number() OVER (PARTITION BY stream_id ORDER BY seq, sub, k) AS BIGINT) AS ord
+      FROM (SELECT *, len(outl) AS n_out, generate_subscripts(outl || fl, 1) AS k, unnest(outl || fl) AS pp FROM (
         SELECT *, CASE WHEN m THEN [{_CUR}]
                   ELSE (CASE WHEN {_isd('prev_t')} THEN [{P(type=f"{_grp('prev_t')} || '-end'", id='prev_id')}]
                              ELSE {NONE} END)
                     || (CASE WHEN {_isd('type')} THEN [{P(type=f"{_grp('type')} || '-start'", id='id')}, {_CUR}]
-                             ELSE [{_CUR}] END) END AS outl
+                             ELSE [{_CUR}] END) END AS outl,
+                  CASE WHEN is_last AND {_isd('type')} THEN [{_FLUSH}] ELSE {NONE} END AS fl
         FROM (SELECT *, coalesce({_isd('prev_t')} AND {_isd('type')} AND {_grp('prev_t')} = {_grp('type')}
                                  AND id IS NOT NULL AND prev_id IS NOT NULL AND id = prev_id, false) AS m
               FROM (SELECT *, lag(type) OVER w AS prev_t, lag(id) OVER w AS prev_id,
                            lead(sub) OVER w IS NULL AS is_last
-                    FROM parts_responses WINDOW w AS (PARTITION BY stream_id ORDER BY seq, sub)) a) b) c) d
-      UNION ALL
-      SELECT stream_id, chat_id, started_at, cast(seq * 64 + sub * 8 + 63 AS BIGINT) AS ord, true AS is_flush,
-             {", ".join(f"{_grp('type')} || '-end'" if f == 'type' else ('id' if f == 'id' else f'NULL::VARCHAR')
-                        for f in PART_FIELDS)}
-      FROM (SELECT *, lead(sub) OVER (PARTITION BY stream_id ORDER BY seq, sub) IS NULL AS is_last
-            FROM parts_responses) e
-      WHERE is_last AND {_isd('type')}) f) g) h
+                    FROM parts_responses WINDOW w AS (PARTITION BY stream_id ORDER BY seq, sub)) a) b) c) d) g) g2) h
 WHERE end_key IS NULL OR is_flush OR fe IS NULL OR ord <= fe""", ("parts_responses",))
 
 cte("assembled", f"""
@@ -352,45 +406,41 @@ FROM (SELECT *, CASE WHEN type = 'source-url' THEN NOT coalesce(prev_t IN ('text
 
 # ----------------------------------------------------------------------------- whole responses (M7)
 
-_WS = "list_filter(string_split(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' '), lambda x: x <> '')"
-_TXT = "array_to_string(ws, ' ')"
-
-
 def _whole(body: str) -> str:
     return f"""
 SELECT id AS stream_id, {body} AS response
-FROM (SELECT *, {_WS} AS ws, cast(len({_WS}) // 2 AS BIGINT) AS half, cast(turn AS VARCHAR) AS ts,
-             chat_id AS c, turn AS t
+FROM (SELECT *, cast(floor(length(text) / 2) AS BIGINT) AS half, cast(turn AS VARCHAR) AS ts, chat_id AS c, turn AS t
       FROM messages WHERE role = 'assistant') m"""
 
 
-cte("whole_responses", _whole("""'{"id":"resp","output":[' || concat_ws(',',
-   '{"type":"message","id":"m","content":[{"type":"output_text","text":"' || array_to_string(ws[1:greatest(half, 1)], ' ')
-     || '"},{"type":"output_text","text":"' || array_to_string(ws[half + 1:], ' ') || '"}]}',
-   CASE WHEN c % 2 = 0 THEN '{"type":"function_call","id":"f","call_id":"c' || ts
-     || '","name":"lookup","arguments":"{}"},{"type":"function_call_output","call_id":"c' || ts
-     || '","output":"found"}' END,
-   CASE WHEN t % 3 = 1 THEN '{"type":"reasoning","id":"r","summary":[{"type":"summary_text","text":"why"},'
-     || '{"type":"summary_text","text":"because"}]}' END) || ']}'"""), ("messages",))
-
-cte("whole_completions", _whole(f"""'{{"id":"cc","created":1,"model":"m","usage":{{"prompt_tokens":1,"completion_tokens":1,'
-  || '"total_tokens":2}},"choices":[{{"index":0,"message":{{"role":"assistant","content":' ||
-  CASE WHEN c % 3 = 0 THEN '" <tool_call>{{\\"id\\":\\"k' || ts
-                             || '\\",\\"name\\":\\"lookup\\",\\"arguments\\":{{\\"q\\":1}}}}</tool_call> "'
-       WHEN c % 3 = 1 THEN '[{{"type":"text","text":"' || {_TXT}
-                             || '"}},{{"type":"image","image_url":"u"}},{{"type":"reasoning",'
-                             || '"summary":[{{"type":"summary_text","text":"hmm"}}]}}]'
-       ELSE '"' || {_TXT} || ' <tool_call>{{\\"id\\":\\"z\\",\\"name\\":\\"n\\"}}</tool_call>"' END || '}}}}]}}'"""),
-    ("messages",))
-
-cte("whole_chat_agent", _whole(f"""'{{"id":"ca","messages":[{{"role":"user","id":"u","content":"q"}},'
-  || '{{"role":"assistant","id":"a","content":"' || {_TXT} || '"'
-  || CASE WHEN c % 2 = 0 THEN ',"tool_calls":[{{"type":"function","id":"c' || ts
-                              || '","function":{{"name":"lookup","arguments":"{{}}"}}}}]' ELSE '' END || '}}'
-  || CASE WHEN c % 2 = 0 THEN ',{{"role":"tool","name":"lookup","id":"o","tool_call_id":"c' || ts
-                              || '","content":"found"}}' ELSE '' END || ']}}'"""), ("messages",))
-
-CFIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result"]
+_TXT, _TS = R("text"), R("ts")
+cte("whole_responses", _whole(joined(
+    '{"id":"resp","output":[',
+    R("concat_ws(',', " + joined('{"type":"message","id":"m","content":[{"type":"output_text","text":',
+                                 js_text(R("substr(text, 1, half)")), '},{"type":"output_text","text":',
+                                 js_text(R("substr(text, half + 1)")), "}]}")
+      + ", CASE WHEN c % 2 = 0 THEN " + joined('{"type":"function_call","id":"f","call_id":"c', _TS,
+                                               '","name":"lookup","arguments":"{}"},'
+                                               '{"type":"function_call_output","call_id":"c', _TS, '","output":"found"}')
+      + " END, CASE WHEN t % 3 = 1 THEN " + q('{"type":"reasoning","id":"r","summary":[{"type":"summary_text","text":"why"},'
+                                              '{"type":"summary_text","text":"because"}]}') + " END)"), "]}")), ("messages",))
+
+cte("whole_completions", _whole(joined(
+    '{"id":"cc","created":1,"model":"m",' + _USAGE + '"choices":[{"index":0,"message":{"role":"assistant","content":',
+    R("CASE WHEN c % 3 = 0 THEN " + js_text(' <tool_call>{"id":"k', _TS, '","name":"lookup","arguments":', js_text(_TXT),
+                                            "}</tool_call> ")
+      + " WHEN c % 3 = 1 THEN " + joined('[{"type":"text","text":', js_text(_TXT), '},{"type":"image","image_url":"u"},'
+                                         '{"type":"reasoning","summary":[{"type":"summary_text","text":"hmm"}]}]')
+      + " ELSE " + js_text(_TXT, ' <tool_call>{"id":"z","name":"n"}</tool_call>') + " END"), "}}]}")), ("messages",))
+
+cte("whole_chat_agent", _whole(joined(
+    '{"id":"ca","messages":[{"role":"user","id":"u","content":"q"},{"role":"assistant","id":"a","content":', js_text(_TXT),
+    R("CASE WHEN c % 2 = 0 THEN " + joined(',"tool_calls":[{"type":"function","id":"c', _TS,
+                                           '","function":{"name":"lookup","arguments":"{}"}}]') + " ELSE '' END"), "}",
+    R("CASE WHEN c % 2 = 0 THEN " + joined(',{"role":"tool","name":"lookup","id":"o","tool_call_id":"c', _TS,
+                                           '","content":"found"}') + " ELSE '' END"), "]}")), ("messages",))
+
+CFIELDS = ["type", "text", "tool_call_id", "tool_name", "input", "result", "item_id"]
 
 
 def C(**kw) -> str:
@@ -410,11 +460,11 @@ def jl(x: str, path: str) -> str:
 
 _RESP_WHOLE = f"""flatten(list_transform({jl('jj', '$.output')}, lambda o: CASE {jo('o', '$.type')}
   WHEN 'message' THEN list_transform(list_filter({jl('o', '$.content')}, lambda c: {jo('c', '$.type')} = 'output_text'),
-                                     lambda c: {C(type="'text'", text=jo('c', '$.text'))})
+                                     lambda c: {C(type="'text'", text=jo('c', '$.text'), item_id=jo('o', '$.id'))})
   WHEN 'function_call' THEN [{C(type="'tool-call'", tool_call_id=jo('o', '$.call_id'), tool_name=jo('o', '$.name'),
-                                input=jo('o', '$.arguments'))}]
+                                input=jo('o', '$.arguments'), item_id=jo('o', '$.id'))}]
   WHEN 'reasoning' THEN list_transform(list_filter({jl('o', '$.summary')}, lambda s: {jo('s', '$.type')} = 'summary_text'),
-                                       lambda s: {C(type="'reasoning'", text=jo('s', '$.text'))})
+                                       lambda s: {C(type="'reasoning'", text=jo('s', '$.text'), item_id=jo('o', '$.id'))})
   WHEN 'function_call_output' THEN [{C(type="'tool-result'", tool_call_id=jo('o', '$.call_id'),
                                        result=jo('o', '$.output'), tool_name=TOOL_NAME)}]
   ELSE {CNONE} END))"""

@@ -84,16 +84,15 @@ FROM part""")
 
 cte("competitor_raw", f"""
 SELECT concat('C', k) AS competitor, concat('P', l_partkey) AS product_id,
-       CASE WHEN (l_partkey + k) % 61 = 0 THEN 'oops'
+       CASE WHEN (l_partkey + k) % 61 = 0 THEN 'oops' WHEN l_partkey % 7 = 0 THEN 'n/a'
             ELSE {money("p_retailprice*(85e-2+((l_partkey*7+k*11+dayofmonth(d))%31)/1e2)")} END AS price,
        concat(cast(d as VARCHAR), ' 06:00:00') AS scrape_ts,
        cast(d as VARCHAR) AS event_date,
-       CASE WHEN (l_partkey + k) % 67 = 0 THEN '{{"extra":"1"}}' ELSE NULL END AS _rescued_data
-FROM (SELECT DISTINCT l_partkey, cast(l_shipdate as DATE) AS d FROM lineitem
-      WHERE l_partkey % 7 <> 0) keys
+       CASE WHEN (l_partkey + k) % 67 = 0 THEN '{{"extra":"1"}}'
+            WHEN (l_partkey + k) % 5 = 0 THEN '{{"extra":"5"}}' ELSE NULL END AS _rescued_data
+FROM (SELECT DISTINCT l_partkey, cast(l_shipdate as DATE) AS d FROM lineitem) keys
 JOIN part ON l_partkey = p_partkey
-CROSS JOIN (VALUES (0), (1), (2)) ks(k)
-WHERE (l_partkey + k) % 5 <> 0""")
+CROSS JOIN (VALUES (0), (1), (2)) ks(k)""")
 
 cte("competitor", """
 SELECT competitor, product_id, TRY_CAST(price AS DOUBLE) AS price,
@@ -118,23 +117,32 @@ FROM sales s LEFT JOIN products p ON s.product_id = p.product_id
 
 cte("tickets", """
 SELECT event_id AS ticket_id, CASE WHEN event_id % 5 = 0 THEN 'open' ELSE 'closed' END AS status,
-       event_type AS issue_category, cast(user_id as INTEGER) AS unit_id, ts AS created_time,
+       event_type AS issue_category, user_id AS unit_id, ts AS created_time,
        CASE WHEN event_id % 5 = 0 THEN NULL
             ELSE ts + to_hours(cast(event_id % 72 as BIGINT)) END AS close_time,
        value % 5e0 AS csat_score,
        cast(json_extract_string(props, '$.k') as INTEGER) AS hold_time_seconds,
        event_type = 'error' AS escalated
-FROM events""")
+FROM (SELECT * REPLACE (CASE WHEN event_type = 'view' AND weekofyear(ts) % 4 = 2 THEN ts + INTERVAL 7 DAY ELSE ts END AS ts)
+      FROM events) e""")
 
 cte("chats", """
 SELECT conv_id AS id, concat('U', conv_id % 20) AS user_id, concat('Chat ', conv_id) AS title,
        CASE WHEN conv_id % 4 = 0 THEN 'public' ELSE 'private' END AS visibility,
-       TIMESTAMP '2024-01-01 00:00:00' + to_hours(cast(conv_id as BIGINT)) AS created_at
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(cast(conv_id % 1000000
+         - CASE WHEN conv_id % 3 = 0 AND conv_id >= 20 THEN 20 ELSE 0 END as BIGINT)) AS created_at
 FROM (SELECT DISTINCT conv_id FROM conversations) c""")
 
+cte("page_requests", """
+SELECT user_id, CASE WHEN n % 6 = 5 THEN n + 1000000000 ELSE n + 40 END AS cursor_id
+FROM (SELECT DISTINCT user_id, cast(substr(user_id, 2) AS BIGINT) AS n FROM chats) u""", ("chats",))
+
+cte("lookup_requests", """
+SELECT concat(conv_id, '-', CASE WHEN turn = 0 THEN 999 ELSE turn - 1 END) AS message_id FROM conversations""")
+
 cte("messages", """
 SELECT concat(conv_id, '-', turn) AS id, conv_id AS chat_id, turn, role, text,
-       TIMESTAMP '2024-01-01 00:00:00' + to_hours(cast(conv_id as BIGINT))
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(cast(conv_id % 1000000 as BIGINT))
          + to_minutes(cast(turn as BIGINT)) AS created_at
 FROM conversations""")
 

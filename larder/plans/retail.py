@@ -19,6 +19,11 @@ def sales(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
     return silver.clean_sales(fx.sales_raw(spark, sf), strict=strict)
 
 
+def sales_lines(spark: SparkSession, sf: str, days: tuple | None = None) -> DataFrame:
+    """Silver sales without the order's columns: no join, and ``days`` reaches the scan."""
+    return silver.clean_sales(fx.sales_lines_raw(spark, sf, days))
+
+
 def competitor(spark: SparkSession, sf: str) -> DataFrame:
     return silver.clean_competitor(fx.competitor_raw(spark, sf))
 
@@ -84,7 +89,7 @@ FROM sales JOIN stores ON sales.store_id = stores.store_id
 GROUP BY region ORDER BY total_amount DESC""")
 def q_sales_by_region(spark, sf):
     """C5 + D3 + F1: the flagship query."""
-    return analysis.sales_by_region(sales(spark, sf), fx.stores(spark, sf))
+    return analysis.sales_by_region(sales_lines(spark, sf), fx.stores(spark, sf))
 
 
 @register("daily_sales_month", with_ctes("sales") + f"""
@@ -95,7 +100,7 @@ WHERE event_date >= DATE '{MONTH[0]}-{MONTH[1]:02d}-01'
 GROUP BY event_date ORDER BY event_date""")
 def q_daily_sales_month(spark, sf):
     """B8 + D1: one month of daily totals."""
-    return analysis.daily_sales_month(sales(spark, sf), *MONTH)
+    return analysis.daily_sales_month(sales_lines(spark, sf, analysis.month_bounds(*MONTH)), *MONTH)
 
 
 @register("min_competitor_price", with_ctes("competitor") + """
@@ -169,6 +174,13 @@ def q_table_manifest(spark, sf):
         "table_name", "n_rows", "n_columns")
 
 
+@register("table_files")
+def q_table_files(spark, sf):
+    """Files and bytes of every source table (known to the file system alone, so without SQL)."""
+    from larder.sources.files import manifest
+    return manifest(spark, {t: table(spark, sf, t) for t in TABLES})
+
+
 @register("gold_dedup", with_ctes("gold") + """
 SELECT transaction_id, line_number, competitor, round(competitor_price, 4) AS competitor_price, quantity,
        round(total_amount, 4) AS total_amount

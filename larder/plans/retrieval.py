@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import retrieval as rt
 from larder.plans.registry import register
-from larder.sources.tables import spread, table
+from larder.sources.tables import table
 
 CHUNK, OVERLAP = 200, 50
 TOP_K_TERMS = 5
@@ -29,7 +29,7 @@ def _queries(spark):
 
 
 def _hits(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return rt.term_search(docs, _queries(spark), k=TOP_K_TERMS)
 
 
@@ -44,7 +44,7 @@ FROM (SELECT doc_id, text, generate_subscripts(st, 1) - 1 AS chunk_id, unnest(st
             FROM documents) a) b""")
 def q_document_chunks(spark, sf):
     """200-character chunks overlapping by 50, over every whole document."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return rt.chunk_documents(docs, CHUNK, OVERLAP)
 
 
@@ -103,3 +103,34 @@ def q_vector_topk(spark, sf):
     return rt.vector_topk(emb, rt.label_centroids(emb), k=TOP_K_VECTORS).select(
         F.col("query_id").cast("int").alias("query_id"), "vec_id", "label", "score", "rank")
 
+
+LSH_TABLES, LSH_BITS = 6, 4
+_KEYS = ("list_transform(range({t}), lambda t: list_sum(list_transform(range({b}), lambda j: CASE WHEN list_sum(list_transform("
+         "range(1, len({v}) + 1), lambda d: cast({v}[d] AS DOUBLE) * sin(d * (12.9898 * (t * {b} + j + 1))))) > 0 "
+         "THEN cast(pow(2, j) AS BIGINT) ELSE 0 END)))")
+
+
+def _keys(v: str) -> str:
+    return _KEYS.format(t=LSH_TABLES, b=LSH_BITS, v=v)
+
+
+@register("vector_topk_bucketed", f"""
+WITH c AS (SELECT label AS query_id, list(m ORDER BY dim) AS q
+           FROM (SELECT label, dim, avg(cast(x AS DOUBLE)) AS m
+                 FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim
+                       FROM embeddings) u GROUP BY label, dim) a GROUP BY label),
+ck AS (SELECT *, {_keys('q')} AS ks FROM c), ek AS (SELECT *, {_keys('embedding')} AS ks FROM embeddings),
+s AS (SELECT c.query_id, e.vec_id, e.label,
+             list_reduce(list_transform(range(1, len(e.embedding) + 1),
+                                        lambda i: cast(e.embedding[i] AS DOUBLE) * c.q[i]),
+                         lambda a, b: a + b) AS score
+      FROM ek e, ck c WHERE len(list_filter(range(1, {LSH_TABLES} + 1), lambda t: e.ks[t] = c.ks[t])) > 0)
+SELECT query_id, vec_id, label, round(score, 6) AS score, cast(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r
+WHERE rank <= {TOP_K_VECTORS}""", digits=6)
+def q_vector_topk_bucketed(spark, sf):
+    """Approximate form of ``vector_topk``, over shared buckets only."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return rt.vector_topk_bucketed(emb, rt.label_centroids(emb), TOP_K_VECTORS, LSH_TABLES, LSH_BITS).select(
+        F.col("query_id").cast("int").alias("query_id"), "vec_id", "label", "score", "rank")
+

@@ -41,23 +41,21 @@ def q_ticket_sla(spark, sf):
 , weekly AS (SELECT issue_category, cast(date_trunc('week', created_time) AS DATE) AS week_start,
                     count(*) AS n_tickets, avg({_HOURS}) AS avg_resolution_hours
              FROM tickets GROUP BY 1, 2)
-SELECT issue_category, week_start, n_tickets, round(avg_resolution_hours, 4) AS avg_resolution_hours,
-       lag(n_tickets) OVER (PARTITION BY issue_category ORDER BY week_start) AS prev_n_tickets,
-       round(cast(n_tickets - lag(n_tickets) OVER (PARTITION BY issue_category ORDER BY week_start) AS DOUBLE)
-             / NULLIF(lag(n_tickets) OVER (PARTITION BY issue_category ORDER BY week_start), 0), 4) AS wow_change
-FROM weekly""")
+SELECT issue_category, week_start, w.n_tickets, round(avg_resolution_hours, 4) AS avg_resolution_hours,
+       p.n_tickets AS prev_n_tickets,
+       round(cast(w.n_tickets - p.n_tickets AS DOUBLE) / NULLIF(p.n_tickets, 0), 4) AS wow_change
+FROM weekly w LEFT JOIN (SELECT issue_category AS c, week_start AS s, n_tickets FROM weekly) p
+  ON p.c = w.issue_category AND p.s = w.week_start - 7""")
 def q_ticket_wow(spark, sf):
     """Week-over-week ticket change per category."""
     return tk.ticket_wow(fx.tickets(spark, sf))
 
 
 @register("similar_cases", with_ctes("tickets") + """
-SELECT issue_category, status, count(*) AS n_cases,
-       list_sort(list(ticket_id) FILTER (WHERE rn <= 5)) AS cited_ids
-FROM (SELECT *, row_number() OVER (PARTITION BY issue_category, status ORDER BY ticket_id) AS rn FROM tickets) t
-GROUP BY issue_category, status""")
+SELECT issue_category, status, count(*) OVER (PARTITION BY issue_category, status) AS n_cases, ticket_id
+FROM tickets""")
 def q_similar_cases(spark, sf):
-    """Grouped similar cases with five cited ticket ids each."""
+    """Grouped similar cases, all of their ticket ids cited."""
     return tk.similar_cases(fx.tickets(spark, sf))
 
 

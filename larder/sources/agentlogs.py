@@ -1,11 +1,13 @@
 """Agent response streams (server-sent events) derived from the conversations.
 
 Every assistant message becomes one response stream: its whole text is cut
-into words, and each word position emits one or more ``data:`` lines in the
-chosen wire dialect.  Position rules add the other event kinds (reasoning,
-tool calls and results, citations, item-done events, errors, malformed and
-unknown lines) so every branch of the normalisers is exercised.  All of it is
-row-local array work on one message: no shuffle.
+into pieces (a word with the white space beside it, so that the pieces joined
+are the text), and each piece emits one or more ``data:`` lines in the chosen
+wire dialect.  Position rules add the other event kinds (reasoning, tool calls
+and results, citations, item-done events, errors, malformed, incomplete and
+unknown lines) so every branch of the normalisers is exercised.  Texts enter
+JSON through the encoder only.  All of it is row-local array work on one message;
+the messages are dealt by stream id first, as the per-stream windows behind need.
 """
 
 from __future__ import annotations
@@ -14,20 +16,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.sources.fixtures import messages
-from larder.sources.tables import spread
 
 STEP_SECONDS = 2        # arrival spacing of consecutive lines
 GAP_EVERY = 40          # every GAP_EVERY lines the stream stalls ...
 GAP_SECONDS = 360       # ... for six minutes (longer than the idle limit)
 
+SPACE = r"[\x20\x09-\x0D]"
+PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
 
 def words(text: Column) -> Column:
-    """Alphanumeric words of the whole text, in order."""
-    return F.filter(F.split(F.regexp_replace(text, "[^A-Za-z0-9 ]", ""), " "), lambda w: w != "")
+    """The whole text as words, each with the white space around it."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def bare(word: Column) -> Column:
+    return F.regexp_replace(word, SPACE, "")
+
+
+def _text(*pieces) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
+
+
+def quoted(*pieces) -> Column:
+    """The pieces, joined, as a JSON string."""
+    encoded = F.to_json(F.struct(_text(*pieces).alias("s")))
+    return F.substring(encoded, F.lit(6), F.length(encoded) - 6)
 
 
 def _data(*pieces) -> Column:
-    return F.concat(F.lit("data: "), *[p if isinstance(p, Column) else F.lit(p) for p in pieces])
+    return _text("data: ", *pieces)
 
 
 def _when(cond: Column, *lines: Column) -> Column:
@@ -35,73 +53,81 @@ def _when(cond: Column, *lines: Column) -> Column:
 
 
 def _responses_lines(w: Column, i: Column, conv: Column) -> Column:
-    """Dialect 3 (typed response events) lines for word ``w`` at position ``i``."""
+    """Dialect 3 (typed response events) lines for piece ``w`` at position ``i``."""
     blk = F.floor(i / 5).cast("string")
     pos = i.cast("string")
+    t = bare(w)
+
+    def delta(text: Column) -> Column:
+        return _data('{"type":"response.output_text.delta","item_id":"i', blk, '","delta":', text, "}")
+
+    def item(kind: str, prefix: str, of: Column, body: str, *text) -> Column:
+        return _data('{"type":"response.output_item.done","output_index":0,"item":{"type":"', kind, '","id":"', prefix, of, '",', body, *text)
+
     return F.concat(
         _when((i == 0) & (conv % 5 == 0), _data(
             '{"type":"response.output_item.done","output_index":0,"item":{"type":"message","id":"n0",'
             '"content":[{"type":"output_text","text":"<name>agent</name>"}]}}')),
         _when(i % 7 == 3, _data('{"type":"response.reasoning_summary_text.delta","item_id":"r', blk,
-                                '","summary_index":0,"delta":"think ', w, ' "}')),
-        F.array(_data('{"type":"response.output_text.delta","item_id":"i', blk, '","delta":"', w, ' "}')),
+                                '","summary_index":0,"delta":', quoted("think ", t, " "), "}")),
+        F.array(delta(quoted(w))),
         _when(i % 11 == 5,
-              _data('{"type":"response.output_item.done","output_index":0,"item":{"type":"function_call",'
-                    '"id":"f', pos, '","call_id":"call', pos, '","name":"lookup","arguments":"{\\"q\\":\\"',
-                    w, '\\"}"}}'),
-              _data('{"type":"function_call_output","call_id":"call', pos, '","output":"result ', w, '"}')),
-        _when(i % 13 == 7, _data('{"type":"response.output_text.annotation.added","annotation":'
-                                 '{"type":"url_citation","url":"https://docs.test/', w, '","title":"Doc ', w,
-                                 '"}}')),
-        _when(i % 17 == 9, _data('{"type":"response.output_item.done","output_index":0,"item":{"type":"message",'
-                                 '"id":"i', blk, '","content":[{"type":"output_text","text":"', w, '"}]}}')),
-        _when(i % 19 == 18, _data('{"type":"response.output_item.done","output_index":0,"item":{"type":"message",'
-                                  '"id":"m', pos, '","content":[{"type":"output_text","text":"', w,
-                                  ' complete"}]}}')),
+              item("function_call", "f", pos, '"call_id":"call', pos, '","name":"lookup","arguments":',
+                   quoted('{"q":', quoted(t), "}"), "}}"),
+              _data('{"type":"function_call_output","call_id":"call', pos, '","output":', quoted("result ", t), "}")),
+        _when(i % 13 == 7, _data('{"type":"response.output_text.annotation.added","annotation":{"type":"url_citation","url":',
+                                 quoted("https://docs.test/", t), ',"title":', quoted("Doc ", t), "}}")),
+        _when(i % 17 == 9, item("message", "i", blk, '"content":[{"type":"output_text","text":', quoted(t), "}]}}")),
+        _when(i % 19 == 18, item("message", "m", pos, '"content":[{"type":"output_text","text":', quoted(t, " complete"), "}]}}")),
         _when(i % 23 == 11, _data('{"type":"response.output_text.delta","item_id":"i', blk, '"')),
-        _when(i % 29 == 4, _data('{"type":"response.created","sequence_number":', pos, '}')),
-        _when(i % 31 == 15, _data('{"type":"error","code":"rate_limit","message":"slow ', w,
-                                  '","sequence_number":', pos, '}')),
-        _when(i % 37 == 6, _data('{"type":"response.output_item.done","output_index":0,"item":{"type":"reasoning",'
-                                 '"id":"r', pos, '","summary":[{"type":"summary_text","text":"why ', w, '"}]}}')),
+        _when(i % 29 == 4, _data('{"type":"response.created","sequence_number":', pos, "}")),
+        _when(i % 31 == 15, _data('{"type":"error","code":"rate_limit","message":', quoted("slow ", t),
+                                  ',"sequence_number":', pos, "}")),
+        _when(i % 37 == 6, item("reasoning", "r", pos, '"summary":[{"type":"summary_text","text":', quoted("why ", t), "}]}}")),
         _when(i % 41 == 8, _data('{"type":"response.function_call_arguments.delta","item_id":"f', pos,
-                                 '","delta":"{","output_index":0,"sequence_number":', pos, '}')),
-        _when((i % 43 == 20) & (conv % 6 == 0),
-              _data('{"type":"response.output_text.delta","item_id":"i', blk, '","delta":"<has_function_call> "}')),
-        _when(i % 47 == 12,
-              _data('{"type":"response.output_text.delta","item_id":"i', blk, '","delta":"| ', w, ' |"}'),
-              _data('{"type":"response.output_text.annotation.added","annotation":{"type":"url_citation",'
-                    '"url":"https://docs.test/t', w, '","title":""}}')),
+                                 '","delta":"{","output_index":0,"sequence_number":', pos, "}")),
+        _when((i % 43 == 20) & (conv % 6 == 0), delta(F.lit('"<has_function_call> "'))),
+        _when(i % 47 == 12, delta(quoted("| ", t, " |")),
+              _data('{"type":"response.output_text.annotation.added","annotation":{"type":"url_citation","url":',
+                    quoted("https://docs.test/t", t), ',"title":""}}')),
     )
 
 
+_USAGE = '"usage":{"prompt_tokens":1,"completion_tokens":1,"total_tokens":2},'
+_CHUNK = '"object":"chat.completion.chunk","choices":[{"index":0,"delta":{"content":'
+
+
 def _completions_lines(w: Column, i: Column, sid: Column) -> Column:
-    """Dialect 1 (completion chunks) lines: text, tagged tools, content arrays."""
-    cid = F.concat(F.lit("cc-"), sid)
+    """Dialect 1 (completion chunks) lines: text, tagged tools, content arrays, incomplete envelopes."""
     pos = i.cast("string")
-    head = ['{"id":"', cid, '","created":1,"model":"m","usage":{"prompt_tokens":1,"completion_tokens":1,'
-            '"total_tokens":2},"object":"chat.completion.chunk","choices":[{"index":0,"delta":{"content":']
-    tail = "}}]}"
+    t = bare(w)
+
+    def chunk(content, envelope: str = '","created":1,"model":"m",' + _USAGE) -> Column:
+        return _data('{"id":', F.substring(quoted("cc-", sid), F.lit(1), F.length(quoted("cc-", sid)) - 1), envelope, _CHUNK, content, "}}]}")
+
     return F.concat(
-        F.array(_data(*head, '"', w, ' "', tail)),
-        _when(i % 9 == 4, _data(*head, '"<tool_call>{\\"id\\":\\"t', pos, '\\",\\"name\\":\\"lookup\\",'
-                                '\\"arguments\\":{\\"q\\":\\"', w, '\\"}}</tool_call>"', tail)),
-        _when(i % 9 == 5, _data(*head, '"before <tool_call_result>{\\"id\\":\\"t', pos,
-                                '\\",\\"content\\":\\"ok ', w, '\\"}</tool_call_result> after"', tail)),
-        _when(i % 11 == 7, _data(*head, '"<uc_function_call>{\\"id\\":\\"u', pos, '\\",\\"name\\":\\"legacy\\",'
-                                 '\\"arguments\\":\\"', w, '\\"}</uc_function_call>"', tail)),
-        _when(i % 13 == 8, _data(*head, '"<uc_function_result>{\\"id\\":\\"u', pos,
-                                 '\\",\\"content\\":\\"done\\"}</uc_function_result>"', tail)),
-        _when(i % 17 == 3, _data(*head, '"<tool_call>not json</tool_call>"', tail)),
-        _when(i % 19 == 6, _data(*head, '"<tool_call>{\\"id\\":\\"x\\",\\n\\"name\\":\\"y\\"}</tool_call> x"',
-                                 tail)),
-        _when(i % 23 == 10, _data(*head, '"<tool_call>\\n{\\"id\\":\\"v', pos,
-                                  '\\",\\"name\\":\\"z\\"}</tool_call>"', tail)),
-        _when(i % 7 == 2, _data(*head, '[{"type":"text","text":"', w, '+"},{"type":"image","image_url":"x"},'
-                                '{"type":"reasoning","summary":[{"type":"summary_text","text":"hmm ', w,
-                                '"},{"type":"summary_encrypted_text","data":"zz"}]}]', tail)),
-        _when(i % 29 == 14, _data('{"id":"', cid, '","choices":[{"index":0,"delta":{"role":"assistant"}}]}')),
-        _when(i % 31 == 20, _data('{"id":"', cid, '","choices":')),
+        F.array(chunk(quoted(w))),
+        _when(i % 9 == 4, chunk(quoted('<tool_call>{"id":"t', pos, '","name":"lookup","arguments":{"q":', quoted(t), "}}</tool_call>"))),
+        _when(i % 9 == 5, chunk(quoted('before <tool_call_result>{"id":"t', pos, '","content":', quoted("ok ", t), "}</tool_call_result> after"))),
+        _when(i % 11 == 7, chunk(quoted('<uc_function_call>{"id":"u', pos, '","name":"legacy","arguments":', quoted(t), "}</uc_function_call>"))),
+        _when(i % 13 == 8, chunk(quoted('<uc_function_result>{"id":"u', pos, '","content":"done"}</uc_function_result>'))),
+        _when(i % 17 == 3, chunk(quoted("<tool_call>not json</tool_call>"))),
+        _when(i % 19 == 6, chunk(quoted('<tool_call>{"id":"x",\n"name":"y"}</tool_call> x'))),
+        _when(i % 23 == 10, chunk(quoted('<tool_call>\n{"id":"v', pos, '","name":"z"}</tool_call>'))),
+        _when(i % 7 == 2, chunk(_text('[{"type":"text","text":', quoted(t, "+"), '},{"type":"image","image_url":"x"},'
+                                      '{"type":"reasoning","summary":[{"type":"summary_text","text":', quoted("hmm ", t),
+                                      '},{"type":"summary_encrypted_text","data":"zz"}]}]'))),
+        _when(i % 29 == 14, _data('{"id":"cc","choices":[{"index":0,"delta":{"role":"assistant"}}]}')),
+        _when(i % 31 == 20, _data('{"id":"cc","choices":')),
+        # not JSON by the letter: single quotes, something behind the object
+        _when(i % 37 == 11, chunk(quoted("<tool_call>{'id':'x','name':'y'}</tool_call>"))),
+        _when(i % 41 == 13, chunk(quoted('<tool_call>{"id":"x","name":"y"} junk</tool_call>'))),
+        # incomplete envelopes
+        _when(i % 43 == 17, chunk(quoted("no usage ", t), '","created":1,"model":"m",')),
+        _when(i % 47 == 19, chunk(quoted("no model ", t), '","created":1,' + _USAGE)),
+        _when(i % 53 == 23, chunk(quoted("no number ", t), '","created":"1","model":"m",' + _USAGE)),
+        _when(i % 59 == 29, chunk(F.lit("null"))),
+        _when(i % 61 == 31, chunk(_text('[{"type":"sound","text":', quoted(t), "}]"))),
     )
 
 
@@ -109,19 +135,21 @@ def _chat_agent_lines(w: Column, i: Column, sid: Column) -> Column:
     """Dialect 2 (role-discriminated deltas) lines: assistant text, tool calls, tool results."""
     blk = F.floor(i / 5).cast("string")
     pos = i.cast("string")
+    t = bare(w)
+    said = ['{"id":"ev', pos, '","delta":{"role":"assistant","id":"a', blk, '","content":']
     return F.concat(
-        F.array(_data('{"id":"ev', pos, '","delta":{"role":"assistant","id":"a', blk, '","content":"', w,
-                      ' "}}')),
-        _when(i % 8 == 3, _data('{"id":"ev', pos, '","delta":{"role":"assistant","id":"a', blk,
-                                '","content":"","tool_calls":[{"type":"function","id":"tc', pos,
-                                '","function":{"name":"lookup","arguments":"{}"}},{"type":"function","id":"td', pos,
-                                '","function":{"name":"fetch","arguments":"[1]"}}]}}')),
+        F.array(_data(*said, quoted(w), "}}")),
+        _when(i % 8 == 3, _data(*said, '"","tool_calls":[{"type":"function","id":"tc', pos,
+                                '","function":{"name":"lookup","arguments":', quoted('{"q":', quoted(t), "}"),
+                                '}},{"type":"function","id":"td', pos, '","function":{"name":"fetch","arguments":"[1]"}}]}}')),
         _when(i % 8 == 4, _data('{"id":"ev', pos, '","delta":{"role":"tool","name":"lookup","id":"o', pos,
-                                '","tool_call_id":"tc', pos, '","content":"found ', w, '"}}')),
+                                '","tool_call_id":"tc', pos, '","content":', quoted("found ", t), "}}")),
         _when(i % 13 == 6, _data('{"id":"ev', pos, '","delta":{"role":"user","id":"u', pos,
                                  '","content":"ignored"}}')),
-        _when(i % 17 == 9, _data('{"id":"ev', pos, '","delta":{"role":"assistant","id":"a', blk,
-                                 '","content":x', w, '}}')),
+        _when(i % 17 == 9, _data(*said, "x", t, "}}")),
+        # tool calls that are none
+        _when(i % 19 == 7, _data(*said, '"","tool_calls":[{"type":"function","id":5,"function":{"name":"f","arguments":"{}"}}]}}')),
+        _when(i % 23 == 8, _data(*said, '"","tool_calls":[{"type":"function","id":"e', pos, '","function":{}}]}}')),
     )
 
 
@@ -129,61 +157,55 @@ _DIALECTS = {"responses": _responses_lines, "completions": _completions_lines,
              "chat_agent": _chat_agent_lines}
 
 
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    return m.withColumnRenamed("id", "stream_id").repartition("stream_id")
+
+
 def sse_bodies(spark: SparkSession, sf_dir: str, dialect: str = "responses") -> DataFrame:
     """One row per response stream: (stream_id, chat_id, started_at, body)."""
-    m = spread(messages(spark, sf_dir).filter(F.col("role") == "assistant"))
+    m = _said(spark, sf_dir)
     make = _DIALECTS[dialect]
-    key = F.col("chat_id") if dialect == "responses" else F.col("id")
+    key = F.col("chat_id") if dialect == "responses" else F.col("stream_id")
     lines = F.flatten(F.transform(words(F.col("text")), lambda w, i: make(w, i, key)))
     body = F.concat(F.array_join(F.concat(lines, F.array(F.lit("data: [DONE]"))), "\n\n"), F.lit("\n\n"))
-    return m.select(F.col("id").alias("stream_id"), "chat_id", F.col("created_at").alias("started_at"),
-                    body.alias("body"))
+    return m.select("stream_id", "chat_id", F.col("created_at").alias("started_at"), body.alias("body"))
 
 
 def whole_responses(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
     """One non-streamed response JSON per assistant message: (stream_id, response).
 
-    The text is the message's whole word list; rules on the chat and turn
-    numbers add tool calls, tool results, reasoning and item arrays.
+    The text is the message's whole text; rules on the chat and turn numbers add
+    tool calls, tool results, reasoning and item arrays.
     """
-    m = spread(messages(spark, sf_dir).filter(F.col("role") == "assistant"))
-    text = F.array_join(words(F.col("text")), " ")
+    m = _said(spark, sf_dir)
+    text = F.col("text")
     c, t = F.col("chat_id"), F.col("turn")
     ts = t.cast("string")
     if dialect == "responses":
-        half = F.floor(F.size(words(F.col("text"))) / 2).cast("int")
-        first = F.array_join(F.slice(words(F.col("text")), 1, F.greatest(half, F.lit(1))), " ")
-        rest = F.array_join(F.slice(words(F.col("text")), half + 1, F.lit(1 << 20)), " ")
+        half = F.floor(F.length(text) / 2).cast("int")
         items = F.concat_ws(
             ",",
-            F.concat(F.lit('{"type":"message","id":"m","content":[{"type":"output_text","text":"'), first,
-                     F.lit('"},{"type":"output_text","text":"'), rest, F.lit('"}]}')),
-            F.when(c % 2 == 0, F.concat(F.lit('{"type":"function_call","id":"f","call_id":"c'), ts,
-                                        F.lit('","name":"lookup","arguments":"{}"},'
-                                              '{"type":"function_call_output","call_id":"c'), ts,
-                                        F.lit('","output":"found"}'))),
+            _text('{"type":"message","id":"m","content":[{"type":"output_text","text":', quoted(F.substring(text, F.lit(1), half)),
+                  '},{"type":"output_text","text":', quoted(F.substring(text, half + 1, F.length(text))), "}]}"),
+            F.when(c % 2 == 0, _text('{"type":"function_call","id":"f","call_id":"c', ts,
+                                     '","name":"lookup","arguments":"{}"},{"type":"function_call_output","call_id":"c', ts,
+                                     '","output":"found"}')),
             F.when(t % 3 == 1, F.lit('{"type":"reasoning","id":"r","summary":[{"type":"summary_text","text":"why"},'
                                      '{"type":"summary_text","text":"because"}]}')))
-        body = F.concat(F.lit('{"id":"resp","output":['), items, F.lit("]}"))
+        body = _text('{"id":"resp","output":[', items, "]}")
     elif dialect == "completions":
-        content = (F.when(c % 3 == 0, F.concat(F.lit('" <tool_call>{\\"id\\":\\"k'), ts,
-                                               F.lit('\\",\\"name\\":\\"lookup\\",\\"arguments\\":{\\"q\\":1}}'
-                                                     '</tool_call> "')))
-                   .when(c % 3 == 1, F.concat(F.lit('[{"type":"text","text":"'), text,
-                                              F.lit('"},{"type":"image","image_url":"u"},{"type":"reasoning",'
-                                                    '"summary":[{"type":"summary_text","text":"hmm"}]}]')))
-                   .otherwise(F.concat(F.lit('"'), text, F.lit(' <tool_call>{\\"id\\":\\"z\\",\\"name\\":\\"n\\"}'
-                                                            '</tool_call>"'))))
-        body = F.concat(F.lit('{"id":"cc","created":1,"model":"m","usage":{"prompt_tokens":1,"completion_tokens":1,'
-                              '"total_tokens":2},"choices":[{"index":0,"message":{"role":"assistant","content":'),
-                        content, F.lit("}}]}"))
+        content = (F.when(c % 3 == 0, quoted(' <tool_call>{"id":"k', ts, '","name":"lookup","arguments":', quoted(text), "}</tool_call> "))
+                   .when(c % 3 == 1, _text('[{"type":"text","text":', quoted(text), '},{"type":"image","image_url":"u"},'
+                                           '{"type":"reasoning","summary":[{"type":"summary_text","text":"hmm"}]}]'))
+                   .otherwise(quoted(text, ' <tool_call>{"id":"z","name":"n"}</tool_call>')))
+        body = _text('{"id":"cc","created":1,"model":"m",' + _USAGE + '"choices":[{"index":0,"message":{"role":"assistant","content":',
+                     content, "}}]}")
     else:
-        calls = F.when(c % 2 == 0, F.concat(F.lit(',"tool_calls":[{"type":"function","id":"c'), ts,
-                                            F.lit('","function":{"name":"lookup","arguments":"{}"}}]'))
-                       ).otherwise(F.lit(""))
-        tool = F.when(c % 2 == 0, F.concat(F.lit(',{"role":"tool","name":"lookup","id":"o","tool_call_id":"c'), ts,
-                                           F.lit('","content":"found"}'))).otherwise(F.lit(""))
-        body = F.concat(F.lit('{"id":"ca","messages":[{"role":"user","id":"u","content":"q"},'
-                              '{"role":"assistant","id":"a","content":"'), text, F.lit('"'), calls, F.lit("}"),
-                        tool, F.lit("]}"))
-    return m.select(F.col("id").alias("stream_id"), body.alias("response"))
+        calls = F.when(c % 2 == 0, _text(',"tool_calls":[{"type":"function","id":"c', ts,
+                                         '","function":{"name":"lookup","arguments":"{}"}}]')).otherwise("")
+        tool = F.when(c % 2 == 0, _text(',{"role":"tool","name":"lookup","id":"o","tool_call_id":"c', ts,
+                                        '","content":"found"}')).otherwise("")
+        body = _text('{"id":"ca","messages":[{"role":"user","id":"u","content":"q"},{"role":"assistant","id":"a","content":',
+                     quoted(text), calls, "}", tool, "]}")
+    return m.select("stream_id", body.alias("response"))

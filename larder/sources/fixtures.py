@@ -4,8 +4,8 @@ The domain tables (raw sales, competitor prices, products, stores, tickets,
 chats, messages) are not part of the test data, so each one is a Spark
 projection of the TPC-H-style tables.  Every derivation is row-local or a
 single keyed join/aggregate, so its cost grows linearly with the sources.
-The modulo rules only *plant* bad values (NULLs, unparsable text) into every
-row class; nothing is filtered away by them.
+The modulo rules only *plant* bad values (NULLs, unparsable text, rescued
+fields, ties, empty weeks) into every row class; nothing is filtered away by them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.columns import money_text, ship_day_text
-from larder.sources.tables import spread, table
+from larder.sources.tables import table
 
 
 def _null_str() -> F.Column:
@@ -22,17 +22,44 @@ def _null_str() -> F.Column:
 
 
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze sales lines: every column text, as an ingested CSV would be."""
-    # the text formatting below is the costly part: spread a coarse scan first
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"))
+    """Bronze sales lines: every column text, as an ingested CSV would be.
+
+    Lines are dealt by order key, as the join with the orders needs them anyway,
+    so the text formatting runs behind that exchange in as many tasks.
+    """
+    li = _lines(spark, sf_dir).repartition("l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    text = _line_text(j)
+    text.insert(8, F.col("o_orderpriority").alias("payment_type"))
+    text.insert(10, F.concat(F.lit("L"), F.col("o_custkey")).alias("loyalty_id"))
+    return j.select(*text)
+
+
+def sales_lines_raw(spark: SparkSession, sf_dir: str, ship_days: tuple | None = None) -> DataFrame:
+    """Bronze sales lines without the two columns that come from the order.
+
+    Needs no join; ``ship_days`` (from, to) is a half-open range of days that
+    reaches the scan.  For reports that read neither payment type nor loyalty id.
+    """
+    li = _lines(spark, sf_dir)
+    if ship_days:
+        li = li.filter((F.col("l_shipdate") >= F.lit(ship_days[0]).cast("timestamp_ntz"))
+                       & (F.col("l_shipdate") < F.lit(ship_days[1]).cast("timestamp_ntz")))
+    return li.select(*_line_text(li))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+
+
+def _line_text(j: DataFrame) -> list[F.Column]:
     k = F.col("l_orderkey")
     day = ship_day_text(F.col("l_shipdate"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return j.select(
+    return [
         F.concat(F.lit("T"), k, F.lit("-"), F.col("l_partkey"), F.lit("-"),
                  F.col("l_suppkey")).alias("transaction_id"),
         F.col("l_linenumber").cast("string").alias("line_number"),
@@ -48,17 +75,15 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 41 == 0, _null_str())
          .otherwise(money_text(F.col("l_extendedprice") * (F.lit(1e0) - F.col("l_discount"))))
          .alias("total_amount"),
-        F.col("o_orderpriority").alias("payment_type"),
         F.when(F.col("l_returnflag") == "A", "pickup")
          .when(F.col("l_returnflag") == "N", "delivery")
          .otherwise("in_store").alias("channel"),
-        F.concat(F.lit("L"), F.col("o_custkey")).alias("loyalty_id"),
         F.when(k % 43 == 0, F.lit("n/a"))
          .otherwise(F.concat(day, F.lit(" "),
                              F.lpad((F.col("l_partkey") % 24).cast("string"), 2, "0"),
                              F.lit(":00:00"))).alias("transaction_ts"),
         F.when(k % 53 == 0, _null_str()).otherwise(day).alias("event_date"),
-    )
+    ]
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,39 +122,49 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def competitor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze competitor scrapes: up to three competitors per (product, ship day)."""
+    """Bronze competitor scrapes: three competitors per (product, ship day).
+
+    Every seventh product has no readable price and every fifth scrape a rescued
+    field, so cleaning rejects them and some sales find no competitor.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", F.col("l_shipdate").cast("date").alias("d"))
-    # Drop whole products before the distinct so less is shuffled.
-    keys = li.filter(F.col("l_partkey") % 7 != 0).distinct()
+    keys = li.distinct()
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     comp = keys.join(p, keys.l_partkey == p.p_partkey, "inner")
     comp = comp.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    comp = comp.filter((F.col("l_partkey") + F.col("k")) % 5 != 0)
     day_txt = F.col("d").cast("string")
     mult = F.lit(85e-2) + ((F.col("l_partkey") * 7 + F.col("k") * 11 + F.dayofmonth("d")) % 31) / F.lit(1e2)
     return comp.select(
         F.concat(F.lit("C"), F.col("k")).alias("competitor"),
         F.concat(F.lit("P"), F.col("l_partkey")).alias("product_id"),
         F.when((F.col("l_partkey") + F.col("k")) % 61 == 0, F.lit("oops"))
+         .when(F.col("l_partkey") % 7 == 0, F.lit("n/a"))
          .otherwise(money_text(F.col("p_retailprice") * mult)).alias("price"),
         F.concat(day_txt, F.lit(" 06:00:00")).alias("scrape_ts"),
         day_txt.alias("event_date"),
         F.when((F.col("l_partkey") + F.col("k")) % 67 == 0, F.lit('{"extra":"1"}'))
+         .when((F.col("l_partkey") + F.col("k")) % 5 == 0, F.lit('{"extra":"5"}'))
          .otherwise(_null_str()).alias("_rescued_data"),
     )
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store-support tickets from the event stream (the columns the ops use)."""
+    """Store-support tickets from the event stream (the columns the ops use).
+
+    Views of every fourth week are a week late, so that category has weeks
+    without tickets.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                              "value", "props")
+    late = (F.col("event_type") == "view") & (F.weekofyear("ts") % 4 == 2)
+    e = e.withColumn("ts", F.when(late, F.col("ts") + F.make_dt_interval(F.lit(7))).otherwise(F.col("ts")))
     is_open = F.col("event_id") % 5 == 0
     return e.select(
         F.col("event_id").alias("ticket_id"),
         F.when(is_open, "open").otherwise("closed").alias("status"),
         F.col("event_type").alias("issue_category"),
-        F.col("user_id").cast("int").alias("unit_id"),
+        F.col("user_id").alias("unit_id"),
         F.col("ts").alias("created_time"),
         F.when(is_open, F.lit(None).cast("timestamp_ntz"))
          .otherwise(F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 72).cast("int")))
@@ -144,7 +179,7 @@ CHAT_EPOCH = "2024-01-01 00:00:00"
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat table: one row per conversation."""
+    """Chat table: one row per conversation; every third is as old as its user's chat before."""
     c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return c.select(
         F.col("conv_id").alias("id"),
@@ -152,10 +187,34 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Chat "), F.col("conv_id")).alias("title"),
         F.when(F.col("conv_id") % 4 == 0, "public").otherwise("private").alias("visibility"),
         (F.lit(CHAT_EPOCH).cast("timestamp_ntz")
-         + F.make_dt_interval(hours=F.col("conv_id").cast("int"))).alias("created_at"),
+         + F.make_dt_interval(hours=_chat_hour(F.col("conv_id")))).alias("created_at"),
     )
 
 
+def _hour(conv: F.Column) -> F.Column:
+    """Hours after the epoch; ids beyond the range of an interval start over."""
+    return F.pmod(conv, F.lit(1_000_000)).cast("int")
+
+
+def _chat_hour(conv: F.Column) -> F.Column:
+    """``_hour``, with ties: the user of a chat is its id mod 20."""
+    return F.when((conv % 3 == 0) & (conv >= 20), _hour(conv) - 20).otherwise(_hour(conv))
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's request for a page beside one of their chats; some name a chat that isn't there."""
+    users = chats(spark, sf_dir).select("user_id").distinct()
+    n = F.substring("user_id", 2, 9).cast("long")
+    return users.select("user_id", F.when(n % 6 == 5, n + 1_000_000_000).otherwise(n + 40).alias("cursor_id"))
+
+
+def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of messages that a reader asks for, one of them unknown for each chat."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return m.select(F.concat(F.col("conv_id"), F.lit("-"), F.when(F.col("turn") == 0, F.lit(999)).otherwise(F.col("turn") - 1))
+                    .alias("message_id"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message table: one row per conversation turn (row-local, no join)."""
     m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -166,7 +225,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role"),
         F.col("text"),
         (F.lit(CHAT_EPOCH).cast("timestamp_ntz")
-         + F.make_dt_interval(hours=F.col("conv_id").cast("int"),
+         + F.make_dt_interval(hours=_hour(F.col("conv_id")),
                               mins=F.col("turn").cast("int"))).alias("created_at"),
     )
 

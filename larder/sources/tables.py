@@ -25,16 +25,3 @@ def by_name(spark: SparkSession, name: str) -> DataFrame:
     """Catalog table scan (op A9)."""
     return spark.read.table(name)
 
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster only when its input is too coarse.
-
-    Use before CPU-heavy row-local work (text parsing, tokenising).  A large
-    input already has more splits than cores, so it is returned unchanged and
-    no shuffle is added; a small file that is a single Parquet row group (one
-    scan task) is spread so the expensive expressions run in parallel.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
