@@ -99,6 +99,13 @@ def checkpoint_body(user: Column, message: Column) -> Column:
                   F.concat(head, F.lit("\n"), message)).otherwise(head)
 
 
+def checkpoint_log(rows: DataFrame) -> DataFrame:
+    """Run-log rows of reached checkpoints (U2): title and body of the note, and the result line."""
+    return rows.select("checkpoint_id", checkpoint_title(F.col("name")).alias("title"),
+                       checkpoint_body(F.col("user_id"), F.col("message")).alias("body"),
+                       F.concat(F.lit("Checkpoint: "), F.col("name")).alias("result"))
+
+
 def escalation_outbox(t: DataFrame) -> DataFrame:
     """Outbox rows for escalated tickets: delivery is a separate job.
 

@@ -117,7 +117,7 @@ FROM sales s LEFT JOIN products p ON s.product_id = p.product_id
 
 cte("tickets", """
 SELECT event_id AS ticket_id, CASE WHEN event_id % 5 = 0 THEN 'open' ELSE 'closed' END AS status,
-       event_type AS issue_category, user_id AS unit_id, ts AS created_time,
+       event_type AS issue_category, cast(user_id % 2147483647 as INTEGER) AS unit_id, ts AS created_time,
        CASE WHEN event_id % 5 = 0 THEN NULL
             ELSE ts + to_hours(cast(event_id % 72 as BIGINT)) END AS close_time,
        value % 5e0 AS csat_score,

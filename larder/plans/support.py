@@ -59,6 +59,16 @@ def q_similar_cases(spark, sf):
     return tk.similar_cases(fx.tickets(spark, sf))
 
 
+@register("checkpoint_log", """
+SELECT event_id AS checkpoint_id, concat('Checkpoint - Part ', event_id % 9) AS title,
+       concat('User: user-', user_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE chr(10) || props END) AS body,
+       concat('Checkpoint: Part ', event_id % 9) AS result
+FROM events WHERE event_type = 'signup'""")
+def q_checkpoint_log(spark, sf):
+    """Run-log rows of reached checkpoints (no network call)."""
+    return tk.checkpoint_log(fx.checkpoints(spark, sf))
+
+
 @register("escalation_messages", with_ctes("tickets") + """
 SELECT ticket_id, 'Ticket Escalation' AS title,
        concat('User: ', coalesce(nullif(CASE WHEN unit_id % 10 = 0 THEN NULL ELSE concat('unit-', unit_id) END, ''),

@@ -8,7 +8,6 @@ the runtime settings that matter at scale (AQE, skew-join splitting).
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -56,17 +55,11 @@ def build_session(master: str | None = None, app: str = "larder",
 def shared_dir(spark: SparkSession, sub: str = "") -> str:
     """Folder on shared storage for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only a local-mode
-    session (tests, bench) may fall back to a fresh temporary folder; on a
-    cluster an unset value is an error, because a machine-local folder would
-    not survive the loss of an executor.
+    It is the session's ``spark.checkpoint.dir``; a folder of one machine would
+    not survive the loss of an executor, so an unset value is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="larder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/") + ("/" + sub.strip("/") if sub else "")

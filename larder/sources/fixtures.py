@@ -164,7 +164,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("ticket_id"),
         F.when(is_open, "open").otherwise("closed").alias("status"),
         F.col("event_type").alias("issue_category"),
-        F.col("user_id").alias("unit_id"),
+        F.pmod("user_id", F.lit(2**31 - 1)).cast("int").alias("unit_id"),
         F.col("ts").alias("created_time"),
         F.when(is_open, F.lit(None).cast("timestamp_ntz"))
          .otherwise(F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 72).cast("int")))
@@ -175,6 +175,14 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints that users have reached: one per sign-up event, every third without a message."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props").filter(F.col("event_type") == "signup")
+    return e.select(F.col("event_id").alias("checkpoint_id"), F.concat(F.lit("user-"), F.col("user_id")).alias("user_id"),
+                    F.concat(F.lit("Part "), F.col("event_id") % 9).alias("name"),
+                    F.when(F.col("event_id") % 3 == 0, F.lit("  ")).otherwise(F.col("props")).alias("message"))
+
+
 CHAT_EPOCH = "2024-01-01 00:00:00"
 
 

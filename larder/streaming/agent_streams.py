@@ -3,10 +3,10 @@
 * S4: idle expiry - a stream's activity session closes 5 minutes after its
   last event (``session_window`` with an event-time watermark).
 * S6: per-stream boundary injection and end-dedup as a stateful operator.
-  The state of one stream is its previous part and the (group, id) keys that
-  have ended; it is dropped when the stream's ``[DONE]`` marker arrives or
-  when the stream has been idle past the timeout (then a dangling delta is
-  closed, as the batch job's flush does).
+  The state of one stream is its last part, the number of parts so far and
+  the (group, id) keys that have ended.  It lives until the stream's ``[DONE]``
+  marker arrives; a stream that stalls goes on where it stood, and one that
+  has been silent for ``RETAIN`` is closed as the batch job's flush would.
 """
 
 from __future__ import annotations
@@ -14,19 +14,23 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from larder.operators.agentlog import ORD_SCALE, PART_FIELDS, normalise_responses
+from larder.operators.agentlog import PART_FIELDS, normalise_responses
 
 DONE = "[DONE]"
 IDLE = "5 minutes"
-IDLE_MS = 5 * 60 * 1000
+RETAIN_MS = 24 * 3600 * 1000
 
-OUT_SCHEMA = "stream_id string, ord bigint, type string, id string, delta string, is_flush boolean"
-STATE_SCHEMA = "last_type string, last_id string, last_seq int, last_sub int, ended string"
+OUT_FIELDS = ["stream_id", "ord", "is_flush", *PART_FIELDS]
+OUT_SCHEMA = "stream_id string, ord bigint, is_flush boolean, " + ", ".join(f"{f} string" for f in PART_FIELDS)
+STATE_SCHEMA = "last_type string, last_id string, n bigint, ended string"
+DELTAS = ("text-delta", "reasoning-delta")
+ENDS = ("text-end", "reasoning-end")
 
 
 def idle_sessions_stream(events: DataFrame, gap: str = IDLE, delay: str = "10 minutes") -> DataFrame:
@@ -52,89 +56,67 @@ def parts_with_markers(events: DataFrame) -> DataFrame:
     return parts.unionByName(done)
 
 
-def _group(t: str | None) -> str | None:
-    if t and t.startswith("text-"):
-        return "text"
-    if t and t.startswith("reasoning-"):
-        return "reasoning"
-    return None
+def _kind(types: pd.Series) -> pd.Series:
+    """``text`` or ``reasoning`` of a part type, else missing."""
+    return types.str.extract("^(text|reasoning)-", expand=False)
 
 
-def _is_delta(t: str | None) -> bool:
-    return t in ("text-delta", "reasoning-delta")
+def _bounded(rows: pd.DataFrame, closing: bool) -> pd.DataFrame:
+    """Parts with the starts and ends of delta runs between them.
 
-
-def _flush(sid: str, last_type, last_id, last_seq, last_sub) -> list[dict]:
-    if _is_delta(last_type):
-        return [dict(stream_id=sid, ord=last_seq * ORD_SCALE + last_sub * 8 + ORD_SCALE - 1,
-                     type=f"{_group(last_type)}-end", id=last_id, delta=None, is_flush=True)]
-    return []
-
-
-def _boundaries(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    sid = key[0]
-    cols = list(OUT_SCHEMA_COLS)
-    if state.hasTimedOut:
-        lt, li, ls, lu, _ = state.get
-        state.remove()
-        yield pd.DataFrame(_flush(sid, lt, li, ls, lu), columns=cols)
-        return
-    if state.exists:
-        lt, li, ls, lu, ended_json = state.get
-        ended = set(json.loads(ended_json))
-    else:
-        lt = li = None
-        ls = lu = 0
-        ended = set()
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["seq", "sub"])
-    out: list[dict] = []
-    finished = False
-    max_ts = None
-    for r in batch.itertuples(index=False):
-        max_ts = r.event_ts if max_ts is None or r.event_ts > max_ts else max_ts
-        if r.type == "finish":
-            out.extend(_flush(sid, lt, li, ls, lu))
-            finished = True
-            break
-        cur = {"type": r.type, "id": r.id, "delta": r.delta}
-        matches = (_is_delta(lt) and _is_delta(r.type) and _group(lt) == _group(r.type)
-                   and r.id is not None and li is not None and r.id == li)
-        if matches:
-            emitted = [cur]
-        else:
-            emitted = [{"type": f"{_group(lt)}-end", "id": li, "delta": None}] if _is_delta(lt) else []
-            if _is_delta(r.type):
-                emitted += [{"type": f"{_group(r.type)}-start", "id": r.id, "delta": None}, cur]
-            else:
-                emitted.append(cur)
-        for k, p in enumerate(emitted):
-            g = _group(p["type"])
-            ekey = f"{g}:{p['id']}" if g and p["id"] is not None else None
-            if ekey and ekey in ended:
-                continue
-            if p["type"] in ("text-end", "reasoning-end"):
-                ended.add(ekey)
-            out.append(dict(stream_id=sid, ord=int(r.seq) * ORD_SCALE + int(r.sub) * 8 + k, type=p["type"],
-                            id=p["id"], delta=p["delta"], is_flush=False))
-        lt, li, ls, lu = r.type, r.id, int(r.seq), int(r.sub)
-    if finished:
+    ``rows`` begins with the part before the batch (an empty one at a stream's
+    beginning), which isn't given out again.  With ``closing`` a last delta is closed.
+    """
+    kind, delta = _kind(rows["type"]), rows["type"].isin(DELTAS)
+    run_goes_on = (delta & delta.shift(fill_value=False) & (kind == kind.shift()) & (rows["id"] == rows["id"].shift()))
+    place = pd.Series(np.arange(len(rows)), rows.index)
+    empty = {f: None for f in PART_FIELDS}
+    opens = delta & ~run_goes_on
+    opens.iloc[0] = False
+    closes = (delta & ~run_goes_on.shift(-1, fill_value=False))
+    if not closing:
+        closes.iloc[-1] = False
+    starts = pd.DataFrame({**empty, "type": kind[opens] + "-start", "id": rows["id"][opens], "at": place[opens], "step": 1, "is_flush": False})
+    ends = pd.DataFrame({**empty, "type": kind[closes] + "-end", "id": rows["id"][closes], "at": place[closes], "step": 3,
+                         "is_flush": place[closes] == len(rows) - 1})
+    own = rows.iloc[1:].assign(at=place.iloc[1:], step=2, is_flush=False)
+    return pd.concat([x for x in (starts, own, ends) if len(x)] or [own]).sort_values(["at", "step"], kind="stable")
+
+
+def _boundaries(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last_type, last_id, n, ended = state.getOption or (None, None, 0, "[]")
+    ended = set(json.loads(ended))
+    parts = [] if state.hasTimedOut else list(frames)
+    before = pd.DataFrame([{**{f: None for f in PART_FIELDS}, "type": last_type, "id": last_id}], dtype=object)
+    batch = pd.concat(parts).sort_values(["seq", "sub"], kind="stable") if parts else before.iloc[:0].assign(seq=0, sub=0)
+    finish = (batch["type"] == "finish").to_numpy()
+    closing = state.hasTimedOut or bool(finish.any())
+    if finish.any():
+        batch = batch.iloc[:int(finish.argmax())]
+    rows = pd.concat([before, batch[PART_FIELDS]], ignore_index=True).astype(object)
+    out = _bounded(rows.where(rows.notna(), None), closing)
+    out["ord"] = n + 1 + np.arange(len(out))
+    # the first end of a (kind, id) is the last part that it has; a flush isn't subject to that
+    name = (_kind(out["type"].astype("string")) + ":" + out["id"].astype("string")).astype(object)
+    end = out["type"].isin(ENDS) & ~out["is_flush"]
+    past = name.isin(ended) | (end.groupby(name).cumsum() - end > 0)
+    keep = name.isna() | out["is_flush"] | ~past.fillna(False).astype(bool)
+    if closing:
         state.remove()
     else:
-        state.update((lt, li, ls, lu, json.dumps(sorted(ended))))
-        if max_ts is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(max_ts).timestamp() * 1000) + IDLE_MS)
-    yield pd.DataFrame(out, columns=cols)
-
-
-OUT_SCHEMA_COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+        ended |= set(name[end])
+        state.update((rows["type"].iloc[-1], rows["id"].iloc[-1], n + len(out), json.dumps(sorted(ended))))
+        newest = int(pd.concat([p["event_ts"] for p in parts]).max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + RETAIN_MS)
+    yield out[keep].assign(stream_id=key[0])[OUT_FIELDS].reset_index(drop=True)
 
 
 def boundaries_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Stateful per-stream boundaries + end-dedup over an event stream.
 
     ``events`` has (stream_id, chat_id, started_at, seq, payload, ts) and ends
-    each stream with a ``[DONE]`` payload.  Keyed by stream, so state is one
-    response's worth; the event-time timeout closes streams that go idle.
+    each stream with a ``[DONE]`` payload; a stream's events arrive in order.
+    Keyed by stream, so state is one response's worth.
     """
     parts = (parts_with_markers(events).withColumn("event_ts", F.col("ts").cast("timestamp"))
              .withWatermark("event_ts", delay))

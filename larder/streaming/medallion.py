@@ -5,7 +5,7 @@
 * S2: silver is a stateless streaming projection of bronze, so a rerun with
   the same checkpoint appends nothing twice.
 * S3: daily totals with an event-time watermark; rows that arrive later than
-  the allowed lateness are counted per micro-batch from the query progress.
+  the allowed lateness are told apart per micro-batch, by marks per batch.
 
 Checkpoints and tables live under the shared folder named by
 ``spark.checkpoint.dir`` (see ``larder.session.shared_dir``).
@@ -43,7 +43,7 @@ def bronze_to_silver(spark: SparkSession, bronze_path: str, silver_path: str, ch
     bronze_schema = spark.read.parquet(bronze_path).schema
     src = spark.readStream.schema(bronze_schema).parquet(bronze_path)
     out = clean_sales(src, strict=strict)
-    return (out.writeStream.format("parquet").option("path", silver_path)
+    return (out.writeStream.format("parquet").option("path", silver_path).partitionBy("event_date")
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
@@ -65,28 +65,28 @@ def late_data_check(stream: DataFrame, root: str, checkpoint: str, lateness_hour
                     ts: str = "transaction_ts", amount: str = "total_amount") -> StreamingQuery:
     """Flag rows that arrive more than ``lateness_hours`` behind the newest time seen (S3).
 
-    Each micro-batch is compared with the high-water mark of earlier batches
-    (a one-row table), then per-day partial totals, split into on-time and
-    late, are written under ``batch_id=<n>``.  Writes are keyed by batch id,
-    so a batch replayed after a failure overwrites instead of doubling.
+    Each micro-batch is compared with the newest time of the batches before it,
+    then per-day partial totals, split into on-time and late, are written under
+    ``batch_id=<n>``, and the batch's own newest time under ``marks/batch_id=<n>``.
+    A batch reads the marks of lower numbers only, so one that is replayed after
+    a failure decides as it did at first and overwrites what it wrote.
     """
-    hwm_path = f"{root.rstrip('/')}/_high_water"
+    marks, daily = f"{root.rstrip('/')}/marks", f"{root.rstrip('/')}/daily"
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        try:
-            hwm = spark.read.parquet(hwm_path).first()["hwm"]
-        except Exception:  # noqa: BLE001  (first batch: no mark yet)
-            hwm = None
-        late = (F.col(ts) < F.lit(hwm) - F.make_dt_interval(hours=F.lit(lateness_hours))
-                if hwm is not None else F.lit(False))
-        parts = (df.groupBy(late.alias("late"), F.to_date(ts).alias("day"))
+        kind = df.schema[ts].dataType.simpleString()
+        # a batch writes its mark last, and the first one is number 0
+        seen = (spark.read.schema(f"mark {kind}, batch_id long").parquet(marks).filter(F.col("batch_id") < batch_id)
+                if batch_id else spark.createDataFrame([], f"mark {kind}, batch_id long"))
+        rows = df.select(ts, amount).persist()
+        mark = seen.agg(F.max("mark").alias("mark"))
+        late = F.coalesce(F.col(ts) < F.col("mark") - F.make_dt_interval(hours=F.lit(lateness_hours)), F.lit(False))
+        parts = (rows.crossJoin(F.broadcast(mark)).groupBy(late.alias("late"), F.to_date(ts).alias("day"))
                  .agg(F.sum(amount).alias("total_amount"), F.count(F.lit(1)).alias("n_rows")))
-        parts.write.mode("overwrite").parquet(f"{root.rstrip('/')}/daily/batch_id={batch_id}")
-        newest = df.agg(F.max(ts).alias("m")).first()["m"]
-        if newest is not None and (hwm is None or newest > hwm):
-            spark.createDataFrame([(newest,)], f"hwm {df.schema[ts].dataType.simpleString()}") \
-                .write.mode("overwrite").parquet(hwm_path)
+        parts.write.mode("overwrite").parquet(f"{daily}/batch_id={batch_id}")
+        rows.agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        rows.unpersist()
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -133,6 +133,56 @@ def test_segments_markdown_names_and_text(spark):
     assert txt == "<name>Bot</name>Hello| a |x  y <has_function_call>"
 
 
+def test_strict_tags_and_envelopes(spark):
+    usage = {"prompt_tokens": 1, "completion_tokens": 1, "total_tokens": 2}
+    whole = {"id": "x", "created": 1, "model": "m", "usage": usage, "object": "chat.completion.chunk",
+             "choices": [{"index": 0, "delta": {"content": "ok"}}]}
+    lines = [_chunk("<tool_call>{'id':'x','name':'y'}</tool_call>"), _chunk('<tool_call>{"id":"x","name":"y"} junk</tool_call>'),
+             _chunk("a \u0001 b <tool_call>{\"id\":1,\"name\":\"n\"}</tool_call>"), json.dumps(whole)]
+    lines += [json.dumps({k: v for k, v in whole.items() if k != f}) for f in whole]
+    lines += [json.dumps({**whole, **bad}) for bad in (
+        {"created": "1"}, {"usage": {"prompt_tokens": 1}}, {"choices": [{"index": 0}]}, {"choices": [{"index": 0, "delta": {"content": None}}]},
+        {"choices": [{"index": 0, "delta": {"role": "user", "content": "x"}}]}, {"choices": [{"index": 0, "delta": {"content": [{"type": "image"}]}}]})]
+    rows = al.normalise_completions(al.sse_events(_bodies(spark, {"s": lines}))).orderBy("seq", "sub").collect()
+    assert [(r.type, r.delta or r.tool_call_id) for r in rows[:5]] == [
+        ("text-delta", "<tool_call>{'id':'x','name':'y'}</tool_call>"), ("text-delta", '<tool_call>{"id":"x","name":"y"} junk</tool_call>'),
+        ("text-delta", "a \u0001 b "), ("tool-call", "1"), ("text-delta", "ok")]
+    assert {r.type for r in rows[5:]} == {"error"} and len(rows[5:]) == len(lines) - 4
+
+
+def test_chat_agent_tool_calls_are_checked(spark):
+    head = '{"id":"1","delta":{"role":"assistant","id":"m","content":"t","tool_calls":'
+    lines = [head + calls + "}}" for calls in (
+        '[{"type":"function","id":5,"function":{"name":"f","arguments":"{}"}}]', '[{"type":"function","id":"a","function":{}}]',
+        '[{"type":"other","id":"a","function":{"name":"f","arguments":"{}"}}]', '"none"', "[]")]
+    rows = al.normalise_chat_agent(al.sse_events(_bodies(spark, {"s": lines}))).orderBy("seq", "sub").collect()
+    assert [r.type for r in rows] == ["error"] * 4 + ["text-delta"]
+
+
+def test_many_parts_in_one_payload_stay_in_order(spark):
+    many = _chunk([{"type": "text", "text": f"{i} "} for i in range(40)])
+    ev = al.sse_events(_bodies(spark, {"s": [many, _chunk("last")]}))
+    parts = al.normalise_completions(ev)
+    out = al.with_boundaries(parts)
+    text = al.assembled_text(out).first().text
+    assert text == "".join(f"{i} " for i in range(40)) + "last"
+    ords = [r.ord for r in out.orderBy("ord").collect()]
+    assert ords == list(range(1, len(ords) + 1))
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_streams_hold_the_whole_messages(spark, sf):
+    from larder.plans.agentlog import parts
+    from larder.sources.fixtures import messages
+
+    said = {r.id: r.text for r in messages(spark, sf).filter("role = 'assistant'").collect()}
+    rows = parts(spark, sf, "chat_agent").filter("type = 'text-delta'").orderBy("stream_id", "seq", "sub").collect()
+    streamed = {}
+    for r in rows:
+        streamed[r.stream_id] = streamed.get(r.stream_id, "") + r.delta
+    assert streamed == {i: t for i, t in said.items() if t.strip(" \t\n\v\f\r")}
+
+
 @pytest.mark.parametrize("dialect", ["responses", "completions", "chat_agent"])
 def test_fixture_streams_cover_every_part_type(spark, dialect):
     from larder.plans.agentlog import parts

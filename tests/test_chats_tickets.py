@@ -92,7 +92,54 @@ def test_ticket_bodies_and_weekly_change(spark):
     assert w == {"2024-01-01": (1, None), "2024-01-08": (2, 1.0)}
 
 
-def test_append_rows_by_name(spark):
-    base = spark.createDataFrame([("m1", 1)], "id string, chat_id long")
-    new = spark.createDataFrame([(2, "m2")], "chat_id long, id string")
-    assert sorted(r.id for r in ch.append_rows(base, new).collect()) == ["m1", "m2"]
+def test_weeks_are_compared_by_the_calendar(spark):
+    t = spark.createDataFrame([(1, "error", T(2024, 1, 1), None), (2, "error", T(2024, 1, 22), None), (3, "error", T(2024, 1, 23), None),
+                               (4, "error", T(2024, 1, 30), None)],
+                              "ticket_id long, issue_category string, created_time timestamp_ntz, close_time timestamp_ntz")
+    w = {r.week_start.isoformat(): (r.prev_n_tickets, r.wow_change) for r in tk.ticket_wow(t).collect()}
+    assert w == {"2024-01-01": (None, None), "2024-01-22": (None, None), "2024-01-29": (2, -0.5)}
+
+
+def test_pages_with_ties_and_unknown_cursors(spark):
+    at = T(2024, 1, 1)
+    rows = [(i, "U1", at + dt.timedelta(hours=i // 3)) for i in range(9)] + [(100, "U2", at)]
+    c = spark.createDataFrame(rows, "id long, user_id string, created_at timestamp_ntz")
+    seen, cursor = [], None
+    while True:
+        page = ch.history_page(c.filter("user_id = 'U1'"), 2, cursor).orderBy("rn").collect()
+        seen += [r.id for r in page]
+        if not page or not page[0].has_more:
+            break
+        cursor = spark.createDataFrame([("U1", page[-1].id)], "user_id string, cursor_id long")
+    assert seen == list(range(8, -1, -1))          # every chat once, ties included
+    asked = spark.createDataFrame([("U1", 4), ("U2", 77)], "user_id string, cursor_id long")
+    assert {r.user_id: r.outcome for r in ch.cursor_outcomes(c, asked).collect()} == {"U1": "ok", "U2": "not_found"}
+    assert {r.user_id for r in ch.history_page(c, 2, asked).collect()} == {"U1"}
+
+
+def test_similar_cases_cite_every_ticket(spark):
+    t = spark.createDataFrame([(i, "a" if i % 4 else "b", "open") for i in range(40)], "ticket_id long, issue_category string, status string")
+    rows = tk.similar_cases(t).collect()
+    assert sorted(r.ticket_id for r in rows) == list(range(40))
+    assert {(r.issue_category, r.n_cases) for r in rows} == {("a", 30), ("b", 10)}
+
+
+def test_append_leaves_out_what_is_there(spark, scratch):
+    path = f"{scratch}/messages"
+    spark.createDataFrame([("m1", 1)], "id string, chat_id long").write.parquet(path)
+    new = spark.createDataFrame([(2, "m2"), (2, "m2"), (9, "m1")], "chat_id long, id string")
+    ch.append_new(path, new)
+    ch.append_new(path, new)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("m1", 1), ("m2", 2)]
+
+
+def test_lookup_by_id(spark):
+    m = spark.createDataFrame([("m1", 1), ("m2", 1)], "id string, chat_id long")
+    ids = spark.createDataFrame([("m2",), ("m2",), ("none",)], "message_id string")
+    assert [r.id for r in ch.lookup(m, ids).collect()] == ["m2"]
+
+
+def test_checkpoint_rows(spark):
+    rows = spark.createDataFrame([(1, "u", "Part 1", " "), (2, "u", "Part 2", "done")], "checkpoint_id long, user_id string, name string, message string")
+    got = [(r.title, r.body, r.result) for r in tk.checkpoint_log(rows).orderBy("checkpoint_id").collect()]
+    assert got == [("Checkpoint - Part 1", "User: u", "Checkpoint: Part 1"), ("Checkpoint - Part 2", "User: u\ndone", "Checkpoint: Part 2")]

@@ -1,4 +1,4 @@
-"""Range-partitioned lag equals the window lag, also when one series dominates."""
+"""The lag over moments equals the plain window lag, also when one series dominates."""
 
 from pyspark.sql import functions as F
 
@@ -14,19 +14,35 @@ def _same(a, b):
         b.select(*COLS).exceptAll(a.select(*COLS)).count() == 0
 
 
-def test_ranged_lag_equals_window_lag(spark):
+def _skewed(spark):
+    # a third of all rows in one (store, product) series, some of them without a time or quantity
     g = gold_rows(spark, SF_SMOKE)
-    assert _same(ft.lag_features_ranged(g, partitions=7), ft.lag_features_window(g))
+    h = F.abs(F.hash("transaction_id"))
+    hot = h % 3 == 0
+    return (g.withColumn("store_id", F.when(hot, F.lit("S0")).otherwise(F.col("store_id")))
+            .withColumn("product_id", F.when(hot, F.lit("P0")).otherwise(F.col("product_id")))
+            .withColumn("quantity", F.when(h % 5 != 0, F.col("quantity")))
+            .withColumn("event_date", F.when(h % 7 != 0, F.col("event_date"))))
 
 
-def test_ranged_lag_splits_a_dominant_series(spark):
-    # put a third of all rows into one (store, product) series
+def test_lag_equals_window_lag(spark):
     g = gold_rows(spark, SF_SMOKE)
-    hot = F.abs(F.hash("transaction_id")) % 3 == 0
-    skewed = g.withColumn("store_id", F.when(hot, F.lit("S0")).otherwise(F.col("store_id"))) \
-              .withColumn("product_id", F.when(hot, F.lit("P0")).otherwise(F.col("product_id")))
-    ranged = ft.lag_features_ranged(skewed, partitions=8)
-    assert _same(ranged, ft.lag_features_window(skewed))
-    per_task = ranged.filter((F.col("store_id") == "S0") & (F.col("product_id") == "P0")) \
-        .groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert len(per_task) > 1          # the hot series is spread over several tasks
+    assert _same(ft.lag_features(g), ft.lag_features_window(g))
+
+
+def test_lag_of_a_dominant_series(spark):
+    skewed = _skewed(spark)
+    assert _same(ft.lag_features(skewed), ft.lag_features_window(skewed))
+
+
+def test_dominant_series_is_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hot = ft.lag_features(_skewed(spark)).filter("store_id = 'S0' and product_id = 'P0'")
+        assert hot.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lag_without_rows(spark):
+    assert ft.lag_features(gold_rows(spark, SF_SMOKE).limit(0)).count() == 0

@@ -58,9 +58,32 @@ def test_error_quantiles_exact(spark):
 
 def test_run_metrics_log_appends(spark, scratch):
     path = f"{scratch}/runs"
-    ml.log_run_metrics(spark, path, "r1", {"rmse": 1.5}, {"numTrees": 50})
+    ml.log_run_metrics(spark, path, "r1", {"rmse": 1.5}, {"numTrees": 50, "model_type": "forest", "tuned": True})
     ml.log_run_metrics(spark, path, "r2", {"rmse": 1.2})
-    assert spark.read.parquet(path).count() == 3
+    rows = {(r.run_id, r.name): (r.value, r.text) for r in spark.read.parquet(path).collect()}
+    assert rows == {("r1", "rmse"): (1.5, None), ("r1", "numTrees"): (50.0, "50"), ("r1", "model_type"): (None, "forest"),
+                    ("r1", "tuned"): (None, "True"), ("r2", "rmse"): (1.2, None)}
+
+
+def test_unseen_category_is_all_zeros(spark, splits):
+    pipe = ml.build_pipeline(num_trees=2, max_depth=2)
+    model, _ = ml.prepare(splits["train"], pipe)
+    row = splits["test"].limit(1).withColumn("category", F.lit("never seen"))
+    encoded = model.transform(row).first()["category_encoded"]
+    known = splits["train"].select("category").distinct().count()
+    assert encoded.size == known and encoded.numNonzeros() == 0
+    index = ft.category_index(splits["train"], ["category"])
+    one = ml.one_hot(row, index, "category").first()
+    assert one.category_idx == known and one.category_slot is None
+
+
+def test_error_quantiles_of_awkward_errors(spark):
+    import numpy as np
+
+    values = [0.0] * 5 + [1e-12, 3.0, 3.0, 3.0, 1e9, 7.25] + [float(x) for x in range(50)]
+    df = spark.createDataFrame([(v, 0.0) for v in values] + [(None, 0.0)], "quantity double, prediction double")
+    q = ml.error_quantiles(df).first()
+    assert math.isclose(q.median_abs_error, np.quantile(values, 0.5)) and math.isclose(q.p90_abs_error, np.quantile(values, 0.9))
 
 
 def test_random_holdout_partitions_rows(spark):
@@ -74,7 +97,7 @@ def test_random_holdout_partitions_rows(spark):
 
 def test_refit_compares_with_baseline(splits):
     pipe = ml.build_pipeline(num_trees=5, max_depth=3, seed=42)
-    base = ml.regression_metrics(pipe.fit(splits["train"]).transform(splits["test"])).first().rmse
-    out = ml.refit_and_compare(splits["train"], splits["test"], {"numTrees": 5, "maxDepth": 3,
+    base = ml.regression_metrics(pipe.fit(splits["train"]).transform(splits["validation"])).first().rmse
+    out = ml.refit_and_compare(splits["train"], splits["validation"], {"numTrees": 5, "maxDepth": 3,
                                                                  "minInstancesPerNode": 1}, base, pipeline=pipe)
     assert abs(out["rmse_change_pct"]) < 1e-9 and out["n"] > 0

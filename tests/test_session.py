@@ -1,10 +1,8 @@
-"""Session helpers: shared checkpoint folder and adaptive spreading."""
+"""Session helpers: shared checkpoint folder."""
 
 import pytest
 
-from conftest import SF_SMOKE
 from larder.session import shared_dir
-from larder.sources.tables import spread, table
 
 
 def test_shared_dir_reads_the_session_setting(spark):
@@ -12,7 +10,7 @@ def test_shared_dir_reads_the_session_setting(spark):
     assert shared_dir(spark, "lag") == root.rstrip("/") + "/lag"
 
 
-def test_shared_dir_refuses_local_fallback_on_a_cluster():
+def test_shared_dir_is_never_made_up():
     class Ctx:
         master = "spark://cluster:7077"
 
@@ -26,11 +24,3 @@ def test_shared_dir_refuses_local_fallback_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(FakeSession())
-
-
-def test_spread_only_when_input_is_coarse(spark):
-    one = table(spark, SF_SMOKE, "lineitem")
-    assert one.rdd.getNumPartitions() == 1
-    assert spread(one, 8).rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, numPartitions=16)
-    assert spread(wide, 8) is wide

@@ -67,3 +67,24 @@ def test_overwrite_and_append_sinks(spark, scratch):
     assert spark.table("larder_t.sink").count() == 6
     files.overwrite_table(df, "larder_t.sink")
     assert spark.table("larder_t.sink").count() == 3
+
+
+def test_contracts_of_handed_over_tables(spark):
+    from larder.sources import contracts
+
+    assert len(contracts.fields(contracts.TICKETS)) == len(contracts.fields(contracts.OWN_BRAND)) == 26
+    good = spark.createDataFrame([], contracts.OWN_BRAND)
+    assert contracts.breaches(good, contracts.OWN_BRAND) == []
+    bad = good.withColumn("score", good.score.cast("string")).drop("page_number").withColumn("more", good.fdc_id)
+    assert contracts.breaches(bad, contracts.OWN_BRAND) == [("score", "double", "string"), ("page_number", "int", "missing"), ("more", "absent", "int")]
+
+
+def test_scan_by_name_and_medallion_tables(spark, scratch):
+    from larder.plans.medallion import write_medallion
+    from larder.sources.tables import by_name
+
+    paths = write_medallion(spark, SF_SMOKE, scratch)
+    gold = spark.read.parquet(paths["gold"])
+    gold.createOrReplaceTempView("gold_by_name")
+    assert by_name(spark, "gold_by_name").count() == gold.count() > 0
+    assert spark.read.parquet(paths["stores"]).count() == 10

@@ -39,6 +39,7 @@ def test_bronze_ingest_reads_each_file_once_and_silver_matches_batch(spark, scra
     md.bronze_to_silver(spark, bronze, silver, f"{scratch}/ck_silver").awaitTermination()
     md.bronze_to_silver(spark, bronze, silver, f"{scratch}/ck_silver").awaitTermination()  # idempotent
     got = spark.read.parquet(silver)
+    assert any(n.startswith("event_date=") for n in os.listdir(silver))
     want = clean_sales(fx.sales_raw(spark, SF_SMOKE))
     assert got.count() == want.count()
     assert got.select("transaction_id", "line_number").exceptAll(
@@ -70,21 +71,42 @@ def test_late_rows_are_counted_per_batch(spark, scratch):
     assert spark.table("days").count() == 3   # days older than the newest minus one day are final
 
 
+def test_replayed_batch_decides_as_before(spark, scratch):
+    """The same batch again, as after a failure between its writes and the commit."""
+    src, out = f"{scratch}/src", f"{scratch}/out"
+    day = pd.Timestamp("2024-01-10")
+    for i, at in enumerate([day, day + pd.Timedelta(days=5), day + pd.Timedelta(days=1)]):
+        spark.createDataFrame(pd.DataFrame({"transaction_ts": [at], "total_amount": [1.0]})).coalesce(1).write.parquet(f"{src}/b{i}")
+    schema = "transaction_ts timestamp_ntz, total_amount double"
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+        md.late_data_check(stream, out, checkpoint).awaitTermination()
+        return {r.batch_id: r.late_rows for r in md.late_rows_by_batch(spark, out).collect()}
+
+    first = run(f"{scratch}/ck_1")
+    assert first == {0: 0, 1: 0, 2: 1}
+    # a new checkpoint runs all batches again over what they wrote before
+    assert run(f"{scratch}/ck_2") == first
+
+
 def _event_files(spark, scratch, extra_streams=None):
     bodies = sse_bodies(spark, SF_SMOKE, "responses")
     ev = al.with_arrival_times(al.sse_events(bodies, keep_done=True))
     pdf = ev.toPandas()
     folder = f"{scratch}/events"
     os.makedirs(folder)
-    # two arrival batches: early events of every stream, then the rest
-    first, rest = pdf[pdf.seq < 20], pdf[pdf.seq >= 20]
+    # arrival batches by event time, so the six-minute stalls fall between and within them;
+    # one stream is late by a batch
     schema = ev.schema
-    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{folder}/1")
-    spark.createDataFrame(rest, schema).coalesce(1).write.parquet(f"{folder}/2")
+    late = pdf["stream_id"].iloc[0]
+    batch = pd.qcut(pdf["ts"].rank(method="first"), 5, labels=False) + (pdf["stream_id"] == late)
+    for i in sorted(batch.unique()):
+        spark.createDataFrame(pdf[batch == i], schema).coalesce(1).write.parquet(f"{folder}/{i}")
     # a far-future event moves the watermark past every real session
     sentinel = pd.DataFrame({"stream_id": ["~"], "chat_id": [0], "started_at": [pd.Timestamp("2030-01-01")],
                              "seq": [0], "payload": ["[DONE]"], "ts": [pd.Timestamp("2030-01-01")]})
-    spark.createDataFrame(sentinel, schema).coalesce(1).write.parquet(f"{folder}/3")
+    spark.createDataFrame(sentinel, schema).coalesce(1).write.parquet(f"{folder}/9")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option(
         "recursiveFileLookup", "true").parquet(folder)
     return ev, stream
@@ -92,7 +114,7 @@ def _event_files(spark, scratch, extra_streams=None):
 
 def test_idle_sessions_stream_equals_batch(spark, scratch):
     ev, stream = _event_files(spark, scratch)
-    q = (ast.idle_sessions_stream(stream).writeStream.format("memory").queryName("sessions")
+    q = (ast.idle_sessions_stream(stream, delay="30 days").writeStream.format("memory").queryName("sessions")
          .outputMode("append").option("checkpointLocation", f"{scratch}/ck_s").start())
     q.processAllAvailable()
     q.stop()
@@ -109,6 +131,7 @@ def test_stateful_boundaries_stream_equals_batch(spark, scratch):
     q.processAllAvailable()
     q.stop()
     got = spark.table("bounds")
+    assert {f for f in al.PART_FIELDS} <= set(got.columns) and got.filter("tool_call_id is not null").count() > 0
     batch_events = ev.filter(F.col("payload") != "[DONE]")
     want = al.with_boundaries(al.normalise_responses(batch_events)).select(*got.columns)
     assert got.count() == want.count() > 0
