@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     known = learning_rows(known, "doc_id", fit_rows)
     rows = docs.select("doc_id", "text", with_stated(docs).alias("stated")).join(known, "doc_id")
     rows = rows.select("text", "stated", "label").mapInArrow(_entries, "label int, feature array<int>, value array<float>")
-    rows = rows.repartitionByRange(1, F.xxhash64("feature"), "label").sortWithinPartitions(F.xxhash64("feature"), "label")
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("feature"), "label")
     row = rows.mapInPandas(_fitted, "w0 double, w binary, v binary").collect()
     if not row:
         return fit(np.zeros(0), *[np.zeros(0, np.int64)] * 3)
