@@ -224,7 +224,7 @@ def _fitted(frames):
 
 
 def with_stated(docs: DataFrame) -> Column:
-    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return F.col("n_chars").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
