@@ -37,10 +37,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 KIND = "merges"
 UNKNOWN = 10.0
-#: Words whose pieces a worker keeps.
-CACHE_WORDS = 400_000
-#: Pairs of pieces whose agreement a worker keeps.
-CACHE_PAIRS = 1_000_000
+#: A worker keeps the pieces of words, and the agreement of pairs of pieces, in tables of
+#: ``2**CACHE_BITS`` places that a hash decides; a newcomer takes the place of what is there.
+CACHE_BITS = 20
+#: Ids that are kept; beyond, the words' table starts anew.
+CACHE_IDS = 6_000_000
+#: Bits of the filter before the probes.
+FILTER_BITS = 22
+#: Ids that are decoded at once; a longer text is decoded alone.
+DECODED = 1 << 19
 #: Cells (words x ends x lengths) that are worked on at once.
 CELLS = 1 << 22
 
@@ -77,6 +82,8 @@ class Pieces:
         if kind == "merges":
             self._learn_merges([names[i] for i in normal], [model.get_score(i) for i in normal], order)
         self.longest = max(map(len, codes))
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.key >> np.uint64(64 - FILTER_BITS)] = True
         self.unknown_score = self.score.min() - UNKNOWN
         self.byte_id = np.full(256, model.unk_id(), np.int32)
         for i in range(n):
@@ -136,8 +143,8 @@ class Pieces:
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that a and b make together; a rank over all if there is none."""
         h = mixed(self.plain[a] + self.plain[b] * _power(BASE, 64)[self.size[a]])
-        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-        return np.where((self.key[at] == h) & self.made[at], self.rank[at], len(self.key))
+        at, known = self._probe(h)
+        return np.where(known & self.made[at], self.rank[at], len(self.key))
 
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Would the merge procedure leave pieces a and b side by side?"""
@@ -159,21 +166,28 @@ class Pieces:
 
     def _agree(self, a: np.ndarray, b: np.ndarray, memo: dict) -> np.ndarray:
         """``agree``, remembered."""
-        if "pair" not in memo or len(memo["pair"]) > CACHE_PAIRS:
-            memo.update(pair=np.zeros(0, np.int64), stands=np.zeros(0, bool))
-        pair, back = np.unique((a << 32) | b, return_inverse=True)
-        where = np.searchsorted(memo["pair"], pair)
-        old = np.zeros(len(pair), bool)
-        inside = where < len(memo["pair"])
-        old[inside] = memo["pair"][where[inside]] == pair[inside]
-        stands = np.zeros(len(pair), bool)
-        stands[old] = memo["stands"][where[old]]
-        new = ~old
-        if new.any():
-            stands[new] = self.agree(pair[new] >> 32, pair[new] & 0xFFFFFFFF)
-            memo["pair"] = np.insert(memo["pair"], where[new], pair[new])
-            memo["stands"] = np.insert(memo["stands"], where[new], stands[new])
-        return stands[back]
+        if not memo:
+            memo.update(pair=np.full(1 << CACHE_BITS, -1, np.int64), stands=np.zeros(1 << CACHE_BITS, bool))
+        pair = (a << 32) | b
+        slot = mixed(pair.view(np.uint64)) >> np.uint64(64 - CACHE_BITS)
+        stands = memo["stands"][slot]
+        new = np.flatnonzero(memo["pair"][slot] != pair)
+        if len(new):
+            stands[new] = self.agree(a[new], b[new])
+            # key and value of a place go together: of several newcomers the last one has both
+            memo["pair"][slot[new]] = pair[new]
+            won = new[memo["pair"][slot[new]] == pair[new]]
+            memo["stands"][slot[won]] = stands[won]
+        return stands
+
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the sorted pieces, and whether the hash is there."""
+        at, known = np.zeros(h.shape, np.int64), self.filter[h >> np.uint64(64 - FILTER_BITS)]
+        some = h[known]
+        place = np.minimum(np.searchsorted(self.key, some), len(self.key) - 1)
+        at[known] = place
+        known[known] = self.key[place] == some
+        return at, known
 
     # ---- encoding
 
@@ -226,14 +240,13 @@ class Pieces:
         # the last piece before each place: -1 for none or one without a piece, which agree with all
         state = np.full((n, length + 1), -1, np.int64)
         back, piece = np.zeros((n, length + 1), np.int16), np.zeros((n, length + 1), np.int32)
+        row = np.arange(n)
         inverse = _power(BASE_INVERSE, len(codes) + 1)
         for end in range(1, length + 1):
             lengths = np.arange(min(end, self.longest), 0, -1)
             begin = start[:, None] + end - lengths
             h = mixed((total[start + end][:, None] - total[begin]) * inverse[begin])
-            at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-            known = self.key[at] == h
-            row = np.arange(n)
+            at, known = self._probe(h)
             if self.kind == "unigram":
                 value = np.where(known, self.score[at], -np.inf)
                 value[~known[:, -1], -1] = self.unknown_score
@@ -304,32 +317,40 @@ class Pieces:
         return np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *numbers])
 
     def _cached(self, h, codes, total, start, size, cache):
-        if not cache or len(cache["key"]) > CACHE_WORDS:
-            cache.update(key=np.zeros(0, np.uint64), memo=cache.get("memo", {}), place=np.zeros(0, np.int64), count=np.zeros(0, np.int64), flat=np.zeros(0, np.int32))
-        where = np.searchsorted(cache["key"], h)
-        old = np.zeros(len(h), bool)
-        inside = where < len(cache["key"])
-        old[inside] = cache["key"][where[inside]] == h[inside]
-        place, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        place[old], count[old] = cache["place"][where[old]], cache["count"][where[old]]
-        if not old.all():
-            new = ~old
-            ids, n = self._marked(codes, total, start[new], size[new], cache.setdefault("memo", {}))
+        if not cache or len(cache["flat"]) > CACHE_IDS:
+            cache.update(key=np.zeros(1 << CACHE_BITS, np.uint64), place=np.zeros(1 << CACHE_BITS, np.int64),
+                         count=np.zeros(1 << CACHE_BITS, np.int32), flat=np.zeros(0, np.int32), memo=cache.get("memo", {}))
+        slot = h >> np.uint64(64 - CACHE_BITS)
+        place, count = cache["place"][slot], cache["count"][slot].astype(np.int64)
+        new = np.flatnonzero(cache["key"][slot] != h)
+        if len(new):
+            ids, n = self._marked(codes, total, start[new], size[new], cache["memo"])
             place[new], count[new] = len(cache["flat"]) + np.cumsum(n) - n, n
             cache["flat"] = np.concatenate([cache["flat"], ids])
-            cache["key"] = np.insert(cache["key"], where[new], h[new])
-            cache["place"] = np.insert(cache["place"], where[new], place[new])
-            cache["count"] = np.insert(cache["count"], where[new], n)
+            cache["key"][slot[new]] = h[new]
+            won = new[cache["key"][slot[new]] == h[new]]
+            cache["place"][slot[won]], cache["count"][slot[won]] = place[won], count[won]
         return place, count, cache["flat"]
 
     # ---- decoding
 
     def decode(self, ids: np.ndarray, numbers: np.ndarray) -> pa.Array:
         """Texts of runs of ids; bytes that are no UTF-8 become U+FFFD."""
+        if not len(numbers):
+            return pa.array([], pa.string())
+        ends, out, first = np.cumsum(numbers), [], 0
+        while first < len(numbers):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + DECODED, "right")))
+            out.append(self._texts(ids[before:int(ends[last - 1])], numbers[first:last]))
+            first = last
+        return pa.concat_arrays(out)
+
+    def _texts(self, ids: np.ndarray, numbers: np.ndarray) -> pa.Array:
         size = self.raw_size[ids]
         ends = np.cumsum(size)
         n = int(ends[-1]) if len(ends) else 0
-        data = self.raw[np.arange(n) - np.repeat(ends - size, size) + np.repeat(self.raw_start[ids], size)]
+        data = self.raw[np.arange(n) + np.repeat(self.raw_start[ids] - ends + size, size)]
         cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(numbers)])]
         some = np.diff(cut) > 0
         lead = cut[:-1][some]
@@ -374,9 +395,16 @@ def decoded(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "t
     return rows.withColumn(name, decode(F.col(ids)))
 
 
-def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding them gives the text back."""
-    rows = encoded(docs.select("doc_id", "text"), path)
-    rows = decoded(rows, path, name="__text")
-    escaped = F.replace(F.coalesce("text", F.lit("")), F.lit(chr(MARK)), F.lit(" "))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("__text") == escaped).alias("round_trip"))
+def digest(docs: DataFrame, path: str = MODEL, kind: str = KIND) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding them gives the text back (encoded and decoded in one UDF)."""
+    shared, kept = docs.sparkSession.sparkContext.broadcast(Pieces(path, kind)), {}
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def there_and_back(text: pa.Array) -> pa.Array:
+        ids, numbers = shared.value.encode(text, kept)
+        given = pc.replace_substring(pc.fill_null(text.cast(pa.string()), ""), chr(MARK), " ")
+        same = pc.equal(shared.value.decode(ids, numbers), given)
+        return pa.StructArray.from_arrays([_lists(ids, numbers), same], ["ids", "round_trip"])
+
+    rows = docs.select("doc_id", there_and_back("text").alias("p"))
+    return rows.select("doc_id", F.size("p.ids").cast("long").alias("n_tokens"), "p.ids", "p.round_trip")
