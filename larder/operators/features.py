@@ -72,7 +72,8 @@ def lag_features(df: DataFrame, lags=(1, 7)) -> DataFrame:
     keys, moment = ["store_id", "product_id"], ["event_date", "transaction_ts"]
     at = [F.col(c).asc_nulls_last() for c in SERIES_ORDER if c not in moment]
     own = Window.partitionBy(*keys, *moment)
-    rows = df.withColumn("__rn", F.row_number().over(own.orderBy(*at)))
+    in_moment = own.orderBy(*at)
+    rows = df.withColumns({"__rn": F.row_number().over(in_moment), **{f"__lag_{n}": F.lag("quantity", n).over(in_moment) for n in lags}})
     last = (df.withColumn("__back", F.row_number().over(own.orderBy(*[F.col(c).desc_nulls_first() for c in SERIES_ORDER if c not in moment])))
             .filter(F.col("__back") <= most)
             .groupBy(*keys, *moment).agg(F.array_sort(F.collect_list(F.struct((-F.col("__back")).alias("at"), "quantity"))).alias("__tail")))
@@ -85,12 +86,11 @@ def lag_features(df: DataFrame, lags=(1, 7)) -> DataFrame:
         one = F.col(c).eqNullSafe(F.col(f"__{c}"))
         same = one if same is None else same & one
     rows = rows.join(earlier, same, "left")
-    in_moment = own.orderBy("__rn")
     out = {}
     for n in lags:
         back = F.size("__before") + F.col("__rn") - n  # place, from 1, among the rows before the moment
         carried = F.when(back >= 1, F.get(F.col("__before"), (back - 1).cast("int"))["quantity"])
-        out[f"quantity_lag_{n}"] = F.when(F.col("__rn") > n, F.lag("quantity", n).over(in_moment)).otherwise(carried)
+        out[f"quantity_lag_{n}"] = F.when(F.col("__rn") > n, F.col(f"__lag_{n}")).otherwise(carried)
     return rows.withColumns(out).select(*df.columns, *out)
 
 
