@@ -41,7 +41,7 @@ UNKNOWN = 10.0
 #: ``2**CACHE_BITS`` places that a hash decides; a newcomer takes the place of what is there.
 CACHE_BITS = 20
 #: Ids that are kept; beyond, the words' table starts anew.
-CACHE_IDS = 6_000_000
+CACHE_IDS = 3_000_000
 #: Bits of the filter before the probes.
 FILTER_BITS = 22
 #: Ids that are decoded at once; a longer text is decoded alone.

@@ -14,7 +14,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
