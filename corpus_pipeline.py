@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 all but the last return the columns of documents.
 
 1. quality: documents that the factorisation machine rejects go.
-2. near duplicates: one document of each group stays.
+2. near duplicates: one document of each group (links at a Jaccard of 0.8 or more) stays.
 3. secrets: spans are replaced in the texts.
 4. mix: each source contributes its target; copies are rows, the last may be cut.
 5. pieces: texts become ids (columns ``ids`` and ``n_tokens`` are added).
@@ -22,12 +22,16 @@ from larder.llm import mixing, neardup, pieces, quality, secrets
 from larder.llm.common import checkpointed, read
 
 
+#: The least similarity of near duplicates.
+NEAR = (80, 100)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, NEAR)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ sequence of words as one shingle if it has fewer).  Texts with equal sets are on
 their representative the least id.  The sketch keeps the ``SKETCH`` least hashes.
 
 Candidates come from inverted lists of retained values.  A text is entered under
-its ``POSTS`` least retained values (so many as prove a common one, if it has few
+its ``posts`` least retained values (so many as prove a common one, if it has few
 shingles), taking values that over ``LIST`` texts retain last: they are passages
 that many documents share, and texts that share little else needn't meet.  Texts
 that consist of such values to ``SHARED`` or more are also entered under their least
@@ -19,8 +19,9 @@ common values.
   there, and only a spanning forest of the links leaves.
 
 A pair counts in its first common list only.  Nothing is capped: pairs of similar
-texts are lost only if all their least values differ, for which the chance is under
-1e-5 at a similarity of 0.85.  Components come from the verified links.
+texts are lost only if all their least values differ.  ``posts`` follow from the
+threshold, so that the chance of it is about ``MISS`` for a pair at the threshold.
+Components come from the verified links.
 
 Cases: null, empty and wordless texts have empty sets, link with nothing and are
 kept; rows without an id likewise; repeated rows are equal texts; ties in a sketch
@@ -30,6 +31,8 @@ that are not read may have any name.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,15 +44,28 @@ from larder.llm.graph import components
 from larder.llm.textvec import BASE, Words, chunks, mixed
 
 SHINGLE = 5
+#: The least similarity of a link, as a fraction of whole numbers: the contract's, where none is given.
 THRESHOLD = (85, 100)
-SKETCH, INDEX, POSTS = 64, 32, 10
+SKETCH, INDEX = 64, 32
 LIST = 50
-SHARED, SHARED_POSTS = 0.4, 8
+SHARED = 0.4
+MISS = 1e-6
 BLOCK = 1024
 #: Estimates this many standard errors under the threshold are let go.
 ERRORS = 4.0
 
 
+def posts(threshold: tuple[int, int]) -> tuple[int, int]:
+    """Lists under which a text is entered, and common ones if it consists of such values.
+
+    All of k least values differ with the chance (1 - similarity)^k.  Texts that aren't
+    entered under common values have up to ``SHARED`` of them, and may differ in the others only.
+    """
+    apart = 1 - threshold[0] / threshold[1]
+    count = lambda x: min(INDEX, math.ceil(math.log(MISS) / math.log(min(max(x, MISS), 0.99))))
+    return count(apart / (1 - SHARED)), count(apart)
+
+
 def shingle_sets(texts: pa.Array):
     """Per chunk: first row, number of rows, the rows' distinct hashes one after another (sorted), and their numbers."""
     step = np.uint64(BASE)
@@ -144,7 +160,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def _union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[float, float, bool]:
+def _union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int, threshold: tuple[int, int] = THRESHOLD) -> tuple[float, float, bool]:
     """Similarity estimated from the least hashes of the union, its standard error, and whether it is exact."""
     union = np.union1d(a, b)
     exact = na <= SKETCH and nb <= SKETCH
@@ -152,7 +168,8 @@ def _union_estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[flo
         union = union[:SKETCH]
     both = np.intersect1d(a, b, assume_unique=True)
     part = np.searchsorted(both, union[-1], "right") / len(union)
-    return part, np.sqrt(THRESHOLD[0] / THRESHOLD[1] * (1 - THRESHOLD[0] / THRESHOLD[1]) / len(union)), exact
+    least = threshold[0] / threshold[1]
+    return part, np.sqrt(least * (1 - least) / len(union)), exact
 
 
 def _runs(frames, keys: list[str], least: int):
@@ -177,7 +194,7 @@ def _runs(frames, keys: list[str], least: int):
         yield pd.concat(held, ignore_index=True)
 
 
-def _estimated(frames):
+def _estimated(frames, threshold):
     """Rows of rare lists, sorted by value, to pairs (a, b, exact) that may be similar."""
     for rows in _runs(frames, ["value"], 2048):
         value, rep, n = rows["value"].to_numpy(), rows["rep"].to_numpy(), rows["n"].to_numpy()
@@ -188,29 +205,29 @@ def _estimated(frames):
         for s, e in zip(start, np.append(start[1:], len(rows))):
             for i in range(s, e):
                 for j in range(i + 1, e):
-                    if min(n[i], n[j]) * THRESHOLD[1] < max(n[i], n[j]) * THRESHOLD[0]:
+                    if min(n[i], n[j]) * threshold[1] < max(n[i], n[j]) * threshold[0]:
                         continue
                     common = posts[i][np.isin(posts[i], posts[j])]
                     if common.min() != value[i]:
                         continue
-                    part, error, exact = _union_estimate(sketch[i], sketch[j], n[i], n[j])
-                    least = THRESHOLD[0] / THRESHOLD[1]
+                    part, error, exact = _union_estimate(sketch[i], sketch[j], n[i], n[j], threshold)
+                    least = threshold[0] / threshold[1]
                     if part >= least - 1e-9 if exact else part >= least - ERRORS * error:
                         out.append((rep[i], rep[j], exact))
         yield pd.DataFrame(out, columns=["a", "b", "exact"])
 
 
-def _verified(frames):
+def _verified(frames, threshold):
     for pdf in frames:
         keep = []
         for x, y in zip(pdf["x"], pdf["y"]):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both))
+            keep.append(threshold[1] * both >= threshold[0] * (len(x) + len(y) - both))
         yield pdf[["a", "b"]][np.array(keep, bool)]
 
 
-def _met(frames):
+def _met(frames, threshold):
     """Rows of common lists, sorted by (value, lower, upper) block, to spanning forests of the exact links."""
     for rows in _runs(frames, ["value", "lower", "upper"], 1):
         key = rows[["value", "lower", "upper"]].to_numpy()
@@ -223,11 +240,11 @@ def _met(frames):
             a_all, b_all = [], []
             # texts by size: those too short or too long for each other needn't be compared
             for at in range(0, len(sets), 256):
-                last = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * THRESHOLD[1] / THRESHOLD[0], "right"))
+                last = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * threshold[1] / threshold[0], "right"))
                 for to in range(at, last, 256):
                     left, right = np.arange(at, min(at + 256, len(sets))), np.arange(to, min(to + 256, len(sets)))
                     both = _overlaps([sets[i] for i in left] + [sets[i] for i in right])[:len(left), len(left):]
-                    i, j = np.nonzero(THRESHOLD[1] * both >= THRESHOLD[0] * (n[left][:, None] + n[right][None, :] - both))
+                    i, j = np.nonzero(threshold[1] * both >= threshold[0] * (n[left][:, None] + n[right][None, :] - both))
                     i, j = left[i], right[j]
                     use = (i < j) & ((part[i] != part[j]) if cross else True)
                     a_all.append(i[use])
@@ -237,9 +254,10 @@ def _met(frames):
             yield pd.DataFrame({"a": rep[a[keep]], "b": rep[b[keep]]})
 
 
-def _posted(reps: DataFrame) -> DataFrame:
+def _posted(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Representatives with ``posts``: the values under which they are entered, and ``common``, those of them that many retain."""
     index = F.slice("sketch", 1, INDEX)
+    least, least_common = posts(threshold)
     values = reps.select("rep", F.explode(index).alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LIST).select("value")
     often = checkpointed(often)
@@ -247,27 +265,28 @@ def _posted(reps: DataFrame) -> DataFrame:
     rows = reps.join(own, "rep", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
     rare, common = F.array_except(index, "often"), F.array_intersect(index, "often")
     few = F.col("n") <= INDEX
-    need = F.when(few, F.floor(F.col("n") * (THRESHOLD[1] - THRESHOLD[0]) / THRESHOLD[1]).cast("int") + 1).otherwise(POSTS)
+    need = F.when(few, F.floor(F.col("n") * (threshold[1] - threshold[0]) / threshold[1]).cast("int") + 1).otherwise(least)
     shared = (F.size("common") >= SHARED * F.size(index)) & ~few
     rows = rows.withColumn("rare", rare).withColumn("common", common)
-    posts = F.concat(F.slice(F.concat("rare", "common"), F.lit(1), need), F.when(shared, F.slice("common", 1, SHARED_POSTS)).otherwise(F.array().cast("array<long>")))
-    return rows.withColumn("posts", F.array_distinct(posts)).select("rep", "n", "sketch", "posts", F.array_intersect("posts", "common").alias("common"))
+    under = F.concat(F.slice(F.concat("rare", "common"), F.lit(1), need), F.when(shared, F.slice("common", 1, least_common)).otherwise(F.array().cast("array<long>")))
+    return rows.withColumn("posts", F.array_distinct(under)).select("rep", "n", "sketch", "posts", F.array_intersect("posts", "common").alias("common"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    at = lambda f: lambda frames: f(frames, threshold)
     docs = docs.select("doc_id", "text")
     slim = checkpointed(docs.mapInArrow(_sketches, "doc_id long, n long, sum1 long, sum2 long, sketch array<long>"))
     some = slim.filter("n > 0 and doc_id is not null")
     reps = some.groupBy("n", "sum1", "sum2").agg(F.min(F.struct("doc_id", "sketch")).alias("least"))
     reps = checkpointed(reps.select("n", "sum1", "sum2", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
-    rows = checkpointed(_posted(reps.select("rep", "n", "sketch")))
+    rows = checkpointed(_posted(reps.select("rep", "n", "sketch"), threshold))
 
     entries = rows.select("rep", F.explode(F.array_except("posts", "common")).alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("value")
     entries = entries.join(lists, "value").join(rows.select("rep", "n", "sketch", "posts"), "rep")
     entries = entries.repartition("value").sortWithinPartitions("value")
-    pairs = checkpointed(entries.mapInPandas(_estimated, "a long, b long, exact boolean"))
+    pairs = checkpointed(entries.mapInPandas(at(_estimated), "a long, b long, exact boolean"))
 
     entries = rows.select("rep", "n", F.explode("common").alias("value"))
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -280,12 +299,12 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = checkpointed(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"]))
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    proven = open_pairs.join(x, "a").join(y, "b").mapInPandas(_verified, "a long, b long")
+    proven = open_pairs.join(x, "a").join(y, "b").mapInPandas(at(_verified), "a long, b long")
 
     met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("rep", "n", "value", "part", F.least("part", "other").alias("lower"), F.greatest("part", "other").alias("upper"))
     met = met.join(sets, "rep").repartition("value", "lower", "upper").sortWithinPartitions("value", "lower", "upper")
-    links = proven.union(pairs.filter("exact").select("a", "b")).union(met.mapInPandas(_met, "a long, b long"))
+    links = proven.union(pairs.filter("exact").select("a", "b")).union(met.mapInPandas(at(_met), "a long, b long"))
 
     parts = components(links).withColumnRenamed("node", "rep")
     info = reps.select("n", "sum1", "sum2", "rep").join(parts, "rep", "left").select("n", "sum1", "sum2", F.coalesce("component", "rep").alias("component_id"))
@@ -294,9 +313,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return done.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One document of each group, columns as they were; of rows with equal id, text and group one stays."""
-    found = checkpointed(groups(docs))
+    found = checkpointed(groups(docs, threshold))
     kept = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
     rows = docs.join(kept, F.col("doc_id") == F.col("__id"))
     one = rows.filter("__rows = 1")

@@ -8,7 +8,7 @@ from larder.llm.common import read
 QUERIES = {
     "op1_quality": lambda spark, d: quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op2_secret_scan": lambda spark, d: secrets.digest(read(spark, d, "documents")),
-    "op3_near_dups": lambda spark, d: neardup.groups(read(spark, d, "documents")),
+    "op3_near_dups": lambda spark, d: neardup.groups(read(spark, d, "documents"), (85, 100)),
     "op4_mix_sources": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op5_embedding_dups": lambda spark, d: embeddings.digest(read(spark, d, "embeddings")),
     "op6_token_counts": lambda spark, d: tokens.digest(read(spark, d, "documents")),

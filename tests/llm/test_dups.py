@@ -100,6 +100,50 @@ def test_groups_equal_brute_force(spark, monkeypatch, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def brute_at(rows, part):
+    """Components of rows with an id at any least similarity (a percentage)."""
+    sets, joined = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}, Sets()
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= part * len(x | y):
+                joined.join(a, b)
+    return {i: joined.root(i) for i in ids}
+
+
+def between_rows(seed=6):
+    """Texts whose similarities lie about 0.8 and 0.85: a stretch of one is exchanged."""
+    rng, rows = random.Random(seed), []
+    for g in range(60):
+        base = words(rng, rng.choice([25, 60, 150, 400]))
+        n = len(base) - 4
+        share = rng.choice([0.76, 0.79, 0.81, 0.83, 0.84, 0.86])
+        gone = max(1, round(n * (1 - share) / (1 + share)) - 4)
+        rows += [(2 * g, " ".join(base), "en", "s"), (2 * g + 1, " ".join([*base[:9], *(f"z{g}x{i}" for i in range(gone)), *base[9 + gone:]]), "en", "s")]
+    return rows
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_groups_at_either_threshold(spark, part):
+    rows = near_rows(7) + [(10000 + r[0], *r[1:]) for r in between_rows()]
+    got = {r.doc_id: r.component_id for r in neardup.groups(frame(spark, rows).repartition(6), (part, 100)).collect()}
+    assert got == brute_at(rows, part)
+    assert brute_at(rows, 80) != brute_at(rows, 85)
+
+
+def test_pipeline_links_at_four_fifths(spark):
+    import corpus_pipeline as c
+
+    rows = between_rows()
+    out = c.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute_at(rows, 80).values()))
+
+
+def test_lists_follow_the_threshold():
+    assert neardup.posts((85, 100)) == (10, 8) and neardup.posts((80, 100)) == (13, 9)
+
+
 def test_groups_of_awkward_rows(spark):
     rows = awkward()
     got = neardup.groups(frame(spark, rows)).collect()
