@@ -6,10 +6,16 @@ first-order Markov model of random strings rather than one of ordinary
 identifiers, by log-likelihood ratio.
 
 Both models are counts of character pairs, learnt from labelled samples in
-``FIT_DOCS`` documents, picked by a hash of their id.  Ordinary: the words and
-identifiers of the texts, without base spans.  Random: the values of the base
-spans, and digests of the ids in the usual alphabets (hex in either case,
-base 64, base 36), so that alphabets without a base span are known as well.
+``FIT_DOCS`` documents, picked by a hash of their id.  Ordinary: the words,
+identifiers and numbers of the texts, without base spans, and dates, counts and
+numbered words made from hashes of the ids.  Random: the values of the base spans, and digests of
+the ids in the usual alphabets (hex in either case, base 64, base 36), so that
+alphabets without a base span are known as well.
+
+Only pairs of letters and digits count.  Paths, addresses and joined words hold
+``/``, ``+``, ``=``, ``_`` and ``-`` as encoded bytes do, so a token's parts between them
+are scored, and their pairs say nothing for either side.  Tokens of digits alone are
+numbers.
 
 Positions: ``split`` gives the text between the matches of a pattern and
 ``regexp_extract_all`` the matches, so a running sum of their lengths gives each
@@ -38,9 +44,9 @@ ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Words and identifiers shorter than the tokens in question, which may not teach what is ordinary.
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,18}(?![A-Za-z0-9+/_=-])"
-SYMBOLS = 66
+#: Words, identifiers and numbers shorter than the tokens in question, which may not teach what is ordinary.
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9][A-Za-z0-9_-]{3,18}(?![A-Za-z0-9+/_=-])"
+SYMBOLS = 62
 FIT_DOCS = 4000
 #: A token is a secret if the ratio favours random by this many nats in all, and by so many a character.
 LEAST_NATS, LEAST_NATS_EACH = 12.0, 0.45
@@ -88,7 +94,7 @@ def _pairs(tokens: Column) -> Column:
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     """Log-likelihood ratios, random against ordinary, at 128 * first + second character.
 
-    What reaches the driver are counts of pairs of the 66 symbols, whatever the input.
+    What reaches the driver are counts of pairs of the 62 letters and digits, whatever the input.
     """
     sample = learning_rows(docs.select("doc_id", "text").filter("text is not null"), "doc_id", fit_docs)
     sample = sample.withColumn("base", base_spans(F.col("text")))
@@ -98,11 +104,16 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     digest = F.sha2(seed, 256)
     made = F.array(F.sha1(seed), F.upper(F.md5(seed)), F.regexp_replace(F.base64(F.unhex(digest)), "[=]", ""),
                    F.conv(F.substring(digest, 1, 15), 16, 36), F.lower(F.conv(F.substring(digest, 20, 15), 16, 36)))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.pmod(F.xxhash64(F.lit("day"), seed), F.lit(40000)).cast("int"))
+    count = F.pmod(F.xxhash64(F.lit("count"), seed), F.lit(10**9))
+    words = F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))
+    numbers = F.array(F.date_format(day, "yyyyMMdd"), count.cast("string"),
+                      F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), (count % 1000).cast("string")))
     values = F.transform("base", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
     sides = F.array(F.struct(F.lit("r").alias("side"), _pairs(F.concat(values, made)).alias("pairs")),
-                    F.struct(F.lit("o").alias("side"), _pairs(F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))).alias("pairs")))
+                    F.struct(F.lit("o").alias("side"), _pairs(F.concat(words, numbers)).alias("pairs")))
     counts = (sample.select(F.explode(sides).alias("s")).select("s.side", F.explode("s.pairs").alias("pair"))
-              .filter(F.regexp_like("pair", F.lit(r"^[A-Za-z0-9+/_=-]{2}$")))
+              .filter(F.regexp_like("pair", F.lit(r"^[A-Za-z0-9]{2}$")))
               .groupBy("side", "pair").count().collect())
     pair, first, second, total = {}, {}, {}, {"r": 0, "o": 0}
     for side, p, n in counts:
@@ -110,7 +121,7 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
         first[side, p[0]] = first.get((side, p[0]), 0) + n
         second[side, p[1]] = second.get((side, p[1]), 0) + n
         total[side] += n
-    symbols = [chr(c) for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]
+    symbols = [chr(c) for c in range(128) if chr(c).isalnum()]
 
     def p(side: str, a: str, b: str) -> float:
         alone = (second.get((side, b), 0) + 1) / (total[side] + SYMBOLS)

@@ -239,6 +239,38 @@ def test_models_tell_random_from_ordinary(spark):
     assert not any(got[r[0]] for r in prose(200))
 
 
+PLAIN = ["/usr/local/lib/python3/site-packages/", "src/main/java/org/example/service", "https://www.example.org/articles/2024/01/15/what-we-know-now",
+         "2024-01-15/2024-02-16", "20240115T103000-20240216T114559", "logs/2023/12/31/23/59/58/part", "a/b/c/d/e/f/g/h/i/j/k/l", "user_id/order_no/item_no",
+         "https://example.org/search/v2/users/42/posts", "one+two+three+four+five", "name=value/other=thing/last=one", "1709-4863-2257/3348-9016-7725"]
+
+
+@pytest.mark.parametrize("teach", ["sf", "prose"])
+def test_joined_words_paths_and_dates_are_clean(spark, teach):
+    """Runs of words joined by what encoded bytes hold too, against random strings in the same alphabets."""
+    import base64
+    import random
+
+    rng = random.Random(3)
+    if teach == "sf":
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        known = sorted({w for r in docs.limit(300).collect() for w in re.findall(r"(?<!\S)[a-z]{1,9}(?!\S)", r.text or "")})
+    else:
+        docs, known = frame(spark, prose(200)), "therefore management information documentation considering somewhat user name field".split()
+    joined = [c.join(rng.choice(known) for _ in range(n)) for c in "/+_-=" for n in (4, 6, 8, 12) for _ in range(40)]
+    # a handful of words doesn't teach what others look like
+    clean = [f"see {x} here" for x in joined + [x for x in PLAIN if teach == "sf" or not re.search("[a-z]", x)]]
+    secret = []
+    for i in range(100):
+        raw = rng.randbytes(24 + i % 3 * 6)
+        secret += [base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="), raw.hex().upper()]
+    rows = [(i, t, "en", "p") for i, t in enumerate(clean)] + [(100000 + i, f"see {t} here", "en", "p") for i, t in enumerate(secret)]
+    got = {r.doc_id: r.found for r in secrets.scan(frame(spark, rows), secrets.train(docs)).select("doc_id", "found").collect()}
+    assert not [clean[i] for i in range(len(clean)) if got[i]]
+    assert all([(s.start, s.end) for s in got[100000 + i]] == [(4, 4 + len(t))] for i, t in enumerate(secret))
+    text = {r.doc_id: r.text for r in secrets.redacted(frame(spark, rows), secrets.train(docs)).collect()}
+    assert all(text[i] == t for i, t in enumerate(clean))
+
+
 def test_redaction(spark):
     df = frame(spark, awkward() + secret_rows()).withColumn("base", F.lit(3)).withColumn("found", F.lit("own"))
     out = secrets.redacted(df)
