@@ -132,11 +132,13 @@ def _signs(v: Column, table: int, bits: int) -> Column:
     return sum((F.when(projection(j) > 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(bits)), F.lit(0))
 
 
-def vector_topk_bucketed(emb: DataFrame, queries: DataFrame, k: int = 3, tables: int = 6, bits: int = 4) -> DataFrame:
+def vector_topk_bucketed(emb: DataFrame, queries: DataFrame, k: int = 3, tables: int = 24, bits: int = 4) -> DataFrame:
     """Approximate top-k: only vectors that share a bucket with the query are scored.
 
     A bucket is the signs of ``bits`` projections; there are ``tables`` of them, and a
-    pair is scored once, however many it shares.
+    pair is scored once, however many it shares.  The nearest vectors of a mean vector have
+    a cosine of about 0.4 with it, so they share a bucket of 4 signs seldom: with 6 tables
+    0.57 to 0.63 of the exact top 3 are found, with 24 all of them (README).
     """
     def keyed(df: DataFrame, v: str) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(t).alias("t"), _signs(F.col(v), t, bits).alias("key")) for t in range(tables)])

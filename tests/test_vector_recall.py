@@ -1,0 +1,14 @@
+"""Recall of the bucketed vector search against the exact one, on whole tables."""
+
+import pytest
+
+from larder.operators import retrieval as rt
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_bucketed_search_finds_the_exact_neighbours(spark, sf):
+    emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "label", "embedding").cache()
+    queries = rt.label_centroids(emb).cache()
+    exact = {(r.query_id, r.vec_id) for r in rt.vector_topk(emb, queries, 3).collect()}
+    found = {(r.query_id, r.vec_id) for r in rt.vector_topk_bucketed(emb, queries, 3).collect()}
+    assert len(exact) == 3 * queries.count() and len(exact & found) >= 0.9 * len(exact)
