@@ -12,15 +12,17 @@ that consist of such values to ``SHARED`` or more are also entered under their l
 common values.
 
 - In a list of a value that few retain, each pair is estimated from the sketch of
-  its union: the share of the union's least hashes that both have.  Pairs clearly
-  under the threshold go; the others are verified on the full sets.
+  its union: the share of the union's least hashes that both have.  Pairs with fewer in
+  common than all but ``MISS`` of the pairs at the threshold go; the others are
+  verified on the full sets.
 - In a list of a common value, texts bring their full sets, and a list of any length
   is cut in blocks of ``BLOCK`` that meet pair by pair; Jaccard similarities are exact
   there, and only a spanning forest of the links leaves.
 
 A pair counts in its first common list only.  Nothing is capped: pairs of similar
-texts are lost only if all their least values differ.  ``posts`` follow from the
-threshold, so that the chance of it is about ``MISS`` for a pair at the threshold.
+texts are lost only if all their least values differ, or if the estimate falls so
+low.  Lists and cut follow from the threshold, so that for a pair at the threshold the
+chance of the first is about ``MISS`` and that of the second no more than it.
 Components come from the verified links.
 
 Cases: null, empty and wordless texts have empty sets, link with nothing and are
@@ -31,6 +33,7 @@ that are not read may have any name.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -51,8 +54,6 @@ LIST = 50
 SHARED = 0.4
 MISS = 1e-6
 BLOCK = 1024
-#: Estimates this many standard errors under the threshold are let go.
-ERRORS = 4.0
 
 
 def posts(threshold: tuple[int, int]) -> tuple[int, int]:
@@ -66,6 +67,17 @@ def posts(threshold: tuple[int, int]) -> tuple[int, int]:
     return count(apart / (1 - SHARED)), count(apart)
 
 
+@functools.cache
+def least_common(threshold: tuple[int, int]) -> int:
+    """Of a union's ``SKETCH`` least hashes, so many or more are common to a pair at the threshold, but for a chance of ``MISS``."""
+    share, below = threshold[0] / threshold[1], 0.0
+    for common in range(SKETCH + 1):
+        below += math.comb(SKETCH, common) * share**common * (1 - share) ** (SKETCH - common)
+        if below > MISS:
+            return common
+    return SKETCH
+
+
 def shingle_sets(texts: pa.Array):
     """Per chunk: first row, number of rows, the rows' distinct hashes one after another (sorted), and their numbers."""
     step = np.uint64(BASE)
@@ -210,9 +222,9 @@ def _estimated(frames, threshold):
                     common = posts[i][np.isin(posts[i], posts[j])]
                     if common.min() != value[i]:
                         continue
-                    part, error, exact = _union_estimate(sketch[i], sketch[j], n[i], n[j], threshold)
+                    part, _, exact = _union_estimate(sketch[i], sketch[j], n[i], n[j], threshold)
                     least = threshold[0] / threshold[1]
-                    if part >= least - 1e-9 if exact else part >= least - ERRORS * error:
+                    if part >= least - 1e-9 if exact else round(part * SKETCH) >= least_common(threshold):
                         out.append((rep[i], rep[j], exact))
         yield pd.DataFrame(out, columns=["a", "b", "exact"])
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,20 @@ def test_pipeline_links_at_four_fifths(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute_at(rows, 80).values()))
 
 
+@pytest.mark.parametrize("threshold", [(80, 100), (85, 100), (95, 100)])
+def test_estimates_let_go_at_the_stated_chance(threshold):
+    share, cut = threshold[0] / threshold[1], neardup.least_common(threshold)
+    below = [sum(math.comb(64, i) * share**i * (1 - share) ** (64 - i) for i in range(c)) for c in (cut, cut + 1)]
+    assert below[0] <= neardup.MISS < below[1]
+    for common in (cut, cut - 1):
+        # of the union's least 64 values, so many are common; the rest are the first text's own
+        union = np.arange(1, 65, dtype=np.int64)
+        a, b = union, np.concatenate([union[:common], np.arange(1000, 1064 - common, dtype=np.int64)])
+        rows = pd.DataFrame({"value": [1, 1], "rep": [1, 2], "n": [1000, 1000], "sketch": [a, b], "posts": [a[:10], b[:10]]})
+        found = pd.concat(neardup._estimated([rows], threshold))
+        assert len(found) == (common == cut)
+
+
 def test_lists_follow_the_threshold():
     assert neardup.posts((85, 100)) == (10, 8) and neardup.posts((80, 100)) == (13, 9)
 
