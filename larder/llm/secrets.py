@@ -1,14 +1,14 @@
 """Secret scan (DataFrame functions only).
 
 Three patterns give the base spans (assignments, access keys, hex strings).  The
-method adds spans of kind ``random``: long tokens whose characters follow a
-first-order Markov model of random strings rather than one of ordinary
-identifiers, by log-likelihood ratio.
+method adds spans of kind ``random``: tokens, or what base spans leave of them, whose
+characters follow a first-order Markov model of random strings rather than one of
+ordinary identifiers, by log-likelihood ratio.
 
 Both models are counts of character pairs, learnt from labelled samples in
 ``FIT_DOCS`` documents, picked by a hash of their id.  Ordinary: the words,
-identifiers and numbers of the texts, without base spans, and dates, counts and
-numbered words made from hashes of the ids.  Random: the values of the base spans, and digests of
+identifiers and numbers of the texts, without base spans, dates, counts and
+numbered words made from hashes of the ids, and some words in capitals.  Random: the values of the base spans, and digests of
 the ids in the usual alphabets (hex in either case, base 64, base 36), so that
 alphabets without a base span are known as well.
 
@@ -43,15 +43,17 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Words, identifiers and numbers shorter than the tokens in question, which may not teach what is ordinary.
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9][A-Za-z0-9_-]{3,18}(?![A-Za-z0-9+/_=-])"
+#: Rulers and repeated characters, which neither model has seen, have fewer characters of their own than this.
+LEAST_DISTINCT = 8
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_DISTINCT},}}"
+#: Words, identifiers and numbers, each a sequence of small, capital or capitalised words and of figures: tokens
+#: of a lone letter here and there may be what is looked for, and may not teach what is ordinary, nor may long ones.
+ORDINARY = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_-]{4,19}(?![A-Za-z0-9+/_=-]))"
+            r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[_-]*+)++(?![A-Za-z0-9+/_=-])")
 SYMBOLS = 62
 FIT_DOCS = 4000
 #: A token is a secret if the ratio favours random by this many nats in all, and by so many a character.
 LEAST_NATS, LEAST_NATS_EACH = 12.0, 0.45
-#: Rulers and repeated characters, which neither model has seen, have fewer characters of their own.
-LEAST_DISTINCT = 8
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 MARK = "[SECRET]"
 
@@ -109,9 +111,10 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     words = F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))
     numbers = F.array(F.date_format(day, "yyyyMMdd"), count.cast("string"),
                       F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), (count % 1000).cast("string")))
+    capitals = F.transform(F.slice(words, 1, 20), F.upper)
     values = F.transform("base", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
     sides = F.array(F.struct(F.lit("r").alias("side"), _pairs(F.concat(values, made)).alias("pairs")),
-                    F.struct(F.lit("o").alias("side"), _pairs(F.concat(words, numbers)).alias("pairs")))
+                    F.struct(F.lit("o").alias("side"), _pairs(F.concat(words, numbers, capitals)).alias("pairs")))
     counts = (sample.select(F.explode(sides).alias("s")).select("s.side", F.explode("s.pairs").alias("pair"))
               .filter(F.regexp_like("pair", F.lit(r"^[A-Za-z0-9]{2}$")))
               .groupBy("side", "pair").count().collect())
@@ -134,8 +137,22 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     return out
 
 
-def random_spans(text: Column, ratios: list[float], base: Column) -> Column:
-    """Spans of tokens that the models call random and that no base span touches."""
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of its spans, so that all else keeps its position."""
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(s["at"], x["start"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    blanked = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                          lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+
+def random_spans(text: Column, ratios: list[float]) -> Column:
+    """Spans of tokens that the models call random; ``text`` holds no base span."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
 
     def nats(token: Column) -> Column:
@@ -144,10 +161,9 @@ def random_spans(text: Column, ratios: list[float], base: Column) -> Column:
         return F.aggregate(codes, start, lambda s, c: F.when(c == 0, s).otherwise(F.struct(
             (s["sum"] + F.get(table, 128 * s["last"] + c)).alias("sum"), c.alias("last"))), lambda s: s["sum"])
 
-    apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     likely = lambda m: nats(m["value"]) >= F.greatest(F.lit(LEAST_NATS), LEAST_NATS_EACH * F.char_length(m["value"]))
     varied = lambda m: F.size(F.array_distinct(F.split(m["value"], ""))) >= LEAST_DISTINCT
-    candidates = F.filter(F.filter(_matches(text, TOKEN), varied), apart)
+    candidates = F.filter(_matches(text, TOKEN), varied)
     spans = F.transform(F.filter(candidates, likely), lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
     return F.when(F.regexp_like(text, F.lit(TOKEN)), spans).otherwise(F.array().cast(SPAN))
@@ -162,7 +178,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("base", "found")]
     rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("__text"))
     rows = rows.withColumn("__base", base_spans(F.col("__text")))
-    rows = rows.withColumn("__more", random_spans(F.col("__text"), ratios, F.col("__base")))
+    rows = rows.withColumn("__rest", _without(F.col("__text"), F.col("__base")))
+    rows = rows.withColumn("__more", random_spans(F.col("__rest"), ratios))
     rows = rows.withColumn("base", F.array_sort(F.transform("__base", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
     return rows.select(*rest, "base", F.array_sort(F.concat("base", "__more")).alias("found"))
