@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import embeddings, language, mixing, neardup, pieces, quality, secrets, sharding, tokens, topk
+from larder.llm import embeddings, language, mixing, neardup, pieces, quality, secrets, sharding, tokens, topk, trie
 from larder.llm.common import read
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_shard": lambda spark, d: sharding.digest(read(spark, d, "documents")),
     "op9_pieces": lambda spark, d: pieces.digest(read(spark, d, "documents")),
     "op10_topk": lambda spark, d: topk.digest(read(spark, d, "embeddings")),
+    "op11_prefix_trie": lambda spark, d: trie.digest(read(spark, d, "conversations")),
 }
 
-ORACLE: dict[str, str] = {"op10_topk": topk.ORACLE}
+ORACLE: dict[str, str] = {"op10_topk": topk.ORACLE, "op11_prefix_trie": trie.ORACLE}
