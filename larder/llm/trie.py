@@ -34,10 +34,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import checkpointed, crc32_sql, word_count
+from larder.llm.common import checkpointed, crc32_sql, turn_id, word_count
 from larder.llm.textvec import mixed
 
 #: Turns in a row of the matrix, and turns of a chunk.
@@ -56,11 +56,6 @@ FOUND = ("kind int, k1 long, k2 long, p1 long, p2 long, conv_id long, depth long
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
-def turn_id(role: Column, text: Column) -> Column:
-    """Hex MD5 of a turn; the role's length keeps ("ab", "c") and ("a", "bc") apart."""
-    return F.md5(F.encode(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), "UTF-8"))
-
-
 def placed(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, n) of each conversation, and its turns (conv_id, at, id, words), ``at`` from 0.
 
