@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import embeddings, language, mixing, neardup, pieces, quality, repair, secrets, sharding, tokens, topk, trie
+from larder.llm import embeddings, language, mixing, multiset, neardup, pieces, quality, repair, secrets, sharding, tokens, topk, trie
 from larder.llm.common import read
 
 QUERIES = {
@@ -16,8 +16,9 @@ QUERIES = {
     "op8_shard": lambda spark, d: sharding.digest(read(spark, d, "documents")),
     "op9_pieces": lambda spark, d: pieces.digest(read(spark, d, "documents")),
     "op10_topk": lambda spark, d: topk.digest(read(spark, d, "embeddings")),
-    "op12_repair": lambda spark, d: repair.digest(read(spark, d, "conversations")),
     "op11_prefix_trie": lambda spark, d: trie.digest(read(spark, d, "conversations")),
+    "op12_repair": lambda spark, d: repair.digest(read(spark, d, "conversations")),
+    "op13_fingerprint": lambda spark, d: multiset.digest(read(spark, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {"op10_topk": topk.ORACLE, "op11_prefix_trie": trie.ORACLE}
