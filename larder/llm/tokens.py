@@ -16,14 +16,20 @@ a section and a document's counts add up to its tokens.
 The vocabulary is a file of ranks (a parameter); it is read once by the driver, and
 its tokens, a fixed number, are broadcast.
 
+The tokenizer's pattern goes back over a run of white space, which overflows its stack
+on a long one.  Runs of ``LONG_RUN`` or more are cut out as the pattern would cut them: all
+but the last character if something follows, else all, are one piece.
+
 Cases: a null or empty text has one empty section, with 0 tokens; repeated rows
-get equal rows; an empty table gives none.  Columns that are not read may have any
-name.
+get equal rows; an empty table gives none; texts may have any length, also without
+any space or of spaces only.  Columns that are not read may have any name.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +41,48 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULE = "most"
 
-_encoders: dict[int, tuple] = {}
+LONG_RUN = 1000
+# Fixed value: what the tokenizer's pattern calls white space.
+RUN = re.compile(f"[\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{{{LONG_RUN},}}")
+
+_encoders: dict[str, tuple] = {}
 
 
-def ranks(path: str = RANKS) -> dict[bytes, int]:
+def ranks(path: str = RANKS) -> tuple[str, dict[bytes, int]]:
+    """A digest of the file, by which workers know the tokenizer, and its tokens' ranks."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        data = f.read()
+    return hashlib.sha256(data).hexdigest(), {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def encoder(table: dict[bytes, int]) -> tuple:
+def encoder(table: tuple[str, dict[bytes, int]]) -> tuple:
     """The tokenizer and its tokens' byte lengths; made once per worker."""
-    if id(table) not in _encoders:
+    name, found = table
+    if name not in _encoders:
         import tiktoken
 
-        lengths = np.zeros(max(table.values()) + 1, np.int64)
-        for token, rank in table.items():
+        lengths = np.zeros(max(found.values()) + 1, np.int64)
+        for token, rank in found.items():
             lengths[rank] = len(token)
-        _encoders[id(table)] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), lengths
-    return _encoders[id(table)]
+        _encoders[name] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found, special_tokens={}), lengths
+    return _encoders[name]
+
+
+def encoded(text: str, encode) -> list[int]:
+    """Ids of a text, with its long runs of white space cut out first."""
+    ids, at = [], 0
+    for run in RUN.finditer(text):
+        first, last = run.start(), run.end() - (run.end() < len(text))
+        ids += encode.encode_ordinary(text[at:first])
+        ids += encode._encode_single_piece(text[first:last])
+        at = last
+    return ids + encode.encode_ordinary(text[at:])
 
 
-def token_spans(text: str, table: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(text: str, table: tuple[str, dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     """First character and end of each token."""
     encode, lengths = encoder(table)
-    ids = np.asarray(encode.encode_ordinary(text), np.int64)
+    ids = np.asarray(encoded(text, encode), np.int64)
     ends = np.cumsum(lengths[ids])
     # the character of each byte
     char = np.cumsum((np.frombuffer(text.encode("utf-8"), np.uint8) & 0xC0) != 0x80) - 1
