@@ -20,7 +20,9 @@ the pieces' bytes, turns the marks back to spaces and drops the first.
 
 Cases: a null or empty text has no pieces and decodes to an empty text; U+2581 in a
 text decodes as a space, as the model can't tell them apart; repeated rows get equal
-ids; an empty table gives none.  Columns that are not read may have any name.
+ids; an empty table gives none; texts may have any length: runs of spaces take a few
+steps, a word without spaces takes time in proportion to its length.  Columns that are
+not read may have any name.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ CACHE_IDS = 3_000_000
 FILTER_BITS = 22
 #: Ids that are decoded at once; a longer text is decoded alone.
 DECODED = 1 << 19
+#: Runs of marks up to this length are remembered.
+MARKS_KEPT = 4096
 #: Cells (words x ends x lengths) that are worked on at once.
 CELLS = 1 << 22
 
@@ -122,22 +126,46 @@ class Pieces:
         rank[place[by]] = np.arange(len(names))
         self.left, self.right, self.made, self.rank = left, right, made, rank
         self.mark = where.get(chr(MARK), -1)
-        self.mark_runs: dict[int, list[int]] = {}
+        self.mark_runs: dict[int, np.ndarray] = {}
         self.mark_names = {x: int(self.id[where[x]]) for x in marks | {chr(MARK)}}
         self.mark_score = {x: score[x] for x in marks | {chr(MARK)} if x in score}
 
-    def _run_of_marks(self, n: int) -> list[int]:
-        """Ids of n marks in a row, by the merge procedure (greatest score first, then leftmost)."""
+    def _run_of_marks(self, n: int) -> np.ndarray:
+        """Ids of n marks in a row, by the merge procedure (greatest score first, then leftmost).
+
+        Pieces of equal size stand in runs, so a step goes through few of them; a run merges as a whole
+        where none of the new neighbours would go before the rest of it.
+        """
         if n not in self.mark_runs:
-            one = chr(MARK)
-            parts = [one] * n
+            score, least = {len(x): v for x, v in self.mark_score.items() if len(x) > 1}, -np.inf
+            runs = [[1, n]]
             while True:
-                due = [(-self.mark_score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.mark_score]
+                due = [(-score[2 * s], r, 0) for r, (s, c) in enumerate(runs) if c > 1 and 2 * s in score]
+                due += [(-score[a[0] + b[0]], r, 1) for r, (a, b) in enumerate(zip(runs, runs[1:])) if a[0] + b[0] in score]
                 if not due:
                     break
-                i = min(due)[1]
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            self.mark_runs[n] = [self.mark_names[x] for x in parts]
+                _, r, beside = min(due)
+                size, count = runs[r]
+                if beside:
+                    other, more = runs[r + 1]
+                    runs[r:r + 2] = [[size, count - 1], [size + other, 1], [other, more - 1]]
+                else:
+                    new = 2 * size
+                    near = [new + size, new + new, *(new + runs[i][0] for i in (r - 1, r + 1) if 0 <= i < len(runs))]
+                    all_at_once = all(score.get(x, least) < score[new] for x in near)
+                    runs[r:r + 1] = [[new, count // 2], [size, count % 2]] if all_at_once else [[new, 1], [size, count - 2]]
+                joined = []
+                for s, c in runs:
+                    if c and joined and joined[-1][0] == s:
+                        joined[-1][1] += c
+                    elif c:
+                        joined.append([s, c])
+                runs = joined
+            one = chr(MARK)
+            ids = np.repeat([self.mark_names[one * s] for s, _ in runs], [c for _, c in runs]).astype(np.int32)
+            if n > MARKS_KEPT:
+                return ids
+            self.mark_runs[n] = ids
         return self.mark_runs[n]
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,11 +239,8 @@ class Pieces:
         """``words``, with runs of marks in front of a word encoded on their own."""
         if self.kind == "unigram":
             return self.words(codes, total, start, size, memo)
-        lead = np.zeros(len(start), np.int64)
-        on = np.flatnonzero(size > 0)
-        while len(on):
-            on = on[(lead[on] < size[on]) & (codes[np.minimum(start[on] + lead[on], len(codes) - 1)] == MARK)]
-            lead[on] += 1
+        other = np.append(np.flatnonzero(codes != MARK), len(codes))
+        lead = np.minimum(other[np.searchsorted(other, start)] - start, size)
         skip = np.where(lead == size, size, np.maximum(lead - 1, 0))
         ids, n = self.words(codes, total, start + skip, size - skip, memo)
         runs = np.flatnonzero(skip)
@@ -229,7 +254,7 @@ class Pieces:
             parts.append(ids[at:first])
             alone = n[i] > 0 and self.mark >= 0 and ids[first] == self.id[self.mark]
             run = self._run_of_marks(int(skip[i]) + int(alone))
-            parts.append(np.array(run, np.int32))
+            parts.append(run)
             at = first + int(alone)
             numbers[i] += len(run) - int(alone)
         return np.concatenate([*parts, ids[at:]]).astype(np.int32), numbers
