@@ -37,14 +37,14 @@ def shingles(text):
     return frozenset({tuple(words)} if 0 < len(words) < 5 else {tuple(words[i:i + 5]) for i in range(len(words) - 4)})
 
 
-def brute(rows):
+def brute(rows, least=85, of=100):
     """{id: (set size, component)} of rows with an id."""
     sets, joined = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}, Sets()
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and of * len(x & y) >= least * len(x | y):
                 joined.join(a, b)
     return {i: (len(sets[i]), joined.root(i)) for i in ids}
 
