@@ -159,7 +159,9 @@ _DIALECTS = {"responses": _responses_lines, "completions": _completions_lines,
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
-    return m.withColumnRenamed("id", "stream_id").repartition("stream_id")
+    # a stated number of tasks: a few MB of messages become many times that of log lines behind this exchange
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return m.withColumnRenamed("id", "stream_id").repartition(tasks, "stream_id")
 
 
 def sse_bodies(spark: SparkSession, sf_dir: str, dialect: str = "responses") -> DataFrame:
