@@ -1,8 +1,9 @@
 """MinHash near-duplicates: bottom-k sketches from one hash function.
 
 A text's set holds the hashes of its distinct five-word shingles (its whole
-sequence of words as one shingle if it has fewer).  Texts with equal sets are one,
-their representative the least id.  The sketch keeps the ``SKETCH`` least hashes.
+sequence of words as one shingle if it has fewer).  Texts with equal sets are one, a
+set being known by its size and two sums of its hashes; a number of its own stands for
+it until the components are found.  The sketch keeps the ``SKETCH`` least hashes.
 
 Candidates come from inverted lists of retained values.  A text is entered under
 its ``posts`` least retained values (so many as prove a common one, if it has few
@@ -15,9 +16,11 @@ common values.
   its union: the share of the union's least hashes that both have.  Pairs with fewer in
   common than all but ``MISS`` of the pairs at the threshold go; the others are
   verified on the full sets.
-- In a list of a common value, texts bring their full sets, and a list of any length
-  is cut in blocks of ``BLOCK`` that meet pair by pair; Jaccard similarities are exact
-  there, and only a spanning forest of the links leaves.
+- In a list of a common value, texts bring their full sets.  A list of any length is cut
+  by size: a link is only possible within a band of sizes or between neighbouring bands
+  (a band's sizes differ by less than the threshold).  Bands are cut in blocks of ``BLOCK``
+  that meet pair by pair; Jaccard similarities are exact there, and only a spanning forest
+  of the links leaves.
 
 A pair counts in its first common list only.  Nothing is capped: pairs of similar
 texts are lost only if all their least values differ, or if the estimate falls so
@@ -26,9 +29,10 @@ chance of the first is about ``MISS`` and that of the second no more than it.
 Components come from the verified links.
 
 Cases: null, empty and wordless texts have empty sets, link with nothing and are
-kept; rows without an id likewise; repeated rows are equal texts; ties in a sketch
-can't occur, as sets are distinct; an empty table gives an empty result.  Columns
-that are not read may have any name.
+kept; rows without an id likewise; repeated rows are equal texts; rows of one id with
+unlike texts are documents of their own, which the id alone doesn't link; ties in a
+sketch can't occur, as sets are distinct; an empty table gives an empty result; texts may
+have any length (a task holds one text's shingles).  Columns may have any name.
 """
 
 from __future__ import annotations
@@ -118,18 +122,25 @@ def _sketches(batches):
             place = np.arange(int(kept.sum())) - np.repeat(ends - kept, kept) + np.repeat(start, kept)
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").slice(first, n), pa.array(count.astype(np.int64)),
+                b.column("doc_id").slice(first, n), b.column("h").slice(first, n), pa.array(count.astype(np.int64)),
                 pa.array((total[start + count] - total[start]).view(np.int64)), pa.array((other[start + count] - other[start]).view(np.int64)),
-                pa.ListArray.from_arrays(offsets, pa.array(value[place].view(np.int64)))], ["doc_id", "n", "sum1", "sum2", "sketch"])
+                pa.ListArray.from_arrays(offsets, pa.array(value[place].view(np.int64)))], ["doc_id", "h", "n", "sum1", "sum2", "sketch"])
 
 
 def _sets(batches):
+    """(rep, shingles) of the texts whose sets are those that are asked for."""
     for b in batches:
+        want = [b.column(c).to_pylist() for c in ("rep", "n", "sum1", "sum2")]
         for first, n, value, count in shingle_sets(b.column("text")):
             offsets = np.concatenate([[0], np.cumsum(count)])
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").slice(first, n),
-                pa.array([value[offsets[i]:offsets[i + 1]].tobytes() for i in range(n)], pa.binary())], ["rep", "shingles"])
+            reps, sets = [], []
+            for i in range(n):
+                own = value[offsets[i]:offsets[i + 1]]
+                rep, *known = (w[first + i] for w in want)
+                if [len(own), *(int(x.view(np.int64)) for x in (own.sum(), mixed(own ^ np.uint64(BASE)).sum()))] == known:
+                    reps.append(rep)
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -284,14 +295,39 @@ def _posted(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return rows.withColumn("posts", F.array_distinct(under)).select("rep", "n", "sketch", "posts", F.array_intersect("posts", "common").alias("common"))
 
 
-def groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+SET = ["n", "sum1", "sum2"]
+
+
+def _bands(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Entries of common lists by the blocks that meet: (rep, n, value, part, lower, upper), blocks numbered within a list."""
+    # a little wider than the threshold, so that no rounding parts neighbours by two bands
+    size = F.log("n") / math.log(1.001 * threshold[1] / threshold[0])
+    entries = entries.withColumn("band", F.floor(size).cast("long"))
+    bands = entries.groupBy("value", "band").agg(F.count(F.lit(1)).alias("size"))
+    parts = bands.select("value", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), "size")
+    # the band above, where the list has one: a list's bands are few, whatever its length
+    above = parts.select("value", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = parts.select("value", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    parts = parts.join(above, ["value", "band"], "left").join(below, ["value", "band"], "left")
+    parts = parts.filter("size > 1 or above is not null or below is not null").drop("size")
+    rows = entries.join(parts, ["value", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    block = lambda band, part: band * F.lit(1 << 32) + part
+    row = lambda band, n: F.transform(F.sequence(F.lit(0), n - 1), lambda p: block(band, p))
+    none = F.array().cast("array<long>")
+    others = F.concat(row(F.col("band"), F.col("parts")), F.when(F.col("above").isNull(), none).otherwise(row(F.col("band") + 1, F.col("above"))),
+                      F.when(F.col("below").isNull(), none).otherwise(row(F.col("band") - 1, F.col("below"))))
+    rows = rows.select("rep", "n", "value", block(F.col("band"), F.col("own")).alias("part"), F.explode(others).alias("other"))
+    return rows.select("rep", "n", "value", "part", F.least("part", "other").alias("lower"), F.greatest("part", "other").alias("upper"))
+
+
+def _grouped(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(doc_id, h, n, first) of every row of ``docs`` (doc_id, text): ``h`` a hash of the text, ``first`` the least (doc_id, h) of its group."""
     at = lambda f: lambda frames: f(frames, threshold)
-    docs = docs.select("doc_id", "text")
-    slim = checkpointed(docs.mapInArrow(_sketches, "doc_id long, n long, sum1 long, sum2 long, sketch array<long>"))
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    slim = checkpointed(docs.mapInArrow(_sketches, "doc_id long, h long, n long, sum1 long, sum2 long, sketch array<long>"))
     some = slim.filter("n > 0 and doc_id is not null")
-    reps = some.groupBy("n", "sum1", "sum2").agg(F.min(F.struct("doc_id", "sketch")).alias("least"))
-    reps = checkpointed(reps.select("n", "sum1", "sum2", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
+    reps = some.groupBy(*SET).agg(F.min(F.struct("doc_id", "h", "sketch")).alias("least"))
+    reps = checkpointed(reps.select(F.monotonically_increasing_id().alias("rep"), *SET, "least.doc_id", "least.h", "least.sketch"))
     rows = checkpointed(_posted(reps.select("rep", "n", "sketch"), threshold))
 
     entries = rows.select("rep", F.explode(F.array_except("posts", "common")).alias("value"))
@@ -299,37 +335,41 @@ def groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame
     entries = entries.join(lists, "value").join(rows.select("rep", "n", "sketch", "posts"), "rep")
     entries = entries.repartition("value").sortWithinPartitions("value")
     pairs = checkpointed(entries.mapInPandas(at(_estimated), "a long, b long, exact boolean"))
-
-    entries = rows.select("rep", "n", F.explode("common").alias("value"))
-    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    entries = entries.join(lists, "value").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    entries = checkpointed(entries.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("size"))
+    met = checkpointed(_bands(rows.select("rep", "n", F.explode("common").alias("value")), threshold))
 
     # full sets, of the texts that are in question only
     open_pairs = pairs.filter("not exact").select("a", "b")
-    needed = open_pairs.select(F.col("a").alias("doc_id")).union(open_pairs.select("b")).union(entries.select("rep")).distinct()
-    sets = checkpointed(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"]))
+    needed = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).union(met.select("rep")).distinct()
+    needed = reps.drop("sketch").join(needed, "rep", "left_semi")
+    sets = docs.join(needed, ["doc_id", "h"]).select("text", "rep", *SET).mapInArrow(_sets, "rep long, shingles binary")
+    sets = checkpointed(sets.dropDuplicates(["rep"]))
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     proven = open_pairs.join(x, "a").join(y, "b").mapInPandas(at(_verified), "a long, b long")
 
-    met = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("rep", "n", "value", "part", F.least("part", "other").alias("lower"), F.greatest("part", "other").alias("upper"))
     met = met.join(sets, "rep").repartition("value", "lower", "upper").sortWithinPartitions("value", "lower", "upper")
     links = proven.union(pairs.filter("exact").select("a", "b")).union(met.mapInPandas(at(_met), "a long, b long"))
 
     parts = components(links).withColumnRenamed("node", "rep")
-    info = reps.select("n", "sum1", "sum2", "rep").join(parts, "rep", "left").select("n", "sum1", "sum2", F.coalesce("component", "rep").alias("component_id"))
-    done = some.select("doc_id", "n", "sum1", "sum2").join(info, ["n", "sum1", "sum2"]).select("doc_id", "n", "component_id")
-    alone = slim.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return done.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    info = reps.join(parts, "rep", "left").select(*SET, F.struct("doc_id", "h").alias("own"), F.coalesce("component", "rep").alias("component"))
+    info = info.join(info.groupBy("component").agg(F.min("own").alias("first")), "component").select(*SET, "first")
+    done = some.select("doc_id", "h", *SET).join(info, SET).select("doc_id", "h", "n", "first")
+    return done.union(slim.filter("n = 0 or doc_id is null").select("doc_id", "h", "n", F.struct("doc_id", "h")))
+
+
+def groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    component = F.col("first.doc_id")
+    return _grouped(docs, threshold).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                                            F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One document of each group, columns as they were; of rows with equal id, text and group one stays."""
-    found = checkpointed(groups(docs, threshold))
-    kept = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
-    rows = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    one = rows.filter("__rows = 1")
-    many = rows.filter("__rows > 1").withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["__id", "__text"])
-    return one.select(docs.columns).union(many.select(docs.columns)).union(docs.filter("doc_id is null"))
+    """One document of each group, columns as they were: the least id's; of rows with equal id and text one stays, as do rows without an id."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = _grouped(docs, threshold).filter(F.col("doc_id").isNotNull() & (F.struct("doc_id", "h") == F.col("first")))
+    kept = checkpointed(found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")))
+    rows = docs.select(whole, F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    same = rows.join(kept.withColumnRenamed("doc_id", "id"), ["id", "h"])
+    one, many = same.filter("rows = 1").select("row"), same.filter("rows > 1").dropDuplicates(["id", "h"]).select("row")
+    return one.union(many).union(rows.filter("id is null").select("row")).select("row.*")

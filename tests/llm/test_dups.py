@@ -182,6 +182,38 @@ def test_one_of_each_group_stays(spark):
     assert got == [*want, None]
 
 
+def test_one_id_with_two_texts(spark):
+    """They are documents of their own: groups of either text are found, and one document of each group stays."""
+    rng = random.Random(9)
+    a, b = words(rng, 200), words(rng, 200)
+    near = lambda w: " ".join(w[:199] + ["changed"])
+    rows = [(1, " ".join(a), "en", "s"), (1, " ".join(b), "en", "s"), (2, near(a), "en", "s"), (3, near(b), "en", "s"),
+            (4, " ".join(words(rng, 50)), "en", "s"), (4, None, "en", "s"), (5, near(a), "en", "s"), (1, " ".join(b), "en", "s")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(frame(spark, rows).repartition(3)).collect())
+    assert got == [(1, 196, 1, True)] * 3 + [(2, 196, 1, False), (3, 196, 1, False), (4, 0, 4, True), (4, 46, 4, True), (5, 196, 1, False)]
+    clashing = frame(spark, rows).selectExpr("*", "1 AS id", "2 AS h", "3 AS rows", "4 AS row", "5 AS __rows")
+    out = neardup.deduplicated(clashing.repartition(3))
+    assert out.columns == clashing.columns
+    kept = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, rows[4][1]), (4, "")])
+    both = [(7, " ".join(a), "en", "s"), (7, near(a), "en", "s"), (8, near(a), "en", "s")]
+    assert neardup.deduplicated(frame(spark, both)).count() == 1
+
+
+def test_bands_meet_whatever_can_link(spark):
+    """Every pair within the threshold's ratio of sizes meets in just one block."""
+    sizes = [33, 34, 38, 39, 40, 46, 47, 55, 100, 117, 118, 1000, 1176, 1177, 5000] * 3
+    frame_ = spark.createDataFrame([(i, n, 7) for i, n in enumerate(sizes)], "rep long, n long, value long")
+    blocks, part = {}, {}
+    for r in neardup._bands(frame_, (85, 100)).collect():
+        blocks.setdefault((r.lower, r.upper), set()).add(r.rep)
+        part[r.rep] = r.part
+    for i, a in enumerate(sizes):
+        for j in range(i):
+            met = [k for k, who in blocks.items() if i in who and j in who and (k[0] == k[1] or part[i] != part[j])]
+            assert len(met) == 1 if 100 * min(a, sizes[j]) >= 85 * max(a, sizes[j]) else len(met) <= 1
+
+
 def test_union_estimate():
     rng = np.random.default_rng(1)
     for share in (0.6, 0.85, 0.95):
