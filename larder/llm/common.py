@@ -71,6 +71,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def computed_once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, joined) -> Column:
+    """Running results of an associative ``joined`` over an array without nulls, by doubling: n log n steps, no growing array."""
+
+    def doubled(a: Column, k: Column) -> Column:
+        return F.transform(a, lambda x, i: F.coalesce(joined(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), x), x))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, values, doubled)
+
+
 def turn_id(role: Column, text: Column) -> Column:
     """Hex MD5 of a turn; the role's length keeps ("ab", "c") and ("a", "bc") apart."""
     return F.md5(F.encode(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), "UTF-8"))

@@ -34,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.common import computed_once
+
 #: Where a paragraph ends.
 BREAK = r"[\n\r]+|(?<=[.!?])[\x20\t]+"
 LANES = 128
@@ -43,11 +45,6 @@ PAIR = (1 << 32) + 1
 LOW = (1 << 32) - 1
 
 
-def _with(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often and in whatever lambda it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text that isn't null, in order."""
     return F.filter(F.split(text, BREAK, -1), lambda p: p != "")
@@ -66,10 +63,10 @@ def vector(parts: Column) -> Column:
     hashes = lambda ps, k: F.transform(ps, lambda p: F.xxhash64(F.lit(k), p))
 
     def of(ps: Column) -> Column:
-        some = [_with(hashes(ps, k), (lambda h: F.concat(_lanes(h), sums(h))) if k < LANES // 64 else sums) for k in range(HASHES)]
+        some = [computed_once(hashes(ps, k), (lambda h: F.concat(_lanes(h), sums(h))) if k < LANES // 64 else sums) for k in range(HASHES)]
         return F.flatten(F.array(F.array(F.size(ps).cast("long")), *some))
 
-    return _with(parts, of)
+    return computed_once(parts, of)
 
 
 def inserted(of: Column, parts: Column) -> Column:
@@ -100,7 +97,7 @@ def lanes(of: Column) -> Column:
 def fingerprint(of: Column) -> Column:
     """A vector as hex text: n and the sums modulo 2^32, lanes modulo 2^16."""
     low = lambda x, bits: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << bits) - 1)))), bits // 4, "0")
-    return _with(of, lambda v: F.concat(F.array_join(F.transform(_at(v, AT_SUMS), lambda x: low(x, 32)), ""),
+    return computed_once(of, lambda v: F.concat(F.array_join(F.transform(_at(v, AT_SUMS), lambda x: low(x, 32)), ""),
                                         F.array_join(F.transform(lanes(v), lambda x: low(x, 16)), "")))
 
 
@@ -108,16 +105,16 @@ def likeness(a: Column, b: Column) -> Column:
     """Likeness of two vectors, 0 to 1."""
     signed = lambda x: F.pmod(x + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)
     square = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    counted = lambda v: _with(v, lambda x: F.struct(F.get(x, F.lit(0)).alias("n"), lanes(x).alias("lanes")))
+    counted = lambda v: computed_once(v, lambda x: F.struct(F.get(x, F.lit(0)).alias("n"), lanes(x).alias("lanes")))
     own = lambda v: square(F.transform(v["lanes"], lambda c: (2 * c - v["n"]).cast("double")))
 
     def of(pair: Column) -> Column:
         x, y = pair["a"], pair["b"]
         apart = square(F.zip_with(x["lanes"], y["lanes"], lambda c, d: (2 * signed(c - d) - (x["n"] - y["n"])).cast("double")))
-        return _with(F.struct(apart.alias("apart"), (own(x) + own(y)).alias("both")), lambda s: F.when(
+        return computed_once(F.struct(apart.alias("apart"), (own(x) + own(y)).alias("both")), lambda s: F.when(
             s["both"] == 0, F.when(s["apart"] == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - s["apart"] / s["both"]))))
 
-    return _with(F.struct(counted(a).alias("a"), counted(b).alias("b")), of)
+    return computed_once(F.struct(counted(a).alias("a"), counted(b).alias("b")), of)
 
 
 def _place(text: Column) -> Column:
@@ -170,7 +167,7 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.concat("head", F.substring(F.col("next.text"), F.lit(1), half)))
     # paragraphs that end within the head, with which both texts begin; the letter is the start of one that doesn't
     whole = F.size(paragraphs(F.concat("head", F.lit("x")))) - 1
-    rest = lambda text: _with(F.struct(paragraphs(F.col(text)).alias("all"), whole.alias("whole")), lambda s: F.slice(
+    rest = lambda text: computed_once(F.struct(paragraphs(F.col(text)).alias("all"), whole.alias("whole")), lambda s: F.slice(
         s["all"], s["whole"] + 1, F.greatest(F.size(s["all"]), F.lit(1))))
     changed = inserted(deleted(F.col("vector"), rest("text")), rest("edited"))
     return rows.select("doc_id", "n_chars", "text", "edited", "vector", changed.alias("edited_vector"), F.col("next.vector").alias("next_vector"))

@@ -18,8 +18,10 @@ are scored, and their pairs say nothing for either side.  Tokens of digits alone
 numbers.
 
 Positions: ``split`` gives the text between the matches of a pattern and
-``regexp_extract_all`` the matches, so a running sum of their lengths gives each
-start.  They count code points, ends exclusive.
+``regexp_extract_all`` the matches, so a running sum of their lengths, made by doubling,
+gives each start.  They count code points, ends exclusive.  Texts are cut at positions in
+UTF-32, where a piece costs its own length, and joined once.  So the work for a text of n
+characters and m spans is about n + m log m, and texts may have any length.
 
 Cases: a null text is an empty one and has no spans; repeated rows get equal
 spans; without any learnable document both models are uniform and add nothing;
@@ -34,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import learning_rows
+from larder.llm.common import computed_once, learning_rows, running
 
 # Fixed values of the contract: the kinds in their order, their patterns and least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,35 +54,29 @@ ORDINARY = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_-]{4,19}(?![A-Za-z0-9+/_=-]))"
             r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[_-]*+)++(?![A-Za-z0-9+/_=-])")
 SYMBOLS = 62
 FIT_DOCS = 4000
+#: One word in so many, by its hash, is learnt in capitals as well.
+CAPITAL_EVERY = 16
 #: A token is a secret if the ratio favours random by this many nats in all, and by so many a character.
 LEAST_NATS, LEAST_NATS_EACH = 12.0, 0.45
-SPAN = "array<struct<start:int,kind:int,end:int>>"
 MARK = "[SECRET]"
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of struct(start, end, value) of a pattern's matches."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["list"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("list"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("list")), step, lambda s: s["list"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    sizes = F.zip_with(found, F.slice(F.transform(between, lambda g: F.char_length(g)), 1, F.size(found)), lambda m, g: F.struct(
+        m.alias("value"), F.char_length(m).alias("own"), (F.char_length(m) + g).alias("size")))
+    spans = computed_once(sizes, lambda a: F.zip_with(a, running(a["size"], lambda x, y: x + y), lambda m, end: F.struct(
+        (end - m["own"]).alias("start"), end.alias("end"), m["value"].alias("value"))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def base_spans(text: Column) -> Column:
     """Array of struct(start, kind, end, value); ``kind`` is the place in KINDS.  ``text`` isn't null."""
 
     def of(kind: int, pattern: str, keep) -> Column:
-        spans = F.transform(F.filter(_matches(text, pattern), keep), lambda m: F.struct(
+        return F.transform(F.filter(_matches(text, pattern), keep), lambda m: F.struct(
             m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
-        none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-        return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
 
     return F.concat(
         of(0, ASSIGN, lambda m: F.char_length(F.regexp_extract(m["value"], ASSIGN, 2)) >= ASSIGN_VALUE),
@@ -111,7 +107,7 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     words = F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))
     numbers = F.array(F.date_format(day, "yyyyMMdd"), count.cast("string"),
                       F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), (count % 1000).cast("string")))
-    capitals = F.transform(F.slice(words, 1, 20), F.upper)
+    capitals = F.transform(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(CAPITAL_EVERY)) == 0), F.upper)
     values = F.transform("base", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"]))
     sides = F.array(F.struct(F.lit("r").alias("side"), _pairs(F.concat(values, made)).alias("pairs")),
                     F.struct(F.lit("o").alias("side"), _pairs(F.concat(words, numbers, capitals)).alias("pairs")))
@@ -137,18 +133,27 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> list[float]:
     return out
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of its spans, so that all else keeps its position."""
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """``text`` with what ``by`` makes of each span's start, end and of the end of all before; the gaps stay."""
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(s["at"], x["start"]), F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+    def of(s: Column) -> Column:
+        whole, spans = s["whole"], s["spans"]
+        cut = lambda at, size: F.decode(F.substring(whole, 4 * at + 1, 4 * size), "UTF-32")
+        ends = s["ends"]
+        pieces = F.transform(spans, lambda x, i: computed_once(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda before: F.concat(
+            cut(before, F.greatest(x["start"] - before, F.lit(0))), by(x["start"], x["end"], before))))
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(pieces, ""), cut(last, F.greatest((F.octet_length(whole) / 4).cast("int") - last, F.lit(0))))
 
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    blanked = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                          lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+    made = computed_once(order, lambda o: F.struct(F.encode(text, "UTF-32").alias("whole"), o.alias("spans"),
+                                                   running(o["end"], lambda x, y: F.greatest(x, y)).alias("ends")))
+    return F.when(F.size(spans) > 0, computed_once(made, of)).otherwise(text)
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of its spans, so that all else keeps its position."""
+    return _replaced(text, spans, lambda start, end, before: F.repeat(F.lit(" "), F.greatest(end - F.greatest(before, start), F.lit(0))))
 
 
 def random_spans(text: Column, ratios: list[float]) -> Column:
@@ -164,9 +169,8 @@ def random_spans(text: Column, ratios: list[float]) -> Column:
     likely = lambda m: nats(m["value"]) >= F.greatest(F.lit(LEAST_NATS), LEAST_NATS_EACH * F.char_length(m["value"]))
     varied = lambda m: F.size(F.array_distinct(F.split(m["value"], ""))) >= LEAST_DISTINCT
     candidates = F.filter(_matches(text, TOKEN), varied)
-    spans = F.transform(F.filter(candidates, likely), lambda m: F.struct(
+    return F.transform(F.filter(candidates, likely), lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
-    return F.when(F.regexp_like(text, F.lit(TOKEN)), spans).otherwise(F.array().cast(SPAN))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
@@ -193,15 +197,9 @@ def _joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, ratios: list[float] | None = None, mark: str = MARK) -> DataFrame:
     """``docs`` with each stretch of spans in ``text`` replaced by ``mark``, and ``n_chars`` brought up to date."""
     text = F.col("__row.text")
-
-    def step(s: Column, x: Column) -> Column:
-        upto = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], upto).otherwise(s["out"]).alias("out"))
-
     rows = scan(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), ratios)
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    rows = rows.withColumn("__clean", F.when(F.size("found") > 0, clean).otherwise(text))
+    clean = _replaced(text, F.col("found"), lambda start, end, before: F.when(start >= before, mark).otherwise(""))
+    rows = rows.withColumn("__clean", clean)
     changed = {"text": F.col("__clean"), "n_chars": F.when(F.size("found") > 0, F.char_length("__clean").cast("long"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(changed["n_chars"], F.col("__row.n_chars"))
