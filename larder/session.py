@@ -8,6 +8,7 @@ the runtime settings that matter at scale (AQE, skew-join splitting).
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,14 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/") + ("/" + sub.strip("/") if sub else "")
+
+
+def stored_dir(spark: SparkSession, sub: str) -> str:
+    """Folder for tables that later jobs read again, such as an index.
+
+    Under the shared folder where the session names one.  Only where none is named and the
+    master is one machine (tests, bench), a folder of that machine is made and named.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None) and (spark.sparkContext.master or "").startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="larder-stored-"))
+    return shared_dir(spark, sub)
