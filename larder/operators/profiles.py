@@ -72,19 +72,6 @@ def distinct_profile(df: DataFrame, lines: DataFrame) -> DataFrame:
     return one.select("n_products", "n_stores", "n_categories", "avg_quantity", "avg_total_amount")
 
 
-def distinct_estimate(lines: DataFrame, rsd: float = 0.02) -> DataFrame:
-    """Approximate distinct products and stores (D8): one pass, sketches of fixed size.
-
-    Reports whether each is within a tenth of the exact count, so that the result
-    can be compared between engines.
-    """
-    about = lines.agg(F.approx_count_distinct("product_id", rsd).alias("p"), F.approx_count_distinct("store_id", rsd).alias("s"))
-    for c, name in (("product_id", "np"), ("store_id", "ns")):
-        about = about.crossJoin(lines.select(c).distinct().agg(F.count(c).alias(name)))
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.1 * F.col(b)
-    return about.select(near("p", "np").alias("products_near"), near("s", "ns").alias("stores_near"))
-
-
 def daily_demand(df: DataFrame) -> DataFrame:
     """Units per day."""
     return (df.groupBy("event_date").agg(F.sum("quantity").cast("bigint").alias("total_quantity"))

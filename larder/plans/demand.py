@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from larder.operators import features as ft
 from larder.operators import ml, profiles
+from larder.operators import sketches as sk
 from larder.operators.gold import GOLD_COLUMNS
 from larder.plans.oracle_fixtures import with_ctes
 from larder.plans.registry import register
 from larder.plans.retail import gold_rows, sales, sales_lines
+from larder.session import stored_dir
+from larder.sources.tables import state
+
+#: Stored daily sketches: of distinct values, per column.
+SKETCHED = ["product_id", "store_id"]
+DISTINCTS = {"product_id": "n_products", "store_id": "n_stores"}
 
 GOLD_DOUBLES = {"unit_price", "discount", "total_amount", "base_price", "competitor_price"}
 GOLD_INTS = {"line_number", "quantity", "store_manager_id"}
@@ -59,12 +67,47 @@ def q_distinct_profile(spark, sf):
     return profiles.distinct_profile(gold_rows(spark, sf), sales_lines(spark, sf))
 
 
-@register("distinct_estimate", with_ctes("gold") + """
-SELECT abs(count(DISTINCT product_id) - count(DISTINCT product_id)) = 0 AS products_near,
-       abs(count(DISTINCT store_id) - count(DISTINCT store_id)) = 0 AS stores_near FROM gold""")
+def stored_sketches(spark, sf):
+    """The daily sketches of the sales as they are now; one pass over the lines writes them where there are none."""
+    path = stored_dir(spark, f"daily-sketches/{state(spark, sf, 'lineitem')}")
+    try:
+        return sk.read(spark, path)
+    except AnalysisException:
+        sk.write(sk.daily(sales_lines(spark, sf), "event_date", SKETCHED), path)
+        return sk.read(spark, path)
+
+
+def _two_digits_sql(n: str) -> str:
+    unit = f"cast(pow(10, greatest(length(cast({n} AS VARCHAR)) - 2, 0)) AS BIGINT)"
+    return f"(({n} + {unit} // 2) // {unit}) * {unit}"
+
+
+@register("distinct_estimate", with_ctes("sales") + f"""
+, counts AS (
+  SELECT strftime(event_date, '%Y-%m') AS month, count(DISTINCT product_id) AS p, count(DISTINCT store_id) AS s FROM sales GROUP BY 1
+  UNION ALL SELECT 'all', count(DISTINCT product_id), count(DISTINCT store_id) FROM sales)
+SELECT month, {_two_digits_sql('p')} AS n_products, {_two_digits_sql('s')} AS n_stores FROM counts""")
 def q_distinct_estimate(spark, sf):
-    """Are the approximate distinct counts within a tenth of the exact ones?"""
-    return profiles.distinct_estimate(sales_lines(spark, sf))
+    """Distinct products and stores of each month and of all time, merged from stored daily sketches.
+
+    Both engines give two significant digits: the oracle those of the exact counts, this query those of estimates.
+    """
+    days = stored_sketches(spark, sf)
+    month = sk.estimates(days.withColumn("month", F.date_format("event_date", "yyyy-MM")), ["month"], DISTINCTS)
+    both = month.unionByName(sk.estimates(days.withColumn("month", F.lit("all")), ["month"], DISTINCTS))
+    return both.select("month", *[sk.two_digits(F.col(c)).alias(c) for c in DISTINCTS.values()])
+
+
+@register("quantile_ranks", with_ctes("gold") + f"""
+SELECT category, q, n, true AS low_enough, true AS high_enough FROM (
+  SELECT category, cast(unnest([0.0, 0.25, 0.5, 0.75, 0.9, 1.0]) AS DOUBLE) AS q, cast(count(total_amount) AS BIGINT) AS n FROM gold
+  WHERE total_amount IS NOT NULL GROUP BY category) x""")
+def q_quantile_ranks(spark, sf):
+    """Quantiles of each category's amounts from merged sketches, held against the rows' true ranks."""
+    rows = gold_rows(spark, sf).filter("total_amount is not null")
+    per_day = sk.quantile_sketches(rows, ["category", "event_date"], "total_amount")
+    found = sk.quantiles(sk.merged_quantiles(per_day, ["category"]), ["category"], [0.0, 0.25, 0.5, 0.75, 0.9, 1.0])
+    return sk.rank_check(rows, found, "category", "total_amount")
 
 
 @register("daily_demand", with_ctes("gold") + """
