@@ -4,11 +4,9 @@
 * term search joins the postings with the query terms, so its output grows
   with the postings of those terms, never with query x document pairs; the
   runtime decides by their size how the terms are joined;
-* vector top-k scores the vectors against the queries in blocks and keeps, per
-  query, the maxima of slices of the vectors as partial aggregates.  The k-th
-  largest maximum bounds the k-th best score from below, so only the few scores
-  above it are ever ranked.  A bucketed form scores only vectors that share
-  signs of random projections with the query.
+* vector top-k scores the vectors against the queries in blocks, each pair once,
+  and ranks within the tasks before anything is moved (``cellindex`` has the
+  stored index).
 """
 
 from __future__ import annotations
@@ -23,7 +21,6 @@ NOT_FOUND = ("I don't see that in the transcripts provided, but if you could sea
              "I might find something!")
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 QUERY_BLOCK = 256   # query vectors scored in one pass over a row
-SLICES = 256        # partial maxima per query
 
 
 def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
@@ -87,66 +84,30 @@ def label_centroids(emb: DataFrame) -> DataFrame:
     return vec.select(F.col("label").alias("query_id"), F.transform("v", lambda s: s["m"]).alias("v"))
 
 
-def _dot(v: Column, q: Column) -> Column:
+def dot(v: Column, q: Column) -> Column:
+    """Dot product, summed in the order of the dimensions."""
     return F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
 def _scores(emb: DataFrame, queries: DataFrame) -> DataFrame:
-    """(vec_id, label, query_id, score): every vector against the queries, a block of queries a pass."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id")) - 1
-    block = queries.withColumn("b", F.floor(place / QUERY_BLOCK)).groupBy("b").agg(F.collect_list(F.struct("query_id", "v")).alias("qs")).select("qs")
-    pairs = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), _dot(F.col("embedding"), q["v"]).alias("score")))
-    return emb.crossJoin(block).select("vec_id", "label", F.inline(pairs))
+    """(vec_id, label, query_id, score): every vector against the queries, a block of about ``QUERY_BLOCK`` a pass.
 
-
-def vector_topk(emb: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """Exact top-k vectors by dot product for each query vector.
-
-    ``queries``: (query_id, v).  First pass: the maximum of each of ``SLICES``
-    slices of the vectors, per query, with map-side partials.  The k-th largest
-    of them is a score that k vectors reach, so the second pass keeps what is no
-    less and ranks it.  Neither pass sorts the scores.
-    """
-    s = _scores(emb, queries)
-    top = s.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice")).agg(F.max("score").alias("m"))
-    by = Window.partitionBy("query_id").orderBy(F.col("m").desc())
-    # with fewer slices than k there is no bound, and all is ranked
-    floor = (top.withColumn("r", F.row_number().over(by)).filter(F.col("r") == k)
-             .select(F.col("query_id").alias("__q"), F.col("m").alias("__least")))
-    near = s.join(floor, F.col("query_id") == F.col("__q"), "left").filter(
-        F.col("__least").isNull() | (F.col("score") >= F.col("__least"))).drop("__q", "__least")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _signs(v: Column, table: int, bits: int) -> Column:
-    """``bits`` signs of pseudo-random projections of a vector, as a number.
-
-    The weight of dimension d in projection j is a sine of both: fixed, and the
-    same in every engine.
+    Queries are dealt to blocks by a hash of their id, and vectors to tasks by theirs: a table of
+    few large row groups would else be scored by few tasks.
     """
-    def projection(j: int) -> Column:
-        weighted = F.transform(v, lambda x, d: x.cast("double") * F.sin((d + 1) * F.lit(12.9898 * (table * bits + j + 1))))
-        return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
+    tasks = int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = queries.agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("n"))
+    block = queries.crossJoin(F.broadcast(n)).groupBy(F.pmod(F.xxhash64("query_id"), F.col("n")).alias("b")).agg(
+        F.collect_list(F.struct("query_id", "v")).alias("qs")).select("qs")
+    pairs = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("embedding"), q["v"]).alias("score")))
+    return emb.repartition(tasks, "vec_id").crossJoin(block).select("vec_id", "label", F.inline(pairs))
 
-    return sum((F.when(projection(j) > 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(bits)), F.lit(0))
 
+def vector_topk(emb: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """Exact top-k vectors by dot product for each query vector.
 
-def vector_topk_bucketed(emb: DataFrame, queries: DataFrame, k: int = 3, tables: int = 24, bits: int = 4) -> DataFrame:
-    """Approximate top-k: only vectors that share a bucket with the query are scored.
-
-    A bucket is the signs of ``bits`` projections; there are ``tables`` of them, and a
-    pair is scored once, however many it shares.  The nearest vectors of a mean vector have
-    a cosine of about 0.4 with it, so they share a bucket of 4 signs seldom: with 6 tables
-    0.57 to 0.63 of the exact top 3 are found, with 24 all of them (README).
+    ``queries``: (query_id, v).  Each pair is scored once; a task hands on the k best
+    of what it has scored for a query, so the shuffle moves k rows a query and task.
     """
-    def keyed(df: DataFrame, v: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), _signs(F.col(v), t, bits).alias("key")) for t in range(tables)])
-        return df.select("*", F.inline(keys))
-
-    q = keyed(queries, "v").select("query_id", "t", "key")
-    pairs = keyed(emb, "embedding").select("vec_id", "t", "key").join(q, ["t", "key"]).select("query_id", "vec_id").distinct()
-    scored = pairs.join(emb, "vec_id").join(queries, "query_id").select(
-        "query_id", "vec_id", "label", _dot(F.col("embedding"), F.col("v")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _scores(emb, queries).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

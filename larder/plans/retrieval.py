@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.operators import cellindex as ci
 from larder.operators import retrieval as rt
 from larder.operators import textindex as ti
 from larder.plans.registry import register
@@ -102,7 +103,7 @@ def q_cited_hits(spark, sf):
     return rt.cited_answers(_queries(spark), _hits(spark, sf))
 
 
-@register("vector_topk", f"""
+_VECTOR_SQL = f"""
 WITH c AS (SELECT label AS query_id, list(m ORDER BY dim) AS q
            FROM (SELECT label, dim, avg(cast(x AS DOUBLE)) AS m
                  FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim
@@ -114,7 +115,10 @@ s AS (SELECT c.query_id, e.vec_id, e.label,
       FROM embeddings e, c)
 SELECT query_id, vec_id, label, round(score, 6) AS score, cast(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r
-WHERE rank <= {TOP_K_VECTORS}""", digits=6)
+WHERE rank <= {TOP_K_VECTORS}"""
+
+
+@register("vector_topk", _VECTOR_SQL, digits=6)
 def q_vector_topk(spark, sf):
     """The 3 vectors closest (dot product) to each label's mean vector."""
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
@@ -122,33 +126,17 @@ def q_vector_topk(spark, sf):
         F.col("query_id").cast("int").alias("query_id"), "vec_id", "label", "score", "rank")
 
 
-LSH_TABLES, LSH_BITS = 6, 4
-_KEYS = ("list_transform(range({t}), lambda t: list_sum(list_transform(range({b}), lambda j: CASE WHEN list_sum(list_transform("
-         "range(1, len({v}) + 1), lambda d: cast({v}[d] AS DOUBLE) * sin(d * (12.9898 * (t * {b} + j + 1))))) > 0 "
-         "THEN cast(pow(2, j) AS BIGINT) ELSE 0 END)))")
-
-
-def _keys(v: str) -> str:
-    return _KEYS.format(t=LSH_TABLES, b=LSH_BITS, v=v)
+def vector_index(spark, sf) -> str:
+    """Folder of the index of the vectors as they are now; built where there is none."""
+    path = stored_dir(spark, f"vector-index/{state(spark, sf, 'embeddings')}")
+    if not ci.stored(spark, path):
+        ci.build(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), path)
+    return path
 
 
-@register("vector_topk_bucketed", f"""
-WITH c AS (SELECT label AS query_id, list(m ORDER BY dim) AS q
-           FROM (SELECT label, dim, avg(cast(x AS DOUBLE)) AS m
-                 FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim
-                       FROM embeddings) u GROUP BY label, dim) a GROUP BY label),
-ck AS (SELECT *, {_keys('q')} AS ks FROM c), ek AS (SELECT *, {_keys('embedding')} AS ks FROM embeddings),
-s AS (SELECT c.query_id, e.vec_id, e.label,
-             list_reduce(list_transform(range(1, len(e.embedding) + 1),
-                                        lambda i: cast(e.embedding[i] AS DOUBLE) * c.q[i]),
-                         lambda a, b: a + b) AS score
-      FROM ek e, ck c WHERE len(list_filter(range(1, {LSH_TABLES} + 1), lambda t: e.ks[t] = c.ks[t])) > 0)
-SELECT query_id, vec_id, label, round(score, 6) AS score, cast(rank AS INTEGER) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r
-WHERE rank <= {TOP_K_VECTORS}""", digits=6)
-def q_vector_topk_bucketed(spark, sf):
-    """Approximate form of ``vector_topk``, over shared buckets only."""
+@register("vector_topk_cells", _VECTOR_SQL, digits=6)
+def q_vector_topk_cells(spark, sf):
+    """The same, exactly, over the stored inverted-file index."""
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    return rt.vector_topk_bucketed(emb, rt.label_centroids(emb), TOP_K_VECTORS, LSH_TABLES, LSH_BITS).select(
-        F.col("query_id").cast("int").alias("query_id"), "vec_id", "label", "score", "rank")
-
+    hits = ci.search(spark, vector_index(spark, sf), rt.label_centroids(emb), TOP_K_VECTORS)
+    return hits.select(F.col("query_id").cast("int").alias("query_id"), "vec_id", "label", "score", "rank")
