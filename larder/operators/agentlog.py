@@ -443,19 +443,24 @@ def citation(url: Column, title: Column) -> Column:
 
 
 def segment_markdown(seg: DataFrame) -> DataFrame:
-    """Join each segment into markdown; a citation after a table pipe goes inside it (H6)."""
-    g = seg.groupBy("stream_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "type", "text", "url", "title"))).alias("xs"))
-
-    def step(acc, x):
-        cite = citation(x["url"], x["title"])
-        piped = F.concat(F.substring(acc, F.lit(1), F.length(acc) - 1), F.lit(" "), cite, F.lit("|"))
-        return (F.when(x["type"] == "text", F.concat(acc, F.coalesce(x["text"], F.lit(""))))
-                .when(x["type"] == "source-url",
-                      F.when(acc.endswith("|"), piped).otherwise(F.concat(acc, F.lit(" "), cite)))
-                .otherwise(acc))
-
-    return g.select("stream_id", "segment", F.aggregate("xs", F.lit(""), step).alias("markdown"))
+    """Join each segment into markdown; a citation after a table pipe goes inside it (H6).
+
+    A text's closing pipe stands behind the citations that follow it, before the next
+    text that isn't empty or at the end.  So each part gives one piece, which depends on
+    the last text before it only, and the pieces are joined once.
+    """
+    text = F.col("type") == "text"
+    own = F.coalesce(F.when(text, F.col("text")), F.lit(""))
+    piped = F.when(own != "", own.endswith("|"))
+    before = Window.partitionBy("stream_id", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(piped, ignorenulls=True).over(before), F.lit(False))
+    body = F.when(piped, F.substring(own, F.lit(1), F.length(own) - 1)).otherwise(own)
+    piece = (F.when(own != "", F.concat(F.when(held, "|").otherwise(""), body))
+             .when(F.col("type") == "source-url", F.concat(F.lit(" "), citation(F.col("url"), F.col("title")))).otherwise(""))
+    g = seg.select("stream_id", "segment", "pos", piece.alias("piece"), piped.alias("piped")).groupBy("stream_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("xs"), F.max_by("piped", F.when(F.col("piped").isNotNull(), F.col("pos"))).alias("held"))
+    end = F.when(F.col("held"), "|").otherwise("")
+    return g.select("stream_id", "segment", F.concat(F.array_join(F.col("xs.piece"), ""), end).alias("markdown"))
 
 
 def message_text(ui: DataFrame) -> DataFrame:

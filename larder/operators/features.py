@@ -162,15 +162,11 @@ def category_index(df: DataFrame, cols=CATEGORICAL) -> DataFrame:
 def standard_scale(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """(x - mean) / population std per column (K3).
 
-    The statistics are one aggregate row turned into literals; a zero
-    deviation scales to 0.
+    The statistics are one aggregate row beside every row, so no job starts while
+    the plan is built; a zero deviation scales to 0.
     """
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"{c}__m") for c in cols],
-                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__s") for c in cols]).first()
-    out = []
-    for c in cols:
-        m, s = stats[f"{c}__m"], stats[f"{c}__s"]
-        x = F.col(c).cast("double") - F.lit(m)
-        out.append((F.when(F.lit(s) > 0, x / F.lit(s)).otherwise(F.lit(0.0)) if s is not None
-                    else F.lit(None).cast("double")).alias(f"{c}_scaled"))
-    return df.select(*keys, *out)
+    x = {c: F.col(c).cast("double") for c in cols}
+    stats = df.agg(*[f(x[c]).alias(f"__{c}__{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = [F.when(F.col(f"__{c}__s") > 0, (x[c] - F.col(f"__{c}__m")) / F.col(f"__{c}__s"))
+              .when(F.col(f"__{c}__s").isNotNull(), F.lit(0.0)).alias(f"{c}_scaled") for c in cols]
+    return df.crossJoin(F.broadcast(stats)).select(*keys, *scaled)

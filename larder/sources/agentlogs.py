@@ -39,9 +39,8 @@ def _text(*pieces) -> Column:
 
 
 def quoted(*pieces) -> Column:
-    """The pieces, joined, as a JSON string."""
-    encoded = F.to_json(F.struct(_text(*pieces).alias("s")))
-    return F.substring(encoded, F.lit(6), F.length(encoded) - 6)
+    """The pieces, joined, as a JSON string; encoded once, as an array of one whose brackets go."""
+    return F.btrim(F.to_json(F.array(_text(*pieces))), F.lit("[]"))
 
 
 def _data(*pieces) -> Column:
@@ -103,7 +102,7 @@ def _completions_lines(w: Column, i: Column, sid: Column) -> Column:
     t = bare(w)
 
     def chunk(content, envelope: str = '","created":1,"model":"m",' + _USAGE) -> Column:
-        return _data('{"id":', F.substring(quoted("cc-", sid), F.lit(1), F.length(quoted("cc-", sid)) - 1), envelope, _CHUNK, content, "}}]}")
+        return _data('{"id":', F.rtrim(quoted("cc-", sid), F.lit('"')), envelope, _CHUNK, content, "}}]}")
 
     return F.concat(
         F.array(chunk(quoted(w))),
