@@ -12,6 +12,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 # Accepted enumerations of an incoming chat request.
 ALLOWED_ROLES = ["user"]
@@ -205,11 +206,16 @@ def sanitize(text: Column) -> Column:
 
 
 def append_new(path: str, new: DataFrame, key: str = "id") -> None:
-    """Append chats or messages to the table at ``path`` (M1).
+    """Append chats or messages to the table at ``path``, which the first append makes (M1).
 
     Rows whose key is in the table already are left out, so a job that runs
-    again after a failure appends nothing twice.
+    again after a failure appends nothing twice.  ``keyed`` has tables that are
+    dealt to buckets, where an append reads only the buckets of its keys.
     """
-    there = new.sparkSession.read.parquet(path)
-    rows = new.select(there.columns).dropDuplicates([key]).join(there.select(key), key, "left_anti")
-    rows.select(there.columns).write.mode("append").parquet(path)
+    rows = new.dropDuplicates([key])
+    try:
+        there = new.sparkSession.read.parquet(path)
+    except AnalysisException:
+        rows.write.parquet(path)
+        return
+    rows.join(there.select(key), key, "left_anti").select(there.columns).write.mode("append").parquet(path)

@@ -133,6 +133,13 @@ def test_append_leaves_out_what_is_there(spark, scratch):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("m1", 1), ("m2", 2)]
 
 
+def test_first_append_makes_the_table(spark, scratch):
+    path = f"{scratch}/made"
+    ch.append_new(path, spark.createDataFrame([("m1", 1), ("m1", 1)], "id string, chat_id long"))
+    ch.append_new(path, spark.createDataFrame([("m1", 1), ("m2", 1)], "id string, chat_id long"))
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("m1", 1), ("m2", 1)]
+
+
 def test_lookup_by_id(spark):
     m = spark.createDataFrame([("m1", 1), ("m2", 1)], "id string, chat_id long")
     ids = spark.createDataFrame([("m2",), ("m2",), ("none",)], "message_id string")
