@@ -21,4 +21,4 @@ QUERIES = {
     "op13_fingerprint": lambda spark, d: multiset.digest(read(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {"op10_topk": topk.ORACLE, "op11_prefix_trie": trie.ORACLE}
+ORACLE: dict[str, str] = {"op10_topk": topk.ORACLE, "op11_prefix_trie": trie.ORACLE, "op12_repair": repair.ORACLE}

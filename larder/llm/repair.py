@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import turn_id
+from larder.llm.common import crc32_sql, turn_id
 
 #: Turn numbers and rows of a block.
 SPAN, BLOCK = 1024, 1024
@@ -321,3 +321,80 @@ def digest(conversations: DataFrame) -> DataFrame:
     """Contract columns of the repair of the damaged conversations."""
     rows = damaged(conversations.select("conv_id", "turn", "role", "text"))
     return applied(rows).mapInArrow(_digests, DIGEST)
+
+
+# ---- SQL: a fold over the symbols of each conversation, with the best of the four states as text (nine digits
+# of cost, then the edits; ~ for none), so that the least text is the lightest
+
+def _sql_plus(state: str, cost, edit: str) -> str:
+    return f"CASE WHEN {state} = '~' THEN '~' ELSE lpad(cast(cast({state}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {state}[10:] || '{edit}' END"
+
+
+def _sql_row() -> str:
+    """The states ``s`` (from 1) after a row of symbol ``c[1]``."""
+    more = "(CASE WHEN c[1] IN ('S', 'U', 'A', 'X') THEN 1 ELSE 0 END)"
+    out = []
+    for to in range(STATES):
+        ways = [_sql_plus(f"s[{to + 1}]", DELETE, "D")]
+        for (q, initial), after in STEPS.items():
+            if after == to:
+                ways.append(f"CASE WHEN lower(c[1]) = '{initial}' THEN {_sql_plus(f's[{q + 1}]', more, 'K')} ELSE '~' END")
+                if initial != "s":
+                    ways.append(f"CASE WHEN c[1] <> 'd' THEN {_sql_plus(f's[{q + 1}]', f'{REROLE} + {more}', 'R')} ELSE '~' END")
+        out.append(f"least({', '.join(ways)})")
+    return f"[{', '.join(out)}]"
+
+
+def _sql_inserted(states: str) -> str:
+    """States after insertions: of a user, then of an assistant (more would only add to the cost)."""
+    user = ", ".join(_sql_plus(f"t[{q + 1}]", INSERT, "I") for q in (0, 1, 3))
+    first = f"lambda t: [t[1], t[2], least(t[3], {user}), t[4]]"
+    second = f"lambda t: [t[1], t[2], t[3], least(t[4], {_sql_plus('t[3]', INSERT, 'I')})]"
+    return f"list_transform(list_transform([{states}], {first}), {second})[1]"
+
+
+_START = _sql_inserted("['000000000', '~', '~', '~']")
+_FOLD = f"list_reduce(list_prepend({_START}, symbols), lambda s, c: list_transform([{_sql_row()}], lambda n: {_sql_inserted('n')})[1])"
+
+ORACLE = f"""
+WITH harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations),
+copies AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy FROM harmed WHERE harm <> 0),
+placed AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text), copy) AS pos FROM copies),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS beside,
+         pos > 1 AS follows FROM placed),
+talks AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (follows AND beside NOT IN ('su', 'ua', 'au')) AS illegal,
+         list([CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END] ORDER BY pos) AS symbols
+  FROM judged GROUP BY conv_id),
+best AS (SELECT *, {_FOLD} AS ends FROM talks),
+solved AS (SELECT *, cast(least(ends[1], ends[4])[1:9] AS BIGINT) AS cost, least(ends[1], ends[4])[10:] AS audit FROM best),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(1, len(audit) + 1)) AS i FROM solved WHERE audit <> ''),
+numbered AS (
+  SELECT *, sum((e <> 'I')::BIGINT) OVER w AS pos, sum((e <> 'D')::BIGINT) OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+kept AS (
+  SELECT n.conv_id, n.i, n.e, n.place, j.role, CASE WHEN n.e = 'I' THEN '' ELSE j.text END AS text,
+         max((n.e = 'K' AND j.initial = 's')::BIGINT) OVER (PARTITION BY n.conv_id) AS led
+  FROM numbered n JOIN judged j ON j.conv_id IS NOT DISTINCT FROM n.conv_id AND j.pos = greatest(n.pos, 1) WHERE n.e <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS text
+  FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(x.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

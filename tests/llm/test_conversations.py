@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from larder.llm import repair, trie
@@ -248,3 +250,19 @@ def test_repaired_rows_are_sound(spark):
         assert [r.turn for r in own] == list(range(len(own)))
         assert SOUND.fullmatch("".join(r.role[:1] for r in own))
         assert all(r.text == "" for r in own if r.edit == "I")
+
+
+# ---- SQL
+
+def in_sql(rows, sql):
+    conversations = pa.table({k: pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.string())
+                              for i, k in enumerate(("conv_id", "turn", "role", "text"))})
+    with duckdb.connect() as con:
+        con.register("conversations", conversations)
+        return sorted(con.sql(sql).fetchall(), key=str)
+
+
+def test_sql_equals_brute_force():
+    for rows in (broken(3, 200, 12), broken(11, 100, 3)):
+        assert in_sql(rows, repair.ORACLE) == brute_repair(rows)
+    assert in_sql(talks(), trie.ORACLE) == brute_trie(talks())
