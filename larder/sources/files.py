@@ -36,6 +36,58 @@ def read_csv_dir(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return spark.read.schema(schema).options(**csv_options()).csv(path)
 
 
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of each CSV file under ``path``.
+
+    A file's first line is the first row of its block at offset 0, which one task reads in
+    order; only a line a file is handed on.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.filter("at = 0").select("file", "value", F.monotonically_increasing_id().alias("n"))
+    return first.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: StructType | str, rescued: str = CORRUPT_COL) -> DataFrame:
+    """Header CSV folder scan whose columns are matched by each file's own header (A4).
+
+    Files may have the declared columns in any order, lack some (null) or have more.
+    ``rescued`` is a VARIANT, null where nothing was rescued: an object of the fields that
+    aren't declared, of values that don't parse as their declared type (the column itself is
+    null), of ``_line`` where a line has too many or too few fields, and of ``_file_path``.
+
+    Names match without regard to case.  A header's empty or repeated names become ``_c0``,
+    ``_c1``, ... by their places.  Files of one header are read together; the headers, a few
+    layouts, and the files' names, which any scan lists, reach the driver.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = [f for f in schema.fields if f.name != rescued]
+    layouts = csv_headers(spark, path).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    out = spark.createDataFrame([], StructType(wanted)).withColumn(rescued, F.lit(None).cast("variant"))
+    for header, files in layouts:
+        parsed = spark.range(1).select(F.from_csv(F.lit(header or ""), ", ".join(f"c{i} STRING" for i in range((header or "").count(",") + 1))).alias("h")).first().h
+        names, seen = [], set()
+        for i, name in enumerate(parsed):
+            name = (name or "").strip().lstrip("\ufeff")
+            names.append(f"_c{i}" if not name or name.lower() in seen else name)
+            seen.add(names[-1].lower())
+        while len(names) > 1 and names[-1] == f"_c{len(names) - 1}" and parsed[len(names) - 1] is None:
+            names.pop()  # a comma within quotes was counted as well
+        line = "__line"
+        raw = spark.read.schema(all_string_schema([*names, line])).options(**csv_options() | {"columnNameOfCorruptRecord": line, "enforceSchema": "true"}).csv(sorted(files))
+        own = {n.lower(): n for n in names}
+        text = {f.name: F.col(f"`{own[f.name.lower()]}`") for f in wanted if f.name.lower() in own}
+        parsed_as = {n: text[n].try_cast(schema[n].dataType) for n in text}
+        declared = {f.name.lower() for f in wanted}
+        kept = {n: F.col(f"`{n}`") for n in names if n.lower() not in declared}
+        kept |= {n: F.when(parsed_as[n].isNull(), text[n]) for n in text}
+        kept["_line"] = F.col(line)
+        pairs = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n), v.alias("v")) for n, v in kept.items()]), lambda e: e["v"].isNotNull()))
+        whole = F.map_concat(pairs, F.create_map(F.lit("_file_path"), F.col("_metadata.file_path")))
+        cells = [(parsed_as[f.name] if f.name in text else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
+        out = out.union(raw.select(*cells, F.when(F.size(pairs) > 0, F.parse_json(F.to_json(whole))).alias(rescued)))
+    return out
+
+
 def stream_csv_dir(spark: SparkSession, path: str, schema: StructType | str,
                    max_files: int | None = None) -> DataFrame:
     """Incremental CSV scan: each new file is read once."""

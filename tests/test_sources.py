@@ -1,5 +1,6 @@
 """File sources: declared-schema CSV, rescued rows, binary listing, manifest, sinks."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -88,3 +89,53 @@ def test_scan_by_name_and_medallion_tables(spark, scratch):
     gold.createOrReplaceTempView("gold_by_name")
     assert by_name(spark, "gold_by_name").count() == gold.count() > 0
     assert spark.read.parquet(paths["stores"]).count() == 10
+
+
+def _csv(folder, **contents):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in contents.items():
+        with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as f:
+            f.write(text)
+    return folder
+
+
+def _by_name(spark, folder, ddl="id INT, price DOUBLE, day DATE"):
+    from pyspark.sql import functions as F
+
+    df = files.read_csv_by_name(spark, folder, ddl)
+    rows = df.withColumn("_rescued_data", F.to_json("_rescued_data")).collect()
+    out = {}
+    for r in rows:
+        kept = json.loads(r._rescued_data) if r._rescued_data else None
+        if kept:
+            kept["_file_path"] = os.path.basename(kept["_file_path"])
+        out.setdefault(r.id, []).append((r.price, str(r.day) if r.day else None, kept))
+    return df, out
+
+
+def test_rescued_reordered_and_missing_columns(spark, scratch):
+    folder = _csv(f"{scratch}/a", plain="id,price,day\n1,1.5,2024-01-02\n", turned="DAY,id,Price\n2024-01-03,2,2.5\n", short="price,id\n3.5,3\n")
+    df, rows = _by_name(spark, folder)
+    assert df.columns == ["id", "price", "day", "_rescued_data"] and dict(df.dtypes)["_rescued_data"] == "variant"
+    assert rows == {1: [(1.5, "2024-01-02", None)], 2: [(2.5, "2024-01-03", None)], 3: [(3.5, None, None)]}
+
+
+def test_rescued_extra_columns_and_values_that_do_not_parse(spark, scratch):
+    folder = _csv(f"{scratch}/b", more='id,"a, b",price\n1,"x, y",1.0\n2,,2.0\n', bad="day,id,price\nsoon,3,cheap\n2024-01-01,4,\n")
+    _, rows = _by_name(spark, folder)
+    assert rows[1] == [(1.0, None, {"a, b": "x, y", "_file_path": "more.csv"})] and rows[2] == [(2.0, None, None)]
+    assert rows[3] == [(None, None, {"day": "soon", "price": "cheap", "_file_path": "bad.csv"})] and rows[4] == [(None, "2024-01-01", None)]
+
+
+def test_rescued_lines_of_wrong_length_and_odd_headers(spark, scratch):
+    folder = _csv(f"{scratch}/c", long="id,price\n1,1.0,left,over\n2\n", odd="id,,id,price\n5,e,6,5.5\n", empty="", header="id,price,new\n")
+    _, rows = _by_name(spark, folder)
+    assert rows[1] == [(1.0, None, {"_line": "1,1.0,left,over", "_file_path": "long.csv"})]
+    assert rows[2] == [(None, None, {"_line": "2", "_file_path": "long.csv"})]
+    assert rows[5] == [(5.5, None, {"_c1": "e", "_c2": "6", "_file_path": "odd.csv"})] and sum(map(len, rows.values())) == 3
+
+
+def test_rescued_nothing_to_read(spark, scratch):
+    folder = _csv(f"{scratch}/d", empty="")
+    df, rows = _by_name(spark, folder)
+    assert rows == {} and df.columns == ["id", "price", "day", "_rescued_data"]
