@@ -1,6 +1,9 @@
-"""Boundaries of agent streams with typed state (S6): ``transformWithStateInPandas``.
+"""Streaming operators with typed state: ``transformWithStateInPandas`` (S6, and E3/E4 in the silver stream).
 
-The same operator as ``agent_streams.boundaries_stream``, with state that is kept by field and by key:
+``lags_stream``: each series (store, product) keeps its last quantities as a list, as many as the
+longest lag, and the newest moment it has seen.
+
+``boundaries_stream`` is the same operator as in ``agent_streams``, with state kept by field and by key:
 
 - a value of the stream's last part and the number of parts so far;
 - a map with an entry for each (group, id) that has ended.  A batch looks up the ids that it holds and
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from larder.operators.agentlog import PART_FIELDS
+from larder.operators.features import SERIES_ORDER
 from larder.streaming.agent_streams import ENDS, OUT_FIELDS, OUT_SCHEMA, RETAIN_MS, _bounded, _kind, parts_with_markers
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -84,3 +88,49 @@ def boundaries_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame
     use_typed_state(events.sparkSession)
     parts = parts_with_markers(events).withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay)
     return parts.groupBy("stream_id").transformWithStateInPandas(Boundaries(), OUT_SCHEMA, "append", "EventTime")
+
+
+class Lags(StatefulProcessor):
+    """Quantities of earlier rows of a series, over its batches."""
+
+    def __init__(self, lags: tuple[int, ...], columns: list[str]):
+        self._lags, self._columns = lags, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._tail = handle.getListState("tail", "quantity bigint")
+        self._newest = handle.getValueState("newest", "moment timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        batch = batch.sort_values([c for c in SERIES_ORDER if c in batch], kind="stable", na_position="last").reset_index(drop=True)
+        tail = [q for q, in self._tail.get()]
+        quantities = tail + [None if pd.isna(q) else int(q) for q in batch["quantity"]]
+        for n in self._lags:
+            back = len(tail) - n
+            batch[f"quantity_lag_{n}"] = pd.array([quantities[i + back] if i + back >= 0 else None for i in range(len(batch))], "Int64")
+        moment = pd.to_datetime(batch["transaction_ts"])
+        newest = self._newest.get()[0] if self._newest.exists() else None
+        batch["is_late"] = (moment < pd.Timestamp(newest)).fillna(False) if newest is not None else False
+        self._tail.put([(q,) for q in quantities[-max(self._lags):]])
+        if moment.notna().any():
+            top = moment.max()
+            self._newest.update((max(top, pd.Timestamp(newest)) if newest is not None else top,))
+        yield batch[self._columns]
+
+    def close(self) -> None:
+        pass
+
+
+def lags_stream(sales: DataFrame, lags: tuple[int, ...] = (1, 7)) -> DataFrame:
+    """A stream of sales with ``quantity_lag_n`` and ``is_late``.
+
+    Within a batch a series stands in its usual order, and batches follow each other.  So if no
+    row is late (older than the newest of its series in earlier batches), lags are those that
+    ``lag_features`` gives for all rows at once.  A late row stands where it arrives, behind the rows
+    of earlier batches: its lags, and those of the rows behind it, are taken in that order; it is marked.
+    """
+    use_typed_state(sales.sparkSession)
+    made = [f"{n} {k}" for n, k in [*((f"quantity_lag_{n}", "bigint") for n in lags), ("is_late", "boolean")]]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sales.schema.fields), *made])
+    columns = [*sales.columns, *(m.split()[0] for m in made)]
+    return sales.groupBy("store_id", "product_id").transformWithStateInPandas(Lags(lags, columns), schema, "append", "None")
