@@ -7,15 +7,17 @@ norms of what is left (Cauchy-Schwarz), so after each step candidates whose
 upper bound is under the k-th best lower bound go, and the rest is compacted.
 
 Query blocks and candidate blocks meet once per pair of blocks, under a key of
-both numbers, so the work spreads over (query blocks x candidate blocks) tasks
-and a task holds two blocks.  Only the blocks' numbers reach the driver.  Each pair
-gives k rows a query; a window with a partial group limit ranks them.
+both blocks' groups, so the work spreads over (query blocks x candidate blocks) keys
+and a task holds two blocks at a time.  Only the two numbers of blocks reach the driver.
+Each pair gives k rows a query; a window with a partial group limit ranks them.
 
 Cases: vectors that are null, hold null or non-finite components, or have no id
 take no part; shorter vectors count as filled up with zeros; ties go to the
 smaller id; repeated candidate rows are ranked one by one, repeated query rows
-are answered once; rows with the query's id are no candidates of it; fewer
-candidates than k give fewer rows; an empty table gives none.  Columns that are
+are answered once; of query rows of one id with unlike vectors the least vector is
+the query; rows with the query's id are no candidates of it; fewer candidates than k
+give fewer rows; inner products beyond the range of a long are held to it; an empty
+table gives none; vectors may have any length (a block holds that of its rows).  Columns that are
 not read may have any name.
 """
 
@@ -142,11 +144,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     q = checkpointed(blocks(queries.groupBy("vec_id").agg(F.min("x").alias("x")), QUERY_BLOCK))
     q = q.select(F.col("block").alias("q_block"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     c = checkpointed(blocks(rows, ROW_BLOCK))
-    q_numbers, c_numbers = q.agg(F.collect_list("q_block").alias("q_numbers")), c.agg(F.collect_list("block").alias("numbers"))
-    q_numbers, c_numbers = q_numbers.first()[0], c_numbers.first()[0]
-    q = q.withColumn("block", F.explode(F.lit(c_numbers) if c_numbers else F.array().cast("array<long>")))
-    c = c.withColumn("q_block", F.explode(F.lit(q_numbers) if q_numbers else F.array().cast("array<long>")))
-    found = c.join(q, ["block", "q_block"]).mapInPandas(_best(k), "query_id long, vec_id long, score long")
+    # blocks are dealt to as many groups as there are of them; each pair of blocks meets in the one pair of groups
+    # that the two are in, and only the two numbers of blocks are known to the driver
+    q_groups, c_groups = max(q.count(), 1), max(c.count(), 1)
+    group = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("q_group", group("q_block", q_groups)).withColumn("group", every(c_groups))
+    c = c.withColumn("group", group("block", c_groups)).withColumn("q_group", every(q_groups))
+    found = c.join(q, ["group", "q_group"]).mapInPandas(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -163,7 +168,7 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-q AS (SELECT DISTINCT vec_id AS query_id, x FROM v WHERE vec_id % {EVERY} = 0),
+q AS (SELECT vec_id AS query_id, min(x) AS x FROM v WHERE vec_id % {EVERY} = 0 GROUP BY vec_id),
 s AS (SELECT q.query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM q JOIN v ON v.vec_id <> q.query_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}

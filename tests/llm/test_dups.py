@@ -345,6 +345,22 @@ def test_top_k_of_few_and_large(spark):
     assert got == brute_top(rows)
 
 
+def test_top_k_of_one_id_with_two_vectors(spark):
+    """The least of its vectors is the query, in Spark and in SQL; no block numbers stand in the plan."""
+    import duckdb
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = [(i % 150, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.digest(df.repartition(5))
+    assert "[0, 4294967296" not in out._jdf.queryExecution().optimizedPlan().toString()
+    with duckdb.connect() as con:
+        con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": [r[1] for r in rows]}))
+        want = sorted(con.sql(topk.ORACLE).fetchall())
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 15
+
+
 def test_bounds_keep_the_best():
     rng = np.random.default_rng(3)
     c = np.floor(256 * rng.normal(size=(64, 3000)))
