@@ -305,6 +305,44 @@ def test_estimates_are_unbiased_within_their_errors():
     assert abs((estimate - true).mean()) < 0.01 and (np.abs(estimate - true) < embeddings.ERRORS * error).all()
 
 
+def test_codes_are_short_unbiased_and_bound_their_errors():
+    """As many signs as dimensions, four bits a dimension beside them; no pair over the threshold is lost, few others stay."""
+    rng = np.random.default_rng(1)
+    a = embeddings.unit(rng.normal(size=(1500, 64)))
+    near = embeddings.unit(a + 0.02 * rng.normal(size=a.shape))
+    both = np.concatenate([a, near])
+    own = embeddings.encode(both, np.arange(len(both)))
+    assert own["sign"].shape == (3000, 64) and own["steps"].max() == 15
+    signs = own["sign"] * np.float32(2) - 1
+    code = {"signs": signs, "total": signs.sum(axis=1), "steps": own["steps"].astype(np.float32), **{c: own[c] for c in ("factor", "low", "step")}}
+    turned = both @ embeddings.rotation(64, 64).T
+    assert abs((own["steps"] * own["step"][:, None] + own["low"][:, None] - turned).mean()) < 1e-3
+    i = np.arange(1500)
+    true = (a * near).sum(axis=1)
+    assert embeddings.bounded(code, i, i + 1500, 0.98)[true >= 0.98].all() and (true >= 0.98).sum() > 500
+    unlike = embeddings.bounded(code, np.repeat(i[:300], 300), np.tile(i[300:600], 300), 0.98)
+    assert unlike.mean() < 0.005
+
+
+def test_few_pairs_are_recomputed(spark):
+    """Vectors move for pairs that the bound leaves; of the pairs that share a bucket those are few."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 64))
+    x[1000:] = x[:500] + 0.01 * rng.normal(size=(500, 64))
+    rows = [(i, 1, 1, [float(v) for v in r]) for i, r in enumerate(x)]
+    reps = spark.createDataFrame(rows, "rep long, label int, copies long, x array<double>")
+    found = embeddings.links(reps, 64, 1500).collect()
+    n = sum(r.exact for r in found)
+    assert 500 <= n <= 600 and sum(r.n for r in found) == 1000
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, [-1.0, 0.0], 1), (1, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.digest(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 # ---- top-k
 
 def top_rows(seed=7):
