@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.silver import clean_sales
@@ -67,26 +68,38 @@ def late_data_check(stream: DataFrame, root: str, checkpoint: str, lateness_hour
 
     Each micro-batch is compared with the newest time of the batches before it,
     then per-day partial totals, split into on-time and late, are written under
-    ``batch_id=<n>``, and the batch's own newest time under ``marks/batch_id=<n>``.
-    A batch reads the marks of lower numbers only, so one that is replayed after
-    a failure decides as it did at first and overwrites what it wrote.
+    ``batch_id=<n>``, and the newest time up to this batch under ``marks/batch_id=<n>``.
+    A batch reads the mark of the batch before it only, so its work doesn't grow with the
+    number of batches, and one that is replayed after a failure decides as it did at first
+    and overwrites what it wrote.
     """
     marks, daily = f"{root.rstrip('/')}/marks", f"{root.rstrip('/')}/daily"
 
+    def marks_before(spark: SparkSession, kind: str, batch_id: int) -> DataFrame:
+        """The mark of the batch before; of all lower numbers where that one had no rows and so no mark."""
+        try:
+            if batch_id:
+                return spark.read.schema(f"mark {kind}").parquet(f"{marks}/batch_id={batch_id - 1}")
+        except AnalysisException:
+            return spark.read.schema(f"mark {kind}, batch_id long").parquet(marks).filter(F.col("batch_id") < batch_id).select("mark")
+        return spark.createDataFrame([], f"mark {kind}")
+
     def per_batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         kind = df.schema[ts].dataType.simpleString()
-        # a batch writes its mark last, and the first one is number 0
-        seen = (spark.read.schema(f"mark {kind}, batch_id long").parquet(marks).filter(F.col("batch_id") < batch_id)
-                if batch_id else spark.createDataFrame([], f"mark {kind}, batch_id long"))
+        seen = marks_before(spark, kind, batch_id)
         rows = df.select(ts, amount).persist()
-        mark = seen.agg(F.max("mark").alias("mark"))
-        late = F.coalesce(F.col(ts) < F.col("mark") - F.make_dt_interval(hours=F.lit(lateness_hours)), F.lit(False))
-        parts = (rows.crossJoin(F.broadcast(mark)).groupBy(late.alias("late"), F.to_date(ts).alias("day"))
-                 .agg(F.sum(amount).alias("total_amount"), F.count(F.lit(1)).alias("n_rows")))
-        parts.write.mode("overwrite").parquet(f"{daily}/batch_id={batch_id}")
-        rows.agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
-        rows.unpersist()
+        try:
+            mark = seen.agg(F.max("mark").alias("mark"))
+            late = F.coalesce(F.col(ts) < F.col("mark") - F.make_dt_interval(hours=F.lit(lateness_hours)), F.lit(False))
+            parts = (rows.crossJoin(F.broadcast(mark)).groupBy(late.alias("late"), F.to_date(ts).alias("day"))
+                     .agg(F.sum(amount).alias("total_amount"), F.count(F.lit(1)).alias("n_rows")))
+            parts.write.mode("overwrite").parquet(f"{daily}/batch_id={batch_id}")
+            # written last: a batch with a mark has written its totals
+            newest = rows.agg(F.max(ts).alias("mark")).union(seen.select("mark")).agg(F.max("mark").alias("mark"))
+            newest.write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
