@@ -140,7 +140,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     word on, so a copy is the whole text or its first words.  ``n_chars`` is
     brought up to date where it is a column.
     """
-    rows = allocate(docs.select("*", F.struct(*docs.columns).alias("__row")) if docs.columns else docs, **options)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = allocate(docs.select("doc_id", "text", "source", whole.alias("__row")), **options)
     per_copy = F.aggregate("pieces", F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), lambda s, p: F.when(
         p["copy"] == 0, F.array(s[0] + p["word_end"] - p["word_start"], s[1])).otherwise(
         F.array(s[0], s[1] + p["word_end"] - p["word_start"])))

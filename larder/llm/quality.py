@@ -255,6 +255,8 @@ def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of 0.5 or more, columns as they were."""
     name = "__score"
+    while name in docs.columns:
+        name += "_"
     return scored(docs, train(docs, labels), name).filter(F.col(name) >= 0.5).drop(name)
 
 

@@ -228,9 +228,30 @@ def test_pipeline_stages(spark, scratch):
     assert all(r.ids == model.encode(r.text) for r in seen["pieces"][:50])
 
 
+def test_pipeline_cases(spark, scratch):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing names, and empty tables."""
+    import corpus_pipeline as c
+
+    labels = "doc_id long, quality int, toxic int"
+    rows = [(i, f"{'plain words that make a sound text. ' * (2 + i % 3)}Number {i} of them.", "en", f"s{i % 3}") for i in range(60)]
+    rows = [r for r in awkward() if r[0] != 106] + [(200 + i, *r[1:]) for i, r in enumerate(rows)]
+    clash = ("__score", "__row", "__id", "__rows", "size", "pieces", "h", "rows", "found", "base", "text2", "key", "block")
+    docs = frame(spark, rows).select("*", *[F.lit(i).alias(n) for i, n in enumerate(clash)])
+    for case, table, known in (("some", docs, [(r[0], i % 2, None) for i, r in enumerate(rows) if r[0] is not None]), ("none", docs.limit(0), []), ("unlabelled", docs, [])):
+        sf = f"{scratch}/{case}"
+        spark.createDataFrame(known, labels).write.parquet(f"{sf}/labels.parquet")
+        table.write.parquet(f"{sf}/documents.parquet")
+        out = c.run(spark, sf)
+        assert out.columns == [*docs.columns, "ids", "n_tokens"]
+        got = out.collect()
+        assert all(r.n_tokens == len(r.ids) > 0 and [r[n] for n in clash] == list(range(len(clash))) for r in got)
+        assert not got if case == "none" else {r.doc_id for r in got} <= {r[0] for r in rows}
+        assert case == "none" or len({r.doc_id for r in got}) > 5
+
+
 def test_entry_has_them_all():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert "larder.llm" in sys.modules
