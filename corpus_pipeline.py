@@ -9,6 +9,13 @@ all but the last return the columns of documents.
 4. mix: each source contributes its target; copies are rows, the last may be cut.
 5. pieces: texts become ids (columns ``ids`` and ``n_tokens`` are added).
 
+Cases: null and empty texts are scored like any other, link with nothing, hold no secret and
+take no words, so the mix is without them; rows without an id are kept
+as documents of their own; of rows with equal id and text one stays, rows of one id with
+unlike texts are documents of their own; a null source is a source; without labels nothing
+is rejected; empty tables give an empty result; texts may have any length; further columns,
+whatever their names, go through unchanged.
+
 Results aren't expressible in SQL (they rest on trained models and hashes of one
 function), so tests hold ``run`` against the stages' brute-force versions.
 """
