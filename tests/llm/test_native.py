@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import struct
 import zlib
@@ -323,3 +324,34 @@ def test_running_results(spark):
     for x, total, most in spark.createDataFrame(rows, "x array<int>").select(
             "x", common.running(F.col("x"), lambda a, b: a + b), common.running(F.col("x"), lambda a, b: F.greatest(a, b))).collect():
         assert total == list(itertools.accumulate(x)) and most == list(itertools.accumulate(x, max))
+
+
+def test_all_spans_equal_brute_force(spark):
+    """Base spans and the models' own, by the learnt ratios, character by character."""
+    rng = random.Random(12)
+    alphabets = ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    words = ["reading", "identifier_names", "SomeClassName", "src/main/java", "2024-01-31", "counter12", "wörter", "=====", "aaaaaaaaaaaa", "12345678901"]
+    rows = awkward() + secret_rows()
+    for i in range(200):
+        parts = [rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(6, 50))) for _ in range(30)]
+        rows.append((9000 + i, rng.choice([" ", "\n", " token=", "/"]).join(parts), "en", "s"))
+    docs = frame(spark, rows)
+    ratios = secrets.train(docs)
+
+    def whole(text):
+        text = text or ""
+        base = brute(text)
+        rest = list(text)
+        for start, _, end, _ in base:
+            rest[start:end] = " " * (end - start)
+        found = [(s, k, e, kind) for s, k, e, kind in base]
+        for m in re.finditer(secrets.TOKEN, "".join(rest)):
+            codes = [ord(c) for c in m[0]]
+            nats = sum(ratios[128 * a + b] for a, b in zip(codes, codes[1:]))
+            if len(set(codes)) >= secrets.LEAST_DISTINCT and nats >= max(secrets.LEAST_NATS, secrets.LEAST_NATS_EACH * len(codes)):
+                found.append((m.start(), 3, m.end(), "random"))
+        return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found))
+
+    got = Counter((r.doc_id, r.spans) for r in secrets.digest(docs.repartition(4)).collect())
+    assert got == Counter((r[0], whole(r[1])) for r in rows)
+    assert sum("random" in spans for _, spans in got) > 50
