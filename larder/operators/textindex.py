@@ -91,12 +91,20 @@ def _asked(spark: SparkSession, path: str, queries: DataFrame, parts: int) -> tu
     return q, sorted(r["part"] for r in q.select("part").distinct().collect())
 
 
-def bounds(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, range, upper, least, wanted): bounds of each range that holds a term, and whether it is searched."""
+def _weights(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(query_id, part, term, weight) of the terms that occur, and the partitions they are in."""
     n_docs, _, parts = stats(spark, path)
     q, some = _asked(spark, path, queries, parts)
     weight = F.log(F.lit(n_docs) / F.col("df"))
-    terms = _read(spark, path, "terms", some).join(q, ["part", "term"]).select("query_id", "part", "term", weight.alias("weight"))
+    return _read(spark, path, "terms", some).join(q, ["part", "term"]).select("query_id", "part", "term", weight.alias("weight")), some
+
+
+def bounds(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, range, upper, least, wanted): bounds of each range that holds a term, and whether it is searched."""
+    return _bounds(spark, path, *_weights(spark, path, queries), k)
+
+
+def _bounds(spark: SparkSession, path: str, terms: DataFrame, some: list[int], k: int) -> DataFrame:
     maxima = _read(spark, path, "blocks", some).select("part", "term", "range", "most")
     per = maxima.join(terms, ["part", "term"]).groupBy("query_id", "range").agg(
         F.sum(F.col("most") * F.col("weight")).alias("upper"), F.max(F.col("most") * F.col("weight")).alias("reached"))
@@ -109,11 +117,8 @@ def bounds(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFr
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
     """The top ``k`` documents of each query (query_id, term), as ``term_search`` gives them."""
-    n_docs, _, parts = stats(spark, path)
-    q, some = _asked(spark, path, queries, parts)
-    weight = F.log(F.lit(n_docs) / F.col("df"))
-    terms = _read(spark, path, "terms", some).join(q, ["part", "term"]).select("query_id", "part", "term", weight.alias("weight"))
-    wanted = bounds(spark, path, queries, k).filter("wanted").select("query_id", "range")
+    terms, some = _weights(spark, path, queries)
+    wanted = _bounds(spark, path, terms, some, k).filter("wanted").select("query_id", "range")
     blocks = _read(spark, path, "blocks", some).select("part", "term", "range", "postings")
     hits = blocks.join(terms, ["part", "term"]).join(wanted, ["query_id", "range"]).select("query_id", "weight", F.inline("postings"))
     per = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("matched_terms"))
