@@ -47,7 +47,7 @@ SHARD_TURNS, ID_BYTES = 4, 16
 #: Turn numbers of a conversation that are put in order together, and ids in a piece of a digest.
 SPAN, PIECE = 1024, 256
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-#: Of the query: conversations by tens of two start alike.
+#: Of the query: a conversation begins with fewer than MOST_SHARED turns of the one whose number SHARED_BY divides.
 SHARED_BY, MOST_SHARED = 20, 4
 
 COMPLETE, PARTIAL, PATH, ENDS, CREDIT = range(5)
