@@ -69,14 +69,23 @@ def with_arrival_times(events: DataFrame, step_s: int = 2, gap_every: int = 40,
 
 
 def _explode_parts(events: DataFrame, parts: Column) -> DataFrame:
-    keep = [c for c in events.columns if c not in ("payload", "_v")]
+    keep = [c for c in events.columns if c != "payload" and not c.startswith("_")]
     return (events.select(*keep, F.posexplode(parts).alias("sub", "p"))
             .select(*keep, "sub", *[F.col(f"p.{f}").alias(f) for f in PART_FIELDS]))
 
 
-def _parsed(events: DataFrame) -> DataFrame:
-    """Parse each payload once into a variant column ``_v`` (NULL if not JSON)."""
-    return events.withColumn("_v", F.try_parse_json(F.col("payload")))
+def _parsed(events: DataFrame, **read: Column) -> DataFrame:
+    """Parse each payload once into a variant column ``_v`` (NULL if not JSON), and ``read`` from it.
+
+    A generator evaluates an expression as often as it is written, so what the parts
+    are made of are columns below it.
+    """
+    return events.withColumn("_v", F.try_parse_json(F.col("payload"))).withColumns(read)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _vget(v: Column, path: str) -> Column:
@@ -87,21 +96,30 @@ def _is_string(v: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
 
 
+def _fields(v: Column, ddl: str) -> Column:
+    """The named fields of an object, read in one pass; NULL for anything but an object."""
+    return F.try_variant_get(v, "$", f"struct<{ddl}>")
+
+
+def _string_kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def _number_kind(v: Column) -> Column:
+    return F.coalesce(_once(F.schema_of_variant(v), lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")), F.lit(False))
+
+
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # the schema's text would name every field of it
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def _at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def _is_number(v: Column, path: str) -> Column:
-    kind = F.schema_of_variant(_at(v, path))
-    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
-
-
 def _is_list(v: Column, path: str) -> Column:
-    return F.coalesce(F.schema_of_variant(_at(v, path)).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def _absent(v: Column, path: str) -> Column:
@@ -125,12 +143,11 @@ def normalise_responses(events: DataFrame) -> DataFrame:
     is not a JSON object with a string ``type`` gives one error part.  Of a
     finished item only the first content / summary entry is read.
     """
-    events = _parsed(events)
     v = F.col("_v")
-    t = _vget(v, "$.type")
-    it = _vget(v, "$.item.type")
-    iid = _vget(v, "$.item.id")
-    ok = _is_object(v) & _is_string(v, "$.type")
+    events = _parsed(events, _f=_fields(v, "type:variant,item:struct<type:string,id:string>"))
+    events = events.withColumns({"_ok": _string_kind(F.col("_f.type")), "_type": _vget(F.col("_f.type"), "$"),
+                                 "_item": F.col("_f.item.type"), "_item_id": F.col("_f.item.id")})
+    ok, t, it, iid = (F.col(c) for c in ("_ok", "_type", "_item", "_item_id"))
     parts = (
         F.when(~ok, F.array(part(type="error", error=F.lit(PARSE_ERROR))))
         .when(t == "response.output_text.delta",
@@ -174,9 +191,8 @@ def _trim_ws(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
-def _strip_tag(seg: Column, tags) -> Column:
+def _strip_tag(s: Column, tags) -> Column:
     """Inner text when the trimmed segment is enclosed by one of ``tags``."""
-    s = _trim_ws(seg)
     out = None
     for open_, close in tags:
         hit = s.startswith(open_) & s.endswith(close) & (F.length(s) >= len(open_) + len(close))
@@ -187,20 +203,27 @@ def _strip_tag(seg: Column, tags) -> Column:
 
 def _strict_json(text: Column) -> Column:
     """The parsed text if it is one JSON value with nothing behind it, else NULL."""
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(alone, F.try_parse_json(text))
+    return _once(text, lambda t: F.when(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.try_parse_json(t)))
 
 
 def _tag_part(seg: Column, chunk_id: Column) -> Column:
     """Classify one split segment: tool call, tool result, or text (M8)."""
-    call, res = _strict_json(_strip_tag(seg, CALL_TAGS)), _strict_json(_strip_tag(seg, RESULT_TAGS))
-    call_ok = _is_object(call) & ~_absent(call, "$.id") & ~_absent(call, "$.name")
-    res_ok = _is_object(res) & ~_absent(res, "$.id")
-    return (F.when(call_ok, part(type="tool-call", tool_call_id=_vget(call, "$.id"), tool_name=_vget(call, "$.name"),
-                                 input=_vget(call, "$.arguments")))
-            .when(res_ok, part(type="tool-result", tool_call_id=_vget(res, "$.id"), result=_vget(res, "$.content"),
-                               tool_name=TOOL_NAME))
-            .otherwise(part(type="text-delta", id=chunk_id, delta=seg)))
+    plain = part(type="text-delta", id=chunk_id, delta=seg)
+
+    def result(res: Column) -> Column:
+        ok = _is_object(res) & ~_absent(res, "$.id")
+        return F.when(ok, part(type="tool-result", tool_call_id=_vget(res, "$.id"), result=_vget(res, "$.content"),
+                               tool_name=TOOL_NAME)).otherwise(plain)
+
+    def tagged(s: Column) -> Column:
+        def call(c: Column) -> Column:
+            ok = _is_object(c) & ~_absent(c, "$.id") & ~_absent(c, "$.name")
+            return F.when(ok, part(type="tool-call", tool_call_id=_vget(c, "$.id"), tool_name=_vget(c, "$.name"),
+                                   input=_vget(c, "$.arguments"))
+                          ).otherwise(_once(_strict_json(_strip_tag(s, RESULT_TAGS)), result))
+        return _once(_strict_json(_strip_tag(s, CALL_TAGS)), call)
+
+    return F.when(F.instr(seg, "<") == 0, plain).otherwise(_once(_trim_ws(seg), tagged))
 
 
 def split_tagged(text: Column) -> Column:
@@ -223,18 +246,24 @@ def _item_ok(it: Column) -> Column:
                       | ((kind == "reasoning") & summaries), F.lit(False))
 
 
-def _chunk_ok(v: Column) -> Column:
-    """The required fields of a completion chunk, of the required types."""
-    usage = [_is_number(v, f"$.usage.{f}") for f in ("prompt_tokens", "completion_tokens", "total_tokens")]
+_CHUNK_FIELDS = ("id:variant,created:variant,model:variant,object:string,"
+                 "usage:struct<prompt_tokens:variant,completion_tokens:variant,total_tokens:variant>,"
+                 "choices:array<struct<index:variant,delta:struct<role:string,content:variant>>>")
+
+
+def _chunk_ok(c: Column) -> Column:
+    """The required fields of a completion chunk (its ``_CHUNK_FIELDS``), of the required types."""
+    usage = [_number_kind(c["usage"][f]) for f in ("prompt_tokens", "completion_tokens", "total_tokens")]
 
-    def choice(c: Column) -> Column:
-        content = _absent(c, "$.delta.content") | _is_string(c, "$.delta.content") | _all_of(c, "$.delta.content", _item_ok)
-        role = F.coalesce(_vget(c, "$.delta.role"), F.lit("assistant")) == "assistant"
-        return _is_number(c, "$.index") & _is_object(_at(c, "$.delta")) & role & content
+    def choice(one: Column) -> Column:
+        delta = one["delta"]
+        content = delta["content"].isNull() | _string_kind(delta["content"]) | _all_of(delta["content"], "$", _item_ok)
+        role = F.coalesce(delta["role"], F.lit("assistant")) == "assistant"
+        return _number_kind(one["index"]) & delta.isNotNull() & role & content
 
-    return (_is_object(v) & _is_string(v, "$.id") & _is_number(v, "$.created") & _is_string(v, "$.model")
-            & usage[0] & usage[1] & usage[2] & F.coalesce(_vget(v, "$.object") == "chat.completion.chunk", F.lit(False))
-            & _all_of(v, "$.choices", choice))
+    return (_string_kind(c["id"]) & _number_kind(c["created"]) & _string_kind(c["model"])
+            & usage[0] & usage[1] & usage[2] & F.coalesce(c["object"] == "chat.completion.chunk", F.lit(False))
+            & F.coalesce(F.forall(c["choices"], choice), F.lit(False)))
 
 
 _CONTENT_ITEMS = "array<struct<type:string,text:string,summary:array<struct<type:string,text:string>>>>"
@@ -249,20 +278,20 @@ def normalise_completions(events: DataFrame) -> DataFrame:
     A payload that is no complete completion chunk (``_chunk_ok``) gives one
     error part.
     """
-    events = _parsed(events)
     v = F.col("_v")
-    cid = _vget(v, "$.id")
-    path = "$.choices[0].delta.content"
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    ok = _chunk_ok(v)
-    items = F.try_variant_get(v, path, _CONTENT_ITEMS)
+    said = F.get("_f.choices", F.lit(0))["delta"]["content"]
+    events = _parsed(events, _f=_fields(v, _CHUNK_FIELDS)).withColumns(
+        {"_ok": _chunk_ok(F.col("_f")), "_id": _vget(F.col("_f.id"), "$"), "_said": said, "_kind": F.schema_of_variant(said)})
+    events = events.withColumns({"_content": F.when(F.col("_kind") == "STRING", _vget(F.col("_said"), "$")),
+                                 "_items": F.when(F.col("_kind").startswith("ARRAY"), F.try_variant_get("_said", "$", _CONTENT_ITEMS))})
+    ok, cid, kind, items = (F.col(c) for c in ("_ok", "_id", "_kind", "_items"))
     from_items = F.flatten(F.transform(items, lambda it: (
         F.when(it["type"] == "text", F.array(part(type="text-delta", id=cid, delta=it["text"])))
         .when(it["type"] == "reasoning",
               F.transform(F.filter(it["summary"], lambda s: s["type"] == "summary_text"),
                           lambda s: part(type="reasoning-delta", id=cid, delta=s["text"])))
         .otherwise(_none()))))
-    from_text = F.transform(split_tagged(_vget(v, path)), lambda seg: _tag_part(seg, cid))
+    from_text = F.transform(split_tagged(F.col("_content")), lambda seg: _tag_part(seg, cid))
     parts = (F.when(~ok, F.array(part(type="error", error=F.lit(PARSE_ERROR))))
              .when(kind == "STRING", from_text)
              .when(kind.startswith("ARRAY"), from_items)
@@ -280,20 +309,22 @@ def normalise_chat_agent(events: DataFrame) -> DataFrame:
     missing the role's required string fields, or with a tool call that isn't
     a function with id, name and arguments, gives one error part.
     """
-    events = _parsed(events)
     v = F.col("_v")
-    role = _vget(v, "$.delta.role")
-    s = lambda p: _is_string(v, "$.delta." + p)
-    calls_ok = _absent(v, "$.delta.tool_calls") | _all_of(v, "$.delta.tool_calls", lambda c: (
+    delta = F.col("_f.delta")
+    role = delta["role"]
+    s = lambda p: _string_kind(delta[p])
+    calls_ok = delta["tool_calls"].isNull() | _all_of(delta["tool_calls"], "$", lambda c: (
         F.coalesce(_vget(c, "$.type") == "function", F.lit(False)) & _is_string(c, "$.id")
         & _is_string(c, "$.function.name") & _is_string(c, "$.function.arguments")))
-    ok = _is_object(v) & _is_string(v, "$.id") & F.coalesce(
+    ok = _string_kind(F.col("_f.id")) & F.coalesce(
         ((role == "assistant") & s("content") & s("id") & calls_ok)
         | ((role == "tool") & s("name") & s("content") & s("tool_call_id") & s("id"))
         | ((role == "user") & s("content") & s("id")), F.lit(False))
-    calls = F.try_variant_get(v, "$.delta.tool_calls",
-                              "array<struct<id:string,function:struct<name:string,arguments:string>>>")
-    content = _vget(v, "$.delta.content")
+    events = _parsed(events, _f=_fields(v, "id:variant,delta:struct<role:string,content:variant,id:variant,name:variant,"
+                                        "tool_call_id:variant,tool_calls:variant>"))
+    events = events.withColumns({"_ok": ok, "_role": role, "_content": _vget(delta["content"], "$"), "_calls": F.try_variant_get(
+        delta["tool_calls"], "$", "array<struct<id:string,function:struct<name:string,arguments:string>>>")})
+    ok, role, content, calls = (F.col(c) for c in ("_ok", "_role", "_content", "_calls"))
     assistant = F.concat(
         F.when(content != "", F.array(part(type="text-delta", id=_vget(v, "$.delta.id"), delta=content)))
         .otherwise(_none()),

@@ -192,3 +192,23 @@ def test_fixture_streams_cover_every_part_type(spark, dialect):
             "completions": {"text-delta", "reasoning-delta", "tool-call", "tool-result", "error"},
             "chat_agent": {"text-delta", "tool-call", "tool-result", "error"}}[dialect]
     assert want <= types
+
+
+def test_values_are_written_once_in_the_plan(spark):
+    # a generator evaluates an expression as often as it is written, lambdas too
+    ev = al.sse_events(_bodies(spark, {"s1": RESPONSES}))
+    for fn, parses, schemas in ((al.normalise_completions, 3, 13), (al.normalise_chat_agent, 1, 8), (al.normalise_responses, 1, 1)):
+        plan = fn(ev)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(") <= parses and plan.count("schemaOfVariant(") <= schemas, fn.__name__
+
+
+def test_completion_fields_of_other_types(spark):
+    good = {"id": "c", "created": 1, "model": "m", "object": "chat.completion.chunk",
+            "usage": {"prompt_tokens": 1, "completion_tokens": 1.5, "total_tokens": 2},
+            "choices": [{"index": 0, "delta": {"content": "hi"}}]}
+    odd = [{"id": 5}, {"usage": [1]}, {"usage": None}, {"choices": {}}, {"choices": [7]}, {"choices": [{"index": 0, "delta": "x"}]},
+           {"choices": [{"index": 0, "delta": {"content": None}}]}, {"choices": [{"index": "0", "delta": {}}]}]
+    fine = [{}, {"choices": []}, {"choices": [{"index": 0, "delta": {}}]}]
+    rows = {f"odd{i}": [json.dumps({**good, **o})] for i, o in enumerate(odd)} | {f"fine{i}": [json.dumps({**good, **o})] for i, o in enumerate(fine)}
+    got = {r["stream_id"]: (r["type"], r["delta"]) for r in al.normalise_completions(al.sse_events(_bodies(spark, rows))).collect()}
+    assert got == {f"odd{i}": ("error", None) for i in range(len(odd))} | {"fine0": ("text-delta", "hi")}
