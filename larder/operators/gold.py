@@ -1,9 +1,12 @@
 """Silver + dimensions -> gold feature set (ops C1-C3) and its fan-out audit.
 
-The three left joins are declared plainly: Catalyst/AQE pick broadcast for a
-dimension whose *runtime* size is under ``spark.sql.autoBroadcastJoinThreshold``
-and sort-merge otherwise, and AQE splits skewed sales partitions (the sales
-side is the preserved side of every left join, so it can be split).
+The sale lines, by far the widest rows, move once: products and competitor scrapes are
+gathered to one row per product (a product's scrapes as a map by day), so both joins go
+by the product alone, and the stores (some 100 bytes each) are sent to every task.  Rows
+stay dealt by product; a window over series of a product needs no further exchange.
+
+Products with more lines than one task should hold (``heavy_products``) are joined apart:
+there are few of them, so their rows of the dimension go to the lines.
 """
 
 from __future__ import annotations
@@ -20,35 +23,66 @@ GOLD_COLUMNS = [
 ]
 
 
+#: Lines of a product that one task holds at most.
+HEAVY = 1_000_000
+
+
+def heavy_products(lines: DataFrame, most: int = HEAVY) -> DataFrame:
+    """(product_id) of the products with more than ``most`` lines: lines / ``most`` rows at the most."""
+    n = lines.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col("product_id").isNotNull() & (F.col("n") > most)).select("product_id")
+
+
+def product_days(products: DataFrame, competitor: DataFrame) -> DataFrame:
+    """(product_id, rows, days): a product's dimension rows and, by day, its scrapes of that day.
+
+    One exchange for both tables.  A list holds a product's scrapes, never its sales: as many
+    as there are days and competitors.
+    """
+    p = products.select("product_id", F.struct("sku", F.col("name").alias("product_name"), "category", "brand", "base_price",
+                                               F.col("unit").alias("product_unit")).alias("row"))
+    c = competitor.filter("event_date is not null").select(
+        "product_id", F.col("event_date").alias("day"),
+        F.struct("competitor", F.col("price").alias("competitor_price"), F.col("scrape_ts").alias("competitor_scrape_ts"),
+                 F.col("event_date").alias("competitor_event_date")).alias("scrape"))
+    both = p.unionByName(c, allowMissingColumns=True).filter("product_id is not null").repartition("product_id")
+    daily = both.groupBy("product_id", "day").agg(F.collect_list("row").alias("rows"), F.collect_list("scrape").alias("scrapes"))
+    return daily.groupBy("product_id").agg(
+        F.flatten(F.collect_list("rows")).alias("rows"),
+        F.map_from_entries(F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", "scrapes")))).alias("days"))
+
+
+def gold_parts(sales: DataFrame, products: DataFrame, stores: DataFrame, competitor: DataFrame,
+               heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold rows of the products that aren't in ``heavy``, dealt by product, and of those that are, spread."""
+    few = F.broadcast(heavy)
+    days = product_days(products, competitor)
+    rest = _joined(sales.join(few, "product_id", "left_anti"), days, stores)
+    return rest, _joined(sales.join(few, "product_id", "left_semi"), F.broadcast(days.join(few, "product_id", "left_semi")), stores)
+
+
 def gold_feature_set(sales: DataFrame, products: DataFrame, stores: DataFrame,
-                     competitor: DataFrame) -> DataFrame:
+                     competitor: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """28-column gold rows: one per sale line and competitor seen that day.
 
     A line with no competitor that day keeps one row with NULL competitor
     columns.  ``store_manager_id`` and ``address`` are not in the store
-    dimension and stay typed NULLs so the column contract holds.
+    dimension and stay typed NULLs so the column contract holds.  ``heavy`` may
+    be ``heavy_products`` of any frame with the lines of the sales, or of more.
     """
-    s = sales.alias("s")
-    p = products.select("product_id", "sku", F.col("name").alias("product_name"), "category",
-                        "brand", "base_price", F.col("unit").alias("product_unit")).alias("p")
+    rest, spread = gold_parts(sales, products, stores, competitor, heavy_products(sales) if heavy is None else heavy)
+    return rest.unionByName(spread)
+
+
+def _joined(sales: DataFrame, days: DataFrame, stores: DataFrame) -> DataFrame:
     st = stores.select("store_id", F.col("name").alias("store_name"),
                        F.col("city").alias("store_city"),
-                       F.col("state").alias("store_state")).alias("st")
-    cp = competitor.select(F.col("product_id").alias("cp_product_id"), "competitor",
-                           F.col("price").alias("competitor_price"),
-                           F.col("scrape_ts").alias("competitor_scrape_ts"),
-                           F.col("event_date").alias("competitor_event_date"))
-    j = (s.join(p, "product_id", "left")
-          .join(st, "store_id", "left")
-          .join(cp, (F.col("s.product_id") == F.col("cp_product_id"))
-                & (F.col("s.event_date") == F.col("competitor_event_date")), "left"))
-    return j.select(
-        *[F.col(f"s.{c}") for c in GOLD_COLUMNS[:13]],
-        "sku", "product_name", "category", "brand", "base_price", "product_unit",
-        "store_name", F.lit(None).cast("bigint").alias("store_manager_id"),
-        F.lit(None).cast("string").alias("address"), "store_city", "store_state",
-        "competitor", "competitor_price", "competitor_scrape_ts", "competitor_event_date",
-    )
+                       F.col("state").alias("store_state"))
+    j = (sales.join(days, "product_id", "left").join(F.broadcast(st), "store_id", "left")
+         .select(*sales.columns, "store_name", "store_city", "store_state", F.explode_outer("rows").alias("row"), "days")
+         .select(*sales.columns, "store_name", "store_city", "store_state", "row.*",
+                 F.inline_outer(F.col("days")[F.col("event_date")])))
+    return j.withColumns({"store_manager_id": F.lit(None).cast("bigint"), "address": F.lit(None).cast("string")}).select(*GOLD_COLUMNS)
 
 
 def fanout_audit(gold: DataFrame) -> DataFrame:

@@ -28,9 +28,15 @@ def competitor(spark: SparkSession, sf: str) -> DataFrame:
     return silver.clean_competitor(fx.competitor_raw(spark, sf))
 
 
+def gold_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Gold rows of most products, and of those with very many lines."""
+    return gold.gold_parts(sales(spark, sf), fx.products(spark, sf), fx.stores(spark, sf), competitor(spark, sf),
+                           gold.heavy_products(sales_lines(spark, sf)))
+
+
 def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return gold.gold_feature_set(sales(spark, sf), fx.products(spark, sf), fx.stores(spark, sf),
-                                 competitor(spark, sf))
+    rest, heavy = gold_parts(spark, sf)
+    return rest.unionByName(heavy)
 
 
 _SALES_COLS = ("transaction_id, line_number, store_id, product_id, quantity, "

@@ -69,3 +69,53 @@ def test_gold_contract_and_fanout(spark):
     dedup = gold.gold_dedup(g)
     assert dedup.count() == audit.sales_lines
     assert fx.stores(spark, SF_SMALL).filter(F.col("region").isNull()).count() == 0
+
+
+SALES_TYPES = ("transaction_id string, line_number int, store_id string, product_id string, quantity int, unit_price double, discount double, "
+               "total_amount double, payment_type string, channel string, loyalty_id string, transaction_ts timestamp_ntz, event_date date")
+
+
+def _small_tables(spark):
+    """Repeated and null keys on every side, days and products without a match."""
+    day = lambda n: f"date '2024-01-0{n}'" if n else "cast(null as date)"
+    sales = spark.sql(" union all ".join(
+        f"select 'T{i}', {i % 3}, {s}, {p}, {i % 5}, 1e0, 0e0, {i}e0, 'x', 'pickup', 'L', timestamp_ntz '2024-01-01 0{i % 4}:00:00', {day(d)}"
+        for i, (s, p, d) in enumerate([(s, p, d) for s in ("'S1'", "'S9'", "cast(null as string)") for p in ("'P1'", "'P2'", "'P3'", "'P9'", "cast(null as string)")
+                                       for d in (0, 1, 2, 3)] + [("'S1'", "'P1'", 1)] * 3))).toDF(*[c.split()[0] for c in SALES_TYPES.split(", ")])
+    products = spark.createDataFrame([("P1", "A"), ("P2", "B"), ("P2", "C"), (None, "D"), ("P7", "E")], "product_id string, sku string").selectExpr(
+        "product_id", "sku", "'n' as name", "'c' as category", "'b' as brand", "2e0 as base_price", "'EA' as unit")
+    stores = spark.createDataFrame([("S1", "a"), ("S1", "b"), (None, "c")], "store_id string, name string").selectExpr("store_id", "name", "'x' as city", "'y' as state")
+    competitor = spark.createDataFrame(
+        [("C0", "P1", 1.0, 1), ("C1", "P1", 2.0, 1), ("C1", "P1", 2.0, 1), ("C0", "P2", 1.0, 2), (None, "P3", None, 1), ("C0", "P3", 1.0, 0), ("C0", None, 1.0, 1), ("C0", "P9", 3.0, 3)],
+        "competitor string, product_id string, price double, d int").selectExpr(
+        "competitor", "product_id", "price", "timestamp_ntz '2024-01-01 06:00:00' as scrape_ts", "case when d > 0 then date_add(date '2023-12-31', d) end as event_date")
+    return sales, products, stores, competitor
+
+
+def test_gold_equals_the_plain_joins(spark):
+    """However many products count as heavy, the rows are those of three left joins."""
+    sales, products, stores, competitor = _small_tables(spark)
+    for name, df in zip(("s", "p", "st", "c"), (sales, products, stores, competitor)):
+        df.createOrReplaceTempView(f"plain_{name}")
+    want = spark.sql("""select s.*, p.sku, p.name, p.category, p.brand, p.base_price, p.unit, st.name, cast(null as bigint), cast(null as string), st.city, st.state,
+        c.competitor, c.price, c.scrape_ts, c.event_date
+        from plain_s s left join plain_p p on s.product_id = p.product_id left join plain_st st on s.store_id = st.store_id
+        left join plain_c c on s.product_id = c.product_id and s.event_date = c.event_date""").toDF(*gold.GOLD_COLUMNS)
+    assert want.count() > sales.count()
+    for heavy in (None, gold.heavy_products(sales, 0), gold.heavy_products(sales, 12)):
+        got = gold.gold_feature_set(sales, products, stores, competitor, heavy)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert [r.product_id for r in gold.heavy_products(sales, 12).collect()] == ["P1"]
+
+
+def test_gold_moves_the_sale_lines_once(spark):
+    """Whatever the size of the dimensions: one exchange by product for both joins, none by day or store."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = retail.gold_parts(spark, SF_SMALL)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(store_id" not in p and "event_date" not in "".join(x.split(")")[0] for x in p.split("hashpartitioning(")[1:])
+    assert p.count("Exchange hashpartitioning(product_id") == 3  # lines, dimension, counts of the heavy products
