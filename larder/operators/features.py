@@ -98,21 +98,32 @@ def lag_features_window(df: DataFrame, lags=(1, 7)) -> DataFrame:
     """Plain window form of ``lag_features``: one Window node for both lags.
 
     Fine while every series is small: the window sends a whole series to one
-    task.
+    task.  Rows that are dealt by product stay where they are.
     """
     w = Window.partitionBy("store_id", "product_id").orderBy(
         *[F.col(c).asc_nulls_last() for c in SERIES_ORDER])
     return df.withColumns({f"quantity_lag_{n}": F.lag("quantity", n).over(w) for n in lags})
 
 
+def lag_features_parts(rest: DataFrame, heavy: DataFrame, lags=(1, 7)) -> DataFrame:
+    """``lag_features`` of all rows, given those of small products and those of products that no task should hold.
+
+    No product is in both, so each series is whole in one of them.
+    """
+    return lag_features_window(rest, lags).unionByName(lag_features(heavy, lags))
+
+
 def clean_features(df: DataFrame) -> DataFrame:
     """Per-column defaults for numeric and categorical gaps."""
     return df.fillna(NUMERIC_FILLS).fillna(STRING_FILLS)
 
 
-def feature_table(gold: DataFrame) -> DataFrame:
-    """Gold -> calendar, price and lag features -> filled."""
-    return clean_features(lag_features(price_features(calendar_features(gold))))
+def feature_table(gold: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Gold (or its two parts) -> calendar, price and lag features -> filled."""
+    if heavy is None:
+        return clean_features(lag_features(price_features(calendar_features(gold))))
+    rest, spread = (price_features(calendar_features(g)) for g in (gold, heavy))
+    return clean_features(lag_features_parts(rest, spread))
 
 
 def split_bounds(dates: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFrame:

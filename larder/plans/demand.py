@@ -11,7 +11,7 @@ from larder.operators import sketches as sk
 from larder.operators.gold import GOLD_COLUMNS
 from larder.plans.oracle_fixtures import with_ctes
 from larder.plans.registry import register
-from larder.plans.retail import gold_rows, sales, sales_lines
+from larder.plans.retail import gold_parts, gold_rows, sales, sales_lines
 from larder.session import stored_dir
 from larder.sources.tables import state
 
@@ -206,9 +206,8 @@ SELECT {_KEYS}, store_id, product_id, event_date, quantity,
 FROM gold""")
 def q_lag_features(spark, sf):
     """E3 + E4: quantity 1 and 7 rows earlier in each (store, product) series."""
-    g = gold_rows(spark, sf).select(*ft.LINE_KEY, "store_id", "product_id", "event_date",
-                                    "transaction_ts", "quantity")
-    return ft.lag_features(g).select(
+    parts = [g.select(*ft.LINE_KEY, "store_id", "product_id", "event_date", "transaction_ts", "quantity") for g in gold_parts(spark, sf)]
+    return ft.lag_features_parts(*parts).select(
         *ft.LINE_KEY, "store_id", "product_id", "event_date", "quantity",
         "quantity_lag_1", "quantity_lag_7")
 
@@ -233,7 +232,7 @@ FROM (SELECT *, {_PRICE_SQL},
              lag(quantity, 7) OVER ({_SERIES}) AS quantity_lag_7 FROM gold) t""")
 def q_clean_features(spark, sf):
     """The full feature table with per-column defaults."""
-    return ft.feature_table(gold_rows(spark, sf)).select(*_CLEAN_OUT)
+    return ft.feature_table(*gold_parts(spark, sf)).select(*_CLEAN_OUT)
 
 
 _SPLIT_SQL = """

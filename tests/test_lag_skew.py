@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMOKE
 from larder.operators import features as ft
-from larder.plans.retail import gold_rows
+from larder.operators import gold
+from larder.plans.retail import competitor, fx, gold_parts, gold_rows, sales
 
 COLS = ft.LINE_KEY + ["quantity_lag_1", "quantity_lag_7"]
 
@@ -46,3 +47,20 @@ def test_dominant_series_is_spread_over_tasks(spark):
 
 def test_lag_without_rows(spark):
     assert ft.lag_features(gold_rows(spark, SF_SMOKE).limit(0)).count() == 0
+
+
+def test_lag_of_parts_equals_lag_of_all(spark):
+    """Series of heavy products over their moments, the others by window."""
+    lines = sales(spark, SF_SMOKE)
+    heavy = gold.heavy_products(lines, 30)
+    assert 0 < heavy.count() < lines.select("product_id").distinct().count()
+    rest, spread = gold.gold_parts(lines, fx.products(spark, SF_SMOKE), fx.stores(spark, SF_SMOKE), competitor(spark, SF_SMOKE), heavy)
+    want = ft.feature_table(gold_rows(spark, SF_SMOKE))
+    assert rest.count() and spread.count()
+    assert _same(ft.feature_table(rest, spread), want) and _same(ft.lag_features_parts(rest, spread), ft.lag_features_window(gold_rows(spark, SF_SMOKE)))
+
+
+def test_lag_of_small_products_moves_no_row(spark):
+    rest = gold_parts(spark, SF_SMOKE)[0]
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(ft.lag_features_window(rest)) == exchanges(rest)
