@@ -1,5 +1,7 @@
 """Cleaning and gold decisions on hand-made rows and on the fixtures."""
 
+from datetime import date, datetime
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -77,11 +79,10 @@ SALES_TYPES = ("transaction_id string, line_number int, store_id string, product
 
 def _small_tables(spark):
     """Repeated and null keys on every side, days and products without a match."""
-    day = lambda n: f"date '2024-01-0{n}'" if n else "cast(null as date)"
-    sales = spark.sql(" union all ".join(
-        f"select 'T{i}', {i % 3}, {s}, {p}, {i % 5}, 1e0, 0e0, {i}e0, 'x', 'pickup', 'L', timestamp_ntz '2024-01-01 0{i % 4}:00:00', {day(d)}"
-        for i, (s, p, d) in enumerate([(s, p, d) for s in ("'S1'", "'S9'", "cast(null as string)") for p in ("'P1'", "'P2'", "'P3'", "'P9'", "cast(null as string)")
-                                       for d in (0, 1, 2, 3)] + [("'S1'", "'P1'", 1)] * 3))).toDF(*[c.split()[0] for c in SALES_TYPES.split(", ")])
+    keys = [(s, p, d) for s in ("S1", "S9", None) for p in ("P1", "P2", "P3", "P9", None) for d in (0, 1, 2, 3)] + [("S1", "P1", 1)] * 3
+    rows = [(f"T{i}", i % 3, s, p, i % 5, 1.0, 0.0, float(i), "x", "pickup", "L", datetime(2024, 1, 1, i % 4), date(2024, 1, d) if d else None)
+            for i, (s, p, d) in enumerate(keys)]
+    sales = spark.createDataFrame(rows, SALES_TYPES)
     products = spark.createDataFrame([("P1", "A"), ("P2", "B"), ("P2", "C"), (None, "D"), ("P7", "E")], "product_id string, sku string").selectExpr(
         "product_id", "sku", "'n' as name", "'c' as category", "'b' as brand", "2e0 as base_price", "'EA' as unit")
     stores = spark.createDataFrame([("S1", "a"), ("S1", "b"), (None, "c")], "store_id string, name string").selectExpr("store_id", "name", "'x' as city", "'y' as state")
