@@ -125,11 +125,13 @@ def competitor_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze competitor scrapes: three competitors per (product, ship day).
 
     Every seventh product has no readable price and every fifth scrape a rescued
-    field, so cleaning rejects them and some sales find no competitor.
+    field, so cleaning rejects them and some sales find no competitor.  The keys are
+    dealt by product to more tasks than made them distinct: each becomes three rows of
+    text, which whatever sorts them next would else hold beside the distinct keys.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", F.col("l_shipdate").cast("date").alias("d"))
-    keys = li.distinct()
+    keys = li.distinct().repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     comp = keys.join(p, keys.l_partkey == p.p_partkey, "inner")
     comp = comp.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
