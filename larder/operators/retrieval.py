@@ -37,9 +37,9 @@ def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 50) -> Data
         "doc_id", "chunk_id", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(size)).alias("chunk"))
 
 
-def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term) rows of lower-cased letter/digit runs of the whole text."""
-    return (docs.select(key, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("term"))
+def tokens(docs: DataFrame, text: str = "text", *keys: str) -> DataFrame:
+    """(keys, by default doc_id, and term) rows of lower-cased letter/digit runs of the whole text."""
+    return (docs.select(*(keys or ["doc_id"]), F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("term"))
             .filter(F.col("term") != ""))
 
 

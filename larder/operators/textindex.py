@@ -66,11 +66,13 @@ def build(docs: DataFrame, path: str, size: int = RANGE, parts: int = PARTS) ->
     ranges(docs, size).write.mode("overwrite").parquet(f"{path}/ranges")
     placed = spark.read.parquet(f"{path}/ranges")
     # dealt by document, so that a document's words are counted where they are
-    words = tokens(docs.repartition(n, "doc_id")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    blocks = words.join(placed, "doc_id").groupBy("term", "range").agg(
+    words = tokens(docs.repartition(n, "doc_id").join(placed, "doc_id"), "text", "doc_id", "range").groupBy("doc_id", "range", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # postings move once: to the partition of their term, in as many slices of ranges as give each task some
+    slices = -(-4 * n // parts)
+    words = words.withColumns({"part": term_part(F.col("term"), parts), "slice": F.pmod(F.xxhash64("range"), F.lit(slices)).cast("int")})
+    blocks = words.repartition(n, "part", "slice").groupBy("part", "slice", "term", "range").agg(
         F.max("tf").alias("most"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
-    blocks = blocks.withColumn("part", term_part(F.col("term"), parts))
-    blocks = blocks.repartitionByRange(n, "part", "term", "range").sortWithinPartitions("part", "term", "range")
+    blocks = blocks.select("term", "range", "most", "n", "postings", "part").sortWithinPartitions("part", "term", "range")
     blocks.write.mode("overwrite").partitionBy("part").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/blocks")
     terms = _read(spark, path, "blocks").groupBy("part", "term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks"))
     terms.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")

@@ -55,3 +55,20 @@ def test_search_reads_the_terms_partitions_only(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part#" in plan and "documents.parquet" not in plan
     assert plan.count("postings") and "ReadSchema: struct<term:string,range:bigint,most:bigint>" in plan
+
+
+def test_build_moves_the_postings_once(spark, scratch, monkeypatch):
+    """They aren't dealt by range, which would make the lists twice, once for the sample."""
+    from pyspark.sql import DataFrameWriter
+
+    plans_of, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (
+        plans_of.__setitem__(path.rsplit("/", 1)[1], self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *a, **k))[1])
+    docs = spark.createDataFrame([(i, f"the w{i % 7}") for i in range(500)], "doc_id long, text string")
+    ti.build(docs, scratch, 16, 4)
+    assert "rangepartitioning" not in plans_of["blocks"]
+    assert plans_of["blocks"].count("Exchange hashpartitioning(part") == 1 and "hashpartitioning(term" not in plans_of["blocks"]
+    blocks = spark.read.parquet(f"{scratch}/blocks")
+    assert blocks.select(F.sum("n")).first()[0] == 1000 and blocks.groupBy("term", "range").count().filter("count > 1").count() == 0
+    hot = blocks.filter("term = 'the'").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot > 1
